@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from recordlens import vocab as v
 from recordlens.functions import clock, text
+from recordlens.functions.rates import rounded
 from recordlens.operators.register import EVENT_ORDER, cold_start_flags
 
 
@@ -103,8 +104,8 @@ def verdicts(
         "escalated",
         "revisions",
         F.when(~forecast, F.col("window")).alias("episode_window"),
-        F.when(~forecast, F.round((end - start) / 86400, 1)).alias("episode_days"),
+        F.when(~forecast, rounded((end - start) / 86400, 1)).alias("episode_days"),
         "matched",
-        F.round(lead / 3600, 1).alias("lead_time_hours"),
+        rounded(lead / 3600, 1).alias("lead_time_hours"),
         F.array_sort(F.array_union(own, theirs)).alias("evidence"),
     )

@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = (
     "register_plans",
+    "reaction_plans",
 )
 
 QUERIES: dict = {}

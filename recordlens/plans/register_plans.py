@@ -347,8 +347,8 @@ ver AS (
 verd AS (
   SELECT id, CASE WHEN kind = 'ALERT_EPISODE' THEN 'EPISODE_ENDED' WHEN matched IS NOT NULL THEN 'MATERIALIZED_AS_ALERT'
     ELSE 'NO_ALERT_MATCH' END AS verdict, cold_start, array_to_string(path, '>') AS severity_path, escalated, revisions,
-  CASE WHEN kind = 'ALERT_EPISODE' THEN round(date_diff('second', CAST(w_from AS TIMESTAMP), CAST(window_to AS TIMESTAMP)) / 86400.0, 1) END AS episode_days,
-  matched, CASE WHEN matched IS NOT NULL THEN round(date_diff('second', CAST(announced_at AS TIMESTAMP), CAST(m_from AS TIMESTAMP)) / 3600.0, 1) END AS lead_time_hours,
+  CASE WHEN kind = 'ALERT_EPISODE' THEN round_even((date_diff('second', CAST(w_from AS TIMESTAMP), CAST(window_to AS TIMESTAMP)) / 86400.0) * 10, 0) / 10 END AS episode_days,
+  matched, CASE WHEN matched IS NOT NULL THEN round_even((date_diff('second', CAST(announced_at AS TIMESTAMP), CAST(m_from AS TIMESTAMP)) / 3600.0) * 10, 0) / 10 END AS lead_time_hours,
   len(CASE WHEN matched IS NOT NULL THEN list_distinct(files || mfiles) ELSE files END) AS n_evidence,
   array_to_string(list_sort(CASE WHEN matched IS NOT NULL THEN list_distinct(files || mfiles) ELSE files END), ',') AS evidence
 FROM ver)
