@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = (
     "register_plans",
     "reaction_plans",
+    "coverage_plans",
 )
 
 QUERIES: dict = {}
