@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StructType
 
@@ -102,12 +102,14 @@ def night_states(held: DataFrame, catches: DataFrame, nights: DataFrame, *, key:
 
     Counted from first-seen totals per day, so no product-by-night grid is built.
     """
-    per_day = held.groupBy(F.col("first_seen").alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     diverged = catches.join(held.select(key, "first_seen"), key).filter(F.col("first_seen") <= F.col(night))
     diverged = diverged.groupBy(night).agg(F.countDistinct(key).alias("diverged"))
-    # One row per day on each side: the range join is bounded by the number of days on record.
-    known = nights.select(night).distinct().join(per_day, F.col("_day") <= F.col(night), "left")
-    known = known.groupBy(night).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_known"))
+    days = held.groupBy(F.col("first_seen").alias(night)).agg(F.count(F.lit(1)).alias("_n"), F.lit(False).alias("_asked"))
+    asked = nights.select(night, F.lit(0).cast("bigint").alias("_n"), F.lit(True).alias("_asked"))
+    days = days.unionByName(asked).groupBy(night).agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
+    # One row per day is left here, so the running total is bounded by the days on record.
+    so_far = F.sum("_n").over(Window.orderBy(night))
+    known = days.withColumn("_known", so_far).filter("_asked")
     total = held.agg(F.count(F.lit(1))).scalar()
     return known.join(diverged, night, "left").select(
         night,

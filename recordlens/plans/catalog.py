@@ -8,6 +8,7 @@ _MODULES = (
     "register_plans",
     "reaction_plans",
     "coverage_plans",
+    "wording_plans",
 )
 
 QUERIES: dict = {}
