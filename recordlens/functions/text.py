@@ -46,11 +46,18 @@ def token_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[^\s\p{Z}]+"))
 
 
+def once(value: Column, use) -> Column:
+    """Apply ``use`` to a value that is computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sentences(text: Column) -> Column:
-    """Split after ``.``, ``!`` or ``?`` followed by white space; blanks dropped."""
-    parts = F.split(text, r"(?<=[.!?])[\s\p{Z}]+")
-    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
-    return F.filter(trimmed, lambda s: s != "")
+    """Split after ``.``, ``!`` or ``?`` followed by white space; blanks dropped.
+
+    The separator takes all white space, so only the ends of the text need trimming.
+    """
+    trimmed = F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    return F.filter(F.split(trimmed, r"(?<=[.!?])[\s\p{Z}]+"), lambda s: s != "")
 
 
 def word_tokens(text: Column) -> Column:
@@ -62,23 +69,35 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(word_tokens(F.lower(text)))
 
 
+def _prose_parts(text: Column) -> Column:
+    return F.struct(
+        token_count(text).alias("n"),
+        F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0)).alias("words"),
+    )
+
+
+def _prose_test(parts: Column) -> Column:
+    stops = F.size(F.filter(parts["words"], lambda w: w.isin(*v.STOPWORDS)))
+    return (
+        parts["n"].between(v.PROSE_MIN_TOKENS, v.PROSE_MAX_TOKENS)
+        & (F.size(parts["words"]) > 0)
+        & (stops / F.size(parts["words"]) >= v.PROSE_MIN_STOP_SHARE)
+    )
+
+
 def is_prose(text: Column) -> Column:
     """5 to 60 tokens, and function words make up at least 18 % of the letter words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{Nl}\p{No}]+"), F.lit(0))
-    stops = F.filter(words, lambda w: w.isin(*v.STOPWORDS))
-    share = F.size(stops) / F.size(words)
-    return F.coalesce(
-        token_count(text).between(v.PROSE_MIN_TOKENS, v.PROSE_MAX_TOKENS)
-        & (F.size(words) > 0)
-        & (share >= v.PROSE_MIN_STOP_SHARE),
-        F.lit(False),
-    )
+    return F.coalesce(once(_prose_parts(text), _prose_test), F.lit(False))
+
 
+def prose_count(passages: Column) -> Column:
+    """How many passages of an array are prose."""
+    return F.size(F.filter(F.transform(passages, _prose_parts), _prose_test))
 
-def markers_found(text: Column, markers) -> Column:
-    """The listed markers contained in the text, in list order."""
-    low = F.lower(text)
-    hits = [F.when(F.contains(low, F.lit(m)), F.lit(m)) for m in markers]
+
+def markers_found(lowered: Column, markers) -> Column:
+    """The listed markers contained in a lower-case text, in list order."""
+    hits = [F.when(F.contains(lowered, F.lit(m)), F.lit(m)) for m in markers]
     return F.array_compact(F.array(*hits))
 
 
@@ -94,15 +113,18 @@ def signal_counts(text: Column) -> dict[str, Column]:
 
 def salience(text: Column) -> Column:
     """struct(score, signals): weighted signals, each counted at most five times."""
-    counts = signal_counts(text)
-    score = sum(
-        (F.least(counts[k], F.lit(v.SIGNAL_CAP)) * w for k, w in v.SIGNAL_WEIGHTS.items()),
-        F.lit(0),
-    )
-    signals = F.array_compact(
-        F.array(*[F.when(counts[k] > 0, F.lit(k)) for k in sorted(counts)])
-    )
-    return F.struct(score.cast("int").alias("score"), signals.alias("signals"))
+
+    def weigh(counts):
+        score = sum(
+            (F.least(counts[k], F.lit(v.SIGNAL_CAP)) * w for k, w in v.SIGNAL_WEIGHTS.items()),
+            F.lit(0),
+        )
+        found = F.array_compact(
+            F.array(*[F.when(counts[k] > 0, F.lit(k)) for k in sorted(v.SIGNAL_WEIGHTS)])
+        )
+        return F.struct(score.cast("int").alias("score"), found.alias("signals"))
+
+    return once(F.struct(*[c.alias(k) for k, c in signal_counts(text).items()]), weigh)
 
 
 def has_attribution(text: Column) -> Column:

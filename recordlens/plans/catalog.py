@@ -9,6 +9,7 @@ _MODULES = (
     "reaction_plans",
     "coverage_plans",
     "wording_plans",
+    "capture_plans",
 )
 
 QUERIES: dict = {}

@@ -12,3 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def day_text(col):
     return F.date_format(col, "yyyy-MM-dd")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows by key when the input has fewer pieces than there are cores.
+
+    For work that is heavy per row (whole texts); inputs with many files are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -9,8 +9,7 @@ from recordlens import vocab as v
 from recordlens.functions import text as tx
 from recordlens.operators import wording as wd
 from recordlens.plans import sqltext as q
-from recordlens.plans.tables import table
-from recordlens.session import written
+from recordlens.plans.tables import spread, table
 
 # The tables hold invented words, so each document gets one sentence that an edit rewrites.
 EDITS = (
@@ -52,7 +51,7 @@ def _status(col, shift):
 
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page, source, before, after): whole texts; the edit drops the first sentence and every ' of '."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     base = F.replace(F.regexp_replace(F.col("text"), r"^[^.!?]*[.!?][\s\p{Z}]+", ""), F.lit(" of "), F.lit(" "))
     return d.select(
         F.col("doc_id").alias("page"), "source",
@@ -62,24 +61,24 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", wd.page_text(F.col("html"), "native").alias("main_text"))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", wd.page_text(F.col("html"), "native").alias("main_text"))
 
 
 def page_text_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", wd.page_text(F.col("html")).alias("main_text"))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", wd.page_text(F.col("html")).alias("main_text"))
 
 
 def validity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    judged = d.select("doc_id", wd.gate(F.col("text"), _status(F.col("doc_id"), 0)).alias("g"))
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    judged = wd.with_gate(d.select("doc_id", "text", _status(F.col("doc_id"), 0).alias("status")), "text", "status", "g")
     return judged.select("doc_id", "g.valid", "g.reason")
 
 
 def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate over extracted pages, with what it counted."""
-    p = table(spark, sf_dir, "pages")
-    text = written(p.select("page_id", wd.page_text(F.col("html"), "native").alias("t")), "page-text")
-    judged = text.select("page_id", wd.gate(F.col("t"), F.lit("200")).alias("g"))
+    p = spread(table(spark, sf_dir, "pages"), "page_id")
+    text = p.select("page_id", wd.page_text(F.col("html"), "native").alias("t"), F.lit("200").alias("status"))
+    judged = wd.with_gate(text, "t", "status", "g")
     return judged.select(
         "page_id", "g.valid", "g.reason", F.col("g.tokens").cast("bigint").alias("tokens"),
         F.array_join("g.markers", ",").alias("markers"),
@@ -88,10 +87,10 @@ def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prose_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences and prose sentences per document."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     return d.select(
         "doc_id", F.size(tx.sentences(F.col("text"))).cast("bigint").alias("sentences"),
-        F.size(wd.prose_sentences(F.col("text"))).cast("bigint").alias("prose"),
+        tx.prose_count(tx.sentences(F.col("text"))).cast("bigint").alias("prose"),
     )
 
 
