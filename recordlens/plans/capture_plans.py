@@ -86,7 +86,7 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _hosts(spark, sf_dir)
     return cp.hash_sample(
         p.select("host", "url"), DAY, group="host",
-        excluded=p.filter("page_id % 11 = 0").select("url"), controls=p.filter("page_id % 13 = 0").select("url"),
+        excluded=p.filter("url LIKE '%ref=%'").select("url"), controls=p.filter("url LIKE '%#top'").select("url"),
     )
 
 
@@ -270,10 +270,10 @@ ORACLES = {
         {wilson_sql('unverifiable', 'examined', 'unverifiable_low', 'unverifiable_high')} FROM d""",
     "unverifiable_reasons": _CLASSES + "SELECT reason, count(*) AS n FROM settled WHERE class = 'unverifiable' GROUP BY reason",
     "hash_sample": f"""WITH p AS (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, url, page_id FROM pages),
-      pool AS (SELECT DISTINCT host, url FROM p WHERE url NOT IN (SELECT url FROM p WHERE page_id % 11 = 0)),
+      pool AS (SELECT DISTINCT host, url FROM p WHERE url NOT IN (SELECT url FROM p WHERE url LIKE '%ref=%')),
       r AS (SELECT *, sha256('{DAY}|' || url) AS rank FROM pool
             QUALIFY row_number() OVER (PARTITION BY host ORDER BY sha256('{DAY}|' || url), url) <= 5)
-      SELECT host, url, rank FROM r WHERE url NOT IN (SELECT url FROM p WHERE page_id % 13 = 0)""",
+      SELECT host, url, rank FROM r WHERE url NOT IN (SELECT url FROM p WHERE url LIKE '%#top')""",
     "sample_per_source": f"""SELECT source, 'doc/' || doc_id AS url, sha256('{DAY}|doc/' || doc_id) AS rank FROM documents
       QUALIFY row_number() OVER (PARTITION BY source ORDER BY sha256('{DAY}|doc/' || doc_id)) <= 5""",
     "over_cap_marks": _CAPS + """SELECT left(stamp, 8) AS night, page, pos,

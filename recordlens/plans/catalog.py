@@ -10,6 +10,7 @@ _MODULES = (
     "coverage_plans",
     "wording_plans",
     "capture_plans",
+    "scan_plans",
 )
 
 QUERIES: dict = {}

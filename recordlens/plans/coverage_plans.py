@@ -132,7 +132,7 @@ def _drift_inputs(spark, sf_dir):
     )
     held = dr.with_baselines(held, base)
     latest = _latest(spark, sf_dir)
-    answered = F.col("user_id") % 40 != 7
+    answered = ~F.col("value").between(9, 10)
     asked = latest.select("id", answered.alias("answered"))
     current = dr.held_values(latest.filter((F.col("value") >= 3) & answered))
     return held, current, asked
@@ -209,7 +209,7 @@ held AS (SELECT first_f.id, first_f.date AS first_seen, first_f.online, coalesce
     first_f.modification_date, first_f.checksums FROM first_f LEFT JOIN base ON base.id = first_f.id),
 now_f AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) = 1),
 probe AS (SELECT h.*, n.value >= 3 AS there, n.online AS n1, n.eviction_date AS n2, n.modification_date AS n3, n.checksums AS n4
-          FROM held h JOIN now_f n ON n.id = h.id WHERE n.user_id % 40 <> 7),
+          FROM held h JOIN now_f n ON n.id = h.id WHERE NOT n.value BETWEEN 9 AND 10),
 long AS (SELECT id, first_seen, unnest([
     {'field': 'online', 'a': online, 'b': n1}, {'field': 'eviction_date', 'a': eviction_date, 'b': n2},
     {'field': 'modification_date', 'a': modification_date, 'b': n3}, {'field': 'checksums', 'a': checksums, 'b': n4}], recursive := true)

@@ -54,7 +54,7 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents"), "doc_id")
     base = F.replace(F.regexp_replace(F.col("text"), r"^[^.!?]*[.!?][\s\p{Z}]+", ""), F.lit(" of "), F.lit(" "))
     return d.select(
-        F.col("doc_id").alias("page"), "source",
+        F.col("doc_id").alias("page"), "source", "lang",
         F.concat("text", F.lit(" "), _pick(0)).alias("before"),
         F.concat(base, F.lit(" "), _pick(1)).alias("after"),
     )
@@ -142,7 +142,7 @@ def top_abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = edited(spark, sf_dir).select(
-        "page", (F.col("page") % 23 == 0).alias("over_cap"), "before", _status(F.col("page"), 0).alias("before_status"),
+        "page", (F.col("lang") == "es").alias("over_cap"), "before", _status(F.col("page"), 0).alias("before_status"),
         "after", _status(F.col("page"), 5).alias("after_status"),
     )
     return wd.read_pages(pairs).select("page", "class", "reason")
@@ -192,7 +192,7 @@ def _sql_status(col: str) -> str:
 
 
 _EDITED = f"""
-WITH RECURSIVE edited AS (SELECT doc_id AS page, source, text || ' ' || {_sql_pick(0)} AS before,
+WITH RECURSIVE edited AS (SELECT doc_id AS page, source, lang, text || ' ' || {_sql_pick(0)} AS before,
     replace(regexp_replace(text, '^[^.!?]*[.!?]{q.WS}+', ''), ' of ', ' ') || ' ' || {_sql_pick(1)} AS after FROM documents)
 """
 
@@ -316,7 +316,7 @@ ORACLES = {
         CASE WHEN NOT redact AND v.type <> 'attribution_removed' THEN after END AS after, salience, signals FROM e""",
     "abstentions": _JUDGED + "SELECT * FROM abst",
     "top_abstentions": _JUDGED + """SELECT DISTINCT before_sha256, salience FROM abst ORDER BY salience DESC, before_sha256 LIMIT 40""",
-    "read_pages": _EDITED + f""", g AS (SELECT page, page % 23 = 0 AS over_cap, {q.gate_reason('before', _sql_status('page'))} AS gb,
+    "read_pages": _EDITED + f""", g AS (SELECT page, lang = 'es' AS over_cap, {q.gate_reason('before', _sql_status('page'))} AS gb,
         {q.gate_reason('after', _sql_status('page + 5'))} AS ga FROM edited)
       SELECT page, CASE WHEN NOT over_cap AND gb = 'ok' AND ga = 'ok' THEN 'changed' ELSE 'unverifiable' END AS class,
         CASE WHEN over_cap THEN 'over_nightly_fetch_cap' WHEN gb <> 'ok' THEN 'gate_before_' || gb WHEN ga <> 'ok' THEN 'gate_after_' || ga
