@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from recordlens import vocab as v
 from recordlens.functions import clock
@@ -65,6 +66,7 @@ def register_fold(
 
     No row is made for nights on which a record is merely absent: the night a source lets
     go is the first answered night after the last sight, looked up in the calendar.
+    ``order`` is a number, or a struct whose first field is one (document, feature, ...).
     ``one_per_night`` states that a key occurs at most once a night, which saves the
     segmented lookup; without it, duplicates of a night are folded in feed order.
 
@@ -73,7 +75,7 @@ def register_fold(
     """
     calendar = answered_calendar(observations, answered_nights, source, night)
     rows = observations.select(
-        key, night, F.col(order).cast("long").alias("pos"), source, kind, snapshot, *tracked, *carried
+        key, night, F.col(order).alias("pos"), source, kind, snapshot, *tracked, *carried
     ).join(calendar, [source, night])
     values = [night, "next_answered", *tracked]
     per_key = Window.partitionBy(key).orderBy(night)
@@ -81,7 +83,9 @@ def register_fold(
         rows = rows.withColumn("prev", F.lag(F.struct(*values)).over(per_key))
         rows = rows.withColumn("_next_night", F.lead(night).over(per_key)).withColumn("_last", F.lit(True))
     else:
-        rows = rows.withColumn("_seg", F.floor(F.col("pos") / segment_rows))
+        nested = isinstance(observations.schema[order].dataType, StructType)
+        lead = F.col("pos")[observations.schema[order].dataType[0].name] if nested else F.col("pos")
+        rows = rows.withColumn("_seg", F.floor(lead / segment_rows))
         rows = previous_row(rows, [key], [night, "_seg"], ["pos"], values)
         nights = (
             rows.groupBy(key, night)
@@ -112,7 +116,7 @@ def register_fold(
             F.struct(
                 at.alias(night),
                 F.lit(phase).alias("phase"),
-                F.when(F.lit(phase == 0), F.col("pos")).otherwise(F.lit(0)).alias("pos"),
+                F.when(F.lit(phase == 0), F.col("pos")).alias("pos"),
                 F.lit(step).alias("step"),
                 name.alias("event"),
                 F.when(F.lit(phase == 0), F.col(snapshot)).alias(snapshot),
@@ -261,7 +265,7 @@ def trajectory_class(
     )
     carry = last.filter(F.col("_last_day") != as_of).select(
         key, F.lit(as_of).alias("day"), "to", F.lit(9).alias("phase"),
-        F.lit(0).cast("long").alias("pos"), F.lit(0).alias("step"), F.lit(as_of).alias("_at"),
+        F.lit(None).cast(events.schema["pos"].dataType).alias("pos"), F.lit(0).alias("step"), F.lit(as_of).alias("_at"),
     )
     rows = series.select(key, "day", "to", *EVENT_ORDER, F.col(night).cast("string").alias("_at"))
     rows = rows.unionByName(carry).withColumn("_seg", F.substring("day", 1, 7))

@@ -69,7 +69,8 @@ def verdicts(
     """One verdict per closed record not yet in ``done``.
 
     Alert episodes end as EPISODE_ENDED; forecasts are MATERIALIZED_AS_ALERT when an alert
-    record of the same storm is in the register, else NO_ALERT_MATCH.
+    record of the same storm is in the register, else NO_ALERT_MATCH. A verdict is dated by
+    the closing event it rests on.
     """
     none = F.array().cast("array<string>")
     closed = cold_start_flags(current).filter(F.col("status") != v.OPEN)
@@ -99,6 +100,7 @@ def verdicts(
     return rows.select(
         key,
         verdict.alias("verdict"),
+        F.col("last_event_at").alias("resolved_at"),
         "cold_start",
         "severity_path",
         "escalated",

@@ -11,6 +11,7 @@ _MODULES = (
     "wording_plans",
     "capture_plans",
     "scan_plans",
+    "report_plans",
 )
 
 QUERIES: dict = {}

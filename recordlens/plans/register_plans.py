@@ -265,7 +265,7 @@ ev AS (
     severity, what, place, w_from, w_to, source_ref
   FROM flagged WHERE d_sev OR d_win OR d_what OR d_place
   UNION ALL
-  SELECT id, source, kind, hazard, nxt, 1, 0, 0,
+  SELECT id, source, kind, hazard, nxt, 1, NULL, 0,
     CASE WHEN kind = 'FORECAST' THEN 'DISSIPATED' ELSE 'CLOSED_BY_SOURCE' END, NULL,
     NULL, NULL, NULL, NULL, NULL, NULL, false, severity, what, place, w_from, w_to, source_ref
   FROM flagged WHERE nxt IS NOT NULL AND (n_night IS NULL OR n_night > nxt)),

@@ -63,7 +63,7 @@ def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = feeds.alert_observations(alert_bodies(spark, sf_dir))
     return o.select(
-        "run_date", "id", "pos", "kind", "source", "hazard", "what", "where", F.array_join("iso3", ",").alias("iso3"),
+        "run_date", "id", F.col("pos.doc").alias("doc"), "kind", "source", "hazard", "what", "where", F.array_join("iso3", ",").alias("iso3"),
         "severity", F.col("window.from").alias("window_from"), F.col("window.to").alias("window_to"), "source_ref",
     )
 
@@ -85,7 +85,7 @@ def storm_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(F.struct(F.array(storm).alias("activeStorms"))).alias("body"),
     )
     out = feeds.storm_observations(bodies)
-    return out.select("run_date", "pos", "id", "what", "where", "severity", F.col("window.from").alias("window_from"))
+    return out.select("run_date", F.col("pos.doc").alias("doc"), "id", "what", "where", "severity", F.col("window.from").alias("window_from"))
 
 
 def _vtec(action, office, etn, begin, end, sig="W"):
@@ -415,7 +415,7 @@ ORACLES = {
     "alert_feed": """
       WITH l AS (SELECT *, strftime(l_shipdate, '%Y-%m-%d') AS day, l_orderkey * 10 + l_linenumber AS eid,
         ['EQ','TC','FL','DR','WF','VO','TS'][l_linenumber] AS et FROM lineitem)
-      SELECT day AS run_date, 'gdacs-' || lower(et) || '-' || eid AS id, eid * 10000000 AS pos, 'ALERT_EPISODE' AS kind, 'GDACS' AS source,
+      SELECT day AS run_date, 'gdacs-' || lower(et) || '-' || eid AS id, eid AS doc, 'ALERT_EPISODE' AS kind, 'GDACS' AS source,
         CASE et WHEN 'EQ' THEN 'earthquake' WHEN 'TC' THEN 'tropical cyclone' WHEN 'FL' THEN 'flood' WHEN 'DR' THEN 'drought' ELSE 'wildfire' END AS hazard,
         CASE WHEN l_tax > 0.01 THEN 'Event ' ELSE 'Fallback ' END || l_partkey AS what, 'Land ' || l_suppkey AS "where",
         array_to_string(list_sort(list_distinct(['C' || (l_partkey % 25), 'C' || ((l_partkey + 1) % 25)]
@@ -425,7 +425,7 @@ ORACLES = {
         'https://r.test/' || l_orderkey AS source_ref
       FROM l WHERE l_quantity > 2 AND et IN ('EQ','TC','FL','DR','WF')""",
     "storm_feed": """
-      SELECT strftime(o_orderdate, '%Y-%m-%d') AS run_date, o_orderkey * 10000000 AS pos,
+      SELECT strftime(o_orderdate, '%Y-%m-%d') AS run_date, o_orderkey AS doc,
         'nhc-' || CASE WHEN o_orderstatus = 'F' THEN 'al' || o_orderkey ELSE 'bin' || o_custkey END AS id,
         'Storm' || o_custkey || ' (' || CASE WHEN o_orderpriority = '5-LOW' THEN 'storm' ELSE substr(o_orderpriority, 3, 20) END || ')' AS what,
         CASE WHEN o_orderstatus <> 'P' THEN 'BIN' || o_custkey ELSE '' END AS "where",

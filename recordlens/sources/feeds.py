@@ -65,15 +65,10 @@ def _first_text(*cols) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in cols])
 
 
-# Room per document and per feature when feed order is packed into one number.
-FEATURES_PER_DOC = 10_000_000
-CODES_PER_FEATURE = 1_000
-
-
 def _place(feature, code=None) -> Column:
     """Feed order of a record: document, feature and code position."""
-    at = F.col("doc").cast("bigint") * FEATURES_PER_DOC + feature
-    return at if code is None else at * CODES_PER_FEATURE + code
+    code = F.lit(0) if code is None else code
+    return F.struct(F.col("doc").cast("bigint").alias("doc"), feature.alias("feature"), code.alias("code"))
 
 
 def alert_observations(bodies: DataFrame) -> DataFrame:
