@@ -12,6 +12,7 @@ _MODULES = (
     "capture_plans",
     "scan_plans",
     "report_plans",
+    "audit_plans",
 )
 
 QUERIES: dict = {}
