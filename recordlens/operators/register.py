@@ -56,6 +56,7 @@ def register_fold(
     snapshot: str = "snapshot",
     one_per_night: bool = False,
     segment_rows: int = SEGMENT_ROWS,
+    state: DataFrame | None = None,
 ) -> DataFrame:
     """Fold observations into register events.
 
@@ -69,14 +70,19 @@ def register_fold(
     ``order`` is a number, or a struct whose first field is one (document, feature, ...).
     ``one_per_night`` states that a key occurs at most once a night, which saves the
     segmented lookup; without it, duplicates of a night are folded in feed order.
+    ``state`` (from :func:`advance_state`) continues an earlier fold: its rows stand in for
+    everything before the first of these nights.
 
     Result: key, night, phase (0 feed, 1 closing), pos, step, event, source, kind,
     snapshot, changes, held (tracked values after the event), and the carried columns.
     """
     calendar = answered_calendar(observations, answered_nights, source, night)
     rows = observations.select(
-        key, night, F.col(order).alias("pos"), source, kind, snapshot, *tracked, *carried
+        key, night, F.col(order).alias("pos"), source, kind, snapshot, *tracked, *carried, F.lit(None).cast("string").alias("_was")
     ).join(calendar, [source, night])
+    if state is not None:
+        rows = rows.unionByName(_held_rows(state, calendar, rows, source, night, tracked))
+    held_before = F.col("_was").isNotNull()
     values = [night, "next_answered", *tracked]
     per_key = Window.partitionBy(key).orderBy(night)
     if one_per_night:
@@ -85,25 +91,26 @@ def register_fold(
     else:
         nested = isinstance(observations.schema[order].dataType, StructType)
         lead = F.col("pos")[observations.schema[order].dataType[0].name] if nested else F.col("pos")
-        rows = rows.withColumn("_seg", F.floor(lead / segment_rows))
+        rows = rows.withColumn("_seg", F.coalesce(F.floor(lead / segment_rows), F.lit(-1)))
         rows = previous_row(rows, [key], [night, "_seg"], ["pos"], values)
         nights = (
             rows.groupBy(key, night)
             .agg(F.max("pos").alias("_last_pos"))
             .withColumn("_next_night", F.lead(night).over(per_key))
         )
-        rows = rows.join(nights, [key, night]).withColumn("_last", F.col("pos") == F.col("_last_pos"))
+        rows = rows.join(nights, [key, night]).withColumn("_last", F.col("pos").eqNullSafe(F.col("_last_pos")))
 
     prev = F.col("prev")
-    first = prev.isNull()
+    first = prev.isNull() & ~held_before
     changes = F.when(~first, _change_struct(tracked, prev))
     held = F.struct(*tracked)
-    changed = ~first & ~F.struct(*[F.col(f) for f in tracked]).eqNullSafe(
+    changed = prev.isNotNull() & ~F.struct(*[F.col(f) for f in tracked]).eqNullSafe(
         F.struct(*[prev[f].alias(f) for f in tracked])
     )
-    reappeared = ~first & (prev["next_answered"] < F.col(night))
+    reappeared = prev.isNotNull() & (prev["next_answered"] < F.col(night))
     lets_go = (
         F.col("_last")
+        & (~held_before | (F.col("_was") == v.OPEN))
         & F.col("next_answered").isNotNull()
         & (F.col("_next_night").isNull() | (F.col("_next_night") > F.col("next_answered")))
     )
@@ -137,6 +144,53 @@ def register_fold(
     return exploded.select(key, source, kind, "_e.*", *carried)
 
 
+def _held_rows(state: DataFrame, calendar: DataFrame, like: DataFrame, source: str, night: str, tracked) -> DataFrame:
+    """State rows shaped as observations from before these nights.
+
+    An open record is let go on the first new night its source answers; a closed one has
+    been let go already, so any later sight is a reappearance.
+    """
+    answers = calendar.groupBy(source).agg(F.min(night).alias("_first_answer"))
+    rows = state.join(answers, source, "left")
+    next_answered = F.when(F.col("status") == v.OPEN, F.col("_first_answer")).otherwise(F.col(night))
+    shaped = rows.withColumns({"next_answered": next_answered, "_was": F.col("status")})
+    columns = [
+        F.col(c) if c in shaped.columns else F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns
+    ]
+    return shaped.select(*columns)
+
+
+def advance_state(
+    events: DataFrame, state: DataFrame | None = None, *, key: str = "id", source: str = "source", kind: str = "kind",
+    night: str = "run_date", tracked: tuple[str, ...] = TRACKED, carried: tuple[str, ...] = CARRIED,
+) -> DataFrame:
+    """(key, source, kind, night, status, tracked, carried): what the next fold needs.
+
+    New events are reduced to one row per record, then merged with the earlier state.
+    """
+    at = F.struct(night, *EVENT_ORDER)
+    fixed = (source, kind, *carried)
+    new = events.groupBy(key).agg(
+        F.min_by(F.struct(*fixed), at).alias("_fixed"),
+        F.max_by("held", at).alias("_held"),
+        status_of(F.max_by("event", at)).alias("_status"),
+        F.max(night).alias("_night"),
+    )
+    if state is None:
+        pick = lambda f, fresh: fresh.alias(f)
+        rows = new
+    else:
+        pick = lambda f, fresh: F.coalesce(F.col(f), fresh).alias(f) if f in fixed else F.coalesce(fresh, F.col(f)).alias(f)
+        rows = state.join(new, key, "full")
+    return rows.select(
+        key,
+        *[pick(f, F.col("_fixed")[f]) for f in fixed],
+        pick(night, F.col("_night")),
+        pick("status", F.col("_status")),
+        *[pick(f, F.col("_held")[f]) for f in tracked],
+    )
+
+
 EVENT_ORDER = ("phase", "pos", "step")
 
 

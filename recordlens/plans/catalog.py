@@ -13,6 +13,7 @@ _MODULES = (
     "scan_plans",
     "report_plans",
     "audit_plans",
+    "stream_plans",
 )
 
 QUERIES: dict = {}
