@@ -31,7 +31,7 @@ VTEC = (
 
 def read_documents(spark: SparkSession, path: str, per: str = "file") -> DataFrame:
     """(path, body): one document per file, or one per line for line-delimited feeds."""
-    raw = spark.read.option("wholetext", str(per == "file").lower()).text(path)
+    raw = spark.read.text(path, wholetext=per == "file")
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
 
 
