@@ -51,13 +51,18 @@ def once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def sentences(text: Column) -> Column:
-    """Split after ``.``, ``!`` or ``?`` followed by white space; blanks dropped.
+def sentence_pieces(text: Column) -> Column:
+    """Split after ``.``, ``!`` or ``?`` followed by white space; an empty text gives one blank.
 
     The separator takes all white space, so only the ends of the text need trimming.
     """
     trimmed = F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    return F.filter(F.split(trimmed, r"(?<=[.!?])[\s\p{Z}]+"), lambda s: s != "")
+    return F.split(trimmed, r"(?<=[.!?])[\s\p{Z}]+")
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text, without blanks."""
+    return F.filter(sentence_pieces(text), lambda s: s != "")
 
 
 def word_tokens(text: Column) -> Column:

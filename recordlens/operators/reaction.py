@@ -200,23 +200,44 @@ def attention_entries(
     """Articles, share per 10,000, baseline median and ratio for each record's countries.
 
     ``volume`` is the committed output of :func:`daily_volume`. Records without a mapped
-    country get null, never 0.
+    country get null, never 0. Each country carries its days of the frame as one array, so
+    a country set joins one row per country, not one per country and day.
     """
-    past = volume.filter(F.col("day") <= attention_day)
-    world = past.filter("scope = 'world'").select("day", F.col("articles").alias("world"))
-    countries = past.filter("scope = 'country'")
+    world = volume.filter((F.col("scope") == "world") & (F.col("day") <= attention_day))
+    newest = Window.orderBy(F.col("day").desc())  # one row per committed day
+    frame = world.select("day", (F.row_number().over(newest) - 1).alias("slot"), F.col("articles").alias("world"))
+    frame = frame.filter(F.col("slot") <= rows)
+    slots = F.sequence(F.lit(0), F.lit(rows))
+    by_slot = F.map_from_entries(F.collect_list(F.struct("slot", "articles")))
+    per_country = (
+        volume.filter("scope = 'country'")
+        .join(frame.select("day", "slot"), "day")
+        .groupBy("country")
+        .agg(by_slot.alias("_m"))
+        .select("country", F.transform(slots, lambda i: F.coalesce(F.col("_m")[i], F.lit(0))).alias("days"))
+    )
     sets = records.select("fips").filter(F.size("fips") > 0).distinct()
-    wanted = sets.select("fips", F.lit(attention_day).alias("day"))
-    daily = set_volume(sets, countries)
-    base = trailing_baseline(daily, world, key="fips", rows=rows, wanted=wanted).filter(
-        F.col("day") == attention_day
+    summed = (
+        sets.select("fips", F.explode("fips").alias("country"))
+        .join(per_country, "country", "left")
+        .groupBy("fips")
+        .agg(F.collect_list("days").alias("_l"))  # one array per country of the set
+        .select(
+            "fips",
+            F.transform(slots, lambda i: F.aggregate("_l", F.lit(0).cast("bigint"), lambda acc, d: acc + d[i])).alias("_d"),
+        )
     )
-    entry = base.join(world, "day").select(
-        "fips",
-        "articles",
-        share(F.col("articles") * 10_000, F.col("world"), 1).alias("share_per_10k"),
-        "baseline_median",
-        share(F.col("articles"), F.col("baseline_median"), 2).alias("ratio_to_baseline"),
+    known = frame.agg(F.count_if(F.col("slot") > 0)).scalar()
+    total = frame.agg(F.max(F.when(F.col("day") == attention_day, F.col("world")))).scalar()
+    entry = summed.select(
+        "fips", F.col("_d")[0].alias("articles"), F.slice("_d", F.lit(2), known.cast("int")).alias("_w"), total.alias("_world")
+    )
+    entry = entry.filter("_world IS NOT NULL").select(
+        "fips", "articles", "_world", median_of(F.col("_w")).alias("baseline_median")
+    )
+    entry = entry.select(
+        "fips", "articles", share(F.col("articles") * 10_000, F.col("_world"), 1).alias("share_per_10k"),
+        "baseline_median", share(F.col("articles"), F.col("baseline_median"), 2).alias("ratio_to_baseline"),
     )
     return records.join(entry, "fips", "left")
 

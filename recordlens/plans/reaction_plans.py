@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordlens.functions.rates import rounded, share
 from recordlens.operators import reaction as rx
 from recordlens.plans.tables import day_text, table
+from recordlens.session import written
 
 READING_DAY = "2024-01-30"
 
@@ -18,7 +19,7 @@ def _nation_code(col):
 
 def order_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the nations of their suppliers as country codes."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct()
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", _nation_code("s_nationkey").alias("code"))
     codes = (
         li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
@@ -94,7 +95,7 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rx.plan_totals(order_records(spark, sf_dir), plans(spark, sf_dir), funding(spark, sf_dir))
+    out = rx.plan_totals(written(order_records(spark, sf_dir), "order-records"), plans(spark, sf_dir), funding(spark, sf_dir))
     return out.select(
         "id", "has_plan_match", F.array_join(F.col("plans").cast("array<string>"), ",").alias("plans"),
         "plan_requirements_usd", "plan_funded_usd",
@@ -117,7 +118,7 @@ def crosswalk_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unmapped_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rx.mapped_codes(order_records(spark, sf_dir), crosswalk(spark, sf_dir))
+    out = rx.mapped_codes(written(order_records(spark, sf_dir), "order-records"), crosswalk(spark, sf_dir))
     return out.select(
         "id", F.array_join("fips", ",").alias("fips"), F.array_join("unmapped_iso3", ",").alias("unmapped_iso3")
     )
@@ -137,10 +138,10 @@ def trailing_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nightly_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cur = order_records(spark, sf_dir)
+    cur = written(order_records(spark, sf_dir), "order-records")
     out = rx.nightly_reading(
-        cur, plans(spark, sf_dir), funding(spark, sf_dir), crosswalk(spark, sf_dir), daily_volume(spark, sf_dir),
-        run_date=READING_DAY, attention_day=READING_DAY,
+        cur, plans(spark, sf_dir), funding(spark, sf_dir), crosswalk(spark, sf_dir),
+        written(daily_volume(spark, sf_dir), "volume"), run_date=READING_DAY, attention_day=READING_DAY,
     )
     return out.select(
         "id", F.array_join("iso3", ",").alias("iso3"), F.array_join("fips", ",").alias("fips"),

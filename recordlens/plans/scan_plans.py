@@ -10,7 +10,7 @@ from recordlens.functions import grid
 from recordlens.operators import reaction as rx
 from recordlens.plans import coverage_plans as cvp
 from recordlens.plans.reaction_plans import volume_rows
-from recordlens.plans.tables import day_text, table
+from recordlens.plans.tables import day_text, spread, table
 from recordlens.session import shared_folder
 from recordlens.sources import catalogue, feeds, finance, records
 
@@ -25,7 +25,7 @@ def _null():
 
 def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alert document per line item; every document also carries an unknown hazard."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     line, day = F.col("l_linenumber"), day_text("l_shipdate")
     code = lambda n: F.concat(F.lit("C"), n.cast("string"))
     hazard = F.element_at(F.array(*[F.lit(h) for h in ("EQ", "TC", "FL", "DR", "WF", "VO", "TS")]), line)
@@ -96,7 +96,7 @@ def _vtec(action, office, etn, begin, end, sig="W"):
 
 def warning_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One warning message per event with three codes: a warning, its extension or end, and an advisory."""
-    ev = table(spark, sf_dir, "events")
+    ev = spread(table(spark, sf_dir, "events"), "event_id")
     day = day_text("ts")
     office = F.translate(F.lpad((F.col("user_id") % 100).cast("string"), 3, "0"), "0123456789", "ABCDEFGHIJ")
     etn = F.lpad((F.col("user_id") % 40).cast("string"), 4, "0")
@@ -196,7 +196,7 @@ def crosswalk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a 58-column export written to text files, read back and totalled per day file."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     cells = [F.lit("")] * 58
     cells[31] = F.when(F.col("l_tax") > 0.07, "n/a").otherwise(F.col("l_linenumber").cast("string"))
     cells[33] = F.when(F.col("l_tax") < 0.01, "").otherwise(F.floor("l_quantity").cast("string"))
@@ -329,13 +329,15 @@ def manifest_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier names written as one file each; hash and length of the bytes as they lie there."""
+    """Supplier names written as one file per nation; hash and length of the bytes as they lie there."""
     s = table(spark, sf_dir, "supplier")
     path = shared_folder(spark, "preserved")
-    s.select("s_suppkey", F.col("s_name").alias("value")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    lines = s.select("s_nationkey", "s_suppkey", F.col("s_name").alias("value")).repartition("s_nationkey")
+    lines = lines.sortWithinPartitions("s_nationkey", "s_suppkey").drop("s_suppkey")
+    lines.write.partitionBy("s_nationkey").text(path)
     got = sinks.manifest_of(spark, path)
     return got.select(
-        F.regexp_extract("path", r"s_suppkey=(\d+)", 1).cast("bigint").alias("s_suppkey"), "bytes", "sha256"
+        F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("bigint").alias("s_nationkey"), "bytes", "sha256"
     )
 
 
@@ -480,7 +482,8 @@ ORACLES = {
     "manifest_scan": """
       SELECT strftime(o_orderdate, '%Y-%m-%d') AS run_date, unnest(['a/' || o_orderkey, 'b/' || o_orderkey]) AS file, CAST(200 AS BIGINT) AS http_status,
         sha256(CAST(o_orderkey AS VARCHAR)) AS sha256, CAST(length(CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS bytes FROM orders""",
-    "file_manifest": """SELECT s_suppkey, CAST(length(s_name) + 1 AS BIGINT) AS bytes, sha256(s_name || chr(10)) AS sha256 FROM supplier""",
+    "file_manifest": """SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey, CAST(sum(length(s_name) + 1) AS BIGINT) AS bytes,
+      sha256(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS sha256 FROM supplier GROUP BY s_nationkey""",
     "preserved_once": """SELECT CAST(o_orderkey AS VARCHAR) AS file, sha256(o_orderstatus) AS sha256 FROM orders WHERE o_totalprice <= 200000""",
     "log_scan": """SELECT row_number() OVER (ORDER BY event_id) AS line_no, value < 2 AS unparseable,
       CASE WHEN value >= 2 THEN event_type END AS step, CASE WHEN value >= 2 THEN strftime(ts, '%Y-%m-%d') END AS run_date FROM events""",
