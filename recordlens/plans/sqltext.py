@@ -125,6 +125,6 @@ def page_text(col: str) -> str:
     for tag in v.SKIPPED_TAGS:
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
     out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
-        out = f"replace({out}, '{entity}', '{char}')"
+    for entity, char in (("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&amp;?", "&")):
+        out = f"regexp_replace({out}, '{entity}', '{char}', 'g')"
     return collapse(out)

@@ -297,6 +297,7 @@ QUERIES = {
 
 ORACLES = {
     "page_text_native": f"SELECT page_id, {q.page_text('html')} AS main_text FROM pages",
+    "page_text_exact": f"SELECT page_id, {q.page_text('html')} AS main_text FROM pages",
     "validity_gate": f"""WITH r AS (SELECT doc_id, {q.gate_reason('text', _sql_status('doc_id'))} AS reason FROM documents)
       SELECT doc_id, reason = 'ok' AS valid, reason FROM r""",
     "page_gate": f"""WITH t AS (SELECT page_id, {q.page_text('html')} AS t FROM pages),
