@@ -120,19 +120,19 @@ def mapped_codes(records: DataFrame, crosswalk: DataFrame, *, codes: str = "iso3
 
 
 def daily_volume(rows: DataFrame, *, day: str = "day", country: str = "country") -> DataFrame:
-    """Events, articles and mentions per day and country, in one grouping-sets pass.
+    """Events, articles and mentions per day and country, and the totals of each day.
 
-    scope: 'country', 'unlocated' (blank country) or 'world' (everything of the day).
+    scope: 'country', 'unlocated' (blank country) or 'world' (everything of the day). The
+    rows are reduced per day and country first; the grouping sets expand only that.
     """
     code = F.trim(F.coalesce(F.col(country), F.lit("")))
-    src = rows.withColumn("_code", code).withColumn("_day", F.col(day))
-    out = src.groupingSets(
+    per = rows.groupBy(F.col(day).alias("_day"), code.alias("_code")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum("articles").alias("articles"), F.sum("mentions").alias("mentions")
+    )
+    out = per.groupingSets(
         [[F.col("_day"), F.col("_code")], [F.col("_day")]], F.col("_day"), F.col("_code")
     ).agg(
-        F.count(F.lit(1)).alias("events"),
-        F.sum("articles").alias("articles"),
-        F.sum("mentions").alias("mentions"),
-        F.grouping("_code").alias("_all"),
+        *[F.sum(m).alias(m) for m in ("events", "articles", "mentions")], F.grouping("_code").alias("_all")
     )
     scope = F.when(F.col("_all") == 1, "world").when(F.col("_code") == "", "unlocated").otherwise("country")
     return out.select(

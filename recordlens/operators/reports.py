@@ -115,8 +115,9 @@ def composition(current: DataFrame) -> DataFrame:
     src = current.select(
         F.lower(F.coalesce("source", F.lit("unknown"))).alias("source"), F.col("hazard").alias("hazard")
     )
+    src = src.groupBy("source", "hazard").agg(F.count(F.lit(1)).alias("_n"))
     out = src.groupingSets([[F.col("source")], [F.col("hazard")]], F.col("source"), F.col("hazard")).agg(
-        F.count(F.lit(1)).alias("n"), F.grouping("source").alias("_g")
+        F.sum("_n").alias("n"), F.grouping("source").alias("_g")
     )
     by_hazard = F.col("_g") == 1
     return out.select(
@@ -139,7 +140,8 @@ def severity_splits(current: DataFrame) -> DataFrame:
 
 def severity_cube(current: DataFrame) -> DataFrame:
     """Counts over hazard and severity with all totals."""
-    return current.cube("hazard", "severity").agg(F.count(F.lit(1)).alias("n"))
+    per = current.groupBy("hazard", "severity").agg(F.count(F.lit(1)).alias("_n"))
+    return per.cube("hazard", "severity").agg(F.sum("_n").alias("n"))
 
 
 def state_runs(nights: DataFrame, *, key: str, night: str, state: str) -> DataFrame:

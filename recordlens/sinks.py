@@ -14,28 +14,34 @@ class AlreadyRecorded(RuntimeError):
     """The day is on record; records are only ever added."""
 
 
-def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+def existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None before the first write."""
     try:
         return spark.read.parquet(path)
     except AnalysisException:
         return None
 
 
-def append_once(df: DataFrame, path: str, day: str = "date") -> None:
-    """Append rows partitioned by ``day``; refuse if any of their days is already there."""
-    held = _existing(df.sparkSession, path)
+def refuse_recorded(df: DataFrame, path: str, day: str = "date") -> None:
+    """Raise if any day of ``df`` is on record at ``path``."""
+    held = existing(df.sparkSession, path)
     if held is not None:
         clash = df.select(F.col(day).cast("string").alias(day)).join(
             held.select(F.col(day).cast("string").alias(day)).distinct(), day, "left_semi"
         )
         if not clash.isEmpty():
             raise AlreadyRecorded(f"{path} already holds a day of these rows")
+
+
+def append_once(df: DataFrame, path: str, day: str = "date") -> None:
+    """Append rows partitioned by ``day``; refuse if any of their days is already there."""
+    refuse_recorded(df, path, day)
     df.write.partitionBy(day).mode("append").parquet(path)
 
 
 def append_new(df: DataFrame, path: str, key: str) -> None:
     """Append only rows whose key is not on record yet; held rows are never rewritten."""
-    held = _existing(df.sparkSession, path)
+    held = existing(df.sparkSession, path)
     fresh = df if held is None else df.join(held.select(key), key, "left_anti")
     fresh.write.mode("append").parquet(path)
 
