@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from recordlens.llm import packing, quality, tokens, warc
+from recordlens.llm import jaccard, packing, quality, tokens, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_quality": quality.op2_quality,
     "op3_packing": packing.op3_packing,
     "op5_token_counts": tokens.op5_token_counts,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op10_vector_near_copies": vectors.op10_vector_near_copies,
 }
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op2_quality": quality.OP2_SQL,
+    "op7_jaccard_join": jaccard.OP7_SQL,
+    "op10_vector_near_copies": vectors.OP10_SQL,
 }
