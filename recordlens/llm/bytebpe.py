@@ -5,21 +5,32 @@ a non-space on both sides: a space belongs to the word after it, a line feed sta
 So such places are safe to cut, and the ids of a text are those of its words in turn. A
 text whose white space is irregular (runs, tabs, at an end, other code points) is encoded
 by the library in pieces cut at safe places only.
+
+A new word is merged by tiktoken where the vocabulary file says that ids follow the order
+of merges, as its ranks are then the same; a word that might hold a special token, and any
+word of another vocabulary, goes through the tokenizers library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-#: Any white space that isn't one space or line feed between two non-spaces.
-_IRREGULAR = re.compile(r"[^\S \n]|\s\s|\A\s|\s\Z")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 #: Words remembered by a worker; beyond it the memory starts again.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
+
+
+def byte_letters() -> dict[int, int]:
+    """Byte-level BPE writes each byte as a printable code point: itself, or the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
 
 
 @lru_cache(maxsize=2)
@@ -33,6 +44,24 @@ def tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=2)
+def ranked(path: str):
+    """The vocabulary as a tiktoken encoding, or None if ranks can't stand for its merges."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab = model["vocab"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    special = {t.content for t in tokenizer(path).get_added_tokens_decoder().values()}
+    if model.get("dropout") or any(x >= y for x, y in zip(made, made[1:], strict=False)):
+        return None
+    back = {chr(c): b for b, c in byte_letters().items()}
+    ranks = {bytes(back[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def safe_pieces(text: str, size: int = 1 << 16) -> list[str]:
     """The text cut before single spaces between words, at the first such place after each ``size`` characters."""
     out, at = [], 0
@@ -43,40 +72,54 @@ def safe_pieces(text: str, size: int = 1 << 16) -> list[str]:
     return out
 
 
+def units(text: str) -> list[str] | None:
+    """The words of a text, a line feed kept before the word it precedes; None if its white space is irregular."""
+    if " ".join(text.split()) != text.replace("\n", " "):
+        return None
+    return text.replace("\n", " \n").split(" ")
+
+
 class WordMemory:
     """Values of words (token counts or id bytes) for whole texts, computed once per word."""
 
-    def __init__(self, path: str, value):
-        self.tok, self.value = tokenizer(path), value
+    def __init__(self, path: str, value: Callable[[list[int]], object]):
+        self.tok, self.value, self.ranked = tokenizer(path), value, ranked(path)
+        self.special = sorted(t.content for t in self.tok.get_added_tokens_decoder().values())
         self.inner: dict[str, object] = {}  # "word" stands for " word"; "\nword" for itself
         self.first: dict[str, object] = {}
 
-    def _learn(self, words: set[str], into: dict, prefix: str) -> None:
-        words = sorted(words)
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            texts = [w if w[:1] == "\n" else prefix + w for w in part]
-            for w, e in zip(part, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                into[w] = self.value(e.ids)
+    def ids(self, unit: str) -> list[int]:
+        if self.ranked and not any(x in unit for x in self.special):
+            return self.ranked.encode_ordinary(unit)
+        return self.tok.encode_batch_fast([unit], add_special_tokens=False)[0].ids
 
     def of(self, texts: list[str]) -> list[list]:
         """For each text the values of its units, in order."""
-        split = [None if not t or _IRREGULAR.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         if len(self.inner) + len(self.first) > REMEMBERED:
             self.inner.clear()
             self.first.clear()
-        self._learn({w[0] for w in split if w and w[0] not in self.first}, self.first, "")
-        inner = self.inner
-        self._learn({x for w in split if w for x in w[1:] if x not in inner}, inner, " ")
-        get = inner.__getitem__
-        out = []
-        for t, w in zip(texts, split, strict=True):
-            if w:
-                out.append([self.first[w[0]], *map(get, w[1:])])
-            elif t:
-                out.append([self.value(e.ids) for e in self.tok.encode_batch_fast(safe_pieces(t), add_special_tokens=False)])
-            else:
+        inner, first, value, out = self.inner, self.first, self.value, []
+        for t in texts:
+            words = units(t) if t else []
+            if words is None:
+                out.append([value(e.ids) for e in self.tok.encode_batch_fast(safe_pieces(t), add_special_tokens=False)])
+                continue
+            if not words:
                 out.append([])
+                continue
+            found = list(map(inner.get, words))
+            found[0] = first.get(words[0])
+            if None in found:
+                for i, v in enumerate(found):
+                    if v is None:
+                        w = words[i]
+                        if not i:
+                            found[0] = first[w] = value(self.ids(w))
+                        elif (v := inner.get(w)) is None:
+                            found[i] = inner[w] = value(self.ids(w if w[0] == "\n" else " " + w))
+                        else:
+                            found[i] = v
+            out.append(found)
         return out
 
 

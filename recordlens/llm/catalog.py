@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from recordlens.llm import jaccard, packing, quality, tokens, vectors, warc
+from recordlens.llm import jaccard, language, packing, quality, tokens, urls, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_quality": quality.op2_quality,
     "op3_packing": packing.op3_packing,
+    "op4_url_filter": urls.op4_url_filter,
     "op5_token_counts": tokens.op5_token_counts,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op9_language": language.op9_language,
     "op10_vector_near_copies": vectors.op10_vector_near_copies,
 }
 
@@ -17,5 +19,6 @@ ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op2_quality": quality.OP2_SQL,
     "op7_jaccard_join": jaccard.OP7_SQL,
+    "op9_language": language.op9_language,
     "op10_vector_near_copies": vectors.OP10_SQL,
 }
