@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Longer words are scored in stretches of this many characters.
 LONGEST = 24
 
@@ -31,8 +31,32 @@ class Pieces:
                 for c in p:
                     h = h * _BASE + np.uint64(ord(c) + 1)
                 hashes[i] = h
-        order = np.argsort(hashes)
-        self.hashes, self.number = hashes[order], order.astype(np.int32)
+        # An open table, loaded to an eighth at most; a probe goes on until an empty place.
+        self.bits = max(10, (8 * len(pieces) + 1).bit_length())
+        self.keys, self.values = np.zeros(1 << self.bits, dtype=np.uint64), np.full(1 << self.bits, -1, dtype=np.int32)
+        for i, (h, at) in enumerate(zip(hashes, self.places(hashes).tolist(), strict=True)):
+            while self.values[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.keys[at], self.values[at] = h, i
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((hashes * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Piece numbers of hashes, -1 for none."""
+        at = self.places(hashes)
+        out = np.where(self.keys[at] == hashes, self.values[at], -1)
+        going = np.nonzero((out < 0) & (self.values[at] >= 0))
+        while len(going[0]):
+            at[going] = (at[going] + 1) & ((1 << self.bits) - 1)
+            place = at[going]
+            value = self.values[place]
+            hit = (value >= 0) & (self.keys[place] == hashes[going])
+            out[going] = np.where(hit, value, -1)
+            more = (value >= 0) & ~hit
+            going = tuple(g[more] for g in going)
+        return out
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Lengths, and for each piece length k the piece number at (word, start), -1 for none."""
@@ -46,8 +70,9 @@ class Pieces:
                 h[:, t + 1] = h[:, t] * _BASE + flat[:, t] + np.uint64(1)
             for k in range(1, min(self.longest, width) + 1):
                 sub = h[:, k:] - h[:, :-k] * self.powers[k]
-                at = np.minimum(np.searchsorted(self.hashes, sub), len(self.hashes) - 1)
-                ids = np.where(self.hashes[at] == sub, self.number[at], self.unknown if k == 1 else -1).astype(np.int32)
+                ids = self.numbers(sub)
+                if k == 1:
+                    ids[ids < 0] = self.unknown
                 ids[np.arange(width - k + 1)[None, :] + k > size[:, None]] = -1
                 found.append(ids)
         return size, found
