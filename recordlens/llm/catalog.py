@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordlens.llm import jaccard, language, packing, quality, tokens, urls, vectors, warc
+from recordlens.llm import jaccard, language, packing, pieces, pseudo, quality, tokens, urls, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_url_filter": urls.op4_url_filter,
     "op5_token_counts": tokens.op5_token_counts,
+    "op6_pseudo_likelihood": pseudo.op6_pseudo_likelihood,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op8_sampled_pieces": pieces.op8_sampled_pieces,
     "op9_language": language.op9_language,
     "op10_vector_near_copies": vectors.op10_vector_near_copies,
 }
@@ -19,6 +21,7 @@ ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op2_quality": quality.OP2_SQL,
     "op7_jaccard_join": jaccard.OP7_SQL,
+    "op8_sampled_pieces": pieces.op8_sampled_pieces,
     "op9_language": language.op9_language,
     "op10_vector_near_copies": vectors.OP10_SQL,
 }
