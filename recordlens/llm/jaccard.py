@@ -15,9 +15,12 @@ others below it in either set: it is among the k + 1 signed by both. Empty parts
 parts of boilerplate come last and are signed only where nothing else is left.
 
 Sets enter the join once, whatever their copies. Sets that share a signature are compared
-with the best-connected of them; components of the links found leave only sets that share
-a signature but no component, and of these every pair not yet compared is compared. So no
-link between components is missed, and no group of near copies is expanded into pairs.
+with the best-connected of them, and the links found give components. What is left are
+sets that share a signature but no component. These are signed again by much finer parts,
+where sets that are alike in common elements only don't meet, and compared with the best
+connected in the same way. Of sets that then share a signature and no component, every
+pair not yet compared is compared. So no link between components is missed, and no group
+of near copies is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +38,9 @@ from recordlens.session import written
 
 #: Least size of the first band; every further band starts at twice the size.
 BAND = 4
+#: Parts, in percent of the differences to survive: first coarse (parts of several elements
+#: each), then fine (of one mostly) for the sets that are left.
+COARSE, FINE = 115, 3000
 #: Counters for common shingles, and how many of them are held to be common at most.
 COUNTERS, COMMON = 1 << 20, 1 << 16
 #: Copies of one set that a task signs once, while it remembers this many sets.
@@ -45,10 +51,10 @@ def band(size: int) -> int:
     return (size // BAND).bit_length() - 1
 
 
-def parts_of(i: int) -> int:
-    """Parts in band i: the most a linked pair can differ in, and some more."""
+def parts_of(i: int, percent: int) -> int:
+    """Parts in band i: ``percent`` of the most a linked pair can differ in, and some more."""
     most = 2 * (BAND * 2 ** (i + 1) - 1) // 9
-    return -(-115 * (most + 1) // 100) + 2
+    return -(-percent * (most + 1) // 100) + 2
 
 
 def instances(size: int) -> list[tuple[int, int]]:
@@ -60,11 +66,11 @@ def instances(size: int) -> list[tuple[int, int]]:
     return own + ([(i + 1, (size + reach) // 9)] if reach >= BAND * 2 ** (i + 1) else [])
 
 
-def signatures(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
+def signatures(elements: np.ndarray, common: np.ndarray, percent: int = COARSE) -> np.ndarray:
     """The signatures of a sorted set of 64-bit elements; common: sorted numbers of counters."""
     out = []
     for i, k in instances(len(elements)):
-        n = parts_of(i)
+        n = parts_of(i, percent)
         part = ((mixed(elements ^ MIX[3]) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
         sums = np.zeros(n, dtype=np.uint64)
         np.add.at(sums, part, mixed(elements + MIX[1]))
@@ -184,16 +190,62 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(make, "key long, elements array<long>").dropDuplicates(["key"])
 
 
-def linked(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, size: int, least: int = 80) -> DataFrame:
+def signed_sets(sets: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """(sig, key): signatures of (key, elements)."""
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs, keys = [], []
+            with np.errstate(over="ignore"):
+                for key, x in zip(batch.column("key").to_pylist(), batch.column("elements"), strict=True):
+                    sigs.append(signatures(x.values.to_numpy().view(np.uint64), sent.value, percent))
+                    keys.append(np.full(len(sigs[-1]), key))
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys).astype(np.int64))], names=["sig", "key"])
+
+    return sets.select("key", "elements").mapInArrow(sign, "sig long, key long")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, least: int = 80) -> DataFrame:
     """The pairs (a, b) of keys whose sets are similar enough."""
-    pairs = written(pairs, "pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = written(sets_of(docs, firsts.join(keys, "key", "left_semi").select("key", "doc_id"), size), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
+    x = sets.select(F.col("key").alias("a"), F.col("elements").alias("x"))
+    y = sets.select(F.col("key").alias("b"), F.col("elements").alias("y"))
+    both = pairs.join(x, "a").join(y, "b")
     common = both.select("a", "b", (F.size("x") + F.size("y")).alias("total"), F.size(F.array_intersect("x", "y")).alias("common"))
     return common.filter(100 * F.col("common") >= least * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def stars(together: DataFrame) -> DataFrame:
+    """(sig, key, centre): each signature's sets and the one among them that shares most."""
+    counts = written(together.groupBy("sig").agg(F.count("*").alias("m")), "signature-counts")
+    ties = written(together.join(counts, "sig").groupBy("key").agg(F.sum("m").alias("ties")), "ties")
+    ranked = written(together.join(ties, "key"), "ranked-signatures")
+    centres = written(ranked.groupBy("sig").agg(F.max_by("key", F.struct("ties", "key")).alias("centre")), "centres")
+    return written(ranked.join(centres, "sig").filter(F.col("key") != F.col("centre")).select("sig", "key", "centre"), "stars")
+
+
+def still_open(starred: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, key, component) of signatures whose sets, the centre apart, are in several components.
+
+    The centre has been compared with every other set of the signature.
+    """
+    to = labels.select(F.col("node").alias("key"), "component")
+    placed = written(starred.select("sig", "key").join(to, "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component")), "placed")
+    several = written(placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig"), "open-signatures")
+    return written(placed.join(several, "sig"), "open-rows")
+
+
+def _star_pairs(starred: DataFrame) -> DataFrame:
+    return starred.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+
+
+def _fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs whose sizes allow a link."""
+    p = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    return p.filter(100 * F.least("na", "nb") >= 80 * F.greatest("na", "nb")).select("a", "b")
+
+
 def jaccard_components(documents: DataFrame, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id): components of documents by similar shingle sets.
 
@@ -212,26 +264,27 @@ def jaccard_components(documents: DataFrame, size: int = 5) -> DataFrame:
     firsts = written(rows.filter(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "first-of-set")
 
     together = written(shared(signed(docs, size, common)), "shared-signatures")
-    counts = written(together.groupBy("sig").agg(F.count("*").alias("m")), "signature-counts")
-    ties = written(together.join(counts, "sig").groupBy("key").agg(F.sum("m").alias("ties")), "ties")
-    ranked = written(together.join(ties, "key"), "ranked-signatures")
-    centres = written(ranked.groupBy("sig").agg(F.max_by("key", F.struct("ties", "key")).alias("centre")), "centres")
-    stars = written(ranked.join(centres, "sig").filter(F.col("key") != F.col("centre")).select("sig", "key", "centre"), "stars")
+    wanted = together.select("key").distinct()
+    sets = written(sets_of(docs, firsts.join(wanted, "key", "left_semi").select("key", "doc_id"), size), "sets")
     sizes = firsts.select("key", "n")
-    pair = F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")
-    first = written(linked(_fitting(stars.select(*pair).distinct(), sizes), docs, firsts, size), "links")
-    labels = connected_components(first)
+    starred = stars(together)
+    links = written(linked(_fitting(_star_pairs(starred), sizes), sets), "links")
+    labels = connected_components(links)
 
-    # Sets that share a signature and no component; a centre has been compared with all of them.
+    left = still_open(starred, labels).select("key").distinct()
+    fine = stars(written(shared(signed_sets(sets.join(left, "key", "left_semi"), common, FINE)), "fine-signatures"))
     to = labels.select(F.col("node").alias("key"), "component")
-    placed = written(stars.select("sig", "key").join(to, "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component")), "placed")
-    open_sigs = written(placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig"), "open-signatures")
-    rest = written(placed.join(open_sigs, "sig"), "open-rows")
+    places = sizes.select("key").join(to, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
+    apart = _star_pairs(fine).join(places.toDF("a", "ca"), "a").join(places.toDF("b", "cb"), "b").filter("ca <> cb").select("a", "b")
+    links = written(links.union(linked(_fitting(apart, sizes), sets)), "links")
+    labels = connected_components(links)
+
+    rest = still_open(fine, labels)
     x, y = rest.toDF("sig", "a", "ca"), rest.toDF("sig", "b", "cb")
     apart = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    again = written(linked(_fitting(apart, sizes), docs, firsts, size), "links")
+    again = written(linked(_fitting(apart, sizes), sets), "links")
     if not again.isEmpty():
-        labels = connected_components(first.union(again))
+        labels = connected_components(links.union(again))
 
     heads = firsts.join(labels.select(F.col("node").alias("key"), "component"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     heads = written(heads, "set-components")
@@ -240,12 +293,6 @@ def jaccard_components(documents: DataFrame, size: int = 5) -> DataFrame:
     return rows.join(named_heads, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _fitting(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    p = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    return p.filter(100 * F.least("na", "nb") >= 80 * F.greatest("na", "nb")).select("a", "b")
-
-
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's set size and the component it belongs to."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -254,11 +301,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first_of_component(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id stays.
 
-    Rows that repeat that document stay once; rows without an id stay.
+    Rows that repeat its id and text stay once; rows without an id stay.
     """
     del spark, sf_dir
     firsts = written(jaccard_components(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "kept-documents")
-    named = docs.filter(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.filter(F.col("doc_id").isNotNull()).join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
 
 
