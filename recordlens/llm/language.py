@@ -77,7 +77,7 @@ def fit(docs: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS, fit_
     return Model(tuple(sorted(counts)), np.hstack(columns))
 
 
-def predicted(docs: DataFrame, model: Model, keep: list[str], path: str | None = None) -> DataFrame:
+def predicted(docs: DataFrame, model: Model, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """The columns ``keep`` of docs, with lang_pred and score: the posterior under equal priors.
 
     A text that is null or without a letter, and any text when no language was learned, is
@@ -95,8 +95,8 @@ def predicted(docs: DataFrame, model: Model, keep: list[str], path: str | None =
         number: dict[str, int] = {}
         logs, used = np.zeros((1 << 16, len(languages))), 0
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
-                texts = [_WORD.findall(t.lower()) if t else [] for t in piece.column("text").to_pylist()]
+            for piece in slices(batch, text, 4 << 20):
+                texts = [_WORD.findall(t.lower()) if t else [] for t in piece.column(text).to_pylist()]
                 if len(number) > REMEMBERED:
                     number, used = {}, 0
                 new = list({w for words in texts for w in words if w not in number}) if languages else []
@@ -120,7 +120,7 @@ def predicted(docs: DataFrame, model: Model, keep: list[str], path: str | None =
                     langs.append(languages[best]), scores.append(float(1 / np.exp(total - total[best]).sum()))
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([rows.schema[c] for c in keep]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
     return rows.mapInArrow(predict, schema)
 
@@ -134,5 +134,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_unclear_language(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
     """Pipeline stage: documents whose language is found with at least ``least`` stay."""
     del spark, sf_dir
-    judged = predicted(docs, fit(docs), docs.columns)
-    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # documents may have columns of any name
+    judged = predicted(docs.toDF(*names), fit(docs), names, names[docs.columns.index("text")])
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*names).toDF(*docs.columns)

@@ -162,11 +162,14 @@ def fill_windows(tails: DataFrame, idf: np.ndarray, mean: float, window: int, ki
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
 
         held: list[list] = []
+        new = 0
         for batch in batches:
             for u in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True):
                 held.append([u[0], u[1], np.frombuffer(u[2], kind), u[3]])
-                if len(held) >= shard:
+                new += 1
+                if new == shard:
                     done, held = _Shard(held, sent.value, mean, query_terms).fill(window)
+                    new = 0
                     yield rows(done)
         if held:
             done, rest = _Shard(held, sent.value, mean, query_terms).fill(window)

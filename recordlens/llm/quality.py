@@ -33,59 +33,68 @@ def mask(policy: str) -> int:
     return sum(1 << RULES.index(r) for r in POLICIES[policy])
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _covered(positions: Column, width: int) -> Column:
     """Words covered by windows of ``width`` words that start at the sorted positions."""
-    n = F.size(positions)
     return F.aggregate(
-        F.sequence(F.lit(1), n),
-        F.lit(0).cast("long"),
-        lambda acc, i: acc + F.when(i == n, F.lit(width)).otherwise(F.least(F.lit(width), F.get(positions, i) - F.get(positions, i - 1))).cast("long"),
+        F.sequence(F.lit(0), F.size(positions) - 1),
+        F.lit(0),
+        lambda acc, i: acc + F.coalesce(F.least(F.lit(width), F.get(positions, i + 1) - F.get(positions, i)), F.lit(width)),
     )
 
 
+def _recurring(pairs: Column) -> Column:
+    """The sorted i of structs (v, i), sorted, whose v a neighbour has too."""
+    same = lambda i, j: F.coalesce(F.get(pairs, i)["v"] == F.get(pairs, j)["v"], F.lit(False))
+    marked = F.transform(pairs, lambda p, k: F.when(same(k, k - 1) | same(k, k + 1), p["i"]))
+    return F.sort_array(F.filter(marked, lambda i: i.isNotNull()))
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in windows met twice or more.
+
+    Windows are found by a 64-bit hash; only those whose hash recurs are compared as
+    words, so the count is exact.
+    """
+    window = lambda i: F.slice(words, i + 1, F.lit(WINDOW))
+    starts = F.when(F.size(words) > WINDOW, F.sequence(F.lit(0), F.size(words) - WINDOW)).otherwise(F.array().cast("array<int>"))
+
+    def spelt(likely: Column) -> Column:
+        texts = F.sort_array(F.transform(likely, lambda i: F.struct(F.array_join(window(i), " ").alias("v"), i.alias("i"))))
+        return _let(_let(texts, _recurring), lambda found: F.when(F.size(found) > 0, _covered(found, WINDOW)).otherwise(0))
+
+    def likely(hashes: Column) -> Column:
+        pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("v"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _let(_let(pairs, _recurring), spelt)).otherwise(0)
+
+    return _let(F.transform(starts, lambda i: F.xxhash64(window(i))), likely)
+
+
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines.
 
-    A null text has no words, lines or symbols (all zero). Windows are found by a 64-bit
-    hash first; only those whose hash recurs are compared as words, so the count is exact.
-    Everything happens in the document's own row: no shuffle, whatever the copies.
+    A null text has no words, lines or symbols (all zero). Everything happens in the
+    document's own row: no shuffle, whatever the copies. The measurements come from one
+    generated row, so a filter on them is never copied below their computation.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, SPACE), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.regexp_replace(x, SPACE, "") != "")
-    df = docs.withColumn("_words", words).withColumn("_lines", lines).withColumn("_n", F.size("_words"))
-    starts = F.when(F.col("_n") > WINDOW, F.sequence(F.lit(0), F.col("_n") - WINDOW)).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_hash", F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i + 1, F.lit(WINDOW)))))
-    df = df.withColumn("_again", F.size(F.array_distinct("_hash")) < F.size("_hash"))
-    # Positions whose hash is met again, in order of hash: neighbours tell.
-    pairs = F.sort_array(F.transform("_hash", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("_pairs", F.when(F.col("_again"), pairs).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    same = lambda i, j: F.get("_pairs", i)["h"] == F.get("_pairs", j)["h"]
-    likely = F.filter(
-        F.transform("_pairs", lambda p, k: F.when(F.coalesce(same(k, k - 1), F.lit(False)) | F.coalesce(same(k, k + 1), F.lit(False)), p["i"])),
-        lambda i: i.isNotNull(),
-    )
-    df = df.withColumn("_likely", likely)
-    # The same windows as words; sorting puts equal ones side by side.
-    spelt = F.sort_array(F.transform("_likely", lambda i: F.struct(F.array_join(F.slice("_words", i + 1, F.lit(WINDOW)), " ").alias("s"), i.alias("i"))))
-    df = df.withColumn("_spelt", spelt)
-    equal = lambda i, j: F.get("_spelt", i)["s"] == F.get("_spelt", j)["s"]
-    found = F.sort_array(
-        F.filter(
-            F.transform("_spelt", lambda p, k: F.when(F.coalesce(equal(k, k - 1), F.lit(False)) | F.coalesce(equal(k, k + 1), F.lit(False)), p["i"])),
-            lambda i: i.isNotNull(),
-        )
-    )
-    df = df.withColumn("_found", found)
-    return df.select(
-        *docs.columns,
-        F.col("_n").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_found") > 0, _covered(F.col("_found"), WINDOW)).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-    )
+    by_word = _let(words, lambda w: F.struct(F.size(w).alias("n"), F.char_length(F.array_join(w, "")).alias("chars"), _repeat_words(w).alias("repeat")))
+    by_line = _let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
+    symbols = F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))
+    found = _let(
+        F.struct(by_word.alias("w"), by_line.alias("x")),
+        lambda v: F.struct(
+            v["w"]["n"].cast("long").alias("n_words"), v["w"]["chars"].cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"),
+            v["x"]["dup"].cast("long").alias("n_dup_lines"), v["w"]["repeat"].cast("long").alias("n_repeat_words"), v["x"]["n"].cast("long").alias("n_lines"),
+        ),
+    )
+    return docs.select("*", F.inline(F.array(found)))
 
 
 def _conditions() -> dict[str, Column]:
@@ -105,7 +114,7 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Every column of ``docs`` stays; columns named like a measurement are replaced.
     """
-    names = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "failed", "_words", "_lines", "_n", "_hash", "_again", "_pairs", "_likely", "_spelt", "_found"}
+    names = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "failed"}
     docs = docs.drop(*(names & set(docs.columns) - {text}))
     rules = _conditions()
     bits = [F.when(rules[r], F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)]
@@ -149,8 +158,8 @@ def op2_quality(spark: SparkSession, sf_dir: str, policy: str = "v2") -> DataFra
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, policy: str = "v2") -> DataFrame:
     """Pipeline stage: documents that the policy keeps, with their own columns."""
     del spark, sf_dir
-    kept = judged(ledger(docs), policy).filter("kept")
-    return kept.select(*docs.columns)
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), "text")
+    return judged(ledger(whole), policy).filter("kept").select("doc.*")
 
 
 OP2_SQL = """

@@ -78,7 +78,7 @@ def features(hosts: list[bytes], paths: list[bytes]) -> tuple[np.ndarray, np.nda
     with np.errstate(over="ignore"):
         for kind, texts in enumerate((hosts, paths)):
             joined = np.frombuffer(b"".join(b"\x02" + t + b"\x03" for t in texts), dtype=np.uint8).astype(np.uint64)
-            ends = np.cumsum([len(t) + 2 for t in texts])
+            ends = np.cumsum(np.array([len(t) + 2 for t in texts], dtype=np.int64))
             owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))
             for n in LENGTHS:
                 if len(joined) < n:
