@@ -15,11 +15,12 @@ others below it in either set: it is among the k + 1 signed by both. Empty parts
 parts of boilerplate come last and are signed only where nothing else is left.
 
 Sets enter the join once, whatever their copies. Sets that share a signature are compared
-with the best-connected of them, and the links found give components. What is left are
-sets that share a signature but no component. These are signed again by much finer parts,
-where sets that are alike in common elements only don't meet, and compared with the best
-connected in the same way. Of sets that then share a signature and no component, every
-pair not yet compared is compared. So no link between components is missed, and no group
+with the best-connected of them, their centre; the links found give components. Of sets
+that share a signature and no component, a linked pair x, y with common centre c must
+have enough in common: either x and y each have so much in common with c that this alone
+could do, or they share elements outside c. The first are compared, if one of them lies
+outside c's component; the others meet by the first elements of what they have outside c,
+as many as must hold a shared one. So no link between components is missed, and no group
 of near copies is expanded into pairs.
 """
 
@@ -38,9 +39,8 @@ from recordlens.session import written
 
 #: Least size of the first band; every further band starts at twice the size.
 BAND = 4
-#: Parts, in percent of the differences to survive: first coarse (parts of several elements
-#: each), then fine (of one mostly) for the sets that are left.
-COARSE, FINE = 115, 3000
+#: Parts, in percent of the differences to survive.
+PARTS = 115
 #: Counters for common shingles, and how many of them are held to be common at most.
 COUNTERS, COMMON = 1 << 20, 1 << 16
 #: Copies of one set that a task signs once, while it remembers this many sets.
@@ -51,10 +51,10 @@ def band(size: int) -> int:
     return (size // BAND).bit_length() - 1
 
 
-def parts_of(i: int, percent: int) -> int:
-    """Parts in band i: ``percent`` of the most a linked pair can differ in, and some more."""
+def parts_of(i: int) -> int:
+    """Parts in band i: more than a linked pair can differ in."""
     most = 2 * (BAND * 2 ** (i + 1) - 1) // 9
-    return -(-percent * (most + 1) // 100) + 2
+    return -(-PARTS * (most + 1) // 100) + 2
 
 
 def instances(size: int) -> list[tuple[int, int]]:
@@ -66,19 +66,22 @@ def instances(size: int) -> list[tuple[int, int]]:
     return own + ([(i + 1, (size + reach) // 9)] if reach >= BAND * 2 ** (i + 1) else [])
 
 
-def signatures(elements: np.ndarray, common: np.ndarray, percent: int = COARSE) -> np.ndarray:
+def is_rare(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which elements are not counted by a common counter."""
+    if not len(common):
+        return np.ones(len(elements), dtype=bool)
+    counter = (elements & np.uint64(COUNTERS - 1)).astype(np.int64)
+    return common[np.minimum(np.searchsorted(common, counter), len(common) - 1)] != counter
+
+
+def signatures(elements: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The signatures of a sorted set of 64-bit elements; common: sorted numbers of counters."""
-    out = []
+    out, rare = [], is_rare(elements, common)
     for i, k in instances(len(elements)):
-        n = parts_of(i, percent)
+        n = parts_of(i)
         part = ((mixed(elements ^ MIX[3]) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
         sums = np.zeros(n, dtype=np.uint64)
         np.add.at(sums, part, mixed(elements + MIX[1]))
-        counter = (elements & np.uint64(COUNTERS - 1)).astype(np.int64)
-        rare = np.ones(len(elements), dtype=bool)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, counter), len(common) - 1)
-            rare = common[at] != counter
         weight = np.bincount(part[rare], minlength=n)
         best = np.lexsort((np.arange(n), weight))[n - k - 1 :]
         out.append(mixed(sums[best] + mixed(best.astype(np.uint64) + (np.uint64(i + 1) << np.uint64(32)))))
@@ -190,23 +193,6 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(make, "key long, elements array<long>").dropDuplicates(["key"])
 
 
-def signed_sets(sets: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """(sig, key): signatures of (key, elements)."""
-    sent = sets.sparkSession.sparkContext.broadcast(common)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs, keys = [], []
-            with np.errstate(over="ignore"):
-                for key, x in zip(batch.column("key").to_pylist(), batch.column("elements"), strict=True):
-                    sigs.append(signatures(x.values.to_numpy().view(np.uint64), sent.value, percent))
-                    keys.append(np.full(len(sigs[-1]), key))
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys).astype(np.int64))], names=["sig", "key"])
-
-    return sets.select("key", "elements").mapInArrow(sign, "sig long, key long")
-
-
 def linked(pairs: DataFrame, sets: DataFrame, least: int = 80) -> DataFrame:
     """The pairs (a, b) of keys whose sets are similar enough."""
     x = sets.select(F.col("key").alias("a"), F.col("elements").alias("x"))
@@ -226,14 +212,64 @@ def stars(together: DataFrame) -> DataFrame:
 
 
 def still_open(starred: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, key, component) of signatures whose sets, the centre apart, are in several components.
+    """(key, centre, component, centre_component) of sets whose signature is in several components.
 
-    The centre has been compared with every other set of the signature.
+    A centre has been compared with every other set of its signatures, so only the others
+    count.
     """
     to = labels.select(F.col("node").alias("key"), "component")
-    placed = written(starred.select("sig", "key").join(to, "key", "left").select("sig", "key", F.coalesce("component", "key").alias("component")), "placed")
+    placed = written(starred.join(to, "key", "left").select("sig", "key", "centre", F.coalesce("component", "key").alias("component")), "placed")
     several = written(placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig"), "open-signatures")
-    return written(placed.join(several, "sig"), "open-rows")
+    rows = placed.join(several, "sig").select("key", "centre", "component").distinct()
+    of_centre = labels.toDF("centre", "centre_component")
+    return written(rows.join(of_centre, "centre", "left").select("key", "centre", "component", F.coalesce("centre_component", "centre").alias("centre_component")), "open-rows")
+
+
+def around_centres(rows: DataFrame, sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """(centre, element, key, component, centre_component, n, shared): what open sets have outside their centre.
+
+    ``shared`` counts the elements of the n that the centre has too. A partner y of x has
+    80 percent of x's size or more, so the pair needs 0.8 n elements in common or more; if
+    x shares fewer with the centre, the rest lies outside it, and x's elements there, less
+    as many as are needed but one, hold one of y's. Rare elements come first. A set that
+    shares enough has a row without element too.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(common)
+    x = sets.select("key", F.col("elements").alias("x"))
+    c = sets.select(F.col("key").alias("centre"), F.col("elements").alias("c"))
+    names = ["centre", "element", "key", "component", "centre_component", "n", "shared"]
+
+    def outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list] = [[] for _ in names]
+            ids = [batch.column(k).to_pylist() for k in ("centre", "key", "component", "centre_component")]
+            for centre, key, component, of_centre, own, middle in zip(*ids, batch.column("x"), batch.column("c"), strict=True):
+                own, middle = own.values.to_numpy().view(np.uint64), middle.values.to_numpy().view(np.uint64)
+                outer = np.setdiff1d(own, middle, assume_unique=True)
+                n, shared = len(own), len(own) - len(outer)
+                needed = max(1, -(-n * 80 // 100) - shared)
+                outer = outer[np.lexsort((outer, ~is_rare(outer, sent.value)))][: max(0, len(outer) - needed + 1)]
+                elements = [*outer.view(np.int64).tolist(), *([None] if 100 * shared >= 80 * n else [])]
+                for column, value in zip(found, (centre, None, key, component, of_centre, n, shared), strict=True):
+                    column.extend([value] * len(elements))
+                found[1][len(found[1]) - len(elements) :] = elements
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=names)
+
+    both = rows.join(x, "key").join(c, "centre").select("centre", "key", "component", "centre_component", "x", "c")
+    return both.mapInArrow(outside, ", ".join(f"{k} long" for k in names))
+
+
+def pairs_around(outer: DataFrame) -> DataFrame:
+    """(a, b): the pairs of open sets that could be linked, see ``around_centres``."""
+    x, y = (outer.select("centre", "element", "centre_component", *(F.col(k).alias(f"{k}_{s}") for k in ("key", "component", "n", "shared"))) for s in "xy")
+    apart = (F.col("key_x") < F.col("key_y")) & (F.col("component_x") != F.col("component_y"))
+    fits = 100 * F.least("n_x", "n_y") >= 80 * F.greatest("n_x", "n_y")
+    meet = x.filter("element is not null").join(y.filter("element is not null").drop("centre_component"), ["centre", "element"]).filter(apart & fits)
+    close = x.filter("element is null and component_x <> centre_component").join(y.filter("element is null").drop("centre_component", "element"), "centre")
+    enough = 9 * F.least("shared_x", "shared_y") >= 4 * (F.col("n_x") + F.col("n_y"))
+    close = close.filter((F.col("component_x") != F.col("component_y")) & fits & enough)
+    pair = F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")
+    return meet.select(*pair).union(close.select(*pair)).distinct()
 
 
 def _star_pairs(starred: DataFrame) -> DataFrame:
@@ -271,18 +307,8 @@ def jaccard_components(documents: DataFrame, size: int = 5) -> DataFrame:
     links = written(linked(_fitting(_star_pairs(starred), sizes), sets), "links")
     labels = connected_components(links)
 
-    left = still_open(starred, labels).select("key").distinct()
-    fine = stars(written(shared(signed_sets(sets.join(left, "key", "left_semi"), common, FINE)), "fine-signatures"))
-    to = labels.select(F.col("node").alias("key"), "component")
-    places = sizes.select("key").join(to, "key", "left").select("key", F.coalesce("component", "key").alias("component"))
-    apart = _star_pairs(fine).join(places.toDF("a", "ca"), "a").join(places.toDF("b", "cb"), "b").filter("ca <> cb").select("a", "b")
-    links = written(links.union(linked(_fitting(apart, sizes), sets)), "links")
-    labels = connected_components(links)
-
-    rest = still_open(fine, labels)
-    x, y = rest.toDF("sig", "a", "ca"), rest.toDF("sig", "b", "cb")
-    apart = x.join(y, "sig").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    again = written(linked(_fitting(apart, sizes), sets), "links")
+    outer = written(around_centres(still_open(starred, labels), sets, common), "around-centres")
+    again = written(linked(pairs_around(outer), sets), "links")
     if not again.isEmpty():
         labels = connected_components(links.union(again))
 
