@@ -70,8 +70,13 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def folded(text: Column) -> Column:
+    """Case folded: lower case, sharp s as its pair of letters, one form of sigma."""
+    return F.replace(F.translate(F.lower(text), "ς", "σ"), F.lit("ß"), F.lit("ss"))
+
+
 def token_set(text: Column) -> Column:
-    return F.array_distinct(word_tokens(F.lower(text)))
+    return F.array_distinct(word_tokens(folded(text)))
 
 
 def _prose_parts(text: Column) -> Column:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlens import sinks
-from recordlens import vocab as v
 from recordlens.functions import text as tx
 from recordlens.operators import captures as cp
 from recordlens.operators import coverage as cov
@@ -34,6 +33,10 @@ def register_night(
     """
     runs = spark.range(1).select(F.lit(run_date).alias("date"), F.lit(True).alias("recorded"))
     sinks.refuse_recorded(runs, f"{base}/runs")
+    recorded = sinks.existing(spark, f"{base}/runs")
+    newest = recorded.agg(F.max("date")).first()[0] if recorded is not None else None
+    if newest is not None and str(newest) > run_date:
+        raise sinks.AlreadyRecorded(f"{run_date} comes before {newest}, which is on record")
     state = spark.read.parquet(f"{base}/state/run={previous}") if previous else None
     events = reg.register_fold(feeds.all_observations(bodies), feeds.answered_nights(fetches), state=state)
     events.write.mode("overwrite").parquet(f"{base}/events/run={run_date}")
@@ -72,7 +75,7 @@ def lookback_night(readings: DataFrame, baselines: DataFrame, answers: DataFrame
 
 
 def wording_night(
-    pages: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame, day: str, cap: int = v.PAIR_CAP
+    pages: DataFrame, captures: DataFrame, bodies: DataFrame, live: DataFrame, day: str, cap: int | None = None
 ) -> dict[str, DataFrame]:
     """Histories, gate, diff, typed events and rates of one completed day.
 
@@ -82,21 +85,21 @@ def wording_night(
     classes = cp.history_class(captures, day, pages=pages)
     changed = classes.filter("kind = 'changed_candidate'").withColumn("night", F.lit(day))
     marked = cp.mark_over_cap(changed, night="night", order=["page"], cap=cap)
-    text = bodies.select("page", "timestamp", wd.page_text(F.col("html")).alias("text"))
 
     def side(name):
-        return text.select(
-            "page", F.col("timestamp").alias(f"_{name}_ts"), F.col("text").alias(name)
-        )
+        """Bodies of one side; read once it is known which of them a pair needs."""
+        return bodies.select("page", F.col("timestamp").alias(f"_{name}_ts"), F.col("html").alias(f"_{name}_html"))
 
     pairs = marked.select(
         "page", "over_cap", F.col("before.timestamp").alias("_before_ts"), F.col("after.timestamp").alias("_after_ts"),
         F.col("before.statuscode").alias("before_status"), F.col("after.statuscode").alias("after_status"),
     )
     pairs = pairs.join(side("before"), ["page", "_before_ts"], "left").join(side("after"), ["page", "_after_ts"], "left")
-    lost = F.col("before").isNull() | F.col("after").isNull()
+    needed = lambda name: F.when(~F.col("over_cap") & F.col(f"_{name}_html").isNotNull(), wd.page_text(F.col(f"_{name}_html"))).alias(name)
+    pairs = pairs.select("page", "over_cap", "before_status", "after_status", needed("before"), needed("after"))
+    lost = ~F.col("over_cap") & (F.col("before").isNull() | F.col("after").isNull())
     read = written(wd.read_pages(pairs), "read-pages").withColumn(
-        "reason", F.when(lost & ~F.col("over_cap"), "snapshot_unavailable").otherwise(F.col("reason"))
+        "reason", F.when(lost, "snapshot_unavailable").otherwise(F.col("reason"))
     ).withColumn("class", F.when(lost, "unverifiable").otherwise(F.col("class")))
     settled = cp.settle_candidates(classes, live)
     outcome = read.select("page", F.col("class").alias("_class"), F.col("reason").alias("_reason"))
@@ -105,7 +108,7 @@ def wording_night(
         "page", "category", "kind", F.coalesce("_class", "class").alias("class"),
         F.coalesce("_reason", "reason").alias("reason"), "live_class",
     )
-    diff = wd.sentence_diff(read.filter("class = 'changed'").select("page", "before", "after"), mode="sequence")
+    diff = wd.sentence_diff(read.filter("class = 'changed'").select("page", "before", "after"))
     candidates = entries.filter("live_class IS NOT NULL")
     return {
         "entries": entries,

@@ -60,15 +60,15 @@ def audit_manifest(entries: DataFrame, files: DataFrame, runs: DataFrame | None
     ``files``: file, sha256 of what is there; ``runs``: nights with a run record.
     """
     check = "manifest"
-    there = files.select("file", F.col("sha256").alias("_found"))
-    j = entries.join(there, "file", "full")
-    listed = F.col("sha256").isNotNull()
+    there = files.select("file", F.col("sha256").alias("_found"), F.lit(True).alias("_there"))
+    j = entries.withColumn("_listed", F.lit(True)).join(there, "file", "full")
+    listed, here = F.col("_listed").isNotNull(), F.col("_there").isNotNull()
     parts = [
         rule_rows(
             j, check, "file",
             [
-                ("file is missing", F.col("_found").isNull()),
-                ("bytes do not match the manifest", listed & F.col("_found").isNotNull() & (F.col("_found") != F.col("sha256"))),
+                ("file is missing", ~here),
+                ("bytes do not match the manifest", listed & here & (F.col("_found") != F.col("sha256"))),
                 ("file is not in any manifest", ~listed),
             ],
         ),
@@ -312,9 +312,9 @@ def audit_ledger(ledger: DataFrame, manifests: DataFrame, proofs: DataFrame, cla
     ``proofs``: proof, manifest (the file it commits to); ``claimed``: counts by state.
     """
     check = "ledger"
-    j = ledger.join(manifests.select("manifest", F.col("sha256").alias("_found")), "manifest", "full")
-    listed = F.col("sha256").isNotNull()
-    here = F.col("_found").isNotNull()
+    there = manifests.select("manifest", F.col("sha256").alias("_found"), F.lit(True).alias("_there"))
+    j = ledger.withColumn("_listed", F.lit(True)).join(there, "manifest", "full")
+    listed, here = F.col("_listed").isNotNull(), F.col("_there").isNotNull()
     proofs_there = proofs.select("proof", F.lit(True).alias("_proof")).distinct()
     p = ledger.filter(F.col("state").isin("pending", "complete")).join(proofs_there, "proof", "left")
     named = F.coalesce(F.col("evidence").rlike(r"block\(s\) \d{6,}"), F.lit(False))
@@ -340,11 +340,12 @@ def audit_ledger(ledger: DataFrame, manifests: DataFrame, proofs: DataFrame, cla
 
 
 def audit_log(lines: DataFrame, runs: DataFrame, step: str, *, day: str = "run_date") -> DataFrame:
-    """Unparseable log lines, and run days without an entry of ``step``."""
+    """Unparseable log lines (by file, where there are several, and number), and run days without an entry of ``step``."""
+    place = F.concat_ws(":", *[F.col(c).cast("string") for c in ("file", "line_no") if c in lines.columns])
     bad = lines.filter("unparseable")
     logged = lines.filter(F.col("step") == step).select(day).distinct()
     lost = runs.select(day).distinct().join(logged, day, "left_anti")
     return union_all(
-        [problems(bad, "log", "line_no", "unparseable line"), problems(lost, "log", day, "run without a log entry")]
+        [problems(bad, "log", place, "unparseable line"), problems(lost, "log", day, "run without a log entry")]
     )
 

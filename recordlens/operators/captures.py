@@ -97,12 +97,14 @@ def hash_sample(
     return drawn
 
 
-def mark_over_cap(rows: DataFrame, *, night: str, order: list[str], cap: int = v.PAIR_CAP) -> DataFrame:
-    """Add ``over_cap``: whether a row comes after the first ``cap`` of its night.
+def mark_over_cap(rows: DataFrame, *, night: str, order: list[str], cap: int | None = None) -> DataFrame:
+    """Add ``over_cap``: whether a row comes after the first ``cap`` of its night; none does without a cap.
 
     Nothing is dropped. Only the first rows of each night are ranked (pruned per task);
     the position of the last one inside the cap then marks the rest.
     """
+    if cap is None:
+        return rows.withColumn("over_cap", F.lit(False))
     last = first_per_key(rows.select(night, *order), [night], [F.col(c) for c in order], n=cap)
     limits = last.groupBy(night).agg(F.max(F.struct(*order)).alias("_limit"))
     return rows.join(limits, night).withColumn("over_cap", F.struct(*order) > F.col("_limit")).drop("_limit")

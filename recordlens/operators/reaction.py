@@ -357,17 +357,17 @@ def reaction_series(readings: DataFrame, *, key: str = "id", day: str = "run_dat
 
 def missing_days(
     committed: DataFrame, run_date: str, *, register: str = "register", day: str = "day", backfill: int = 0,
-    cap: int = v.CATCHUP_DAYS_MAX,
+    cap: int | None = None,
 ) -> DataFrame:
     """(register, day): days still owed before ``run_date``.
 
-    The look-back reaches to the newest committed day, at most ``cap`` days, and never
-    less than ``backfill``.
+    The look-back reaches to the newest committed day (at most ``cap`` days, where a caller
+    sets one), and never less than ``backfill``.
     """
     run = F.to_date(F.lit(run_date))
     newest = committed.groupBy(register).agg(F.max(F.to_date(day)).alias("_newest"))
     gap = F.datediff(run, F.col("_newest")) - 1
-    reach = F.greatest(F.lit(backfill), F.least(gap, F.lit(cap)))
+    reach = F.greatest(F.lit(backfill), gap if cap is None else F.least(gap, F.lit(cap)))
     owed = newest.filter(reach > 0).select(
         register, F.explode(F.sequence(F.date_sub(run, reach), F.date_sub(run, F.lit(1)))).alias("_d")
     )

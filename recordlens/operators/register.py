@@ -86,8 +86,10 @@ def register_fold(
     values = [night, "next_answered", *tracked]
     per_key = Window.partitionBy(key).orderBy(night)
     if one_per_night:
-        rows = rows.withColumn("prev", F.lag(F.struct(*values)).over(per_key))
-        rows = rows.withColumn("_next_night", F.lead(night).over(per_key)).withColumn("_last", F.lit(True))
+        # Feed order too, so that a night with several rows of a key is folded all the same.
+        in_order = Window.partitionBy(key).orderBy(night, "pos")
+        rows = rows.withColumn("prev", F.lag(F.struct(*values)).over(in_order))
+        rows = rows.withColumn("_next_night", F.lead(night).over(in_order)).withColumn("_last", F.lit(True))
     else:
         nested = isinstance(observations.schema[order].dataType, StructType)
         lead = F.col("pos")[observations.schema[order].dataType[0].name] if nested else F.col("pos")

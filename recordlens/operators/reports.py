@@ -257,7 +257,7 @@ def read_answers(answers: DataFrame, *, text: str = "answer") -> DataFrame:
         *answers.columns,
         F.when(known, F.col("_p.type")).alias("type"),
         F.when(known, F.col("_p.confidence")).alias("confidence"),
-        F.when(known, F.substring(F.coalesce("_p.reason", F.lit("")), 1, 120)).alias("reason"),
+        F.when(known, F.coalesce("_p.reason", F.lit(""))).alias("reason"),
         F.when(bad, "unparsed").when(~known, "out_of_vocabulary").alias("error"),
         F.lit(True).alias("estimated"),
     )

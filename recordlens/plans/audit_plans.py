@@ -229,7 +229,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = written(scp.log_scan(spark, sf_dir), "log-entries")
+    lines = written(scp.log_scan(spark, sf_dir).withColumnRenamed("day", "file"), "log-entries")
     runs = table(spark, sf_dir, "orders").select(day_text("o_orderdate").alias("run_date")).unionByName(
         table(spark, sf_dir, "events").select(day_text("ts").alias("run_date"))
     )
@@ -425,7 +425,7 @@ ORACLES = {
         ("'ledger'", "count of pending is wrong", "FROM o WHERE listed AND o_orderstatus = 'O' HAVING count(*) <> 2"),
     ]),
     "audit_log": "WITH l AS (" + scp.ORACLES["log_scan"] + ") " + _rows("log", [
-        ("line_no", "unparseable line", "FROM l WHERE unparseable"),
+        ("day || ':' || line_no", "unparseable line", "FROM l WHERE unparseable"),
         ("d", "run without a log entry",
          "FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders UNION SELECT strftime(ts, '%Y-%m-%d') FROM events) "
          "WHERE d NOT IN (SELECT run_date FROM l WHERE step = 'purchase')"),

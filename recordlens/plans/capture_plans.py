@@ -99,7 +99,7 @@ def sample_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def over_cap_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of each night in page order; the ones after the first forty are marked."""
     cap = captures(spark, sf_dir).withColumn("night", F.substring("timestamp", 1, 8))
-    return cp.mark_over_cap(cap, night="night", order=["page", "pos"]).select("night", "page", "pos", "over_cap")
+    return cp.mark_over_cap(cap, night="night", order=["page", "pos"], cap=40).select("night", "page", "pos", "over_cap")
 
 
 def answer_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +282,7 @@ ORACLES = {
       t AS (SELECT *, ['number_revised','date_shifted','negation_flipped','commitment_removed','attribution_removed','none','other'][k % 7 + 1] AS kind FROM a)
       SELECT event_id, CASE WHEN k % 10 > 1 AND kind <> 'other' THEN kind END AS type,
         CASE WHEN k % 10 > 1 AND kind <> 'other' THEN 'high' END AS confidence,
-        CASE WHEN k % 10 > 1 AND kind <> 'other' THEN left(repeat(event_type || ' ', 20), 120) END AS reason,
+        CASE WHEN k % 10 > 1 AND kind <> 'other' THEN repeat(event_type || ' ', 20) END AS reason,
         CASE WHEN k % 10 = 0 THEN 'unparsed' WHEN k % 10 = 1 OR kind = 'other' THEN 'out_of_vocabulary' END AS error, true AS estimated FROM t""",
     "token_costs": """WITH w AS (SELECT conv_id, role, len(regexp_extract_all(text, '[^\\s\\p{Z}]+')) AS n FROM conversations),
       s AS (SELECT conv_id, CAST(coalesce(sum(n) FILTER (role <> 'assistant'), 0) AS BIGINT) AS input_tokens,

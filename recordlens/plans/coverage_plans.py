@@ -124,7 +124,7 @@ def _latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _drift_inputs(spark, sf_dir):
     held = dr.held_values(dr.first_seen(product_readings(spark, sf_dir)))
-    late = _product_fields(table(spark, sf_dir, "events").filter("value > 100"))
+    late = _product_fields(table(spark, sf_dir, "events"))
     ids = F.concat_ws("-", "event_type", F.col("user_id").cast("string")).alias("id")
     base = late.filter("eviction_date IS NOT NULL").select(
         ids, F.lit("eviction_date").alias("field"), F.col("eviction_date").alias("value"),
@@ -204,7 +204,7 @@ f AS (SELECT *, CASE WHEN k % 4 > 0 THEN 'true' ELSE 'false' END AS online,
     CASE WHEN k % 11 > 0 THEN 'blake3=b' || (k % 3) || ',md5=m' || (k % 2) END AS checksums FROM ev),
 first_f AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY date, event_id) = 1),
 base AS (SELECT id, arg_min(eviction_date, date || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS b
-         FROM f WHERE value > 100 AND eviction_date IS NOT NULL GROUP BY id),
+         FROM f WHERE eviction_date IS NOT NULL GROUP BY id),
 held AS (SELECT first_f.id, first_f.date AS first_seen, first_f.online, coalesce(first_f.eviction_date, b) AS eviction_date,
     first_f.modification_date, first_f.checksums FROM first_f LEFT JOIN base ON base.id = first_f.id),
 now_f AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id DESC) = 1),

@@ -349,16 +349,18 @@ def preserved_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as log lines in order, some cut off; written, read back and numbered."""
+    """Events as log lines, a file for each day in order, some cut off; read back and numbered."""
     ev = table(spark, sf_dir, "events")
     good = F.to_json(
         F.struct(F.col("event_type").alias("step"), F.lit("machine").alias("actor"), F.struct(day_text("ts").alias("date")).alias("detail"))
     )
     line = F.when(F.col("value") < 2, F.substring(good, 1, 12)).otherwise(good)
     path = shared_folder(spark, "log")
-    ev.coalesce(1).sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
-    rows = records.log_entries(records.numbered_lines(spark.read.text(path)))
-    return rows.select("line_no", "unparseable", "step", "run_date")
+    days = ev.select(line.alias("value"), day_text("ts").alias("day"), "event_id").repartition("day").sortWithinPartitions("day", "event_id")
+    days.select("value", "day").write.partitionBy("day").text(path)
+    rows = records.log_entries(records.numbered_lines(spark.read.option("recursiveFileLookup", "true").text(path)))
+    day = F.regexp_extract("file", "day=([0-9-]+)", 1).alias("day")
+    return rows.select(day, "line_no", "unparseable", "step", "run_date")
 
 
 def append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -484,7 +486,7 @@ ORACLES = {
     "file_manifest": """SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey, CAST(sum(length(s_name) + 1) AS BIGINT) AS bytes,
       sha256(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS sha256 FROM supplier GROUP BY s_nationkey""",
     "preserved_once": """SELECT CAST(o_orderkey AS VARCHAR) AS file, sha256(o_orderstatus) AS sha256 FROM orders WHERE o_totalprice <= 200000""",
-    "log_scan": """SELECT row_number() OVER (ORDER BY event_id) AS line_no, value < 2 AS unparseable,
+    "log_scan": """SELECT strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS line_no, value < 2 AS unparseable,
       CASE WHEN value >= 2 THEN event_type END AS step, CASE WHEN value >= 2 THEN strftime(ts, '%Y-%m-%d') END AS run_date FROM events""",
     "append_once": """
       WITH v AS (SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN value >= 2 THEN 'F' || (user_id % 25) ELSE '' END AS country,

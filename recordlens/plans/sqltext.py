@@ -120,11 +120,25 @@ def gate_reason(text: str, status: str) -> str:
     )
 
 
-def page_text(col: str) -> str:
-    out = f"regexp_replace({col}, '(?s)<!--.*?-->', ' ', 'g')"
-    for tag in v.SKIPPED_TAGS:
-        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
-    out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
-    for entity, char in (("&nbsp;?", " "), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;?", "''"), ("&amp;?", "&")):
-        out = f"regexp_replace({out}, '{entity}', '{char}', 'g')"
-    return collapse(out)
+def page_text(source: str) -> str:
+    """WITH clauses up to page_texts (page_id, main_text) from a query of (page_id, html).
+
+    Pages are cut at every opening sign; a running sum of skipped starts and ends, held at
+    zero from below, tells what is shown.
+    """
+    skipped = ", ".join(f"'{t}'" for t in v.SKIPPED_TAGS)
+    text = "string_agg(shown, ' ' ORDER BY k)"
+    for entity, char in (("&nbsp;", "' '"), ("&eacute;", "'é'"), ("&eacute", "'é'"), ("&mdash;", "'—'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&#x27;", "chr(39)"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{entity}', {char})"
+    return f"""WITH src AS ({source}),
+      live AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'),
+          '(?is)<script\\b.*?</script\\s*>', ' ', 'g'), '(?is)<style\\b.*?</style\\s*>', ' ', 'g') AS h FROM src),
+      cut AS (SELECT page_id, unnest(string_split(h, '<')) AS c, generate_subscripts(string_split(h, '<'), 1) AS k FROM live),
+      tag AS (SELECT *, k > 1 AS is_tag, lower(regexp_extract(c, '^/?([A-Za-z][A-Za-z0-9]*)', 1)) AS name FROM cut),
+      step AS (SELECT *, CASE WHEN NOT is_tag OR name NOT IN ({skipped}) THEN 0 WHEN starts_with(c, '/') THEN -1 ELSE 1 END AS d FROM tag),
+      run AS (SELECT *, sum(d) OVER (PARTITION BY page_id ORDER BY k) AS total FROM step),
+      deep AS (SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY k)) AS depth FROM run),
+      page_texts AS (SELECT s.page_id, coalesce({collapse(text)}, '') AS main_text FROM src s LEFT JOIN (
+          SELECT page_id, k, CASE WHEN is_tag THEN substr(c, strpos(c, '>') + 1) ELSE c END AS shown FROM deep WHERE depth = 0) t
+        ON t.page_id = s.page_id GROUP BY s.page_id)
+      """

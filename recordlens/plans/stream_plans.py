@@ -23,13 +23,13 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_register_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A month of nights, announced in three parts, folded batch by batch."""
+    """A month of nights, announced in three parts, one night ten days late, folded batch by batch."""
     base = shared_folder(spark, "fold-stream")
     obs = rgp.nightly_observations(spark, sf_dir)
     obs.repartition("run_date").write.partitionBy("run_date").parquet(f"{base}/observations")
     stored = spark.read.schema(obs.schema).parquet(f"{base}/observations")
     dates = stored.select("run_date").distinct()
-    for part in ("run_date <= '2024-01-10'", "run_date > '2024-01-10' AND run_date <= '2024-01-20'", "run_date > '2024-01-20'"):
+    for part in ("run_date <= '2024-01-10'", "run_date > '2024-01-10' AND run_date <= '2024-01-20' AND run_date <> '2024-01-13'", "run_date > '2024-01-20' OR run_date = '2024-01-13'"):
         dates.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/announced")
     announced = spark.readStream.schema("run_date string").option("maxFilesPerTrigger", 1).parquet(f"{base}/announced")
     writer = st.fold_night_batches(

@@ -60,12 +60,14 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_text_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", wd.page_text(F.col("html"), "native").alias("main_text"))
-
-
-def page_text_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", wd.page_text(F.col("html")).alias("main_text"))
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; a third each as it is, inside nested menus, and before a form that never ends."""
+    p = spread(table(spark, sf_dir, "pages"), "page_id")
+    third = F.col("page_id") % 3
+    html = F.when(third == 0, F.col("html")).when(
+        third == 1, F.concat(F.lit("<nav>one<nav>two</nav>three</nav>Caf&eacute &mdash; "), F.col("html"), F.lit("</nav>end"))
+    ).otherwise(F.concat(F.col("html"), F.lit("<p>last &amp; least<form><p>never shown")))
+    return p.select("page_id", wd.page_text(html).alias("main_text"))
 
 
 def validity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +79,7 @@ def validity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate over extracted pages, with what it counted."""
     p = spread(table(spark, sf_dir, "pages"), "page_id")
-    text = p.select("page_id", wd.page_text(F.col("html"), "native").alias("t"), F.lit("200").alias("status"))
+    text = p.select("page_id", wd.page_text(F.col("html")).alias("t"), F.lit("200").alias("status"))
     judged = wd.with_gate(text, "t", "status", "g")
     return judged.select(
         "page_id", "g.valid", "g.reason", F.col("g.tokens").cast("bigint").alias("tokens"),
@@ -110,10 +112,6 @@ def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sentence_diff_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wd.sentence_diff(edited(spark, sf_dir), mode="sequence")
-
-
 def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wd.diff_counts(_diff(spark, sf_dir))
 
@@ -135,14 +133,14 @@ def abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def top_abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forty weightiest distinct passages, ties by digest."""
+    """All distinct passages by weight, ties by digest, each with its rank."""
     a = wd.abstentions(_diff(spark, sf_dir)).select("before_sha256", "salience").distinct()
-    return wd.top_abstentions(a).select("before_sha256", F.col("salience").cast("bigint").alias("salience"))
+    return wd.ranked_abstentions(a).select("before_sha256", F.col("salience").cast("bigint").alias("salience"), "rank")
 
 
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = edited(spark, sf_dir).select(
-        "page", (F.col("lang") == "es").alias("over_cap"), "before", _status(F.col("page"), 0).alias("before_status"),
+        "page", F.lit(False).alias("over_cap"), "before", _status(F.col("page"), 0).alias("before_status"),
         "after", _status(F.col("page"), 5).alias("after_status"),
     )
     return wd.read_pages(pairs).select("page", "class", "reason")
@@ -200,13 +198,28 @@ _DIFF = _EDITED + f"""
 , lists AS (SELECT page, {q.sentences('before')} AS bs, {q.sentences('after')} AS as_ FROM edited WHERE before <> after),
 sent AS (SELECT page, 0 AS side, unnest(bs) AS s, generate_subscripts(bs, 1) - 1 AS idx FROM lists
   UNION ALL SELECT page, 1, unnest(as_), generate_subscripts(as_, 1) - 1 FROM lists),
-occ AS (SELECT *, row_number() OVER (PARTITION BY page, side, s ORDER BY idx) AS o FROM sent),
-rest AS MATERIALIZED (SELECT x.page, x.side, x.idx, x.s FROM occ x LEFT JOIN occ y
-   ON y.page = x.page AND y.s = x.s AND y.o = x.o AND y.side = 1 - x.side WHERE y.page IS NULL),
-tok AS MATERIALIZED (SELECT page, side, idx, unnest(list_distinct(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+'))) AS t FROM rest),
+eq AS MATERIALIZED (SELECT b.page, b.idx AS i, a.idx AS j FROM sent b JOIN sent a ON a.page = b.page AND a.s = b.s AND b.side = 0 AND a.side = 1),
+rng(page, i1, i2, j1, j2, fi, fj, fn) AS (
+  SELECT page, CAST(0 AS BIGINT), CAST(len(bs) AS BIGINT), CAST(0 AS BIGINT), CAST(len(as_) AS BIGINT),
+    CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM lists
+  UNION ALL
+  SELECT page, unnest([i1, bi + n]), unnest([bi, i2]), unnest([j1, bj + n]), unnest([bj, j2]), unnest([bi, NULL]), unnest([bj, NULL]), unnest([n, NULL])
+  FROM (SELECT *, row_number() OVER (PARTITION BY page, i1, i2, j1, j2 ORDER BY n DESC, bi, bj) AS pos FROM (
+    SELECT page, i1, i2, j1, j2, min(i) AS bi, min(j) AS bj, count(*) AS n FROM (
+      SELECT r.page, r.i1, r.i2, r.j1, r.j2, e.i, e.j,
+        e.i - row_number() OVER (PARTITION BY r.page, r.i1, r.i2, r.j1, r.j2, e.i - e.j ORDER BY e.i) AS run
+      FROM rng r JOIN eq e ON e.page = r.page AND e.i >= r.i1 AND e.i < r.i2 AND e.j >= r.j1 AND e.j < r.j2)
+    GROUP BY page, i1, i2, j1, j2, i - j, run)) WHERE pos = 1),
+kept AS (SELECT page, fi AS i, fj AS j, fn AS n FROM rng WHERE fn IS NOT NULL
+  UNION ALL SELECT page, len(bs), len(as_), 0 FROM lists),
+gap AS (SELECT page, row_number() OVER w AS g, coalesce(lag(i + n) OVER w, 0) AS i1, i AS i2, coalesce(lag(j + n) OVER w, 0) AS j1, j AS j2
+  FROM kept WINDOW w AS (PARTITION BY page ORDER BY i, j)),
+rest AS MATERIALIZED (SELECT s.page, s.side, s.idx, s.s, g.g FROM sent s JOIN gap g ON g.page = s.page
+  AND ((s.side = 0 AND s.idx >= g.i1 AND s.idx < g.i2) OR (s.side = 1 AND s.idx >= g.j1 AND s.idx < g.j2))),
+tok AS MATERIALIZED (SELECT page, side, idx, g, unnest(list_distinct(regexp_extract_all(replace(lower(s), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+'))) AS t FROM rest),
 sz AS (SELECT page, side, idx, count(*) AS n FROM tok GROUP BY ALL),
 common AS (SELECT b.page, b.idx AS bi, a.idx AS ai, count(*) AS c FROM tok b JOIN tok a
-   ON a.page = b.page AND a.t = b.t AND b.side = 0 AND a.side = 1 GROUP BY ALL),
+   ON a.page = b.page AND a.g = b.g AND a.t = b.t AND b.side = 0 AND a.side = 1 GROUP BY ALL),
 cand AS MATERIALIZED (SELECT c.page, bi, ai, c / (x.n + y.n - c) AS score,
     row_number() OVER (PARTITION BY c.page ORDER BY bi, c / (x.n + y.n - c) DESC, ai) AS r
   FROM common c JOIN sz x ON x.page = c.page AND x.side = 0 AND x.idx = bi
@@ -277,14 +290,12 @@ abst AS (SELECT page, sha256(before) AS before_sha256, CASE WHEN NOT redact THEN
 """
 
 QUERIES = {
-    "page_text_native": page_text_native,
-    "page_text_exact": page_text_exact,
+    "page_text": page_text,
     "validity_gate": validity_gate,
     "page_gate": page_gate,
     "prose_shares": prose_shares,
     "salience": salience,
     "sentence_diff": sentence_diff,
-    "sentence_diff_sequence": sentence_diff_sequence,
     "diff_counts": diff_counts,
     "typed_events": typed_events,
     "abstentions": abstentions,
@@ -296,11 +307,13 @@ QUERIES = {
 }
 
 ORACLES = {
-    "page_text_native": f"SELECT page_id, {q.page_text('html')} AS main_text FROM pages",
-    "page_text_exact": f"SELECT page_id, {q.page_text('html')} AS main_text FROM pages",
+    "page_text": q.page_text("""SELECT page_id, CASE page_id % 3 WHEN 0 THEN html
+        WHEN 1 THEN '<nav>one<nav>two</nav>three</nav>Caf&eacute &mdash; ' || html || '</nav>end'
+        ELSE html || '<p>last &amp; least<form><p>never shown' END AS html FROM pages""")
+      + "SELECT page_id, main_text FROM page_texts",
     "validity_gate": f"""WITH r AS (SELECT doc_id, {q.gate_reason('text', _sql_status('doc_id'))} AS reason FROM documents)
       SELECT doc_id, reason = 'ok' AS valid, reason FROM r""",
-    "page_gate": f"""WITH t AS (SELECT page_id, {q.page_text('html')} AS t FROM pages),
+    "page_gate": q.page_text("SELECT page_id, html FROM pages") + f""", t AS (SELECT page_id, main_text AS t FROM page_texts),
       r AS (SELECT *, {q.gate_reason('t', "'200'")} AS reason FROM t)
       SELECT page_id, reason = 'ok' AS valid, reason, {q.token_count('t')} AS tokens,
         CASE reason WHEN 'challenge_fingerprint' THEN array_to_string({q.markers('t', v.CHALLENGE_MARKERS)}, ',')
@@ -316,8 +329,8 @@ ORACLES = {
         CASE WHEN NOT redact AND v.type <> 'attribution_removed' THEN before END AS before,
         CASE WHEN NOT redact AND v.type <> 'attribution_removed' THEN after END AS after, salience, signals FROM e""",
     "abstentions": _JUDGED + "SELECT * FROM abst",
-    "top_abstentions": _JUDGED + """SELECT DISTINCT before_sha256, salience FROM abst ORDER BY salience DESC, before_sha256 LIMIT 40""",
-    "read_pages": _EDITED + f""", g AS (SELECT page, lang = 'es' AS over_cap, {q.gate_reason('before', _sql_status('page'))} AS gb,
+    "top_abstentions": _JUDGED + """SELECT *, rank() OVER (ORDER BY salience DESC, before_sha256) AS rank FROM (SELECT DISTINCT before_sha256, salience FROM abst)""",
+    "read_pages": _EDITED + f""", g AS (SELECT page, false AS over_cap, {q.gate_reason('before', _sql_status('page'))} AS gb,
         {q.gate_reason('after', _sql_status('page + 5'))} AS ga FROM edited)
       SELECT page, CASE WHEN NOT over_cap AND gb = 'ok' AND ga = 'ok' THEN 'changed' ELSE 'unverifiable' END AS class,
         CASE WHEN over_cap THEN 'over_nightly_fetch_cap' WHEN gb <> 'ok' THEN 'gate_before_' || gb WHEN ga <> 'ok' THEN 'gate_after_' || ga

@@ -39,16 +39,30 @@ def append_once(df: DataFrame, path: str, day: str = "date") -> None:
     df.write.partitionBy(day).mode("append").parquet(path)
 
 
-def append_new(df: DataFrame, path: str, key: str) -> None:
-    """Append only rows whose key is not on record yet; held rows are never rewritten."""
+def one_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The least row of every key by ``order``; by all other columns that can be ordered if none is given."""
+    rest = [c for c in df.columns if c not in keys]
+    order = order or [c for c, kind in df.dtypes if c in rest and "map<" not in kind and "variant" not in kind]
+    if not order:
+        return df.dropDuplicates(keys)
+    least = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return least.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
+
+
+def append_new(df: DataFrame, path: str, key: str, order: list[str] | None = None) -> None:
+    """Append only rows whose key is not on record yet; held rows are never rewritten.
+
+    A key that the batch holds more than once is written once, see ``one_per_key``.
+    """
+    df = one_per_key(df, [key], order)
     held = existing(df.sparkSession, path)
     fresh = df if held is None else df.join(held.select(key), key, "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
 def preserve_once(entries: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Entries not yet in the manifest under the same name with the same bytes."""
-    return entries.join(manifest.select("file", "sha256"), ["file", "sha256"], "left_anti")
+    """Entries not yet in the manifest under the same name with the same bytes, each once."""
+    return one_per_key(entries, ["file", "sha256"]).join(manifest.select("file", "sha256"), ["file", "sha256"], "left_anti")
 
 
 def manifest_of(spark: SparkSession, path: str) -> DataFrame:

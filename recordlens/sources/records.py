@@ -55,15 +55,19 @@ def manifest_entries(bodies: DataFrame) -> DataFrame:
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Add ``line_no``: lines counted inside each piece, plus the lines of the pieces before."""
-    rows = lines.withColumns({"_piece": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    first = rows.groupBy("_piece").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
-    first = first.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = rows.join(first, "_piece")
-    return out.withColumn("line_no", F.col("_offset") + F.col("_at") - F.col("_first") + 1).drop(
-        "_piece", "_at", "_first", "_n", "_offset"
+    """Add ``file`` and ``line_no``, the line's number in its file, to a table read from text.
+
+    A file may be read in several pieces: lines are counted inside each, and the lines of
+    the file's earlier pieces are added.
+    """
+    rows = lines.select(
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_piece"), F.monotonically_increasing_id().alias("_at")
     )
+    first = rows.groupBy("file", "_piece").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # one row per piece
+    first = first.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    out = rows.join(first, ["file", "_piece"])
+    return out.withColumn("line_no", F.col("_offset") + F.col("_at") - F.col("_first") + 1).drop("_piece", "_at", "_first", "_n", "_offset")
 
 
 def log_entries(lines: DataFrame) -> DataFrame:

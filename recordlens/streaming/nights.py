@@ -36,26 +36,51 @@ def fold_night_batches(
     ``observations(nights)`` reads the night's partitions with the batch engine. Events and
     the state after them are written under the batch number, so a repeated batch replaces
     its own output and nothing else: exactly once, whatever executors are lost.
+
+    A night that arrives late is folded again together with all nights after it, from the
+    state before it; the events that earlier batches found from that night on are
+    superseded (see ``folded_events``).
     """
     spark = announcements.sparkSession
     names = {k: fold[k] for k in ("key", "source", "kind", "tracked", "carried") if k in fold}
 
     def batch(rows: DataFrame, epoch: int) -> None:
         nights = sorted(r[0] for r in rows.select(night).distinct().collect())  # a few dates
-        state = spark.read.parquet(f"{base}/state/epoch={epoch - 1}") if epoch > 0 else None
+        done = _folded_nights(spark, base, epoch).collect() if epoch > 0 else []  # a date for each night
+        again = {r[night] for r in done if r[night] >= nights[0]}
+        if again:
+            nights = sorted(again.union(nights))
+            before = folded_events(spark, base, night, epoch).filter(F.col(night) < nights[0])
+            state = reg.advance_state(before, night=night, **names)
+        else:
+            state = spark.read.parquet(f"{base}/state/epoch={epoch - 1}") if epoch > 0 else None
         events = reg.register_fold(
             observations(nights), answered(nights) if answered else None, night=night, state=state, **fold
         )
         at = f"{base}/events/epoch={epoch}"
         events.write.mode("overwrite").parquet(at)
+        spark.createDataFrame([(n, nights[0]) for n in nights], f"{night} string, first string").write.mode("overwrite").parquet(f"{base}/nights/epoch={epoch}")
         after = reg.advance_state(spark.read.parquet(at), state, night=night, **names)
         after.write.mode("overwrite").parquet(f"{base}/state/epoch={epoch}")
 
     return announcements.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint")
 
 
-def folded_events(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/events").drop("epoch")
+def _folded_nights(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
+    """(night, first, epoch): the nights of each batch, and the first it folded."""
+    rows = spark.read.parquet(f"{base}/nights")
+    return rows if before is None else rows.filter(F.col("epoch") < before)
+
+
+def folded_events(spark: SparkSession, base: str, night: str = "run_date", before: int | None = None) -> DataFrame:
+    """The events in force: a batch's, up to the first night that a later batch has folded."""
+    firsts = _folded_nights(spark, base, before).select(F.col("epoch").alias("_later"), "first").distinct()
+    events = spark.read.parquet(f"{base}/events")
+    if before is not None:
+        events = events.filter(F.col("epoch") < before)
+    later = events.select("epoch").distinct().join(firsts, F.col("_later") > F.col("epoch")).groupBy("epoch").agg(F.min("first").alias("_first"))
+    rows = events.join(later, "epoch", "left").filter(F.col("_first").isNull() | (F.col(night) < F.col("_first")))
+    return rows.drop("epoch", "_first")
 
 
 # --- feeds ------------------------------------------------------------------------------

@@ -35,7 +35,6 @@ RATE_LOW = 0.25
 RATE_HIGH = 0.50
 RATE_JUMP = 0.10
 LATENCY_NIGHTS_REQUIRED = 5
-CATCHUP_DAYS_MAX = 30
 
 # --- fixed values: grid -----------------------------------------------------
 LON_WEST, LON_EAST = 9.0, 30.0
@@ -135,6 +134,15 @@ EVENT_TYPES = (
     "number_revised", "date_shifted", "negation_flipped",
     "commitment_removed", "attribution_removed",
 )
+# Texts of the rules, as results carry them.
+YEAR_REWRITTEN = "year rewritten in place"
+FIGURE_REWRITTEN = "figure rewritten in place"
+MONTH_DROPPED = "month name dropped from the sentence"
+NEGATION_CHANGED = "negation count changed"
+COMMITMENT_DROPPED = "commitment verb dropped in rewrite"
+ASCRIPTION_DROPPED = "ascription dropped in rewrite"
+COMMITMENT_REMOVED = "sentence with commitment verb removed"
+ASCRIPTION_REMOVED = "sentence with an ascription removed"
 ANSWER_TYPES = EVENT_TYPES + ("none",)
 VERDICT_TYPES = EVENT_TYPES + ("none_of_these",)
 MONTHS = (
@@ -160,8 +168,6 @@ LIVE_CLASSES = (
 LIVE_GONE = ("gone_404", "gone_410")
 LIVE_EXCLUDED = ("botwall", "server_error", "unreachable")
 SAMPLE_PER_INSTITUTION = 5
-PAIR_CAP = 40
-ABSTENTION_CAP = 40
 MOMENT_LIMIT = 100
 CATEGORIES = ("A", "B", "C", "D", "E")
 STRATEGIES = ("domain", "prefix", "single_url")

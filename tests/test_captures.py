@@ -66,7 +66,9 @@ def test_sample_does_not_depend_on_the_order(spark):
 
 def test_cap_marks_and_keeps_every_row(spark):
     rows = [("n1", p) for p in range(50)] + [("n2", p) for p in range(3)]
-    got = cp.mark_over_cap(spark.createDataFrame(rows, "night string, pos int"), night="night", order=["pos"])
+    table = spark.createDataFrame(rows, "night string, pos int")
+    assert cp.mark_over_cap(table, night="night", order=["pos"]).filter("over_cap").count() == 0
+    got = cp.mark_over_cap(table, night="night", order=["pos"], cap=40)
     assert got.count() == 53 and as_list(got.filter("over_cap"), "night", "pos") == [("n1", p) for p in range(40, 50)]
 
 
@@ -90,4 +92,4 @@ def test_answers_are_never_repaired(spark):
     got = rp.read_answers(spark.createDataFrame([(n, a) for n, a in enumerate(answers)], "n int, answer string")).orderBy("n").collect()
     assert [r["type"] for r in got] == ["date_shifted", "none", None, None, None, None, None]
     assert [r["error"] for r in got] == [None, None, "out_of_vocabulary", "unparsed", "unparsed", "out_of_vocabulary", "unparsed"]
-    assert len(got[0]["reason"]) == 120 and all(r["estimated"] for r in got)
+    assert got[0]["reason"] == "x" * 200 and all(r["estimated"] for r in got)

@@ -8,8 +8,8 @@ from recordlens.operators import drift as dr
 from recordlens.sources import catalogue
 from tests.helpers import as_list
 
-SQUARE = [[19.0, 57.0], [20.0, 57.0], [20.0, 58.0], [19.0, 58.0], [19.0, 57.0]]
-NORTH = [[24.0, 59.0], [25.0, 59.0], [25.0, 59.5], [24.0, 59.5], [24.0, 59.0]]
+SQUARE = [[12.0, 55.0], [13.0, 55.0], [13.0, 56.0], [12.0, 56.0], [12.0, 55.0]]
+NORTH = [[21.0, 63.0], [22.0, 63.0], [22.0, 63.5], [21.0, 63.5], [21.0, 63.0]]
 
 
 def product(name, pid, start, end, ring, sums, **more):
@@ -18,14 +18,14 @@ def product(name, pid, start, end, ring, sums, **more):
 
 
 PAGE = json.dumps({"value": [
-    product("S1C_GRDH_SAFE", "aaa", "T04:10", "T04:11", SQUARE, [{"Algorithm": "MD5", "Value": "m1"}, {"Algorithm": "BLAKE3", "Value": "b1"}], Online=True),
-    product("S1C_GRDH_COG", "bbb", "T04:10", "T04:11", SQUARE, [{"Algorithm": "BLAKE3", "Value": "b2"}, {"Algorithm": "X", "Value": ""}]),
-    product("S1D_GRDH", "ccc", "T16:53", "T16:54", NORTH, None),
-    product("S1C_SLC", "ddd", "T04:10", "", SQUARE, None),
+    product("S1C_GRDH_SAFE", "aaa", "T05:30", "T05:31", SQUARE, [{"Algorithm": "MD5", "Value": "m1"}, {"Algorithm": "BLAKE3", "Value": "b1"}], Online=True),
+    product("S1C_GRDH_COG", "bbb", "T05:30", "T05:31", SQUARE, [{"Algorithm": "BLAKE3", "Value": "b2"}, {"Algorithm": "X", "Value": ""}]),
+    product("S1D_GRDH", "ccc", "T18:02", "T18:03", NORTH, None),
+    product("S1C_SLC", "ddd", "T05:30", "", SQUARE, None),
 ]})
 POINTS = json.dumps({"features": [
-    {"geometry": {"coordinates": [19.3, 57.3]}, "properties": {"mmsi": 1}}, {"geometry": {"coordinates": [19.4, 57.4]}},
-    {"geometry": {"coordinates": [24.9, 60.1]}}, {"geometry": {"coordinates": [4.0, 52.0]}}, {"geometry": {"coordinates": [4.0]}},
+    {"geometry": {"coordinates": [12.3, 55.3]}, "properties": {"mmsi": 1}}, {"geometry": {"coordinates": [12.4, 55.4]}},
+    {"geometry": {"coordinates": [21.9, 64.1]}}, {"geometry": {"coordinates": [2.5, 48.0]}}, {"geometry": {"coordinates": [2.5]}},
 ]})
 
 
@@ -37,10 +37,10 @@ def test_cells_of_points_and_footprints(spark):
     sc = catalogue.scenes(bodies(spark, PAGE))
     got = {r["id"]: r for r in cov.footprint_cells(sc).collect()}
     assert sorted(got) == ["aaa", "bbb", "ccc"]
-    assert got["aaa"]["cells"] == ["E19.0_N57.0", "E19.5_N57.0", "E19.0_N57.5", "E19.5_N57.5"]
+    assert got["aaa"]["cells"] == ["E12.0_N55.0", "E12.5_N55.0", "E12.0_N55.5", "E12.5_N55.5"]
     assert got["aaa"]["checksums"] == {"md5": "m1", "blake3": "b1"} and got["bbb"]["checksums"] == {"blake3": "b2"}
-    pts = spark.createDataFrame([(19.3, 57.3), (8.9, 57.3), (30.0, 60.0), (9.0, 53.5)], "lon double, lat double")
-    assert [r[0] for r in pts.select(grid.cell_of(F.col("lon"), F.col("lat"))).collect()] == ["E19.0_N57.0", None, None, "E9.0_N53.5"]
+    pts = spark.createDataFrame([(12.3, 55.3), (8.9, 55.3), (30.0, 60.0), (9.0, 53.5)], "lon double, lat double")
+    assert [r[0] for r in pts.select(grid.cell_of(F.col("lon"), F.col("lat"))).collect()] == ["E12.0_N55.0", None, None, "E9.0_N53.5"]
 
 
 def test_footprint_shapes(spark):
@@ -58,7 +58,7 @@ def test_coverage_figures(spark):
     acq = cov.footprint_cells(cov.acquisitions(sc))
     assert as_list(acq, "name") == [("S1C_GRDH_COG",), ("S1D_GRDH",)]
     pos = cov.point_cells(catalogue.positions(bodies(spark, POINTS)))
-    assert as_list(cov.declared_counts(pos), "cell", "declared_sample") == [("E19.0_N57.0", 2), ("E24.5_N60.0", 1)]
+    assert as_list(cov.declared_counts(pos), "cell", "declared_sample") == [("E12.0_N55.0", 2), ("E21.5_N64.0", 1)]
     assert as_list(cov.declared_totals(pos), "in_feed", "in_region") == [(4, 3)]
     cells = cov.two_axes(cov.observed_passes(acq), cov.declared_counts(pos))
     row = cov.coverage_figures(cells, sc, acq).collect()[0]

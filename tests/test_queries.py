@@ -24,10 +24,10 @@ def duck(sf_dir):
 
 def canon(value):
     if value is None:
-        return ""
+        return (0, "")
     if isinstance(value, bool):
-        return str(value)
-    return f"{float(value):.6f}" if isinstance(value, (int, float)) else str(value)
+        return (1, str(value))
+    return (2, f"{float(value):.6f}") if isinstance(value, (int, float)) else (3, str(value))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -47,5 +47,8 @@ def test_query(spark, sf_dir, duck, name):
         assert got
 
 
-def test_every_twin_has_a_query():
+def test_every_query_has_a_twin():
+    """SQL can't express models, tokenizers and sampling; their own tests hold them against plain code."""
+    without = {n for n in QUERIES if n not in ORACLES}
     assert set(ORACLES) <= set(QUERIES)
+    assert all(n == "pipeline" or n.startswith(("op3_", "op4_", "op5_", "op6_", "op8_", "op9_")) for n in without)

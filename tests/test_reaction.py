@@ -138,4 +138,5 @@ def test_series_and_missing_days(spark):
     days = spark.createDataFrame([("r", "2026-08-01"), ("r", "2026-08-03")], "register string, day string")
     assert as_list(rx.missing_days(days, "2026-08-07"), "day") == [("2026-08-04",), ("2026-08-05",), ("2026-08-06",)]
     assert as_list(rx.missing_days(days, "2026-08-07", backfill=6), "day")[0] == ("2026-08-02",)
-    assert rx.missing_days(days, "2026-12-31").count() == 30
+    assert rx.missing_days(days, "2026-12-31").count() == 149
+    assert rx.missing_days(days, "2026-12-31", cap=30).count() == 30

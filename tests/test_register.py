@@ -159,3 +159,11 @@ def test_correction_only_adds_and_only_once(spark):
     assert as_list(events, "id", "event", "added") == [("gdacs-tc-1", "CORRECTED", ["VNM"])]
     again, none = reg.correct_register(fixed, feed, cause="c", at="2026-08-10", snapshot="s")
     assert none.count() == 0 and as_list(again, "id", "iso3") == as_list(fixed, "id", "iso3")
+
+
+def test_several_rows_of_a_night_fold_in_feed_order(spark):
+    """Also where the caller promises one row a night."""
+    rows = [ob("a", "2026-08-01", 1, sev="Orange"), ob("a", "2026-08-01", 0, sev="Green"), ob("a", "2026-08-02", 0, sev="Orange")]
+    for flag in (False, True):
+        events = reg.register_fold(observations(spark, rows), one_per_night=flag).orderBy("run_date", "phase", "pos", "step").collect()
+        assert [(e["run_date"], e["event"]) for e in events] == [("2026-08-01", "NOTARIZED"), ("2026-08-01", "REVISED")]

@@ -99,3 +99,26 @@ def test_log_lines_are_numbered(spark, tmp_path):
     got = records.log_entries(records.numbered_lines(spark.read.text(str(tmp_path / "log.jsonl"))))
     assert as_list(got.filter("unparseable"), "line_no") == [(n + 1,) for n in range(20) if n % 3 == 0]
     assert as_list(got.filter("NOT unparseable"), "line_no", "run_date") == [(n + 1, f"d{n}") for n in range(20) if n % 3]
+
+
+def test_line_numbers_belong_to_their_file(spark, tmp_path):
+    for name, n in (("a.jsonl", 3), ("b.jsonl", 5000)):
+        (tmp_path / name).write_text("".join(f"{name}{i + 1}\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = records.numbered_lines(spark.read.text(str(tmp_path))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == 5003 and all(r["file"].endswith(r["value"].rstrip("0123456789")) for r in got)
+    assert all(r["value"] == f"{r['file'].rsplit('/', 1)[1]}{r['line_no']}" for r in got)
+
+
+def test_a_batch_holds_a_key_once(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = lambda *x: spark.createDataFrame(list(x), "id int, verdict string")
+    sinks.append_new(rows((1, "b"), (1, "a"), (2, "c")), path, "id")
+    sinks.append_new(rows((1, "z"), (3, None), (3, "d")), path, "id")
+    assert as_list(spark.read.parquet(path), "id")[:3] == [(1,), (2,), (3,)] and spark.read.parquet(path).filter("id = 1").first()["verdict"] == "a"
+    files = spark.createDataFrame([("f", "s", "u2"), ("f", "s", "u1"), ("g", "s", "u3")], "file string, sha256 string, url string")
+    held = spark.createDataFrame([("g", "s")], "file string, sha256 string")
+    assert as_list(sinks.preserve_once(files, held), "file", "url") == [("f", "u1")]
