@@ -173,7 +173,10 @@ def advance_state(
     at = F.struct(night, *EVENT_ORDER)
     fixed = (source, kind, *carried)
     new = events.groupBy(key).agg(
-        F.min_by(F.struct(*fixed), at).alias("_fixed"),
+        F.coalesce(
+            F.max_by(F.struct(*fixed), F.when(F.col("event") == "CORRECTED", at)), F.min_by(F.struct(*fixed), at)
+        ).alias("_fixed"),
+        F.max_by("event", at).isin("CORRECTED").alias("_corrected"),
         F.max_by("held", at).alias("_held"),
         status_of(F.max_by("event", at)).alias("_status"),
         F.max(night).alias("_night"),
@@ -182,7 +185,8 @@ def advance_state(
         pick = lambda f, fresh: fresh.alias(f)
         rows = new
     else:
-        pick = lambda f, fresh: F.coalesce(F.col(f), fresh).alias(f) if f in fixed else F.coalesce(fresh, F.col(f)).alias(f)
+        corrected = F.coalesce("_corrected", F.lit(False))
+        pick = lambda f, fresh: F.when(corrected, fresh).otherwise(F.coalesce(F.col(f), fresh)).alias(f) if f in fixed else F.coalesce(fresh, F.col(f)).alias(f)
         rows = state.join(new, key, "full")
     return rows.select(
         key,
@@ -211,6 +215,8 @@ def register_current(
 ) -> DataFrame:
     """One row per record: fields last held, first sight, status and event counts.
 
+    Carried fields are those of the first sight, or of the last correction.
+
     The event table is the history; ``with_history`` also nests it per record, for
     exports of registers whose records have few events each.
     """
@@ -219,6 +225,7 @@ def register_current(
     aggs = [
         F.min(night).alias("announced_at"),
         F.min_by(F.struct("source", "kind", *carried), at).alias("_first"),
+        F.max_by(F.struct("source", "kind", *carried), F.when(F.col("event") == "CORRECTED", at)).alias("_corrected"),
         F.max_by("held", F.when(feed, at)).alias("_held"),
         F.max_by("event", F.when(F.col("event") != "CORRECTED", at)).alias("_last"),
         F.max(night).alias("last_event_at"),
@@ -231,7 +238,7 @@ def register_current(
     out = events.groupBy(key).agg(*aggs)
     return out.select(
         key,
-        "_first.*",
+        F.inline(F.array(F.coalesce("_corrected", "_first"))),
         *[F.col("_held")[f].alias(f) for f in tracked],
         "announced_at",
         status_of(F.col("_last")).alias("status"),
@@ -397,11 +404,15 @@ def field_guard(current: DataFrame, feed: DataFrame, *, key: str = "id") -> Data
 
 
 def correct_register(
-    current: DataFrame, feed: DataFrame, *, cause: str, at: str, snapshot: str, key: str = "id"
+    current: DataFrame, feed: DataFrame, *, cause: str, at: str, snapshot: str, key: str = "id",
+    night: str = "run_date", tracked: tuple[str, ...] = TRACKED, carried: tuple[str, ...] = CARRIED,
 ) -> tuple[DataFrame, DataFrame]:
     """Add missing primary codes to open records and state each addition as an event.
 
     Additions only; a second run finds nothing. Returns (corrected table, CORRECTED events).
+    The events have the event table's columns (phase 2, after the night's others), the
+    corrected codes among the carried ones, and what was added and why beside them; so the
+    event table with them gives the corrected register again.
     """
     open_rows = current.filter(F.col("status") == v.OPEN)
     added = field_guard(open_rows, feed, key=key).groupBy(key).agg(
@@ -410,13 +421,21 @@ def correct_register(
     held = F.coalesce("iso3", F.array().cast("array<string>"))
     merged = F.array_sort(F.array_union(held, F.col("added")))
     joined = current.join(added, key, "left")
+    values = F.struct(*[F.col(f) for f in tracked])
     events = joined.filter("added IS NOT NULL").select(
         key,
-        F.lit(at).alias("run_date"),
+        "source",
+        "kind",
+        F.lit(at).alias(night),
+        F.lit(2).alias("phase"),
+        F.lit(None).cast("long").alias("pos"),
+        F.lit(0).alias("step"),
         F.lit("CORRECTED").alias("event"),
         F.lit(snapshot).alias("snapshot"),
+        F.when(F.lit(False), _change_struct(tracked, values)).alias("changes"),
+        values.alias("held"),
+        *[merged.alias(f) if f == "iso3" else F.col(f) for f in carried],
         held.alias("iso3_from"),
-        merged.alias("iso3_to"),
         "added",
         F.lit(cause).alias("cause"),
     )

@@ -68,10 +68,20 @@ def newest(rows: DataFrame, order: list[str], n: int) -> DataFrame:
 # --- figures ----------------------------------------------------------------------
 
 
+def _nights_on_record(nights: DataFrame) -> DataFrame:
+    name = F.lit("nights_on_record")
+    if "register" in nights.columns:
+        name = F.when(F.col("register").isNull(), name).otherwise(F.concat("register", F.lit("_"), name))
+    rows = nights.select(name.alias("key"), "night").distinct()
+    return rows.groupBy("key").agg(F.count("night").alias("value"))
+
+
 def register_figures(current: DataFrame, verdicts: DataFrame, nights: DataFrame, probes: DataFrame, *, as_of: str) -> DataFrame:
     """(key, value, as_of): dated counts of the register as one long table.
 
     ``current`` has the public ``state`` of open records; ``probes``: answered, catches.
+    ``nights`` has the register's nights, and with a column ``register`` those of others,
+    counted as ``{register}_nights_on_record``.
     """
     is_open = F.col("status") == v.OPEN
     source = F.lower(F.coalesce("source", F.lit("unknown")))
@@ -100,7 +110,7 @@ def register_figures(current: DataFrame, verdicts: DataFrame, nights: DataFrame,
     parts = [
         long(current.agg(*[c.alias(n) for n, c in base.items()]), base),
         long(verdicts.agg(*[c.alias(n) for n, c in done.items()]), done),
-        long(nights.agg(F.countDistinct("night").alias("nights_on_record")), ["nights_on_record"]),
+        _nights_on_record(nights),
         long(probes.agg(*[c.alias(n) for n, c in looked.items()]), looked),
         current.groupBy(F.concat(F.lit("futures_notarized_"), source).alias("key")).agg(F.count(F.lit(1)).alias("value")),
     ]
@@ -239,6 +249,14 @@ def acceptance(events: DataFrame, entries: DataFrame, answers: DataFrame) -> Dat
     )
 
 
+def unverifiable_by_category(entries: DataFrame) -> DataFrame:
+    """(category, entries, unverifiable, unverifiable_share)."""
+    lost = F.count_if(F.col("class") == "unverifiable")
+    return entries.groupBy("category").agg(
+        F.count(F.lit(1)).alias("entries"), lost.alias("unverifiable"), share(lost, F.count(F.lit(1)), 4).alias("unverifiable_share")
+    )
+
+
 # --- answers ------------------------------------------------------------------------
 
 

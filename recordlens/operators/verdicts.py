@@ -78,16 +78,15 @@ def verdicts(
         closed = closed.join(done.select(key), key, "left_anti")
     forecast = F.col("kind") != "ALERT_EPISODE"
     files = evidence(events, key=key)
+    # Only forecasts with a storm's name look for a match; the rest never meet on a null.
+    named = closed.filter(forecast).select(key, text.storm_token(F.col("what")).alias("token")).filter("token IS NOT NULL")
+    matches = named.join(storm_matches(current, key=key), "token").select(key, "matched", "matched_from")
+    theirs = files.select(F.col(key).alias("matched"), F.col("evidence").alias("_matched_files"))
+    matches = matches.join(theirs, "matched", "left")
     rows = (
-        closed.withColumn("token", F.when(forecast, text.storm_token(F.col("what"))))
-        .join(storm_matches(current, key=key), "token", "left")
+        closed.join(matches, key, "left")
         .join(severity_paths(events, key=key, night=night).drop("revisions"), key, "left")
         .join(files, key, "left")
-        .join(
-            files.select(F.col(key).alias("matched"), F.col("evidence").alias("_matched_files")),
-            "matched",
-            "left",
-        )
     )
     start, end = clock.iso_seconds(F.col("window")["from"]), clock.iso_seconds(F.col("window")["to"])
     lead = clock.iso_seconds(F.col("matched_from")) - clock.iso_seconds(F.col("announced_at"))

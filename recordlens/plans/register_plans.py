@@ -175,10 +175,14 @@ def register_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as records holding their nation; the orders feed names a primary code."""
     cust = table(spark, sf_dir, "customer")
     orders = table(spark, sf_dir, "orders")
+    text = lambda c: F.lit(c).cast("string")
     cur = cust.select(
         F.col("c_custkey").cast("string").alias("id"),
         F.array(F.concat(F.lit("N"), F.col("c_nationkey").cast("string"))).alias("iso3"),
         F.when(F.col("c_acctbal") >= 0, v.OPEN).otherwise(v.CLOSED_BY_SOURCE).alias("status"),
+        F.col("c_mktsegment").alias("source"), text("ALERT_EPISODE").alias("kind"), text("flood").alias("hazard"), text(None).alias("source_ref"),
+        text("Orange").alias("severity"), F.struct(text("2024-01-01").alias("from"), text(None).alias("to")).alias("window"),
+        F.col("c_name").alias("what"), text(None).alias("where"),
     )
     feed = orders.select(
         F.col("o_custkey").cast("string").alias("id"),
@@ -187,8 +191,18 @@ def register_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("N"), (F.floor("o_totalprice") % 25).cast("string")),
         ).alias("primary_iso3"),
     )
-    corrected, _ = reg.correct_register(cur, feed, cause="code left out at first", at=LAST_NIGHT, snapshot="orders")
-    return corrected.select("id", "status", F.array_join("iso3", ",").alias("iso3"))
+    corrected, found = reg.correct_register(cur, feed, cause="code left out at first", at=LAST_NIGHT, snapshot="orders")
+    # The same register from its events: first sights, closures of the closed, corrections.
+    first = found.columns[:-3]
+    status = F.when(F.col("status") == v.OPEN, F.array(F.lit("NOTARIZED"))).otherwise(F.array(F.lit("NOTARIZED"), F.lit(v.CLOSED_BY_SOURCE)))
+    rows = cur.select("*", F.posexplode(status).alias("phase", "event")).select(
+        "id", "source", "kind", F.lit(NIGHT_BEFORE).alias("run_date"), "phase", F.lit(None).cast("long").alias("pos"), F.lit(0).alias("step"),
+        "event", F.lit("customer").alias("snapshot"), F.lit(None).cast(found.schema["changes"].dataType).alias("changes"),
+        F.struct("severity", "window", "what", "where").alias("held"), "hazard", "iso3", "source_ref",
+    )
+    again = reg.register_current(rows.select(first).unionByName(found.select(first)), with_history=True)
+    derived = again.select("id", F.array_join("iso3", ",").alias("derived_iso3"), F.size(F.filter("history", lambda e: e["event"] == "CORRECTED")).cast("long").alias("corrections"))
+    return corrected.select("id", "status", F.array_join("iso3", ",").alias("iso3")).join(derived, "id")
 
 
 def primary_code_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,7 +418,9 @@ ORACLES = {
       SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_acctbal >= 0 THEN 'OPEN' ELSE 'CLOSED_BY_SOURCE' END AS status,
         CASE WHEN c_acctbal >= 0 AND codes IS NOT NULL
              THEN array_to_string(list_sort(list_distinct(list_append(codes, 'N' || c_nationkey))), ',')
-             ELSE 'N' || c_nationkey END AS iso3
+             ELSE 'N' || c_nationkey END AS iso3,
+        iso3 AS derived_iso3,
+        CASE WHEN c_acctbal >= 0 AND len(list_filter(coalesce(codes, []), lambda x: x <> 'N' || c_nationkey)) > 0 THEN 1 ELSE 0 END AS corrections
       FROM customer LEFT JOIN codes ON codes.id = CAST(c_custkey AS VARCHAR)""",
     "primary_code_guard": _GUARD_SQL,
 }

@@ -59,7 +59,9 @@ def register_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, cur, verdicts = _parts(spark, sf_dir)
     e = table(spark, sf_dir, "events").withColumn("night", day_text("ts"))
     probes = e.groupBy("night").agg(F.count(F.lit(1)).alias("answered"), F.count_if(F.col("value") > 300).alias("catches"))
-    return rp.register_figures(cur, verdicts, e.select("night"), probes, as_of=LAST_NIGHT)
+    own = e.select("night", F.lit(None).cast("string").alias("register"))
+    others = table(spark, sf_dir, "orders").select(day_text("o_orderdate").alias("night"), F.when(F.col("o_orderstatus") == "F", "coverage").otherwise("wording").alias("register"))
+    return rp.register_figures(cur, verdicts, own.union(others), probes, as_of=LAST_NIGHT)
 
 
 def composition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +110,12 @@ def featured_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.featured(cur, LAST_NIGHT).select("id", F.col("rank").cast("bigint").alias("rank"), "window_to")
 
 
+def unverifiable_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    lost = F.when(F.col("value") < 30, "unverifiable").otherwise("changed")
+    return rp.unverifiable_by_category(e.select(F.col("event_type").alias("category"), lost.alias("class")))
+
+
 def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", r"(\d+)", 1)
@@ -157,9 +165,12 @@ QUERIES = {
     "hazard_listing": hazard_listing,
     "featured_records": featured_records,
     "acceptance": acceptance,
+    "unverifiable_by_category": unverifiable_by_category,
 }
 
 ORACLES = {
+    "unverifiable_by_category": """SELECT event_type AS category, count(*) AS entries, count(*) FILTER (value < 30) AS unverifiable,
+      round_even((count(*) FILTER (value < 30) / count(*)) * 10000, 0) / 10000 AS unverifiable_share FROM events GROUP BY 1""",
     "moments": _MOMENTS + "SELECT * FROM m",
     "moments_top100": _MOMENTS + "SELECT id, occurred_at, mode FROM m ORDER BY occurred_at DESC, id DESC, mode DESC LIMIT 100",
     "latest_events": BASE + "SELECT id, run_date, event FROM ev ORDER BY run_date DESC, id DESC, event DESC LIMIT 12",
@@ -167,7 +178,8 @@ ORACLES = {
     "register_figures": BASE + _STATE + rgp._VERDICT_SQL + f"""
       , p AS (SELECT count(*) AS answered, count(*) FILTER (value > 300) AS catches, count(DISTINCT CAST(ts AS DATE)) AS nights FROM events),
       f AS (
-        SELECT 'futures_under_watch' AS key, count(*) FILTER (status = 'OPEN') AS value FROM st
+        SELECT CASE o_orderstatus = 'F' WHEN true THEN 'coverage' ELSE 'wording' END || '_nights_on_record' AS key, count(DISTINCT o_orderdate) AS value FROM orders GROUP BY 1
+        UNION ALL SELECT 'futures_under_watch', count(*) FILTER (status = 'OPEN') AS value FROM st
         UNION ALL SELECT 'futures_window_open', count(*) FILTER (state = 'window_open') FROM st
         UNION ALL SELECT 'futures_cold_start', count(*) FILTER (state = 'cold_start') FROM st
         UNION ALL SELECT 'futures_drift', count(*) FILTER (state = 'drift') FROM st
