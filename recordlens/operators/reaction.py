@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recordlens import vocab as v
 from recordlens.functions.rates import median_of, share
 from recordlens.operators.ordered import day_index
+from recordlens.session import written
 
 
 def _no_codes() -> Column:
@@ -48,7 +49,9 @@ def plan_totals(
         F.sum("req").alias("plan_requirements_usd"),
         F.sum("fund").alias("plan_funded_usd"),
     )
-    joined = keyed.join(totals, "_codes", "left").drop("_codes")
+    # One row per distinct set, written: its size is known, and beyond a broadcast both sides
+    # are dealt by the set, so that Spark can split one that a third of the records name.
+    joined = keyed.join(written(totals, "plan-sets"), "_codes", "left").drop("_codes")
     return (
         joined.withColumn("has_plan_match", F.col("plans").isNotNull())
         .withColumn("plans", F.coalesce("plans", F.array().cast("array<bigint>")))
@@ -61,9 +64,13 @@ def overlap_pairs(
     left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, left_codes: str, right_codes: str
 ) -> DataFrame:
     """Distinct (left, right) pairs whose code arrays share an element."""
-    a = left.select(left_key, F.explode(F.array_distinct(left_codes)).alias("_code"))
+    keyed = left.select(left_key, code_set(F.col(left_codes)).alias("_codes"))
+    sets = keyed.select("_codes").distinct().select("_codes", F.explode("_codes").alias("_code"))
     b = right.select(right_key, F.explode(F.array_distinct(right_codes)).alias("_code"))
-    return a.join(b, "_code").select(left_key, right_key).distinct()
+    # Codes meet as distinct sets; a record then takes the partners of its set.
+    partners = sets.join(b, "_code").groupBy("_codes").agg(F.collect_set(right_key).alias("_partners"))
+    met = keyed.distinct().join(written(partners, "set-partners"), "_codes")
+    return met.select(left_key, F.explode("_partners").alias(right_key)).distinct()
 
 
 def coverage(records: DataFrame) -> DataFrame:
@@ -112,7 +119,7 @@ def mapped_codes(records: DataFrame, crosswalk: DataFrame, *, codes: str = "iso3
         F.transform(F.array_sort(F.collect_list(miss)), lambda s: s["_code"]).alias("unmapped_iso3"),
     )
     out = records.join(
-        grouped, (F.col(codes) == F.col("_codes")) & (F.col(day) == F.col("_day")), "left"
+        written(grouped, "mapped-sets"), (F.col(codes) == F.col("_codes")) & (F.col(day) == F.col("_day")), "left"
     ).drop("_codes", "_day")
     return out.withColumn("fips", F.coalesce("fips", _no_codes())).withColumn(
         "unmapped_iso3", F.coalesce("unmapped_iso3", _no_codes())
@@ -239,7 +246,7 @@ def attention_entries(
         "fips", "articles", share(F.col("articles") * 10_000, F.col("_world"), 1).alias("share_per_10k"),
         "baseline_median", share(F.col("articles"), F.col("baseline_median"), 2).alias("ratio_to_baseline"),
     )
-    return records.join(entry, "fips", "left")
+    return records.join(written(entry, "attention-sets"), "fips", "left")
 
 
 def nightly_reading(

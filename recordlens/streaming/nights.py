@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -74,12 +74,13 @@ def _folded_nights(spark: SparkSession, base: str, before: int | None = None) ->
 
 def folded_events(spark: SparkSession, base: str, night: str = "run_date", before: int | None = None) -> DataFrame:
     """The events in force: a batch's, up to the first night that a later batch has folded."""
-    firsts = _folded_nights(spark, base, before).select(F.col("epoch").alias("_later"), "first").distinct()
+    later = Window.orderBy("epoch").rowsBetween(1, Window.unboundedFollowing)  # one row per batch
+    firsts = _folded_nights(spark, base, before).groupBy("epoch").agg(F.min("first").alias("first"))
+    firsts = firsts.select("epoch", F.min("first").over(later).alias("_first"))
     events = spark.read.parquet(f"{base}/events")
     if before is not None:
         events = events.filter(F.col("epoch") < before)
-    later = events.select("epoch").distinct().join(firsts, F.col("_later") > F.col("epoch")).groupBy("epoch").agg(F.min("first").alias("_first"))
-    rows = events.join(later, "epoch", "left").filter(F.col("_first").isNull() | (F.col(night) < F.col("_first")))
+    rows = events.join(firsts, "epoch", "left").filter(F.col("_first").isNull() | (F.col(night) < F.col("_first")))
     return rows.drop("epoch", "_first")
 
 
