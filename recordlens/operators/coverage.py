@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordlens import vocab as v
 from recordlens.functions import grid
 from recordlens.functions.rates import rounded
 from recordlens.operators.ordered import first_per_key
@@ -85,12 +86,28 @@ def _spread(name: str, value: Column) -> list[Column]:
     ]
 
 
-def window_figures(cells: DataFrame, *, night: str = "night") -> DataFrame:
+def sampled_on_time(samples: DataFrame, scheduled: str, minutes: int = v.SAMPLE_TOLERANCE_MIN, *, at: str = "sampled_at") -> DataFrame:
+    """samples with ``on_time``: taken within so many minutes of the scheduled time of day (HH:mm, UTC).
+
+    The nearest scheduled time counts, also across midnight. A sample without a time is late.
+    """
+    time = F.col(at).try_cast("timestamp")
+    hour, minute = (int(x) for x in scheduled.split(":"))
+    off = F.pmod(F.unix_seconds(time) / 60 - (hour * 60 + minute), F.lit(1440))
+    return samples.withColumn("on_time", F.coalesce(F.least(off, 1440 - off) <= minutes, F.lit(False)))
+
+
+def window_figures(cells: DataFrame, *, night: str = "night", samples: DataFrame | None = None) -> DataFrame:
     """Median, extremes and spread over the nights of a window.
 
+    ``samples`` (night, on_time, see :func:`sampled_on_time`): nights whose declared sample
+    was not taken on time stay on record but don't enter the figures.
+
     The envelope is every cell declared at least once in the window; the discrepancy rate
     is the share of a night's observed envelope cells without a declaration.
     """
+    if samples is not None:
+        cells = cells.join(samples.filter("on_time").select(night).distinct(), night, "left_semi")
     envelope = cells.filter("declared_sample > 0").select("cell").distinct()
     o, d = F.col("observed_passes") > 0, F.col("declared_sample") > 0
     inside = cells.join(envelope, "cell", "left_semi").groupBy(night).agg(

@@ -182,13 +182,18 @@ def plan_gap(reading: DataFrame) -> DataFrame:
     return rows.groupBy("has_plan_match").agg(F.countDistinct("code").alias("countries"))
 
 
-def night_table(events: DataFrame, verdicts: DataFrame, *, night: str = "run_date") -> DataFrame:
-    """Per night: first sights, revisions, closures and verdicts."""
+def night_table(events: DataFrame, verdicts: DataFrame, rates: DataFrame | None = None, *, night: str = "run_date") -> DataFrame:
+    """Per night: first sights, revisions, closures and verdicts; ``rates`` (night, match_rate) beside them.
+
+    A night without a reading has no match rate.
+    """
     counted = events.groupBy(night).pivot(
         "event", ["NOTARIZED", "REVISED", "REAPPEARED", "CLOSED_BY_SOURCE", "DISSIPATED"]
     ).count()
     resolved = verdicts.groupBy(F.col("resolved_at").alias(night)).agg(F.count(F.lit(1)).alias("resolved"))
     rows = counted.join(resolved, night, "full").na.fill(0)
+    if rates is not None:
+        rows = rows.join(rates.select(night, "match_rate"), night, "left")
     return rows.select(
         night,
         F.col("NOTARIZED").alias("notarized"),
@@ -196,6 +201,7 @@ def night_table(events: DataFrame, verdicts: DataFrame, *, night: str = "run_dat
         (F.col("CLOSED_BY_SOURCE") + F.col("DISSIPATED")).alias("closed"),
         F.col("REAPPEARED").alias("reopened"),
         "resolved",
+        *(["match_rate"] if rates is not None else []),
     )
 
 

@@ -85,7 +85,12 @@ def coverage_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cov.window_figures(_axes(spark, sf_dir)[2])
+    """Nights sampled on time only; a night's sample is taken some minutes after one o'clock, by its date."""
+    cells = _axes(spark, sf_dir)[2]
+    late = (F.dayofmonth(F.to_date("night")) * 37) % 240
+    at = F.date_format(F.timestamp_seconds(F.unix_seconds(F.to_timestamp("night")) + 3600 + late * 60), "yyyy-MM-dd'T'HH:mm:ss")
+    samples = cov.sampled_on_time(cells.select("night").distinct().withColumn("sampled_at", at), "02:15")
+    return cov.window_figures(cells, samples=samples)
 
 
 # --- drift: every (event type, user) is a product, every event a reading ----------------
@@ -256,11 +261,12 @@ ORACLES = {
       SELECT s.night, s.n AS catalog_products, (SELECT count(*) FROM acq WHERE acq.night = s.night) AS acquisitions, c.* EXCLUDE (night)
       FROM (SELECT night, count(*) AS n FROM scene GROUP BY night) s JOIN c ON c.night = s.night""",
     "window_figures": _PLACES + f"""
-      , env AS (SELECT DISTINCT cell FROM both_axes WHERE declared_sample > 0),
+      , timely AS (SELECT * FROM both_axes WHERE 60 + (day(CAST(night AS DATE)) * 37) % 240 BETWEEN 135 - 90 AND 135 + 90),
+      env AS (SELECT DISTINCT cell FROM timely WHERE declared_sample > 0),
       n AS (SELECT night, count(*) FILTER (observed_passes > 0) AS observed, count(*) FILTER (declared_sample > 0) AS declared,
         round_even(count(*) FILTER (observed_passes > 0 AND declared_sample = 0 AND cell IN (SELECT cell FROM env))
           / nullif(count(*) FILTER (observed_passes > 0 AND cell IN (SELECT cell FROM env)), 0) * 10000, 0) / 10000 AS rate
-        FROM both_axes GROUP BY night)
+        FROM timely GROUP BY night)
       SELECT count(*) AS nights, {_spread_sql('observed', 'observed')}, {_spread_sql('declared', 'declared')},
         {_spread_sql('discrepancy', 'rate')} FROM n""",
     "first_seen_products": _PRODUCTS + """SELECT id, date AS first_seen, online, eviction_date, modification_date, checksums

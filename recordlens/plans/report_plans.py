@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlens import sinks
+from recordlens.functions.rates import share
 from recordlens.operators import register as reg
 from recordlens.operators import reports as rp
 from recordlens.operators import verdicts as ver
@@ -97,8 +98,10 @@ def plan_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def night_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the match rate of the nights that have a reading: those with an even number of events."""
     ev, _, verdicts = _parts(spark, sf_dir)
-    return rp.night_table(ev, verdicts)
+    e = table(spark, sf_dir, "events").groupBy(day_text("ts").alias("run_date")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > 35).alias("m"))
+    return rp.night_table(ev, verdicts, e.filter("n % 2 = 0").select("run_date", share(F.col("m"), F.col("n"), 4).alias("match_rate")))
 
 
 def hazard_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +214,9 @@ ORACLES = {
       , n AS (SELECT run_date, count(*) FILTER (event = 'NOTARIZED') AS notarized, count(*) FILTER (event = 'REVISED') AS revised,
         count(*) FILTER (event IN ('CLOSED_BY_SOURCE', 'DISSIPATED')) AS closed, count(*) FILTER (event = 'REAPPEARED') AS reopened FROM ev GROUP BY run_date),
       v AS (SELECT r.last_event_at AS night, count(*) AS k FROM verd JOIN reg r ON r.id = verd.id GROUP BY 1)
-      SELECT n.*, coalesce(v.k, 0) AS resolved FROM n LEFT JOIN v ON v.night = n.run_date""",
+      SELECT n.*, coalesce(v.k, 0) AS resolved, q.match_rate FROM n LEFT JOIN v ON v.night = n.run_date
+      LEFT JOIN (SELECT strftime(ts, '%Y-%m-%d') AS d, round_even(count(*) FILTER (value > 35) / count(*) * 10000, 0) / 10000 AS match_rate
+        FROM events GROUP BY 1 HAVING count(*) % 2 = 0) q ON q.d = n.run_date""",
     "hazard_listing": BASE + """SELECT id, hazard, count(*) OVER (PARTITION BY hazard) AS group_size FROM reg WHERE status = 'OPEN'""",
     "featured_records": BASE + _STATE + f"""SELECT id, CAST(CASE WHEN left(window_to, 10) >= '{LAST_NIGHT}' THEN 0 ELSE 1 END AS BIGINT) AS rank, window_to
       FROM st WHERE state = 'window_open' ORDER BY 2, window_to, id LIMIT 7""",

@@ -65,9 +65,18 @@ def preserve_once(entries: DataFrame, manifest: DataFrame) -> DataFrame:
     return one_per_key(entries, ["file", "sha256"]).join(manifest.select("file", "sha256"), ["file", "sha256"], "left_anti")
 
 
-def manifest_of(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256) of every file below ``path``, hashed where it is read."""
-    return file_hashes(read_bytes(spark, path))
+def manifest_of(spark: SparkSession, path: str, fetches: DataFrame | None = None) -> DataFrame:
+    """(path, bytes, sha256) of every file below ``path``, hashed where it is read.
+
+    With ``fetches`` (file, url, retrieved_at, http_status) the entries a manifest holds:
+    file (the name below ``path``), url, retrieved_at, http_status, sha256, bytes.
+    """
+    found = file_hashes(read_bytes(spark, path))
+    if fetches is None:
+        return found
+    base = path.rstrip("/").split("://")[-1].split(":")[-1].lstrip("/")
+    name = F.substring_index("path", base + "/", -1)
+    return found.withColumn("file", name).join(fetches, "file", "left").select("file", "url", "retrieved_at", "http_status", "sha256", "bytes")
 
 
 def moment_feed(moments: DataFrame, n: int = v.MOMENT_LIMIT) -> DataFrame:

@@ -54,6 +54,12 @@ def manifest_entries(bodies: DataFrame) -> DataFrame:
     return d.select(F.col("d.run_date").alias("run_date"), F.inline("d.entries"))
 
 
+def manifest_files(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, run_date, entry fields) of the manifest files below ``path`` (a folder or a pattern), one document each."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("origin"), F.from_json("value", MANIFEST).alias("d"))
+    return files.select("origin", F.col("d.run_date").alias("run_date"), F.inline("d.entries"))
+
+
 def numbered_lines(lines: DataFrame) -> DataFrame:
     """Add ``file`` and ``line_no``, the line's number in its file, to a table read from text.
 

@@ -40,6 +40,8 @@ LATENCY_NIGHTS_REQUIRED = 5
 LON_WEST, LON_EAST = 9.0, 30.0
 LAT_SOUTH, LAT_NORTH = 53.5, 66.0
 CELL_DEG = 0.5
+# Minutes by which a declared sample may miss the scheduled time.
+SAMPLE_TOLERANCE_MIN = 90
 DRIFT_FIELDS = ("online", "eviction_date", "modification_date", "checksums")
 
 # --- fixed values: page gate ------------------------------------------------

@@ -91,3 +91,15 @@ def test_drift(spark):
     ]
     states = dr.product_states(held, dr.drift(held, current, asked))
     assert as_list(states, "id", "state") == [("a", "held"), ("b", "diverged"), ("c", "diverged"), ("d", "held")]
+
+
+def test_samples_on_time_and_the_window(spark):
+    times = [("n1", "2024-03-01T02:15:00Z"), ("n2", "2024-03-02T03:46:00Z"), ("n3", "2024-03-03T03:45:00+00:00"), ("n4", "2024-03-03T23:50:00Z"), ("n5", None), ("n6", "soon")]
+    table = spark.createDataFrame(times, "night string, sampled_at string")
+    assert [r["on_time"] for r in cov.sampled_on_time(table, "02:15").orderBy("night").collect()] == [True, False, True, False, False, False]
+    near_midnight = cov.sampled_on_time(table, "00:30").orderBy("night").collect()
+    assert [r["on_time"] for r in near_midnight] == [False, False, False, True, False, False]
+    cells = spark.createDataFrame([("n1", "a", 1, 1), ("n1", "b", 1, 0), ("n2", "b", 1, 9)], "night string, cell string, observed_passes int, declared_sample int")
+    every = cov.window_figures(cells).first()
+    timely = cov.window_figures(cells, samples=cov.sampled_on_time(table, "02:15")).first()
+    assert (every["nights"], timely["nights"], timely["observed_median"], timely["discrepancy_median"]) == (2, 1, 2.0, 0.0)

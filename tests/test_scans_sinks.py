@@ -122,3 +122,18 @@ def test_a_batch_holds_a_key_once(spark, tmp_path):
     files = spark.createDataFrame([("f", "s", "u2"), ("f", "s", "u1"), ("g", "s", "u3")], "file string, sha256 string, url string")
     held = spark.createDataFrame([("g", "s")], "file string, sha256 string")
     assert as_list(sinks.preserve_once(files, held), "file", "url") == [("f", "u1")]
+
+
+def test_manifest_files_and_entries(spark, tmp_path):
+    for night in ("2024-01-01", "2024-01-02"):
+        folder = tmp_path / night / "snapshots"
+        folder.mkdir(parents=True)
+        (folder / "manifest.json").write_text(json.dumps({"run_date": night, "entries": [{"file": "a.json", "url": "u", "http_status": 200, "sha256": "s", "bytes": 3}]}))
+    got = records.manifest_files(spark, f"{tmp_path}/*/snapshots/manifest.json").orderBy("run_date").collect()
+    assert [(r["run_date"], r["file"], r["url"]) for r in got] == [("2024-01-01", "a.json", "u"), ("2024-01-02", "a.json", "u")]
+    assert all(r["origin"].endswith(f"{r['run_date']}/snapshots/manifest.json") for r in got)
+    (tmp_path / "kept").mkdir()
+    (tmp_path / "kept" / "x.bin").write_bytes(b"abc")
+    fetched = spark.createDataFrame([("x.bin", "https://x.test", "2024-01-01T00:00:00Z", 200)], "file string, url string, retrieved_at string, http_status int")
+    row = sinks.manifest_of(spark, str(tmp_path / "kept"), fetched).first()
+    assert (row["file"], row["url"], row["http_status"], row["bytes"]) == ("x.bin", "https://x.test", 200, 3)
