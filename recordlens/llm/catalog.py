@@ -21,7 +21,5 @@ ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op2_quality": quality.OP2_SQL,
     "op7_jaccard_join": jaccard.OP7_SQL,
-    "op8_sampled_pieces": pieces.op8_sampled_pieces,
-    "op9_language": language.op9_language,
     "op10_vector_near_copies": vectors.OP10_SQL,
 }

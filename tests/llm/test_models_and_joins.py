@@ -299,4 +299,4 @@ def test_pipeline_against_plain_stages(spark, sf_dir):
 
 def test_every_operator_has_a_query():
     assert {name.split("_")[0] for name in catalog.QUERIES} == {f"op{n}" for n in range(1, 11)}
-    assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+    assert set(catalog.ORACLES) <= set(catalog.QUERIES) and all(isinstance(x, str) for x in catalog.ORACLES.values())
