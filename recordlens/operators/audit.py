@@ -310,7 +310,10 @@ def audit_ledger(ledger: DataFrame, manifests: DataFrame, proofs: DataFrame, cla
 
     ``ledger``: manifest, sha256, state, proof, evidence; ``manifests``: manifest, sha256;
     ``proofs``: proof, manifest (the file it commits to); ``claimed``: counts by state.
+    A file ending in ``.bak`` is no proof but a leftover of the client.
     """
+    leftover = F.coalesce(F.endswith("proof", F.lit(".bak")), F.lit(False))
+    backups, proofs = proofs.filter(leftover), proofs.filter(~leftover)
     check = "ledger"
     there = manifests.select("manifest", F.col("sha256").alias("_found"), F.lit(True).alias("_there"))
     j = ledger.withColumn("_listed", F.lit(True)).join(there, "manifest", "full")
@@ -334,6 +337,7 @@ def audit_ledger(ledger: DataFrame, manifests: DataFrame, proofs: DataFrame, cla
             problems(
                 proofs.join(manifests.select("manifest"), "manifest", "left_anti"), check, "proof", "orphan proof"
             ),
+            problems(backups, check, "proof", "backup left among the proofs"),
             rule_rows(counts, check, F.lit("ledger"), [(f"count of {s} is wrong", F.col(s) != n) for s, n in claimed.items()]),
         ]
     )

@@ -225,6 +225,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("block(s) "), F.floor("o_totalprice").cast("string")).alias("evidence"),
     )
     proofs = o.filter("o_orderpriority <> '2-HIGH'").select(F.concat("manifest", F.lit(".ots")).alias("proof"), "manifest")
+    proofs = proofs.union(o.filter("o_orderkey % 50 = 0").select(F.concat("manifest", F.lit(".ots.bak")), "manifest"))
     return au.audit_ledger(lines, manifests, proofs, {"complete": 1, "pending": 2})
 
 
@@ -421,6 +422,7 @@ ORACLES = {
         ("f", "proof is missing", "FROM o WHERE listed AND o_orderstatus IN ('F', 'O') AND o_orderpriority = '2-HIGH'"),
         ("f", "complete without a named block", "FROM o WHERE listed AND o_orderstatus = 'F' AND o_totalprice < 100000"),
         ("f || '.ots'", "orphan proof", "FROM o WHERE NOT here AND o_orderpriority <> '2-HIGH'"),
+        ("f || '.ots.bak'", "backup left among the proofs", "FROM o WHERE o_orderkey % 50 = 0"),
         ("'ledger'", "count of complete is wrong", "FROM o WHERE listed AND o_orderstatus = 'F' HAVING count(*) <> 1"),
         ("'ledger'", "count of pending is wrong", "FROM o WHERE listed AND o_orderstatus = 'O' HAVING count(*) <> 2"),
     ]),
