@@ -99,7 +99,7 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Money of the orders recomputed against a copy with wrong sums and lost rows."""
+    """Money on record, with wrong sums and lost rows, against the same derived again from the tables."""
     rec = rxp.order_records(spark, sf_dir)
     again = rx.plan_totals(rec, rxp.plans(spark, sf_dir), rxp.funding(spark, sf_dir)).select(
         "id", "kind", "status", "has_plan_match", "plan_requirements_usd", "plan_funded_usd"
@@ -109,7 +109,7 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     committed = held.filter("NOT (status = 'OPEN' AND kind = 'FORECAST' AND has_plan_match)").withColumn(
         "plan_funded_usd", F.when(off, F.col("plan_funded_usd") + 1).otherwise(F.col("plan_funded_usd"))
     )
-    recomputed = held.filter("NOT (status <> 'OPEN' AND NOT has_plan_match)")
+    recomputed = again.filter("NOT (status <> 'OPEN' AND NOT has_plan_match)")
     return au.compare(committed.drop("kind", "status"), recomputed.drop("kind", "status"), ["id"], "readings")
 
 
@@ -130,8 +130,9 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = written(cvp.grid_counts(spark, sf_dir), "cells")
-    committed = cells.filter("cell NOT LIKE 'E15%'").withColumn(
+    """Cells on record, some lost or changed, against the same derived again from the positions."""
+    cells = cvp.grid_counts(spark, sf_dir)
+    committed = written(cells, "cells").filter("cell NOT LIKE 'E15%'").withColumn(
         "observed_passes", F.when(F.col("cell").like("E20%"), F.col("observed_passes") + 1).otherwise(F.col("observed_passes"))
     )
     return au.compare(committed, cells.filter("cell NOT LIKE 'E22.5%'"), ["night", "cell"], "coverage")
@@ -147,8 +148,8 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     held, current, asked = cvp._drift_inputs(spark, sf_dir)
     held = written(held, "held")
-    found = written(dr.drift(held, current, asked), "findings")
-    committed = found.filter("NOT (kind = 'changed' AND field = 'online' AND current = 'false')").withColumn(
+    found = dr.drift(held, current, asked)
+    committed = written(found, "findings").filter("NOT (kind = 'changed' AND field = 'online' AND current = 'false')").withColumn(
         "preserved",
         F.when((F.col("kind") == "changed") & (F.col("field") == "modification_date"), F.col("current")).otherwise(F.col("preserved")),
     )
@@ -179,9 +180,9 @@ def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded gate verdicts that call every challenge page fine."""
-    again = written(wdp.page_gate(spark, sf_dir).select("page_id", "valid", "reason"), "gates")
+    again = wdp.page_gate(spark, sf_dir).select("page_id", "valid", "reason")
     short = F.col("reason").isin("too_short", "consent_boilerplate")
-    recorded = again.withColumns(
+    recorded = written(again, "gates").withColumns(
         {"valid": F.col("valid") | short, "reason": F.when(short, "ok").otherwise(F.col("reason"))}
     )
     return au.compare(recorded, again, ["page_id"], "gate")
