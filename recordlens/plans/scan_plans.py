@@ -69,7 +69,7 @@ def alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def storm_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def storm_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One storm document per order; some storms have no id, a few have none at all."""
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -81,11 +81,14 @@ def storm_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor("o_totalprice").cast("string").alias("intensity"),
         day_text("o_orderdate").alias("lastUpdate"),
     )
-    bodies = o.select(
+    return o.select(
         day_text("o_orderdate").alias("run_date"), F.lit("storms").alias("snapshot"), k.alias("doc"),
         F.to_json(F.struct(F.array(storm).alias("activeStorms"))).alias("body"),
     )
-    out = feeds.storm_observations(bodies)
+
+
+def storm_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = feeds.storm_observations(storm_bodies(spark, sf_dir))
     return out.select("run_date", F.col("pos.doc").alias("doc"), "id", "what", "where", "severity", F.col("window.from").alias("window_from"))
 
 
@@ -95,7 +98,7 @@ def _vtec(action, office, etn, begin, end, sig="W"):
     )
 
 
-def warning_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def warning_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One warning message per event with three codes: a warning, its extension or end, and an advisory."""
     ev = spread(table(spark, sf_dir, "events"), "event_id")
     day = day_text("ts")
@@ -118,17 +121,26 @@ def warning_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(day, F.lit("T23:00:00")).alias("expires"), F.concat(F.lit("Area "), _text_of("user_id")).alias("areaDesc"),
         F.struct(codes.alias("VTEC")).alias("parameters"),
     )
-    bodies = ev.select(
+    return ev.select(
         day.alias("run_date"), F.lit("warnings").alias("snapshot"), F.col("event_id").alias("doc"),
         F.to_json(F.struct(F.array(F.struct(props.alias("properties"))).alias("features"))).alias("body"),
     )
-    out = feeds.warning_observations(bodies)
+
+
+def warning_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = feeds.warning_observations(warning_bodies(spark, sf_dir))
     return out.select(
         "run_date", "id", "hazard", "what", "where", "severity", F.col("window.from").alias("window_from"),
         F.col("window.to").alias("window_to"), "source_ref",
     )
 
 
+def all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three feeds as one table of observations."""
+    bodies = {"GDACS": alert_bodies(spark, sf_dir), "NHC": storm_bodies(spark, sf_dir), "NWS": warning_bodies(spark, sf_dir)}
+    return feeds.all_observations(bodies).select("run_date", "id", "what", "where", "severity", F.col("window.from").alias("window_from"))
+
+
 def answered_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetches from events: some fail, some are cut off in the middle."""
     ev = table(spark, sf_dir, "events")
@@ -395,6 +407,7 @@ QUERIES = {
     "alert_feed": alert_feed,
     "storm_feed": storm_feed,
     "warning_feed": warning_feed,
+    "all_feeds": all_feeds,
     "answered_nights": answered_nights,
     "plan_scan": plan_scan,
     "funding_scan": funding_scan,
@@ -494,3 +507,5 @@ ORACLES = {
       SELECT day, count(DISTINCT country) + 1 AS n, CAST(sum(a) * 2 AS BIGINT) AS articles, CAST(1 AS BIGINT) AS refused FROM v GROUP BY day""",
     "append_new": """SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus ELSE 'late' END AS verdict FROM orders""",
 }
+_COMMON = 'SELECT run_date, id, what, "where", severity, window_from FROM'
+ORACLES["all_feeds"] = " UNION ALL ".join(f"{_COMMON} ({ORACLES[name]})" for name in ("alert_feed", "storm_feed", "warning_feed"))
