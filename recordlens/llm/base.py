@@ -17,7 +17,7 @@ MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64
 )
 #: Entries a worker keeps in one cache of words; beyond it the cache starts again.
-CACHE = 400_000
+CACHE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ FIT_DOCS, FIT_WORDS = 3000, 20_000
 LONGEST_PIECE = 8
 UNKNOWN = "und"
 #: Words whose scores a worker remembers; beyond it the memory starts again.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
