@@ -1,15 +1,17 @@
 """Masked pseudo-likelihood: every token predicted from both sides by a window network.
 
 1. Words of all documents are counted; the most frequent get tokens of their own, the
-   others share a few tokens by length and first byte.
+   others share a few tokens by length and first byte. A shared token is a class of words:
+   the network predicts the class, and the word's share of it comes from the counts.
 2. The network adds one vector for each of the neighbours at -2, -1, +1 and +2, bends the
    sum, and predicts the class of the hidden token and the token within its class. Every
    task trains on its share of positions from common weights (numpy, Adagrad), and the
    weights are averaged by the number of positions, for a few rounds.
-3. A document's score is the sum of the log probabilities of its tokens, each given its
-   neighbours; nothing outside the document is a neighbour.
+3. A document's score is the sum of the log probabilities of its words, each given its
+   neighbours; nothing outside the document is a neighbour. The counts of words that share
+   a token are met on Spark, by hash, as they grow with the corpus.
 
-Counts, training positions and averaged weights all grow with the corpus; the model, and
+Counts, training positions and averaged weights all grow with the corpus; the network, and
 with it what tasks receive, has a fixed size.
 """
 
@@ -17,15 +19,16 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm.base import LOWER, MIX, as_bytes, mixed, slices, table
+from recordlens.llm.base import LOWER, MIX, as_bytes, mixed, slices, table, word_hashes
 from recordlens.session import written
 
 #: Classes, tokens a class, and the width of the network.
@@ -37,6 +40,8 @@ SHARED = 64
 ROUNDS, ONE_IN = 2, 8
 #: Words counted in a task before it hands them on.
 HELD = 400_000
+#: Groups in which shared words meet their counts: so many at least, and of so many occurrences.
+GROUPS, GROUP = 1024, 1_000_000
 #: Weights in one piece when they are averaged.
 PIECE = 8192
 OFFSETS = (-2, -1, 1, 2)
@@ -219,49 +224,145 @@ def trained_once(docs: DataFrame, known: dict[bytes, int], net: np.ndarray, turn
     return np.concatenate([np.frombuffer(found[i], dtype=np.float32) for i in range(len(found))]) if found else net
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS) -> tuple[dict[bytes, int], np.ndarray]:
-    """The vocabulary and the network's weights from all documents of (doc_id, text)."""
-    counts = written(count_words(docs), "word-counts")
+def shared_counts(counts: DataFrame, known: dict[bytes, int]) -> np.ndarray:
+    """Occurrences of the words of each shared token, from (word, n) and the words that have their own."""
+    n = np.zeros(SHARED)
+    sizes = counts.groupBy(F.least(F.octet_length("word"), F.lit(15)).alias("size"), F.expr("conv(hex(substring(word, 1, 1)), 16, 10) % 4").cast("int").alias("first")).agg(F.sum("n").alias("n"))
+    for r in sizes.collect():  # SHARED rows
+        n[r["size"] * 4 + r["first"]] = r["n"]
+    if known:
+        own = counts.sparkSession.createDataFrame([(bytearray(w),) for w in known], "word binary")
+        for r in counts.join(own, "word").collect():  # no more rows than known words
+            n[shared_token(bytes(r["word"])) - VOCABULARY + SHARED] -= r["n"]
+    return n
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None) -> tuple[dict[bytes, int], np.ndarray]:
+    """The vocabulary and the network's weights from all documents of (doc_id, text) and their counted words."""
+    counts = written(count_words(docs), "word-counts") if counts is None else counts
     own = VOCABULARY - SHARED
     top = counts.orderBy(F.col("n").desc(), "word").limit(own).collect()
     known = {bytes(r["word"]): i for i, r in enumerate(top)}
     n = np.zeros(VOCABULARY)
     n[: len(top)] = [r["n"] for r in top]
-    sizes = counts.groupBy(F.least(F.octet_length("word"), F.lit(15)).alias("size"), F.expr("conv(hex(substring(word, 1, 1)), 16, 10) % 4").cast("int").alias("first")).agg(F.sum("n").alias("n"))
-    for r in sizes.collect():  # SHARED rows
-        n[own + r["size"] * 4 + r["first"]] = r["n"]
-    for w, i in known.items():
-        n[shared_token(w)] -= n[i]
+    n[own:] = shared_counts(counts, known)
     weights = Network.start(n).weights
     for turn in range(rounds):
         weights = trained_once(docs, known, weights, turn)
     return known, weights
 
 
-def scored(docs: DataFrame, known: dict[bytes, int], weights: np.ndarray) -> DataFrame:
+def _spelt(size: np.ndarray) -> np.ndarray:
+    """Log probability of a word of so many bytes that was never counted: any byte, and any length from 15."""
+    return -np.log(2.0) * (8 * size + np.maximum(size - 14, 0))
+
+
+def _dealt(hashes: np.ndarray, groups: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """(group, hashes, columns) as bytes, for each group of hashes that has any."""
+    group = (hashes >> np.uint64(32)) % np.uint64(groups)
+    order = np.argsort(group, kind="stable")
+    found, begin = np.unique(group[order], return_index=True)
+    edge = [*begin.tolist(), len(order)]
+    parts = [x[order] for x in (hashes, *columns)]
+    for g, a, b in zip(found.tolist(), edge, edge[1:], strict=False):
+        yield (g, *(x[a:b].tobytes() for x in parts))
+
+
+def _gains(counts: DataFrame, known: dict[bytes, int], groups: int) -> DataFrame:
+    """By group, hashes of the words that share a token, and the log of each one's count over the chance of its spelling."""
+    sent = counts.sparkSession.sparkContext.broadcast(known)
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, words, n = sent.value, [], []
+
+        def out():
+            gain = np.log(np.array(n, dtype=np.float64)) - _spelt(np.array([len(w) for w in words]))
+            rows = list(_dealt(np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64), groups, gain))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["group", "hashes", "gains"])
+
+        for batch in batches:
+            for w, k in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if w not in own:
+                    words.append(w), n.append(k)
+            if len(words) > HELD:
+                yield out()
+                words.clear(), n.clear()
+        if words:
+            yield out()
+
+    return counts.select("word", "n").mapInArrow(gains, "group long, hashes binary, gains binary")
+
+
+def _looked_up(found: pa.Table, gains: pa.Table) -> pa.Table:
+    """The scores that came along, and by row what the words' counts add to them."""
+
+    def joined(table: pa.Table, name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(x for x in table.column(name).to_pylist() if x), kind)
+
+    rows, ids, sizes, logs = [], [], [], []
+    scores = found.filter(found.column("hashes").is_null())
+    for base, doc, n, total in zip(*(scores.column(c).to_pylist() for c in ("base", "doc_id", "n_tokens", "log_likelihood")), strict=True):
+        rows += range(base, base + len(doc))
+        ids += doc
+        sizes += n
+        logs += total
+    words = found.filter(found.column("hashes").is_valid())
+    key, gain, h = joined(gains, "hashes", np.uint64), joined(gains, "gains", np.float64), joined(words, "hashes", np.uint64)
+    added, total = np.zeros(0, dtype=np.int64), np.zeros(0)
+    if len(key) and len(h):
+        order = np.argsort(key)
+        key, gain = key[order], gain[order]
+        base = np.repeat(words.column("base").to_numpy(), [len(x) // 8 for x in words.column("hashes").to_pylist()])
+        at = np.minimum(np.searchsorted(key, h), len(key) - 1)
+        added, row = np.unique(base + joined(words, "rows", np.int32), return_inverse=True)
+        total = np.bincount(row, np.where(key[at] == h, gain[at], 0.0))
+    blank = [None] * len(added)
+    return pa.table([pa.array(c, t) for c, t in ((rows + added.tolist(), pa.int64()), (ids + blank, pa.int64()), (sizes + blank, pa.int64()), (logs + total.tolist(), pa.float64()))], names=["row", "doc_id", "n_tokens", "log_likelihood"])
+
+
+def scored(docs: DataFrame, known: dict[bytes, int], weights: np.ndarray, counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every whole text.
 
-    Tokens are words between white space, A-Z in lower case. A text that is null or
-    without a word has no tokens, a sum of 0 and no mean. Every row is scored by itself;
-    other columns are not read.
+    Tokens are words between white space, A-Z in lower case. A word without a token of its
+    own has the probability of its shared token times its share of that token's words in
+    ``counts`` (word, n), by default those of docs; words not counted have one count in
+    all, dealt out by their bytes. A text that is null or without a word has no tokens, a
+    sum of 0 and no mean. Every row is scored by itself; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((known, weights))
+    counts = written(count_words(docs), "word-counts") if counts is None else counts
+    shared = shared_counts(counts, known)
+    groups = max(GROUPS, int(shared.sum()) // GROUP)
+    sent = docs.sparkSession.sparkContext.broadcast((known, weights, np.log(shared + 1)))
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()))
+    names = ["group", "base", "hashes", "rows", "doc_id", "n_tokens", "log_likelihood"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = sent.value[0], Network(sent.value[1].copy())
+        words, net, among = sent.value[0], Network(sent.value[1].copy()), sent.value[2]
+        base, memory = TaskContext.get().partitionId() << 33, {}
         for batch in batches:
             for piece in slices(batch, "text", 2 << 20):
-                tokens = Batch([token_numbers(t.translate(LOWER).split(), words) if t else [] for t in as_bytes(piece.column("text"))])
+                texts = [t.translate(LOWER).split() if t else [] for t in as_bytes(piece.column("text"))]
+                tokens = Batch([token_numbers(t, words) for t in texts])
                 logs = net.logs(tokens.line, tokens.at)
-                owner = np.repeat(np.arange(len(tokens.size)), tokens.size)
+                owner = np.repeat(np.arange(len(tokens.size), dtype=np.int32), tokens.size)
+                kind = tokens.line[tokens.at] - (VOCABULARY - SHARED)
+                bare = kind >= 0
+                without = list(compress(chain.from_iterable(texts), bare.tolist()))
+                logs[bare] += _spelt(np.fromiter(map(len, without), dtype=np.int64, count=len(without))) - among[kind[bare]]
                 total = np.bincount(owner, logs, minlength=len(tokens.size))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(tokens.size), pa.array(total)], names=["doc_id", "n_tokens", "log_likelihood"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(score, "doc_id long, n_tokens long, log_likelihood double")
+                out = [(base % groups, base, None, None, piece.column("doc_id").to_pylist(), tokens.size, total)]
+                out += [(g, base, h, r, None, None, None) for g, h, r in _dealt(word_hashes(without, memory), groups, owner[bare])]
+                base += len(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    found = docs.select("doc_id", "text").mapInArrow(score, "group long, base long, hashes binary, rows binary, doc_id array<long>, n_tokens array<long>, log_likelihood array<double>")
+    met = found.groupBy("group").cogroup(_gains(counts, known, groups).groupBy("group")).applyInArrow(_looked_up, "row long, doc_id long, n_tokens long, log_likelihood double")
+    rows = met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_likelihood").alias("log_likelihood")).drop("row")
     return rows.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
 def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pseudo-likelihood under a network trained on all of them."""
     docs = table(spark, sf_dir, "documents")
-    return scored(docs, *fit(docs))
+    counts = written(count_words(docs), "word-counts")
+    return scored(docs, *fit(docs, counts=counts), counts=counts)

@@ -262,6 +262,28 @@ def test_pseudo_likelihood(spark):
     assert empty == {} and pseudo.scored(df.limit(0), empty, w0).count() == 0
 
 
+def test_words_that_share_a_token_have_their_own_probability(spark):
+    common = [(i, f"c{i:04d} " * 9) for i in range(pseudo.VOCABULARY - pseudo.SHARED)]
+    rows = common + [(5000, "zebra zebra"), (5001, "zabra"), (5002, "zebra"), (5002, "zebra"), (5003, "zabra zebra"), (5004, "z" * 20)]
+    df = plain.documents(spark, rows)
+    counts = pseudo.count_words(df)
+    known, weights = pseudo.fit(df, rounds=0, counts=counts)
+    assert len(known) == len(common) and not {b"zebra", b"zabra"} & set(known)
+    other = plain.documents(spark, [(1, "zebra"), (2, "zabra"), (3, "zybra"), (4, "zebra zabra"), (None, None), (5, "z" * 20), (5, "z" * 20)])
+    got = {}
+    for r in pseudo.scored(other, known, weights, counts).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sorted(map(len, got.values())) == [1, 1, 1, 1, 1, 2] and got[None][0].n_tokens == 0
+    score = {i: x[0].log_likelihood for i, x in got.items()}
+    n = {bytes(r.word): r.n for r in counts.collect()}
+    assert math.isclose(score[1] - score[2], math.log(n[b"zebra"] / n[b"zabra"]), abs_tol=1e-5)
+    assert math.isclose(score[3] - score[2], -40 * math.log(2) - math.log(n[b"zabra"]), abs_tol=1e-4)
+    net = pseudo.Network(weights.copy())
+    line = pseudo.Batch([[pseudo.shared_token(b"zebra")]])
+    same = sum(k for w, k in n.items() if w not in known and pseudo.shared_token(w) == pseudo.shared_token(b"zebra"))
+    assert math.isclose(score[1], net.logs(line.line, line.at)[0] + math.log(n[b"zebra"] / (same + 1)), rel_tol=1e-5)
+
+
 def test_pipeline_against_plain_stages(spark, sf_dir):
     """Rows of run() hold exactly the documents that the stages' plain forms keep, each id once."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
