@@ -5,8 +5,8 @@
    the network predicts the class, and the word's share of it comes from the counts.
 2. The network adds one vector for each of the neighbours at -2, -1, +1 and +2, bends the
    sum, and predicts the class of the hidden token and the token within its class. Every
-   task trains on its share of positions from common weights (numpy, Adagrad), and the
-   weights are averaged by the number of positions, for a few rounds.
+   task trains on its positions from common weights (numpy, Adagrad), and the weights are
+   averaged by the number of positions. The rounds deal all positions out between them.
 3. A document's score is the sum of the log probabilities of its words, each given its
    neighbours; nothing outside the document is a neighbour. The counts of words that share
    a token are met on Spark, by hash, as they grow with the corpus.
@@ -36,8 +36,8 @@ CLASSES, WITHIN, WIDTH = 32, 64, 16
 VOCABULARY = CLASSES * WITHIN
 #: Tokens for words without one of their own: by length (sixteen) and first byte (four).
 SHARED = 64
-#: Rounds of training; in each, one position in so many.
-ROUNDS, ONE_IN = 2, 8
+#: Rounds of training; every position is trained on in one of them.
+ROUNDS = 2
 #: Words counted in a task before it hands them on.
 HELD = 400_000
 #: Groups in which shared words meet their counts: so many at least, and of so many occurrences.
@@ -118,6 +118,13 @@ class Network:
             h += self.side[k][line[at + o]]
         return np.tanh(h, out=h)
 
+    def inside(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Values of the tokens within each place's class; places come in order of class."""
+        y = self.word_bias[kind]
+        for c, a, b in _runs(kind):
+            y[a:b] += h[a:b] @ self.word[c]
+        return y
+
     def logs(self, line: np.ndarray, at: np.ndarray, piece: int = 16_384) -> np.ndarray:
         """Log probability of the token at each place, given its neighbours."""
         out = np.zeros(len(at))
@@ -129,12 +136,8 @@ class Network:
             x = h @ self.kind + self.kind_bias
             log = x[np.arange(len(mine)), kind] - _logsum(x)
             order = np.argsort(kind, kind="stable")
-            edge = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-            for c in range(CLASSES):
-                who = order[edge[c] : edge[c + 1]]
-                if len(who):
-                    y = h[who] @ self.word[c] + self.word_bias[c]
-                    log[who] += y[np.arange(len(who)), token[who] % WITHIN] - _logsum(y)
+            y = self.inside(h[order], kind[order])
+            log[order] += y[np.arange(len(mine)), token[order] % WITHIN] - _logsum(y)
             out[b : b + piece] = log
         return out
 
@@ -149,20 +152,34 @@ class Network:
         x *= n
         g.kind[:], g.kind_bias[:] = h.T @ x, x.sum(axis=0)
         dh = x @ self.kind.T
-        for c in np.unique(kind):
-            who = np.flatnonzero(kind == c)
-            y = _shares(h[who] @ self.word[c] + self.word_bias[c])
-            y[np.arange(len(who)), token[who] % WITHIN] -= 1
-            y *= n
-            g.word[c], g.word_bias[c] = h[who].T @ y, y.sum(axis=0)
-            dh[who] += y @ self.word[c].T
+        order = np.argsort(kind, kind="stable")
+        kind, h_in, dh_in = kind[order], h[order], np.empty_like(dh)
+        y = _shares(self.inside(h_in, kind))
+        y[np.arange(len(at)), token[order] % WITHIN] -= 1
+        y *= n
+        found, begin = np.unique(kind, return_index=True)
+        g.word_bias[found] = np.add.reduceat(y, begin)
+        for c, a, b in _runs(kind):
+            np.matmul(h_in[a:b].T, y[a:b], out=g.word[c])
+            np.matmul(y[a:b], self.word[c].T, out=dh_in[a:b])
+        dh[order] += dh_in
         dh *= 1 - h * h
         g.bend[:] = dh.sum(axis=0)
         for k, o in enumerate(OFFSETS):
-            np.add.at(g.side[k], line[at + o], dh)
+            near = line[at + o]
+            order = np.argsort(near, kind="stable")
+            near = near[order]
+            begin = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
+            g.side[k][near[begin]] = np.add.reduceat(dh[order], begin)
         return g
 
 
+def _runs(kind: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(class, begin, end) of each class in a sorted array."""
+    edge = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    return ((c, a, b) for c, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b)
+
+
 def _logsum(x: np.ndarray) -> np.ndarray:
     top = x.max(axis=1)
     return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
@@ -173,17 +190,17 @@ def _shares(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def _chosen(batch: Batch, keys: list, turn: int) -> np.ndarray:
-    """The training places of a round: one in ONE_IN, by the document's key and the place in it."""
+def _chosen(batch: Batch, keys: list, turn: int, rounds: int) -> np.ndarray:
+    """The training places of a round: its part of all, by the document's key and the place in it."""
     with np.errstate(over="ignore"):
         seeds = np.array([xxhash.xxh64_intdigest(str(k)) for k in keys], dtype=np.uint64)
         inside = np.arange(len(batch.at)) - np.repeat(np.cumsum(batch.size) - batch.size, batch.size)
         h = mixed(mixed(np.repeat(seeds, batch.size) + MIX[0]) + inside.astype(np.uint64) * MIX[1])
-    return batch.at[h % np.uint64(ONE_IN) == turn % ONE_IN]
+    return batch.at[h % np.uint64(rounds) == turn]
 
 
-def trained_once(docs: DataFrame, known: dict[bytes, int], net: np.ndarray, turn: int, rate: float = 0.1, step: int = 512) -> np.ndarray:
-    """Weights after one round: every task trains from ``net``, then weights are averaged by places.
+def trained_once(docs: DataFrame, known: dict[bytes, int], net: np.ndarray, turn: int, rounds: int, rate: float = 0.1, step: int = 512) -> np.ndarray:
+    """Weights after one of ``rounds``: every task trains from ``net``, then weights are averaged by places.
 
     The averaged pieces, as many as the network has, are all that the driver receives.
     """
@@ -196,7 +213,7 @@ def trained_once(docs: DataFrame, known: dict[bytes, int], net: np.ndarray, turn
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
                 tokens = Batch([token_numbers(t.translate(LOWER).split(), words) if t else [] for t in as_bytes(piece.column("text"))])
-                at = _chosen(tokens, piece.column("doc_id").to_pylist(), turn)
+                at = _chosen(tokens, piece.column("doc_id").to_pylist(), turn, rounds)
                 for b in range(0, len(at), step):
                     g = mine.gradient(tokens.line, at[b : b + step]).weights
                     seen += g * g
@@ -248,7 +265,7 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, counts: DataFrame | None = None)
     n[own:] = shared_counts(counts, known)
     weights = Network.start(n).weights
     for turn in range(rounds):
-        weights = trained_once(docs, known, weights, turn)
+        weights = trained_once(docs, known, weights, turn, rounds)
     return known, weights
 
 

@@ -262,6 +262,13 @@ def test_pseudo_likelihood(spark):
     assert empty == {} and pseudo.scored(df.limit(0), empty, w0).count() == 0
 
 
+def test_every_place_is_trained_on_once():
+    batch, keys = pseudo.Batch([[1] * 700, [], [2] * 90]), ["a", None, 7]
+    for rounds in (1, pseudo.ROUNDS, 5):
+        chosen = np.concatenate([pseudo._chosen(batch, keys, turn, rounds) for turn in range(rounds)])
+        assert np.array_equal(np.sort(chosen), batch.at)
+
+
 def test_words_that_share_a_token_have_their_own_probability(spark):
     common = [(i, f"c{i:04d} " * 9) for i in range(pseudo.VOCABULARY - pseudo.SHARED)]
     rows = common + [(5000, "zebra zebra"), (5001, "zabra"), (5002, "zebra"), (5002, "zebra"), (5003, "zabra zebra"), (5004, "z" * 20)]
