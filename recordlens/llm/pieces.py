@@ -28,6 +28,7 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from recordlens.llm.lattice import Pieces
 
 VOCABULARY = "piece_bpe_32k.model"
 #: Segmentations per text, and the sharpness of piece weights (powers of one over the rank).
-SAMPLES, SHARPNESS = 2, 1.0
+SAMPLES, SHARPNESS = 4, 1.0
 #: Longer words are cut every so many characters, and no piece crosses such a cut.
 STRETCH = 60
 #: Words up to this length are summed as products, longer ones as logarithms.
@@ -72,6 +73,40 @@ def vocabulary(path: str, sharpness: float) -> Vocabulary:
     return Vocabulary(path, sharpness)
 
 
+class Speller:
+    """The library's decoding, from a table of each id's bytes."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.odd = np.array([m.is_control(i) or m.is_unknown(i) or m.is_unused(i) for i in range(m.get_piece_size())])
+        spelt = [bytes([int(m.id_to_piece(i)[1:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(len(self.odd))]
+        self.marked = np.array([not m.is_byte(i) and m.id_to_piece(i)[:1] == MARK for i in range(len(self.odd))])
+        self.size = np.array(list(map(len, spelt)))
+        self.start = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(spelt), dtype=np.uint8)
+
+    def text(self, ids: np.ndarray) -> str:
+        """One text; ids that are not pieces or bytes, and bytes that are no UTF-8, go to the library."""
+        if not len(ids):
+            return ""
+        if ids.min() >= 0 and ids.max() < len(self.odd) and not self.odd[ids].any():
+            size = self.size[ids]
+            end = np.cumsum(size)
+            data = self.bytes[np.arange(end[-1]) + np.repeat(self.start[ids] - end + size, size)].tobytes()
+            try:
+                return data[int(self.marked[ids[0]]) :].decode()
+            except UnicodeDecodeError:
+                pass
+        return self.model.decode(ids.tolist())
+
+
+@lru_cache(maxsize=2)
+def speller(path: str) -> Speller:
+    return Speller(path)
+
+
 def units(text: str) -> list[str]:
     """The words of a text as the model sees it: a mark first, marks for spaces."""
     out = _UNITS.findall(MARK + text.replace(" ", MARK))
@@ -278,47 +313,52 @@ def _spelt(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
     return ids
 
 
-def segmentations(docs: DataFrame, k: int = SAMPLES, sharpness: float = SHARPNESS, path: str | None = None, with_ids: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
+def segmentations(docs: DataFrame, k: int = SAMPLES, sharpness: float = SHARPNESS, path: str | None = None, with_ids: bool = True, batch_bytes: int = 2 << 20, with_decoding: bool = False) -> DataFrame:
     """Up to ``k`` distinct segmentations of every whole text of (doc_id, text).
 
     One row per sample: doc_id, sample (0 for the greatest perturbed value), n_pieces,
     log_prob, perturbed, inclusion (1 if the text has no more segmentations), ids_crc32
-    and, on request, ids. A null text gives no rows, an empty one the space mark alone.
+    and, on request, ids; and text_crc32 of the decoded ids, and round_trip: whether they
+    decode to the text, as ``decoded`` does it. A null text gives no rows, an empty one the space mark alone.
     Repeated rows each have their samples, alike if key and text are. A space mark in a
     text is read as a space, as the library does. Other columns are not read.
     """
     path = path or public_tokenizers.path(VOCABULARY)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path, sharpness)
+        v, one = vocabulary(path, sharpness), speller(path)
         for batch in batches:
             for part in slices(batch, "text", batch_bytes):
                 texts, keys = part.column("text").to_pylist(), part.column("doc_id").to_pylist()
                 rows = []
                 seeds = [xxhash.xxh64_intdigest(f"{key}\0{t}") for key, t in zip(keys, texts, strict=True)]
-                for key, found in zip(keys, sampled(texts, seeds, v, k), strict=True):
+                for key, text, found in zip(keys, texts, sampled(texts, seeds, v, k), strict=True):
                     for s, (ids, log, value, inclusion) in enumerate(found):
                         ids = _spelt(ids, v).astype("<u4")
-                        rows.append((key, s, len(ids), log, value, inclusion, zlib.crc32(ids.tobytes()), *([ids.astype(np.int32)] * with_ids)))
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
-                names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32"] + ["ids"] * with_ids
+                        back = one.text(ids) if with_decoding else ""
+                        rows.append((key, s, len(ids), log, value, inclusion, zlib.crc32(ids.tobytes()), *([ids.astype(np.int32)] * with_ids), *([zlib.crc32(back.encode()), back == text] * with_decoding)))
+                types = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids + [pa.int64(), pa.bool_()] * with_decoding
+                names = ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32"] + ["ids"] * with_ids + ["text_crc32", "round_trip"] * with_decoding
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names=names)
 
-    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(sample, SAMPLE + (", ids array<int>" if with_ids else ""))
+    return docs.select("doc_id", "text").filter(F.col("text").isNotNull()).mapInArrow(sample, SAMPLE + ", ids array<int>" * with_ids + ", text_crc32 long, round_trip boolean" * with_decoding)
 
 
 def decoded(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
     """rows with text: the library's decoding of ids (null for null ids)."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    @F.pandas_udf("string")
-    def decode(column):
-        model = vocabulary(path, SHARPNESS).model
-        return column.map(lambda x: None if x is None else model.decode([int(i) for i in x]))
+    @F.arrow_udf("string")
+    def decode(column: pa.Array) -> pa.Array:
+        one = speller(path)
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        edge = np.concatenate([[0], np.cumsum(size)]).tolist()
+        return pa.array([one.text(flat[a:b]) if valid else None for a, b, valid in zip(edge, edge[1:], column.is_valid().to_pylist(), strict=False)], pa.string())
 
     return rows.withColumn("text", decode(ids))
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's sampled segmentations: size, probability, inclusion and a digest of the ids."""
-    return segmentations(table(spark, sf_dir, "documents"), with_ids=False)
+    """Every document's sampled segmentations with their ids, the digest of their decoding, and whether it is the text."""
+    return segmentations(table(spark, sf_dir, "documents"), with_decoding=True)

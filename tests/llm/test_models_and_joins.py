@@ -219,6 +219,29 @@ def test_samples_decode_to_their_text(spark):
     assert pieces.segmentations(df.limit(0)).count() == 0
 
 
+def test_query_of_samples_returns_ids_and_decodes_them(spark, sf_dir):
+    import zlib
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect() if r.text is not None}
+    rows = pieces.op8_sampled_pieces(spark, sf_dir).collect()
+    assert {r.doc_id for r in rows} == set(texts) and max(r.sample for r in rows) == 3
+    model = pieces.speller(public_tokenizers.path(pieces.VOCABULARY)).model
+    for r in rows:
+        assert r.n_pieces == len(r.ids) and zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32
+        assert r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) and r.round_trip
+    for r in rows[:200]:
+        assert model.decode(r.ids) == texts[r.doc_id]
+
+
+def test_decoding_is_the_librarys():
+    one, rng = pieces.speller(public_tokenizers.path(pieces.VOCABULARY)), np.random.default_rng(3)
+    for n in (0, 1, 2, 5, 40) * 60:
+        ids = rng.integers(0, len(one.odd), n)
+        assert one.text(ids) == one.model.decode(ids.tolist())
+    for text in ("", " ", "  two  ", "é\n日本", "\u2581mark"):
+        assert one.text(np.array(one.model.encode(text), dtype=np.int64)) == one.model.decode(one.model.encode(text))
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     net = pseudo.Network.start(rng.integers(1, 100, pseudo.VOCABULARY).astype(float))
