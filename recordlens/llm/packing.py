@@ -222,6 +222,6 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the remaining documents, packed."""
+    """Pipeline stage: the remaining documents, packed, with their ids."""
     del spark, sf_dir
-    return pack(docs, with_ids=False)
+    return pack(docs)

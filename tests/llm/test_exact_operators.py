@@ -152,6 +152,17 @@ def test_packing_is_exact_and_full(spark, odd):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_stage_keeps_the_ids(spark):
+    import public_tokenizers
+
+    tok = tokenizer(public_tokenizers.path(packing.VOCABULARY))
+    texts = {1: "alpha beta " * 900, 2: "a short one", 3: ""}
+    found = {}
+    for r in sorted(packing.pack_documents(spark, plain.documents(spark, list(texts.items())), "").collect(), key=lambda r: r.start):
+        found.setdefault(r.doc_id, []).extend(r.ids)
+    assert found == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in texts.items()}
+
+
 def test_windows_take_the_best_neighbours():
     a, b = np.arange(10, 30), np.arange(40, 60)
     units_ = [[0, 0, a, 20], [1, 0, b, 20], [2, 0, a.copy(), 20], [3, 0, b.copy(), 20]]
