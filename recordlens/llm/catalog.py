@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordlens.llm import jaccard, language, packing, pieces, pseudo, quality, tokens, urls, vectors, warc
+from recordlens.llm import bestfit, jaccard, language, packing, pieces, pseudo, quality, ranked, tokens, urls, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_sampled_pieces": pieces.op8_sampled_pieces,
     "op9_language": language.op9_language,
     "op10_vector_near_copies": vectors.op10_vector_near_copies,
+    "op11_best_fit": bestfit.op11_best_fit,
+    "op12_ranked_search": ranked.op12_ranked_search,
 }
 
 ORACLES = {
@@ -22,4 +24,5 @@ ORACLES = {
     "op2_quality": quality.OP2_SQL,
     "op7_jaccard_join": jaccard.OP7_SQL,
     "op10_vector_near_copies": vectors.OP10_SQL,
+    "op12_ranked_search": ranked.OP12_SQL,
 }
