@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordlens.llm import bestfit, jaccard, language, packing, pieces, pseudo, quality, ranked, tokens, urls, vectors, warc
+from recordlens.llm import bestfit, jaccard, language, negatives, packing, pieces, pseudo, quality, ranked, tokens, urls, vectors, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_vector_near_copies": vectors.op10_vector_near_copies,
     "op11_best_fit": bestfit.op11_best_fit,
     "op12_ranked_search": ranked.op12_ranked_search,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op7_jaccard_join": jaccard.OP7_SQL,
     "op10_vector_near_copies": vectors.OP10_SQL,
     "op12_ranked_search": ranked.OP12_SQL,
+    "op13_hard_negatives": negatives.OP13_SQL,
 }
