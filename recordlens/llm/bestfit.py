@@ -11,10 +11,10 @@ for the least number of sequences whose configurations cover the histogram:
    sequence, times a weight that falls exponentially with the part of it already covered.
    A knapsack table over the sequence's capacity prices configurations: one pass gives,
    for each length, the configuration of the greatest worth that holds it. Each is taken
-   for a step of its length's need, and worths are computed again.
-3. Multiplicities are rounded down. What is then left over (and whatever the program would
-   put into configurations with room to spare) is filled best fit: the longest rest first,
-   completed by the subset of rests that leaves the least room.
+   for a step of its length's need, and worths are computed again. Where a pass ends above
+   the lower bound that the worths prove, the next starts from what each length cost.
+3. Multiplicities are rounded down. What is then left over is filled best fit: the longest
+   rest first, completed by the subset of rests that leaves the least room.
 4. Each configuration owns a range of sequence ids, and the ranges of each length's
    numbers that go into it. The table of ranges depends on the window alone, so it is
    sent to every task, where a piece's number gives its place.
@@ -22,6 +22,7 @@ for the least number of sequences whose configurations cover the histogram:
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,6 +43,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: The part of a length's need taken in one step, the fall of its weight from nothing to
 #: all of it covered, the most pricing rounds, and the part of all tokens left to best fit.
 STEP, FALL, ROUNDS, LEFT = 0.5, 2.0, 80, 0.002
+#: Passes at most, and the gap to the lower bound at which a pass is the last.
+PASSES, GAP = 8, 0.001
 #: A number within a length has fewer bits than this.
 NUMBER_BITS = 48
 
@@ -95,21 +98,21 @@ def _traced(last: np.ndarray, lengths: np.ndarray, room: int) -> Iterator[int]:
             room -= 1
 
 
-def fractional(lengths: np.ndarray, need: np.ndarray, window: int) -> tuple[dict[Configuration, float], float]:
-    """Configurations with their multiplicities, and a lower bound on the sequences.
+def _one_pass(lengths: np.ndarray, need: np.ndarray, window: int, base: np.ndarray) -> tuple[dict[Configuration, float], np.ndarray, float]:
+    """Configurations with their multiplicities, what they leave over, and a lower bound on the sequences.
 
-    The bound is the dual value of the worths: need times worth over the greatest worth
-    of a configuration, at its best over the rounds in which no length was used up.
+    The bound is the dual value of the worths: need times worth over the greatest worth of
+    a configuration, at its best over the rounds. A length that is used up is worth nothing,
+    which keeps the bound valid.
     """
     left, taken, bound = need.astype(float), Counter(), 0.0
-    share = lengths / window
     for _ in range(ROUNDS):
         on = np.flatnonzero(left > 0)
-        if left @ share <= LEFT * (need @ share):
+        if left @ lengths <= LEFT * (need @ lengths):
             break
-        some, worth = lengths[on], share[on] * np.exp(FALL * (left[on] / need[on] - 1))
+        some, worth = lengths[on], base[on] * np.exp(FALL * (left[on] / need[on] - 1))
         best, last = _prices(some, worth, window)
-        bound = max(bound, (need[on] @ worth) / best[window])  # lengths without a worth only lower it
+        bound = max(bound, (need[on] @ worth) / best[window])
         for i in np.argsort(-(worth + best[window - some]), kind="stable").tolist():
             config = Counter([i, *_traced(last, some, window - int(some[i]))])
             at, many = on[list(config)], np.array(list(config.values()))
@@ -118,15 +121,15 @@ def fractional(lengths: np.ndarray, need: np.ndarray, window: int) -> tuple[dict
                 left[at] -= times * many
                 left[left < 1e-9 * need] = 0
                 taken[tuple(sorted(zip(at.tolist(), many.tolist(), strict=True)))] += times
-    return taken, bound
+    return taken, left, bound
 
 
-def rounded(taken: dict[Configuration, float], lengths: np.ndarray, need: np.ndarray, window: int) -> tuple[list[tuple[Configuration, int]], np.ndarray]:
-    """Whole multiplicities of full configurations, and what they leave over."""
+def rounded(taken: dict[Configuration, float], lengths: np.ndarray, need: np.ndarray, least: int) -> tuple[list[tuple[Configuration, int]], np.ndarray]:
+    """Whole multiplicities of the configurations of ``least`` tokens or more, and what they leave over."""
     left, out = need.copy(), []
     for config, times in sorted(taken.items(), key=lambda c: (-c[1], c[0])):
         at, many = [i for i, _ in config], np.array([n for _, n in config])
-        if int(lengths[at] @ many) == window and (k := min(int(times + 1e-6), int((left[at] // many).min()))) > 0:
+        if int(lengths[at] @ many) >= least and (k := min(int(times + 1e-6), int((left[at] // many).min()))) > 0:
             left[at] -= k * many
             out.append((config, k))
     return out, left
@@ -165,12 +168,33 @@ def best_fit(lengths: np.ndarray, need: np.ndarray, window: int) -> list[tuple[C
 
 
 def configurations(lengths: np.ndarray, need: np.ndarray, window: int) -> tuple[list[tuple[Configuration, int]], int]:
-    """Configurations with whole multiplicities that hold every rest once, and a lower bound on their number."""
+    """Configurations with whole multiplicities that hold every rest once, and a lower bound on their number.
+
+    The best of several passes, each rounded twice: with full configurations only, and with
+    all. A sequence costs 1, which its rests share by their worths. After a pass a length's
+    worth goes halfway (as a power) to what it cost; a pass within ``GAP`` of the bound, or
+    one sequence above it, is the last.
+    """
     if not len(lengths):
         return [], 0
-    taken, bound = fractional(lengths, need, window)
-    some, left = rounded(taken, lengths, need, window)
-    return some + best_fit(lengths, left, window), int(np.ceil(bound - 1e-6))
+    base, bound, fewest, out = lengths / window, 0, math.inf, []
+    for _ in range(PASSES):
+        taken, left, low = _one_pass(lengths, need, window, base)
+        bound = max(bound, math.ceil(low - 1e-6))
+        for least in (window, 0):
+            some, rest = rounded(taken, lengths, need, least)
+            some += best_fit(lengths, rest, window)
+            if (total := sum(times for _, times in some)) < fewest:
+                fewest, out = total, some
+        if fewest <= max(bound * (1 + GAP), bound + 1):
+            break
+        cost = np.zeros(len(lengths))
+        for config, times in taken.items():
+            at, many = [i for i, _ in config], np.array([n for _, n in config])
+            cost[at] += times * many * base[at] / (base[at] @ many)
+        covered = need - left
+        base = np.where(covered > 0, np.sqrt(base * np.maximum(cost, 1e-12) / np.maximum(covered, 1e-12)), base)
+    return out, bound
 
 
 def ranges(found: list[tuple[Configuration, int]], lengths: np.ndarray) -> dict[str, np.ndarray]:
