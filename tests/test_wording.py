@@ -127,10 +127,14 @@ def test_diff_follows_the_order_of_blocks(spark):
     vocab = "alpha beta gamma delta straße STRASSE".split()
     doc = lambda: " ".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(1, 4))) + "." for _ in range(rng.randint(0, 12)))
     docs = [(n, doc(), doc()) for n in range(120)] + [(900, None, "a b. c d."), (901, "x y.", "x y."), (902, "one two. three four. five six.", "five six. one two. three four.")]
+    kinds = lambda n: " ".join(f"{rng.choice(vocab)}." for _ in range(n))
+    docs += [(910 + n, kinds(90), kinds(80)) for n in range(4)] + [(920, "same. " * 300, "same. " * 250 + "other. " + "same. " * 40)]
+    long = [f"line {n} holds {rng.random()}." for n in range(800)]
+    docs += [(930, " ".join(long), " ".join(x if n % 2 else x.replace("holds", "has got") for n, x in enumerate(long))), (931, " ".join(long[:200]), " ".join(rng.sample(long[:200], 200)))]
     got = {}
     for r in wd.sentence_diff(spark.createDataFrame(docs, "page int, before string, after string")).collect():
         got.setdefault(r["page"], []).append(r)
-    words = lambda s: {w.casefold() for w in s.rstrip(".").split()}
+    words = lambda s: set(re.findall(r"[^\W_]+", s.casefold()))
     near = lambda x, y: len(words(x) & words(y)) / len(words(x) | words(y))
     for n, b, a in docs:
         old, new = cut(b), cut(a)
