@@ -15,18 +15,19 @@ CARRIED = ("hazard", "iso3", "source_ref")
 SEGMENT_ROWS = 100_000
 
 
-def answered_calendar(
-    observations: DataFrame, answered_nights: DataFrame | None, source: str, night: str
-) -> DataFrame:
-    """(source, night, next_answered): the nights each source answered, with the one after.
+def answered_calendar(observations: DataFrame, answered_nights: DataFrame | None, source: str, night: str) -> Column:
+    """map: source to its answered nights, ascending, as a value that rows are searched in.
 
-    A source that shows a record has answered. One row per source and night.
+    A source that shows a record has answered. The map is as large as the number of sources
+    times nights; as a scalar subquery it goes to the rows, so the rows themselves are not
+    shuffled by source or night, however many of them one source has.
     """
     seen = observations.select(source, night)
     if answered_nights is not None:
         seen = seen.unionByName(answered_nights.select(source, night))
-    w = Window.partitionBy(source).orderBy(night)
-    return seen.distinct().withColumn("next_answered", F.lead(night).over(w))
+    nights = seen.filter(F.col(source).isNotNull() & F.col(night).isNotNull()).distinct()
+    per = nights.groupBy(source).agg(F.array_sort(F.collect_list(night)).alias("_nights"))
+    return per.agg(F.map_from_entries(F.collect_list(F.struct(source, "_nights")))).scalar()
 
 
 def _change_struct(tracked, prev: Column) -> Column:
@@ -66,7 +67,8 @@ def register_fold(
     Nights a source did not answer prove nothing.
 
     No row is made for nights on which a record is merely absent: the night a source lets
-    go is the first answered night after the last sight, looked up in the calendar.
+    go is the first answered night after the last sight, looked up in the source's calendar.
+    An observation without source or night is no observation.
     ``order`` is a number, or a struct whose first field is one (document, feature, ...).
     ``one_per_night`` states that a key occurs at most once a night, which saves the
     segmented lookup; without it, duplicates of a night are folded in feed order.
@@ -77,9 +79,11 @@ def register_fold(
     snapshot, changes, held (tracked values after the event), and the carried columns.
     """
     calendar = answered_calendar(observations, answered_nights, source, night)
-    rows = observations.select(
-        key, night, F.col(order).alias("pos"), source, kind, snapshot, *tracked, *carried, F.lit(None).cast("string").alias("_was")
-    ).join(calendar, [source, night])
+    placed = observations.filter(F.col(source).isNotNull() & F.col(night).isNotNull()).withColumn("_nights", F.try_element_at(calendar, F.col(source)))
+    rows = placed.select(
+        key, night, F.col(order).alias("pos"), source, kind, snapshot, *tracked, *carried, F.lit(None).cast("string").alias("_was"),
+        F.get("_nights", F.array_position("_nights", F.col(night)).cast("int")).alias("next_answered"),
+    )
     if state is not None:
         rows = rows.unionByName(_held_rows(state, calendar, rows, source, night, tracked))
     held_before = F.col("_was").isNotNull()
@@ -146,16 +150,15 @@ def register_fold(
     return exploded.select(key, source, kind, "_e.*", *carried)
 
 
-def _held_rows(state: DataFrame, calendar: DataFrame, like: DataFrame, source: str, night: str, tracked) -> DataFrame:
+def _held_rows(state: DataFrame, calendar: Column, like: DataFrame, source: str, night: str, tracked) -> DataFrame:
     """State rows shaped as observations from before these nights.
 
     An open record is let go on the first new night its source answers; a closed one has
     been let go already, so any later sight is a reappearance.
     """
-    answers = calendar.groupBy(source).agg(F.min(night).alias("_first_answer"))
-    rows = state.join(answers, source, "left")
-    next_answered = F.when(F.col("status") == v.OPEN, F.col("_first_answer")).otherwise(F.col(night))
-    shaped = rows.withColumns({"next_answered": next_answered, "_was": F.col("status")})
+    first_answer = F.get(F.try_element_at("_calendar", F.col(source)), F.lit(0))
+    next_answered = F.when(F.col("status") == v.OPEN, first_answer).otherwise(F.col(night))
+    shaped = state.withColumn("_calendar", calendar).withColumns({"next_answered": next_answered, "_was": F.col("status")})
     columns = [
         F.col(c) if c in shaped.columns else F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns
     ]
