@@ -28,14 +28,18 @@ def fold_night_batches(
     *,
     night: str = "run_date",
     answered: Callable[[list[str]], DataFrame] | None = None,
+    buckets: int = 16,
     **fold,
 ):
     """A writer that folds each announced group of nights onto the register so far.
 
     The stream carries announcements, one small row per finished night, never the data:
-    ``observations(nights)`` reads the night's partitions with the batch engine. Events and
-    the state after them are written under the batch number, so a repeated batch replaces
-    its own output and nothing else: exactly once, whatever executors are lost.
+    ``observations(nights)`` reads the night's partitions with the batch engine. Events are
+    written under the batch number, so a repeated batch replaces its own output and nothing
+    else: exactly once, whatever executors are lost.
+
+    The state lies in buckets of keys, see ``BucketedState``: a batch writes those buckets
+    only whose records had an event.
 
     A night that arrives late is folded again together with all nights after it, from the
     state before it; the events that earlier batches found from that night on are
@@ -43,6 +47,7 @@ def fold_night_batches(
     """
     spark = announcements.sparkSession
     names = {k: fold[k] for k in ("key", "source", "kind", "tracked", "carried") if k in fold}
+    held = BucketedState(spark, base, fold.get("key", "id"), buckets)
 
     def batch(rows: DataFrame, epoch: int) -> None:
         nights = sorted(r[0] for r in rows.select(night).distinct().collect())  # a few dates
@@ -53,19 +58,66 @@ def fold_night_batches(
             before = folded_events(spark, base, night, epoch).filter(F.col(night) < nights[0])
             state = reg.advance_state(before, night=night, **names)
         else:
-            state = spark.read.parquet(f"{base}/state/epoch={epoch - 1}") if epoch > 0 else None
+            state = held.read(epoch)
         events = reg.register_fold(
             observations(nights), answered(nights) if answered else None, night=night, state=state, **fold
         )
         at = f"{base}/events/epoch={epoch}"
         events.write.mode("overwrite").parquet(at)
         spark.createDataFrame([(n, nights[0]) for n in nights], f"{night} string, first string").write.mode("overwrite").parquet(f"{base}/nights/epoch={epoch}")
-        after = reg.advance_state(spark.read.parquet(at), state, night=night, **names)
-        after.write.mode("overwrite").parquet(f"{base}/state/epoch={epoch}")
+        held.advance(epoch, spark.read.parquet(at), state if again else None, lambda new, old: reg.advance_state(new, old, night=night, **names))
 
     return announcements.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}/checkpoint")
 
 
+class BucketedState:
+    """A keyed state on disk, in buckets of keys with two slots each.
+
+    A batch writes a bucket into the slot that the batch before does not read, by dynamic
+    partition overwrite, and then notes the slots now in force under its own number. So a
+    batch that is repeated finds what it found the first time, buckets without a change are
+    not written, and what a bucket held two changes ago is replaced, not kept. The notes are
+    one row per bucket.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, key: str, buckets: int):
+        self.spark, self.base, self.key, self.buckets = spark, base, key, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def slots(self, epoch: int) -> dict[int, int]:
+        """bucket: slot, as batch ``epoch`` finds them."""
+        if epoch == 0:
+            return {}
+        return {r.bucket: r.slot for r in self.spark.read.parquet(f"{self.base}/slots/epoch={epoch - 1}").collect()}
+
+    def read(self, epoch: int, buckets: set[int] | None = None) -> DataFrame | None:
+        """The state before batch ``epoch``, of some buckets or of all; None if there is none."""
+        found = [f"{self.base}/state/bucket={b}/slot={s}" for b, s in sorted(self.slots(epoch).items()) if buckets is None or b in buckets]
+        return self.spark.read.parquet(*found) if found else None
+
+    def advance(self, epoch: int, events: DataFrame, rebuilt: DataFrame | None, merge: Callable[[DataFrame, DataFrame | None], DataFrame]) -> None:
+        """Write the buckets that ``events`` touch, or every bucket where the state was built anew."""
+        slots = self.slots(epoch)
+        if rebuilt is None:
+            touched = {r[0] for r in events.select(self._bucket().alias("b")).distinct().collect()}  # one row per bucket
+            after = merge(events, self.read(epoch, touched))
+        else:
+            touched, after = set(range(self.buckets)), merge(events, rebuilt)
+            slots = {b: slots.get(b, 1) for b in touched}
+        changed = {b: 1 - slots.get(b, 1) for b in touched}
+        if changed:
+            slot = F.get(F.array(*[F.lit(changed.get(b, 0)) for b in range(self.buckets)]), F.col("bucket"))
+            rows = after.withColumn("bucket", self._bucket()).withColumn("slot", slot).repartition("bucket")
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "slot").parquet(f"{self.base}/state")
+        if rebuilt is not None:
+            written = {r[0] for r in after.select(self._bucket().alias("b")).distinct().collect()}  # one row per bucket
+            slots, changed = {}, {b: s for b, s in changed.items() if b in written}
+        now = sorted({**slots, **changed}.items())
+        self.spark.createDataFrame(now, "bucket int, slot int").coalesce(1).write.mode("overwrite").parquet(f"{self.base}/slots/epoch={epoch}")
+
+
 def _folded_nights(spark: SparkSession, base: str, before: int | None = None) -> DataFrame:
     """(night, first, epoch): the nights of each batch, and the first it folded."""
     rows = spark.read.parquet(f"{base}/nights")
