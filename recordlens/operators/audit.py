@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from recordlens import vocab as v
 from recordlens.functions import text as tx
 from recordlens.operators import reaction as rx
+from recordlens.operators import wording as wd
+from recordlens.session import written
 
 
 def problems(df: DataFrame, check: str, subject, problem) -> DataFrame:
@@ -267,6 +269,153 @@ def audit_redaction(events: DataFrame, *, page: str = "page") -> DataFrame:
     return problems(events.filter(leak), "redaction", page, "a passage with an ascription is published as text")
 
 
+# --- wording, derived again without the alignment ------------------------------------
+
+
+def sentence_places(pairs: DataFrame, *, key: str = "page", before: str = "before", after: str = "after") -> DataFrame:
+    """One row per sentence of changed pages: key, side, idx, s, digest, nth (its occurrence on that side)."""
+    changed = pairs.filter(~F.col(before).eqNullSafe(F.col(after)))
+    side = lambda name, c: changed.select(key, F.lit(name).alias("side"), F.posexplode(tx.sentences(F.coalesce(F.col(c), F.lit("")))).alias("idx", "s"))
+    rows = side("before", before).unionByName(side("after", after)).withColumn("digest", tx.sha_text(F.col("s")))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(key, "side", "digest").orderBy("idx")))
+
+
+def multiset_difference(places: DataFrame, *, key: str = "page") -> DataFrame:
+    """Sentences by numbered occurrence: the nth before meets the nth after, whatever stands between.
+
+    key, digest, nth, s, before_idx, after_idx; one index is null where the occurrence is
+    lost or gained.
+    """
+    one = lambda name: F.max(F.when(F.col("side") == name, F.col("idx"))).alias(f"{name}_idx")
+    return places.groupBy(key, "digest", "nth").agg(F.first("s").alias("s"), one("before"), one("after"))
+
+
+def plain_pages(found: DataFrame, *, key: str = "page") -> DataFrame:
+    """Pages on which every common sentence stands once on each side, in the same order.
+
+    On these any alignment keeps exactly the common sentences, so lost and gained ones, and
+    between which kept ones they stand, follow from counting alone.
+    """
+    both = F.col("before_idx").isNotNull() & F.col("after_idx").isNotNull()
+    per = found.groupBy(key, "digest").agg(F.count("*").alias("n"), F.max(both).alias("both"), F.min("before_idx").alias("b"), F.min("after_idx").alias("a"))
+    common = per.filter("both").withColumn("turned", F.col("a") < F.lag("a").over(Window.partitionBy(key).orderBy("b")))
+    odd = common.groupBy(key).agg(F.max((F.col("n") > 1) | F.coalesce("turned", F.lit(False))).alias("odd"))
+    return found.select(key).distinct().join(odd, key, "left").filter(~F.coalesce("odd", F.lit(False))).select(key)
+
+
+def changes_again(found: DataFrame, plain: DataFrame, *, key: str = "page") -> DataFrame:
+    """The changes of plain pages as (key, op, before, after), by joins and one fold per gap.
+
+    A gap is told by the number of kept sentences before it. Within one, sentences that share
+    words meet by word; of those similar enough each old one, in order, takes the best left.
+    """
+    rows = found.join(plain, key, "left_semi")
+    sides = []
+    for name in ("before", "after"):
+        at = F.col(f"{name}_idx")
+        kept = F.col("before_idx").isNotNull() & F.col("after_idx").isNotNull()
+        order = Window.partitionBy(key).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        there = rows.filter(at.isNotNull()).select(key, at.alias("idx"), "s", kept.alias("kept"), F.count_if(kept).over(order).alias("gap"))
+        sides.append(there.filter("NOT kept").drop("kept").withColumn("words", tx.token_set(F.col("s"))))
+    lost, gained = sides
+    word = lambda df, name: df.select(key, "gap", F.col("idx").alias(name), F.size("words").alias(f"{name}_n"), F.explode("words").alias("word"))
+    shared = word(lost, "b").join(word(gained, "a"), [key, "gap", "word"]).groupBy(key, "gap", "b", "a", "b_n", "a_n").agg(F.count("*").alias("n"))
+    near = shared.withColumn("score", F.col("n") / (F.col("b_n") + F.col("a_n") - F.col("n"))).filter(F.col("score") > v.ALIGN_FLOOR)
+    ranked = near.groupBy(key, "gap").agg(F.array_sort(F.collect_list(F.struct("b", (-F.col("score")).alias("less"), "a"))).alias("near"))
+    pair = "array<struct<b:int,a:int>>"
+
+    def take(acc: Column, x: Column) -> Column:
+        free = ~F.exists(acc, lambda y: (y["b"] == x["b"]) | (y["a"] == x["a"]))
+        return F.when(free, F.concat(acc, F.array(F.struct(x["b"].alias("b"), x["a"].alias("a"))))).otherwise(acc)
+
+    pairs = ranked.select(key, F.inline(F.aggregate("near", F.array().cast(pair), take)))
+    old = lost.select(key, F.col("idx").alias("b"), F.col("s").alias("before")).join(pairs, [key, "b"], "left")
+    new = gained.select(key, F.col("idx").alias("a"), F.col("s").alias("after"))
+    met = old.join(new, [key, "a"], "left").select(key, F.when(F.col("a").isNull(), "removed").otherwise("rewritten").alias("op"), "before", "after")
+    added = new.join(pairs, [key, "a"], "left_anti").select(key, F.lit("added").alias("op"), F.lit(None).cast("string").alias("before"), "after")
+    return met.unionByName(added)
+
+
+def audit_wording(pairs: DataFrame, counts: DataFrame, events: DataFrame, *, key: str = "page") -> DataFrame:
+    """Recorded removed tokens, additions, rewrites and typed events against the texts.
+
+    The other side is a multiset difference by numbered occurrences, which shares nothing
+    with the alignment. Where sentences repeat or moved it can't tell which occurrence was
+    kept; on such pages the record must keep within what the texts allow. ``counts``: key,
+    removed_tokens, added_sentences, rewritten_pairs; ``events``: key, type, before_sha256.
+    """
+    check = "wording"
+    places = written(sentence_places(pairs, key=key), "sentence-places")
+    found = written(multiset_difference(places, key=key), "sentence-occurrences")
+    plain = written(plain_pages(found, key=key), "plain-pages")
+    again = written(changes_again(found, plain, key=key), "changes-again")
+    op = F.col("op")
+    recount = again.groupBy(key).agg(
+        F.sum(F.when(op == "removed", tx.token_count(F.col("before"))).otherwise(0)).alias("removed_tokens"),
+        F.count_if(op == "added").alias("added_sentences"),
+        F.count_if(op == "rewritten").alias("rewritten_pairs"),
+    )
+    fields = ("removed_tokens", "added_sentences", "rewritten_pairs")
+    exact = compare(counts.join(plain, key, "left_semi").select(key, *fields), recount, [key], check)
+
+    before, after = F.col("side") == "before", F.col("side") == "after"
+    held = places.groupBy(key).agg(
+        F.sum(F.when(before, tx.token_count(F.col("s"))).otherwise(0)).alias("_tokens"),
+        F.count_if(before).alias("_old"), F.count_if(after).alias("_new"),
+    )
+    loose = counts.join(plain, key, "left_anti").join(held, key, "left")
+    bounds = rule_rows(
+        loose, check, key,
+        [
+            ("recorded, but the texts are the same", F.col("_tokens").isNull()),
+            ("more tokens removed than there were", F.col("removed_tokens") > F.col("_tokens")),
+            ("more sentences added than there are", F.col("added_sentences") + F.col("rewritten_pairs") > F.col("_new")),
+            ("more sentences rewritten than there were", F.col("rewritten_pairs") > F.col("_old")),
+        ],
+    )
+    typed = again.filter("op <> 'added'").filter(
+        tx.is_prose(F.col("before")) | ((op == "rewritten") & F.coalesce(tx.is_prose(F.col("after")), F.lit(False)))
+    )
+    kinds = F.when(op == "rewritten", wd.pair_types(F.col("before"), F.col("after"))).otherwise(wd.removal_types(F.col("before")))
+    due = typed.select(key, F.explode(kinds).alias("_v"), tx.sha_text(F.col("before")).alias("before_sha256"))
+    number = lambda df: df.groupBy(key, "type", "before_sha256").agg(F.count("*").alias("times"))
+    recorded = events.select(key, "type", "before_sha256")
+    same = compare(number(recorded.join(plain, key, "left_semi")), number(due.select(key, F.col("_v.type").alias("type"), "before_sha256")), [key, "type", "before_sha256"], check)
+    old = places.filter(before).select(key, F.col("digest").alias("before_sha256"))
+    strange = recorded.join(old, [key, "before_sha256"], "left_anti").distinct()
+    return union_all([exact, bounds, same, problems(strange, check, key, "an event on a sentence the page did not hold")])
+
+
+def audit_rates(entries: DataFrame, rates: DataFrame, by: list[str], *, z: float = 1.96) -> DataFrame:
+    """Recorded class counts, rates and intervals: counted again, and put to the interval's own equation.
+
+    ``entries``: by, class; ``rates``: by, examined, a count per class, decided, and rate, low
+    and high of changed (of decided) and unverifiable (of examined). A bound of a score
+    interval is the proportion that lies ``z`` of its own standard errors from the rate.
+    """
+    check = "rates"
+    names = ("unchanged", "changed", "unverifiable", "gone")
+    per = entries.groupBy(*by, "class").agg(F.count("*").alias("n"))  # classes first, then their sum: not the job's one pass
+    recount = per.groupBy(*by).agg(F.sum("n").alias("examined"), *[F.coalesce(F.sum(F.when(F.col("class") == c, F.col("n"))), F.lit(0)).alias(c) for c in names])
+    found = compare(rates.select(*by, "examined", *names), recount, by, check)
+    rules = [("decided is not unchanged and changed", F.col("decided") != F.col("unchanged") + F.col("changed"))]
+    for name, whole in (("changed", "decided"), ("unverifiable", "examined")):
+        n, k = F.col(whole), F.col(name)
+        rate, some = F.col(f"{name}_rate"), F.col(whole) > 0
+        rules.append((f"{name} rate does not follow", some & (F.abs(rate - k / n) > 0.000051)))
+        rules.append((f"{name} rate without anything counted", ~some & rate.isNotNull()))
+        for end, sign in (("low", -1), ("high", 1)):
+            bound = F.col(f"{name}_{end}")
+            # four digits are on record: the equation must change sign within the last of them
+            gap = lambda p: (k / n - p) * sign + z * F.sqrt(p * (1 - p) / n)  # noqa: E731, B023
+            clip = lambda p: F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))
+            here, there = gap(clip(bound - 0.000051)), gap(clip(bound + 0.000051))
+            edge = ((bound < 0.0001) & (k == 0)) if sign < 0 else ((bound > 0.9999) & (k == n))
+            rules.append((f"{name} {end} is no bound of the interval", some & ~edge & (here * there > 0)))
+    subject = F.concat_ws("/", *[F.col(c).cast("string") for c in by]) if by else F.lit("all")
+    return found.unionByName(rule_rows(rates, check, subject, rules))
+
+
 def audit_answers(files: DataFrame, items: DataFrame, abstained: DataFrame, readings: DataFrame) -> DataFrame:
     """Answer files: a reading to annotate, model named, cap kept, flags, known types, real abstentions.
 

@@ -22,6 +22,7 @@ from recordlens.plans import coverage_plans as cvp
 from recordlens.plans import reaction_plans as rxp
 from recordlens.plans import register_plans as rgp
 from recordlens.plans import scan_plans as scp
+from recordlens.plans import sqltext as q
 from recordlens.plans import wording_plans as wdp
 from recordlens.plans.tables import day_text, table
 from recordlens.session import written
@@ -195,6 +196,37 @@ def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return au.audit_redaction(shown)
 
 
+def wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and typed events on record, some wrong, lost or made up, against the texts themselves."""
+    pairs = wdp.edited(spark, sf_dir)
+    diff = written(wd.sentence_diff(pairs), "diff")
+    counts = wd.diff_counts(diff).withColumns(
+        {
+            "removed_tokens": F.col("removed_tokens") + F.when(F.col("page") % 11 == 0, 1).when(F.col("page") % 101 == 1, 1_000_000).otherwise(0),
+            "added_sentences": F.col("added_sentences") + F.when(F.col("page") % 13 == 0, 1).otherwise(0),
+        }
+    ).filter("page % 17 <> 0")
+    made_up = F.when((F.col("type") == "date_shifted") & (F.col("page") % 3 == 0), F.sha2(F.lit("x"), 256)).otherwise(F.col("before_sha256"))
+    events = wd.type_events(diff).filter("type <> 'negation_flipped'").withColumn("before_sha256", made_up)
+    return au.audit_wording(pairs, counts, events)
+
+
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by category with a class recounted, a rate and bounds that do not follow."""
+    entries = cp.settle_candidates(cpp._classes(spark, sf_dir), cpp.live(spark, sf_dir))
+    entries = written(entries.withColumn("category", (F.col("page") % 23).cast("string")), "entries")
+    at = lambda n: F.col("category") == str(n)
+    recorded = cp.class_rates(entries, ["category"]).withColumns(
+        {
+            "changed": F.when(at(3), F.col("changed") + 1).otherwise(F.col("changed")),
+            "unverifiable_rate": F.when(at(5), F.col("unverifiable_rate") + 0.002).otherwise(F.col("unverifiable_rate")),
+            "unverifiable_high": F.when(at(7), F.col("unverifiable_high") + 0.002).otherwise(F.col("unverifiable_high")),
+            "unverifiable_low": F.when(at(9), F.col("unverifiable_low") - 0.002).otherwise(F.col("unverifiable_low")),
+        }
+    )
+    return au.audit_rates(entries, recorded, ["category"])
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days of events as answer files, their events as answers."""
     e = table(spark, sf_dir, "events").withColumn("date", day_text("ts"))
@@ -263,6 +295,8 @@ QUERIES = {
     "audit_classes": classes,
     "audit_gates": gates,
     "audit_redaction": redaction,
+    "audit_wording": wording,
+    "audit_rates": rates,
     "audit_answers": answers,
     "audit_ledger": ledger,
     "audit_log": log,
@@ -398,6 +432,44 @@ ORACLES = {
     "audit_redaction": wdp._JUDGED + _rows("redaction", [
         ("page", "a passage with an ascription is published as text", "FROM scored WHERE len(verdicts) > 0 AND redact"),
     ]),
+    "audit_wording": wdp._JUDGED + f"""
+      , per AS (SELECT page, s, count(*) FILTER (side = 0) AS b, count(*) FILTER (side = 1) AS a, min(idx) FILTER (side = 0) AS bi, min(idx) FILTER (side = 1) AS ai
+        FROM sent GROUP BY page, s),
+      turn AS (SELECT page, b > 1 OR a > 1 OR coalesce(ai < lag(ai) OVER (PARTITION BY page ORDER BY bi), false) AS odd FROM per WHERE a > 0 AND b > 0),
+      plain AS (SELECT page FROM lists WHERE page NOT IN (SELECT page FROM turn WHERE odd) AND len(bs) + len(as_) > 0),
+      k AS (SELECT page, CAST(coalesce(sum({q.token_count('before')}) FILTER (op = 'removed'), 0) AS BIGINT) AS removed,
+        count(*) FILTER (op = 'added') AS added, count(*) FILTER (op = 'rewritten') AS pairs FROM diff GROUP BY page),
+      r AS (SELECT page, removed, added, pairs, removed + CASE WHEN page % 11 = 0 THEN 1 WHEN page % 101 = 1 THEN 1000000 ELSE 0 END AS rt,
+        added + CASE WHEN page % 13 = 0 THEN 1 ELSE 0 END AS ra FROM k),
+      h AS (SELECT page, coalesce(list_sum(list_transform(bs, lambda x: {q.token_count('x')})), 0) AS tokens, len(bs) AS old, len(as_) AS new FROM lists),
+      e AS (SELECT page, unnest(verdicts).type AS type, sha256(before) AS sha FROM scored),
+      m AS (SELECT page, type, CASE WHEN type = 'date_shifted' AND page % 3 = 0 THEN sha256('x') ELSE sha END AS sha FROM e WHERE type <> 'negation_flipped'),
+      de AS (SELECT page, type, sha, count(*) AS n FROM e GROUP BY ALL), dm AS (SELECT page, type, sha, count(*) AS n FROM m GROUP BY ALL),
+      j AS (SELECT coalesce(dm.page, de.page) AS page, coalesce(dm.type, de.type) AS type, coalesce(dm.sha, de.sha) AS sha, dm.n AS mn, de.n AS en
+        FROM dm FULL JOIN de ON dm.page = de.page AND dm.type = de.type AND dm.sha = de.sha) """
+    + _rows("wording", [
+        ("page", "missing from the record", "FROM k WHERE page IN (SELECT page FROM plain) AND page % 17 = 0"),
+        ("page", "removed_tokens differs", "FROM r WHERE page IN (SELECT page FROM plain) AND page % 17 <> 0 AND rt <> removed"),
+        ("page", "added_sentences differs", "FROM r WHERE page IN (SELECT page FROM plain) AND page % 17 <> 0 AND ra <> added"),
+        ("r.page", "more tokens removed than there were", "FROM r JOIN h ON h.page = r.page WHERE r.page NOT IN (SELECT page FROM plain) AND r.page % 17 <> 0 AND rt > tokens"),
+        ("r.page", "more sentences added than there are", "FROM r JOIN h ON h.page = r.page WHERE r.page NOT IN (SELECT page FROM plain) AND r.page % 17 <> 0 AND ra + pairs > new"),
+        ("page || '/' || type || '/' || sha", "missing from the record", "FROM j WHERE page IN (SELECT page FROM plain) AND mn IS NULL"),
+        ("page || '/' || type || '/' || sha", "not in the recomputation", "FROM j WHERE page IN (SELECT page FROM plain) AND en IS NULL"),
+        ("page || '/' || type || '/' || sha", "times differs", "FROM j WHERE page IN (SELECT page FROM plain) AND mn <> en"),
+        ("page", "an event on a sentence the page did not hold", "FROM (SELECT DISTINCT page FROM m WHERE sha = sha256('x'))"),
+    ]),
+    "audit_rates": cpp._CLASSES + """
+      , c AS (SELECT page % 23 AS cat, class, count(*) AS n FROM settled GROUP BY ALL) """
+    + _rows("rates", [
+        ("cat", "changed differs", "FROM c WHERE cat = 3 GROUP BY cat"),
+        ("cat", "decided is not unchanged and changed", "FROM c WHERE cat = 3 GROUP BY cat"),
+        ("cat", "changed rate does not follow", "FROM c WHERE cat = 3 GROUP BY cat HAVING sum(n) FILTER (class IN ('unchanged', 'changed')) > 0"),
+        ("cat", "changed low is no bound of the interval", "FROM c WHERE cat = 3 GROUP BY cat HAVING sum(n) FILTER (class IN ('unchanged', 'changed')) > 0"),
+        ("cat", "changed high is no bound of the interval", "FROM c WHERE cat = 3 GROUP BY cat HAVING sum(n) FILTER (class IN ('unchanged', 'changed')) > 0"),
+        ("cat", "unverifiable rate does not follow", "FROM c WHERE cat = 5 GROUP BY cat"),
+        ("cat", "unverifiable high is no bound of the interval", "FROM c WHERE cat = 7 GROUP BY cat"),
+        ("cat", "unverifiable low is no bound of the interval", "FROM c WHERE cat = 9 GROUP BY cat"),
+    ]),
     "audit_answers": """
       WITH e AS (SELECT *, strftime(ts, '%Y-%m-%d') AS date FROM events),
       f AS (SELECT date, count(*) AS n, count(*) FILTER (value > 350) AS m, count(*) FILTER (value < 60) AS cap,
