@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recordlens import vocab as v
 from recordlens.functions import text as tx
+from recordlens.functions.rates import share
 from recordlens.operators import reaction as rx
 from recordlens.operators import wording as wd
 from recordlens.session import written
@@ -154,6 +155,99 @@ def audit_crosswalk(crosswalk: DataFrame, codes: DataFrame) -> DataFrame:
     )
 
 
+# --- readings, derived again by other ways ---------------------------------------------
+
+
+def codes_as_of(facts: DataFrame, crosswalk: DataFrame, *, on: str = "iso3", day: str = "day") -> DataFrame:
+    """(on, day, fips): mappings and questions in one order, the last mapping carried forward.
+
+    ``facts``: distinct (on, day). Unlike the lookup by validity interval, nothing is joined:
+    a question takes what stands last before it, a mapping of the same day included.
+    """
+    known = crosswalk.select(F.col("iso3").alias(on), F.col("valid_from").alias(day), "fips", F.lit(0).alias("_asks"))
+    asked = facts.select(on, day, F.lit(None).cast("string").alias("fips"), F.lit(1).alias("_asks"))
+    so_far = Window.partitionBy(on).orderBy(day, "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = known.unionByName(asked).withColumn("fips", F.last("fips", ignorenulls=True).over(so_far))
+    return carried.filter("_asks = 1").drop("_asks")
+
+
+def reading_again(
+    records: DataFrame, plans: DataFrame, funding: DataFrame, crosswalk: DataFrame, volume: DataFrame, *, run_date: str, attention_day: str, key: str = "id"
+) -> DataFrame:
+    """A night's reading by other ways than the job's, one row per open record.
+
+    Money by counting the codes that a plan and a code set have in common; codes carried
+    forward in order; attention from a grid of code sets and committed days, silent ones
+    included, and the median as the value in the middle of its ranks.
+    """
+    rows = records.filter(F.col("status") == v.OPEN).select(key, "kind", F.array_sort(F.array_distinct("iso3")).alias("iso3"))
+    sets = written(rows.select("iso3").distinct().withColumn("_set", F.to_json("iso3")), "code-sets")
+    codes = sets.select("_set", F.posexplode("iso3").alias("_pos", "_code"))
+
+    worth = plans.join(funding, "plan_id", "left").select("plan_id", F.coalesce("requirements_usd", F.lit(0)).alias("_req"), F.coalesce("funded_usd", F.lit(0)).alias("_fund"), F.explode("iso3").alias("_code"))
+    common = codes.join(worth, "_code").groupBy("_set", "plan_id").agg(F.count("*").alias("_n"), F.max("_req").alias("_req"), F.max("_fund").alias("_fund"))
+    money = common.groupBy("_set").agg(F.array_sort(F.collect_list("plan_id")).alias("plans"), F.sum("_req").alias("plan_requirements_usd"), F.sum("_fund").alias("plan_funded_usd"))
+
+    asked = codes.select("_code").distinct().withColumn("_day", F.lit(run_date))
+    mapped = codes.join(codes_as_of(asked, crosswalk, on="_code", day="_day").drop("_day"), "_code")
+    lost = F.array_sort(F.collect_list(F.when(F.col("fips").isNull(), F.struct("_pos", "_code"))))
+    fields = written(mapped.groupBy("_set").agg(F.array_sort(F.collect_set("fips")).alias("fips"), F.transform(lost, lambda x: x["_code"]).alias("unmapped_iso3")), "field-codes")
+
+    world = volume.filter("scope = 'world'").select("day", F.col("articles").alias("_world"))
+    before = world.filter(F.col("day") < attention_day).agg(F.slice(F.sort_array(F.collect_list("day"), asc=False), 1, v.BASELINE_DAYS).alias("d")).scalar()  # one entry per day
+    on_record = world.filter(F.col("day") == attention_day).agg(F.max("_world")).scalar()
+    wanted = F.concat(F.coalesce(before, F.array().cast("array<string>")), F.array(F.lit(attention_day)))
+    grid = fields.filter(F.size("fips") > 0).select("_set", "fips", wanted.alias("_days")).select("_set", "fips", F.explode("_days").alias("day"))
+    there = volume.filter("scope = 'country'").select("day", F.col("country").alias("_fips"), "articles")
+    counted = grid.select("_set", "day", F.explode("fips").alias("_fips")).join(there, ["day", "_fips"], "left")
+    daily = counted.groupBy("_set", "day").agg(F.coalesce(F.sum("articles"), F.lit(0)).alias("articles"))
+    history = F.col("day") < attention_day
+    ranks = Window.partitionBy("_set").orderBy("articles", "day")
+    ranked = daily.filter(history).withColumn("_rank", F.row_number().over(ranks)).withColumn("_n", F.count("*").over(Window.partitionBy("_set")))
+    middle = ranked.filter((F.col("_rank") * 2).between(F.col("_n"), F.col("_n") + 2)).groupBy("_set").agg(F.avg("articles").alias("baseline_median"))
+    today = daily.filter(~history).select("_set", "articles").withColumn("_world", on_record).filter("_world IS NOT NULL")
+    attention = today.join(middle, "_set", "left").select(
+        "_set", "articles", share(F.col("articles") * 10_000, F.col("_world"), 1).alias("share_per_10k"), "baseline_median",
+        share(F.col("articles"), F.col("baseline_median"), 2).alias("ratio_to_baseline"),
+    )
+    by_set = written(sets.join(money, "_set", "left").join(fields, "_set", "left").join(attention, "_set", "left").drop("_set"), "readings-by-set")
+    none = F.array().cast("array<string>")
+    return rows.join(by_set, "iso3", "left").withColumns(
+        {
+            "has_plan_match": F.col("plans").isNotNull(),
+            "plans": F.coalesce("plans", F.array().cast("array<bigint>")),
+            "plan_requirements_usd": F.coalesce("plan_requirements_usd", F.lit(0)),
+            "plan_funded_usd": F.coalesce("plan_funded_usd", F.lit(0)),
+            "fips": F.coalesce("fips", none),
+            "unmapped_iso3": F.coalesce("unmapped_iso3", none),
+        }
+    )
+
+
+READ = ("plans", "has_plan_match", "plan_requirements_usd", "plan_funded_usd", "fips", "unmapped_iso3", "articles", "share_per_10k", "baseline_median", "ratio_to_baseline")
+
+
+def audit_reading(reading: DataFrame, covered: DataFrame, again: DataFrame, *, key: str = "id") -> DataFrame:
+    """A recorded reading and its coverage row against :func:`reading_again`.
+
+    Every open record is in the reading; totals, codes and attention are what the tables
+    give; the coverage counts follow from the records' own kinds and matches.
+    """
+    found = compare(reading.select(key, *READ), again.select(key, *READ), [key], "reading")
+    per = again.filter("kind = 'ALERT_EPISODE'").groupBy("has_plan_match").agg(F.count("*").alias("n"))
+    recount = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("_open"), F.coalesce(F.sum(F.when(F.col("has_plan_match"), F.col("n"))), F.lit(0)).alias("_with")
+    )
+    both = covered.select(*covered.columns, recount.select("_open").scalar().alias("_open"), recount.select("_with").scalar().alias("_with"))
+    due = F.when(F.col("_open") > 0, F.col("_with") / F.col("_open")).otherwise(0.0)
+    rules = [
+        ("open alert episodes miscounted", F.col("open_alert_episodes") != F.col("_open")),
+        ("plan matches miscounted", F.col("with_plan_match") != F.col("_with")),
+        ("match rate does not follow", F.abs(F.col("match_rate") - due) > 0.000051),
+    ]
+    return found.unionByName(rule_rows(both, "reading", F.lit("coverage"), rules))
+
+
 def audit_volume(volume: DataFrame, sources: DataFrame | None = None, *, day: str = "day") -> DataFrame:
     """World totals equal the sum over countries and the unlocated; source references are whole."""
     check = "volume"

@@ -114,6 +114,25 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return au.compare(committed.drop("kind", "status"), recomputed.drop("kind", "status"), ["id"], "readings")
 
 
+def reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A night's reading with a wrong sum, wrong codes, a wrong median, lost records and a wrong coverage count."""
+    rec = written(rxp.order_records(spark, sf_dir), "order-records")
+    vol = written(rxp.daily_volume(spark, sf_dir), "volume")
+    inputs = (rec, rxp.plans(spark, sf_dir), rxp.funding(spark, sf_dir), rxp.crosswalk(spark, sf_dir), vol)
+    days = {"run_date": rxp.READING_DAY, "attention_day": rxp.READING_DAY}
+    held = rx.nightly_reading(*inputs, **days)
+    late = F.array_contains("iso3", "N4") & (F.col("id") % 5 == 0)
+    wrong = held.filter("id % 97 <> 0").withColumns(
+        {
+            "plan_funded_usd": F.col("plan_funded_usd") + F.when(F.col("kind") == "FORECAST", 1).otherwise(0),
+            "fips": F.when(late, F.transform("fips", lambda c: F.regexp_replace(c, "^H", "G"))).otherwise(F.col("fips")),
+            "baseline_median": F.col("baseline_median") + F.when(F.col("id") % 7 == 0, 0.5).otherwise(0.0),
+        }
+    )
+    covered = rx.coverage(held).withColumn("with_plan_match", F.col("with_plan_match") - 1)
+    return au.audit_reading(wrong, covered, au.reading_again(*inputs, **days))
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = written(rxp.user_readings(spark, sf_dir), "user-readings")
     nights = r.filter("articles <> 40").withColumn("pos", F.col("run_date")).withColumn(
@@ -287,6 +306,7 @@ QUERIES = {
     "audit_crosswalk": crosswalk,
     "audit_volume": volume,
     "audit_readings": readings,
+    "audit_reading": reading,
     "audit_series": series,
     "audit_coverage": coverage,
     "audit_identities": identities,
@@ -367,6 +387,16 @@ ORACLES = {
         ("id", "not in the recomputation", "FROM money WHERE status <> 'OPEN' AND NOT has_plan_match"),
         ("id", "plan_funded_usd differs", "FROM money WHERE kind = 'FORECAST' AND NOT (status = 'OPEN' AND has_plan_match) AND NOT (status <> 'OPEN' AND NOT has_plan_match)"),
     ]),
+    "audit_reading": "WITH due AS (" + rxp.ORACLES["nightly_reading"] + """),
+      r AS (SELECT due.*, o.o_orderpriority = '5-LOW' AS forecast, ',' || iso3 || ',' LIKE '%,N4,%' AND id % 5 = 0
+              AND ',' || fips LIKE '%,H%' AS late FROM due JOIN orders o ON o.o_orderkey = due.id) """
+    + _rows("reading", [
+        ("id", "missing from the record", "FROM r WHERE id % 97 = 0"),
+        ("id", "plan_funded_usd differs", "FROM r WHERE id % 97 <> 0 AND forecast"),
+        ("id", "fips differs", "FROM r WHERE id % 97 <> 0 AND late"),
+        ("id", "baseline_median differs", "FROM r WHERE id % 97 <> 0 AND id % 7 = 0 AND baseline_median IS NOT NULL"),
+        ("'coverage'", "plan matches miscounted", "FROM r HAVING count(*) > 0"),
+    ]),
     "audit_series": rxp._READINGS + """
       , listed AS (SELECT id, run_date, run_date AS pos, articles, ratio_to_baseline, has_plan_match, plan_requirements_usd,
           CASE WHEN articles > 250 THEN 1 ELSE plan_funded_usd END AS plan_funded_usd FROM readings WHERE articles <> 40
