@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordlens import vocab as v
+from recordlens.functions import grid
 from recordlens.functions import text as tx
-from recordlens.functions.rates import share
+from recordlens.functions.rates import rounded, share
 from recordlens.operators import reaction as rx
 from recordlens.operators import wording as wd
 from recordlens.session import written
@@ -313,6 +314,74 @@ def audit_series(nights: DataFrame, measured: DataFrame, readings: DataFrame, *,
     )
 
 
+# --- coverage, derived again by scan lines ----------------------------------------------
+
+
+def cells_again(scenes: DataFrame, positions: DataFrame, *, night: str = "night") -> DataFrame:
+    """(night, cell, observed_passes, declared_sample) by scan lines and by counting grid lines.
+
+    An acquisition is the least row of its key. Its rings give ranges of columns per row of
+    cells; a position's cell is told by the lines west and south of it.
+    """
+    key = [night, "platform", "start", "end"]
+    rest = F.struct("start", "name", "rings")
+    acquired = scenes.groupBy(*key).agg(F.min_by(rest, F.struct("start", "name")).alias("_s")).select(night, F.xxhash64(*key).alias("_pass"), "_s.rings")
+    rows = acquired.select(night, "_pass", F.inline(F.flatten(F.transform("rings", grid.ring_spans))))
+    seen = rows.select(night, "_pass", "j", F.explode(F.sequence("i1", "i2")).alias("i")).distinct().groupBy(night, "i", "j").agg(F.count("*").alias("n"))
+    observed = seen.select(night, grid.cell_name(F.col("i").cast("double"), F.col("j").cast("double")).alias("cell"), F.col("n").alias("o"), F.lit(0).alias("d"))
+    declared = positions.select(night, grid.cell_by_lines(F.col("lon"), F.col("lat")).alias("cell"), F.lit(0).alias("o"), F.lit(1).alias("d")).filter("cell IS NOT NULL")
+    return observed.unionByName(declared).groupBy(night, "cell").agg(F.sum("o").alias("observed_passes"), F.sum("d").alias("declared_sample"))
+
+
+def audit_coverage_night(
+    cells: DataFrame, figures: DataFrame, window: DataFrame, scenes: DataFrame, positions: DataFrame, *, night: str = "night", on_time: DataFrame | None = None
+) -> DataFrame:
+    """Recorded cells, figures of nights and of the window against footprints and positions.
+
+    ``window``: the row of the window's figures; ``on_time``: the nights that enter it, all
+    if not given. Cells come from scan lines, the counts from one code per cell (1 observed,
+    2 declared), medians from ranks and deviations from sums of squares.
+    """
+    check = "coverage"
+    again = written(cells_again(scenes, positions, night=night), "cells-again")
+    found = compare(cells.select(night, "cell", "observed_passes", "declared_sample"), again, [night, "cell"], check)
+
+    code = F.when(F.col("observed_passes") > 0, 1).otherwise(0) + F.when(F.col("declared_sample") > 0, 2).otherwise(0)
+    per = again.groupBy(night, code.alias("_code")).agg(F.count("*").alias("n"))
+    of = lambda *codes: F.coalesce(F.sum(F.when(F.col("_code").isin(*codes), F.col("n"))), F.lit(0))
+    counted = per.groupBy(night).agg(
+        of(1, 3).alias("cells_observed"), of(2, 3).alias("cells_declared"), of(3).alias("cells_both"),
+        of(1).alias("cells_observed_silent"), of(2).alias("cells_declared_unobserved"),
+    )
+    passes = scenes.groupBy(night).agg(F.count("*").alias("catalog_products"), F.count_distinct("platform", "start", "end").alias("acquisitions"))
+    due = passes.join(counted, night, "full").na.fill(0)
+    found = found.unionByName(compare(figures.select(*due.columns), due, [night], "figures"))
+
+    rows = again if on_time is None else again.join(on_time.select(night).distinct(), night, "left_semi")
+    envelope = rows.groupBy("cell").agg(F.max("declared_sample").alias("_most")).filter("_most > 0").select("cell", F.lit(True).alias("_in"))
+    o, silent = F.col("observed_passes") > 0, F.col("declared_sample") == 0
+    nights = rows.join(envelope, "cell", "left").groupBy(night).agg(
+        F.sum(o.cast("long")).alias("observed"), F.sum((~silent).cast("long")).alias("declared"),
+        F.sum((o & F.col("_in").isNotNull()).cast("long")).alias("_o"), F.sum((o & silent & F.col("_in").isNotNull()).cast("long")).alias("_s"),
+    )
+    nights = nights.select(night, "observed", "declared", F.when(F.col("_o") > 0, rounded(F.col("_s") / F.col("_o"), 4)).alias("discrepancy"))
+    names = ("observed", "declared", "discrepancy")
+    long = nights.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("x")) for n in names]))).filter("x IS NOT NULL")
+    ranked = long.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("x"))).withColumn("n", F.count("*").over(Window.partitionBy("name")))
+    middle = (F.col("r") * 2).between(F.col("n"), F.col("n") + 2)
+    spread = ranked.groupBy("name").agg(
+        F.avg(F.when(middle, F.col("x"))).alias("median"), F.max(F.when(F.col("r") == 1, F.col("x"))).alias("min"),
+        F.max(F.when(F.col("r") == F.col("n"), F.col("x"))).alias("max"), F.sum("x").alias("_sum"), F.sum(F.col("x") * F.col("x")).alias("_squares"), F.max("n").alias("_n"),
+    )
+    variance = (F.col("_squares") - F.col("_sum") * F.col("_sum") / F.col("_n")) / (F.col("_n") - 1)
+    spread = spread.select("name", "median", "min", "max", F.when(F.col("_n") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("sd"))
+    ends = ("median", "min", "max", "sd")
+    recorded = window.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), *[F.col(f"{n}_{e}").cast("double").alias(f"_{e}") for e in ends]) for n in names])))
+    j = recorded.join(spread, "name", "full")
+    apart = lambda e: ~F.col(e).eqNullSafe(F.col(f"_{e}")) & ~F.coalesce(F.abs(F.col(e) - F.col(f"_{e}")) <= 0.000051, F.lit(False))
+    return found.unionByName(rule_rows(j, "window", "name", [(f"{e} differs", apart(e)) for e in ends]))
+
+
 def audit_identities(documents: DataFrame, subject: str, body: str, name: str = "mmsi") -> DataFrame:
     """Derived documents that carry an identity field anywhere."""
     leak = F.contains(F.lower(F.col(body)), F.lit(f'"{name}"'))

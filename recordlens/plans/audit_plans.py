@@ -158,6 +158,19 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return au.compare(committed, cells.filter("cell NOT LIKE 'E22.5%'"), ["night", "cell"], "coverage")
 
 
+def coverage_night(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells, figures and the window's row on record, each with a defect, against footprints and positions."""
+    sc, acq, cells = cvp._axes(spark, sf_dir)
+    cells = written(cells, "cells")
+    figures = cov.coverage_figures(cells, sc, acq)
+    figures = figures.withColumn("cells_both", F.col("cells_both") + F.when(F.col("night") == "2024-01-03", 1).otherwise(0))
+    window = cov.window_figures(cells).withColumns({"discrepancy_median": F.col("discrepancy_median") + 0.01, "declared_sd": F.col("declared_sd") * 2 + 1})
+    wrong = cells.filter("cell NOT LIKE 'E15%'").withColumn(
+        "observed_passes", F.when(F.col("cell").like("E20%"), F.col("observed_passes") + 1).otherwise(F.col("observed_passes"))
+    )
+    return au.audit_coverage_night(wrong, figures, window, sc, cvp._places(spark, sf_dir))
+
+
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Derived documents of the positions; some kept the vessel's number."""
     p = cov.point_cells(cvp._places(spark, sf_dir))
@@ -309,6 +322,7 @@ QUERIES = {
     "audit_reading": reading,
     "audit_series": series,
     "audit_coverage": coverage,
+    "audit_coverage_night": coverage_night,
     "audit_identities": identities,
     "audit_drift": drift,
     "audit_sample": sample,
@@ -428,6 +442,10 @@ ORACLES = {
         ("night || '/' || cell", "not in the recomputation", "FROM both_axes WHERE cell LIKE 'E22.5%'"),
         ("night || '/' || cell", "observed_passes differs", "FROM both_axes WHERE cell LIKE 'E20%'"),
     ]),
+    "audit_coverage_night": cvp._PLACES + _rows("coverage", [
+        ("night || '/' || cell", "missing from the record", "FROM both_axes WHERE cell LIKE 'E15%'"),
+        ("night || '/' || cell", "observed_passes differs", "FROM both_axes WHERE cell LIKE 'E20%'"),
+    ]) + " UNION ALL SELECT 'figures', '2024-01-03', 'cells_both differs' UNION ALL SELECT 'window', 'discrepancy', 'median differs' UNION ALL SELECT 'window', 'declared', 'sd differs'",
     "audit_identities": cvp._PLACES + _rows("identities", [
         ("vec_id", "an identity leaked into a derived record", "FROM pc WHERE cell IS NULL"),
     ]),
