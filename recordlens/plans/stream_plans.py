@@ -11,7 +11,7 @@ from recordlens.operators.reaction import trailing_baseline
 from recordlens.functions.rates import share
 from recordlens.plans import coverage_plans as cvp
 from recordlens.plans import register_plans as rgp
-from recordlens.plans.tables import table
+from recordlens.plans.tables import day_text, table
 from recordlens.session import shared_folder, written
 from recordlens.streaming import nights as st
 
@@ -68,6 +68,39 @@ def stream_first_message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/data")
 
 
+def stream_first_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's first message per event type and user with its payload, from files dealt by chance."""
+    base = shared_folder(spark, "payload-stream")
+    ev = table(spark, sf_dir, "events").withColumn("at", st.utc_instant(F.col("ts")))
+    ev.repartition(6, F.xxhash64("event_id")).write.parquet(f"{base}/events")
+    stream = spark.readStream.schema(spark.read.parquet(f"{base}/events").schema).parquet(f"{base}/events")
+    first = st.least_message_stream(stream, ["event_type", "user_id"], "at", ["at", "event_id"], ["value", "props"])
+    out = first.select(st.utc_day(F.col("starts")).alias("day"), "event_type", "user_id", "event_id", "value", "props")
+    st.run_to_end(st.append_stream(out, base))
+    return spark.read.parquet(f"{base}/data")
+
+
+def stream_late_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily volume from four deliveries: rows of a reported day come too late, rows of an open one don't.
+
+    The third delivery brings a tenth of the third of January when that day has been
+    reported; the fourth brings a tenth of the nineteenth, which is still open.
+    """
+    base = shared_folder(spark, "late-stream")
+    ev = table(spark, sf_dir, "events").select(
+        st.utc_instant(F.col("ts")).alias("at"), day_text("ts").alias("d"), (F.col("event_id") % 10 == 0).alias("held_back"),
+        F.col("event_type").alias("country"), F.floor("value").cast("bigint").alias("articles"), F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("mentions"),
+    )
+    early, late = F.col("held_back") & (F.col("d") == "2024-01-03"), F.col("held_back") & (F.col("d") == "2024-01-19")
+    between = F.col("d").between
+    for part in ((F.col("d") <= "2024-01-10") & ~early, between("2024-01-11", "2024-01-15"), (between("2024-01-16", "2024-01-20") & ~late) | early, (F.col("d") > "2024-01-20") | late):
+        ev.filter(part).drop("d", "held_back").coalesce(1).write.mode("append").parquet(f"{base}/deliveries")
+    schema = spark.read.parquet(f"{base}/deliveries").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/deliveries")
+    st.run_to_end(st.append_stream(st.daily_volume_stream(stream, "at", "country"), base))
+    return spark.read.parquet(f"{base}/data")
+
+
 def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-back answers arriving as files, compared with the first-held values."""
     held, _, _ = cvp._drift_inputs(spark, sf_dir)
@@ -98,6 +131,8 @@ QUERIES = {
     "stream_daily_volume": stream_daily_volume,
     "stream_baseline": stream_baseline,
     "stream_first_message": stream_first_message,
+    "stream_first_payload": stream_first_payload,
+    "stream_late_volume": stream_late_volume,
     "stream_drift": stream_drift,
 }
 
@@ -112,5 +147,15 @@ ORACLES = {
             LEFT JOIN done h ON h.country = f.country AND h.day = w.day GROUP BY ALL)
       SELECT country, day, m AS baseline_median, CASE WHEN m <> 0 THEN round_even((articles / m) * 100, 0) / 100 END AS ratio FROM b""",
     "stream_first_message": "SELECT DISTINCT event_type, user_id FROM events",
+    "stream_first_payload": """
+      SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, user_id, event_id, value, props FROM events
+      WHERE CAST(ts AS DATE) + 2 <= (SELECT max(ts) FROM events)
+      QUALIFY row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d'), event_type, user_id ORDER BY ts, event_id) = 1""",
+    "stream_late_volume": """
+      SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS country, count(*) AS events, CAST(sum(floor(value)) AS BIGINT) AS articles,
+        CAST(sum(CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT)) AS BIGINT) AS mentions FROM events
+      WHERE CAST(ts AS DATE) + 2 <= (SELECT max(ts) FROM events)
+        AND NOT (strftime(ts, '%Y-%m-%d') = '2024-01-03' AND event_id % 10 = 0)
+      GROUP BY 1, 2""",
     "stream_drift": cvp.ORACLES["drift_findings"],
 }

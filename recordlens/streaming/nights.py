@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,10 +13,24 @@ from recordlens.operators import drift as dr
 from recordlens.operators import register as reg
 
 
-def run_to_end(writer) -> None:
-    """Process everything available now, then stop; failures are raised."""
+def run_to_end(writer) -> list[dict]:
+    """Process everything available now, then stop; failures are raised.
+
+    Returns what each batch reports: batch, rows, watermark, and dropped, the groups that
+    came later than the watermark allows (rows of a task that share a group count once, as
+    Spark reduces before it drops).
+    """
     query: StreamingQuery = writer.trigger(availableNow=True).start()
     query.awaitTermination()
+    return [
+        {
+            "batch": p["batchId"],
+            "rows": p["numInputRows"],
+            "watermark": p.get("eventTime", {}).get("watermark"),
+            "dropped": sum(o["numRowsDroppedByWatermark"] for o in p["stateOperators"]),
+        }
+        for p in (json.loads(q.json) for q in query.recentProgress)
+    ]
 
 
 # --- the register ---------------------------------------------------------------------
@@ -144,6 +159,18 @@ def first_message_wins(messages: DataFrame, keys: list[str], ts: str, delay: str
     return messages.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def least_message_stream(messages: DataFrame, keys: list[str], ts: str, order: list[str], payload: list[str], span: str = "1 day", delay: str = "1 day") -> DataFrame:
+    """The first message in feed order of every key and span, with its payload.
+
+    (starts, keys, order, payload) of the least ``order`` among all messages of a key whose
+    ``ts`` lies in the span, however files and batches deal them out. A span is emitted once,
+    after the watermark has passed its end; state is one row per key and open span.
+    """
+    least = F.min_by(F.struct(*order, *payload), F.struct(*order)).alias("_first")
+    rows = messages.withWatermark(ts, delay).groupBy(F.window(ts, span).alias("_span"), *keys).agg(least)
+    return rows.select(F.col("_span.start").alias("starts"), *keys, "_first.*")
+
+
 def utc_instant(ts: Column) -> Column:
     """A zone-less time read as UTC, whatever the session's zone is."""
     return F.to_timestamp(F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))

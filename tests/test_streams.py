@@ -74,3 +74,32 @@ def test_a_repeated_batch_finds_what_it_found(spark, tmp_path):
         held.advance(1, events, None, reg.advance_state)
     assert results[0] == results[1] and {e for _, _, e in results[0]} == {"REVISED"}
     assert {r[0] for r in as_list(held.read(2), "severity")} == {"Red"}
+
+
+def test_rows_later_than_the_watermark_are_dropped_and_counted(spark, tmp_path):
+    at = lambda day, hour=12: f"2026-08-{day:02d} {hour:02d}:00:00"
+    deliveries = [[(at(1), "A", 1), (at(4), "A", 1)], [(at(3), "A", 10), (at(9), "B", 1)], [(at(1), "A", 100), (at(8), "A", 2), (at(12), "A", 1)], [(at(7), "B", 5), (at(20), "A", 1)]]
+    for rows in deliveries:
+        df = spark.createDataFrame(rows, "t string, country string, n bigint").selectExpr("to_timestamp(t) AS at", "country", "n AS articles", "n AS mentions")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    told = st.run_to_end(st.append_stream(st.daily_volume_stream(stream, "at", "country"), str(tmp_path)))
+    marks = [t["watermark"][:10] for t in told]
+    assert marks == sorted(marks) and len(set(marks)) > 2
+    # the hundred of the first day and the five of the seventh come after their days were reported
+    assert [t["dropped"] for t in told if t["rows"]] == [0, 0, 1, 1] and sum(t["dropped"] for t in told) == 2
+    got = as_list(spark.read.parquet(str(tmp_path / "data")), "day", "country", "articles")
+    assert got == [("2026-08-01", "A", 1), ("2026-08-03", "A", 10), ("2026-08-04", "A", 1), ("2026-08-08", "A", 2), ("2026-08-09", "B", 1), ("2026-08-12", "A", 1)]
+
+
+def test_first_message_follows_feed_order_not_arrival(spark, tmp_path):
+    rows = [(f"2026-08-0{d} 0{h}:00:00", p, k, f"{d}{h}{p}{k}") for d in (1, 2, 9) for h in (3, 1, 2) for p in (2, 1) for k in "ab"]
+    want = [(d, k, f"{d}1" + "1" + k) for d in (1, 2) for k in "ab"]
+    for name, parts in (("one", [rows]), ("two", [rows[1::2], rows[::2]]), ("turned", [rows[::-1]])):
+        for part in parts:
+            spark.createDataFrame(part, "t string, pos int, key string, body string").selectExpr("to_timestamp(t) AS at", "pos", "key", "body").coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        stream = spark.readStream.schema("at timestamp, pos int, key string, body string").parquet(str(tmp_path / name / "in"))
+        first = st.least_message_stream(stream, ["key"], "at", ["at", "pos"], ["body"]).withColumn("d", F.dayofmonth("starts"))
+        st.run_to_end(st.append_stream(first, str(tmp_path / name)))
+        assert as_list(spark.read.parquet(str(tmp_path / name / "data")), "d", "key", "body") == want
