@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordlens import sinks
+from recordlens import vocab as v
 from recordlens.functions import text as tx
 from recordlens.operators import captures as cp
 from recordlens.operators import coverage as cov
@@ -42,11 +43,18 @@ def register_night(
     events.write.mode("overwrite").parquet(f"{base}/events/run={run_date}")
     tonight = spark.read.parquet(f"{base}/events/run={run_date}")
     reg.advance_state(tonight, state).write.mode("overwrite").parquet(f"{base}/state/run={run_date}")
-    history = spark.read.parquet(f"{base}/events").drop("run")
-    current = reg.register_current(history)
-    done = sinks.existing(spark, f"{base}/verdicts")
-    sinks.append_new(ver.verdicts(current, history, done=done), f"{base}/verdicts", "id")
-    sinks.append_once(runs, f"{base}/runs")
+    # A verdict rests on the history of its record, and for a forecast on that of the alerts it
+    # may have become: records let go since the last night on record, and alerts.
+    written = spark.read.parquet(f"{base}/events")
+    since = F.lit(True) if newest is None else F.col("run").cast("string") > str(newest)
+    let_go = written.filter(since & F.col("event").isin(v.CLOSED_BY_SOURCE, v.DISSIPATED)).select("id", "kind").distinct()
+    wanted = let_go.select("id")
+    if not let_go.filter("kind = 'FORECAST'").isEmpty():
+        wanted = wanted.unionByName(written.filter("kind = 'ALERT_EPISODE'").select("id")).distinct()
+    history = written.drop("run").join(wanted, "id", "left_semi")
+    done = sinks.held_rows(spark, f"{base}/verdicts", "id", before=run_date)
+    sinks.append_new(ver.verdicts(reg.register_current(history), history, done=done), f"{base}/verdicts", "id", run=run_date)
+    sinks.append_once(runs, f"{base}/runs", run=run_date)
 
 
 def coverage_night(catalogue_bodies: DataFrame, position_bodies: DataFrame) -> dict[str, DataFrame]:

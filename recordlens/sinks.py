@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,10 @@ from recordlens import vocab as v
 from recordlens.sources.records import file_hashes, read_bytes
 
 
+#: The column that names the run which wrote a row.
+RUN = "_run"
+
+
 class AlreadyRecorded(RuntimeError):
     """The day is on record; records are only ever added."""
 
@@ -22,10 +29,12 @@ def existing(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def refuse_recorded(df: DataFrame, path: str, day: str = "date") -> None:
-    """Raise if any day of ``df`` is on record at ``path``."""
+def refuse_recorded(df: DataFrame, path: str, day: str = "date", run: str | None = None) -> None:
+    """Raise if any day of ``df`` is on record at ``path``, unless ``run`` itself has written it."""
     held = existing(df.sparkSession, path)
     if held is not None:
+        if run is not None and RUN in held.columns:
+            held = held.filter(~F.col(RUN).eqNullSafe(F.lit(run)))
         clash = df.select(F.col(day).cast("string").alias(day)).join(
             held.select(F.col(day).cast("string").alias(day)).distinct(), day, "left_semi"
         )
@@ -33,10 +42,47 @@ def refuse_recorded(df: DataFrame, path: str, day: str = "date") -> None:
             raise AlreadyRecorded(f"{path} already holds a day of these rows")
 
 
-def append_once(df: DataFrame, path: str, day: str = "date") -> None:
-    """Append rows partitioned by ``day``; refuse if any of their days is already there."""
-    refuse_recorded(df, path, day)
-    df.write.partitionBy(day).mode("append").parquet(path)
+def run_key() -> str:
+    """A key of its own for every call; earlier ones sort first."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def append_once(df: DataFrame, path: str, day: str = "date", run: str | None = None, lease_hours: float = 6.0) -> None:
+    """Write rows partitioned by ``day``, once per day; refuse days that another run has written or is writing.
+
+    A run first claims its days, then reads all claims: the earliest live one holds a day, so
+    of two writers that both found it free one goes on. Rows are staged by Spark and then put
+    in place of their day's partition, so a day holds the rows of one run, whole, and a run
+    that is repeated under its key replaces its own rows. A claim without rows ends after
+    ``lease_hours``, as its run has broken off.
+    """
+    run = run or run_key()
+    refuse_recorded(df, path, day, run)
+    _claim(df.select(F.col(day).cast("string").alias("day")).distinct(), f"{path.rstrip('/')}/_claims", run, lease_hours)
+    _replace(df.withColumn(RUN, F.lit(run)), path, day)
+
+
+def _claim(days: DataFrame, folder: str, run: str, lease_hours: float) -> None:
+    """Record the claim of ``run`` on days; take it back and raise if another run's is earlier."""
+    attempt, now = uuid.uuid4().hex, time.time_ns()
+
+    def note(released: bool) -> None:
+        row = days.select("day", F.lit(run).alias("run"), F.lit(now).alias("at"), F.lit(released).alias("released"))
+        row.coalesce(1).write.mode("append").parquet(f"{folder}/attempt={attempt}")  # no two jobs share a folder
+
+    note(False)
+    claims = days.sparkSession.read.parquet(folder)
+    live = claims.groupBy("day", "run", "attempt").agg(F.min("at").alias("at"), F.max("released").alias("released"))
+    live = live.filter(~F.col("released") & (F.col("at") > now - int(lease_hours * 3600e9)))
+    holders = live.groupBy("day").agg(F.min_by("run", F.struct("at", "run")).alias("holder"))
+    if not days.join(holders, "day").filter(F.col("holder") != run).isEmpty():
+        note(True)
+        raise AlreadyRecorded(f"another run is writing a day of these rows below {folder}")
+
+
+def _replace(df: DataFrame, path: str, by: str) -> None:
+    """Put partitions in place of what stood there; other partitions stay."""
+    df.write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def one_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
@@ -49,15 +95,29 @@ def one_per_key(df: DataFrame, keys: list[str], order: list[str] | None = None)
     return least.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
 
 
-def append_new(df: DataFrame, path: str, key: str, order: list[str] | None = None) -> None:
+def append_new(df: DataFrame, path: str, key: str, order: list[str] | None = None, run: str | None = None) -> None:
     """Append only rows whose key is not on record yet; held rows are never rewritten.
 
-    A key that the batch holds more than once is written once, see ``one_per_key``.
+    A key that the batch holds more than once is written once, see ``one_per_key``. Every run
+    has a partition, which a repeated run replaces. Two runs that both found a key free leave
+    a row each; :func:`held_rows` reads the one of the earlier run key.
     """
+    run = run or run_key()
     df = one_per_key(df, [key], order)
     held = existing(df.sparkSession, path)
-    fresh = df if held is None else df.join(held.select(key), key, "left_anti")
-    fresh.write.mode("append").parquet(path)
+    fresh = df if held is None else df.join(held.filter(F.col(RUN) != run).select(key), key, "left_anti")
+    _replace(fresh.withColumn(RUN, F.lit(run)), path, RUN)
+
+
+def held_rows(spark: SparkSession, path: str, key: str, before: str | None = None) -> DataFrame | None:
+    """The rows that :func:`append_new` keeps, one per key; ``before``: those of earlier runs only. None before the first write."""
+    held = existing(spark, path)
+    if held is None:
+        return None
+    held = held.withColumn(RUN, F.col(RUN).cast("string"))
+    if before is not None:
+        held = held.filter(F.col(RUN) < before)
+    return one_per_key(held, [key], [RUN]).drop(RUN)
 
 
 def preserve_once(entries: DataFrame, manifest: DataFrame) -> DataFrame:

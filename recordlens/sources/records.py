@@ -87,5 +87,5 @@ def log_entries(lines: DataFrame) -> DataFrame:
 
 def read_committed(spark: SparkSession, path: str, day: str | None = None, day_col: str = "date") -> DataFrame:
     """Committed records of one register; a day narrows the scan to its partition."""
-    df = spark.read.parquet(path)
+    df = spark.read.parquet(path).drop("_run")
     return df if day is None else df.filter(F.col(day_col).cast("string") == day)

@@ -82,6 +82,64 @@ def test_append_only(spark, tmp_path):
     assert records.read_committed(spark, path, "2026-08-09").count() == 1
 
 
+def test_a_day_holds_the_rows_of_one_run(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda n: spark.createDataFrame([("2026-08-08", n, k) for k in range(5)], "date string, n int, k int")
+    sinks.append_once(rows(1), path, run="a")
+    sinks.append_once(rows(2), path, run="a")  # the same run again replaces its own rows
+    assert as_list(records.read_committed(spark, path), "n", "k") == [(2, k) for k in range(5)]
+    with pytest.raises(sinks.AlreadyRecorded):
+        sinks.append_once(rows(3), path, run="b")
+    # a writer that passed the look before another one wrote: one of them stays, whole
+    sinks._replace(rows(4).withColumn(sinks.RUN, F.lit("c")), path, "date")
+    assert as_list(records.read_committed(spark, path), "n", "k") == [(4, k) for k in range(5)]
+
+
+def test_two_writers_of_a_day(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = str(tmp_path / "t")
+    sinks.append_once(spark.createDataFrame([("2026-08-07", 0, 0)], "date string, n int, k int"), path)
+
+    def write(n):
+        try:
+            sinks.append_once(spark.createDataFrame([("2026-08-08", n, k) for k in range(50)], "date string, n int, k int").repartition(4), path, run=f"w{n}")
+        except sinks.AlreadyRecorded:
+            return "refused"
+        return "written"
+
+    with ThreadPoolExecutor(2) as pool:
+        told = sorted(pool.map(write, (1, 2)))
+    day = records.read_committed(spark, path, "2026-08-08").collect()
+    assert told == ["refused", "written"] and len(day) == 50 and len({r["n"] for r in day}) == 1
+
+
+def test_a_claim_that_was_refused_or_left_is_no_bar(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *d: spark.createDataFrame([(x, 1) for x in d], "date string, n int")
+    days = lambda *d: spark.createDataFrame([(x,) for x in d], "day string")
+    sinks._claim(days("2026-08-08"), f"{path}/_claims", "broken", 6.0)  # a run that claimed a day and broke off
+    with pytest.raises(sinks.AlreadyRecorded):
+        sinks.append_once(rows("2026-08-08", "2026-08-09"), path, run="other")
+    sinks.append_once(rows("2026-08-09"), path, run="third")  # the refused run gave its claim back
+    sinks.append_once(rows("2026-08-08"), path, run="broken")  # the broken one is run again
+    assert as_list(records.read_committed(spark, path).selectExpr("string(date) AS d"), "d") == [("2026-08-08",), ("2026-08-09",)]
+    sinks._claim(days("2026-08-10"), f"{path}/_claims", "gone", 6.0)
+    sinks.append_once(rows("2026-08-10"), path, run="later", lease_hours=0.0)
+
+
+def test_a_run_that_is_repeated_replaces_its_new_keys(spark, tmp_path):
+    path = str(tmp_path / "v")
+    rows = lambda *x: spark.createDataFrame(list(x), "id int, verdict string")
+    sinks.append_new(rows((1, "a")), path, "id", run="n1")
+    for word in ("half", "whole"):
+        sinks.append_new(rows((1, "late"), (2, word)), path, "id", run="n2")
+    # a run that did not see n2's key: both rows lie there, the earlier run's counts
+    sinks._replace(rows((2, "raced")).withColumn(sinks.RUN, F.lit("n3")), path, sinks.RUN)
+    assert as_list(sinks.held_rows(spark, path, "id"), "id", "verdict") == [(1, "a"), (2, "whole")]
+    assert as_list(sinks.held_rows(spark, path, "id", before="n2"), "id") == [(1,)]
+
+
 def test_manifest_and_documents(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.json").write_text('{"x":\n 1}')
