@@ -157,6 +157,19 @@ def simultaneous_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wd.simultaneous_loss(rows)
 
 
+def simultaneous_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages lost within fourteen nights; a document's night follows from its number and source."""
+    docs = edited(spark, sf_dir)
+    night = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("page") * 7 + F.length("source")) % 60).cast("int"))
+    where = docs.select(
+        "page", F.col("source").alias("institution"), F.when(F.col("source") == "src19", "E").otherwise("A").alias("category"), night.alias("night")
+    )
+    rows = wd.losses(_diff(spark, sf_dir)).join(where, "page").withColumnRenamed("page", "url")
+    out = wd.simultaneous_windows(rows)
+    day = lambda c: F.col(c).cast("string").alias(c)
+    return out.select("passage_sha256", day("first_night"), day("last_night"), "urls", "institutions")
+
+
 def text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortened texts, redacted addresses, permalinks, page ids and amounts in words."""
     p = table(spark, sf_dir, "pages").select(
@@ -302,6 +315,7 @@ QUERIES = {
     "top_abstentions": top_abstentions,
     "read_pages": read_pages,
     "simultaneous_loss": simultaneous_loss,
+    "simultaneous_windows": simultaneous_windows,
     "text_words": text_words,
     "usd_words": usd_words,
 }
@@ -339,6 +353,17 @@ ORACLES = {
         FROM diff d JOIN edited e ON e.page = d.page WHERE d.op = 'removed' AND e.source <> 'src19')
       SELECT sha256(norm) AS passage_sha256, count(DISTINCT page) AS urls, count(DISTINCT source) AS institutions FROM n
       WHERE {q.token_count('norm')} >= 8 GROUP BY norm HAVING count(DISTINCT page) >= 3 AND count(DISTINCT source) >= 2""",
+    "simultaneous_windows": _JUDGED + f""", l AS (SELECT page, before FROM diff WHERE op = 'removed'
+        UNION ALL SELECT page, before FROM scored WHERE op = 'rewritten'
+          AND list_has_any(list_transform(verdicts, lambda x: x.type), ['commitment_removed', 'attribution_removed', 'negation_flipped'])),
+      n AS (SELECT DISTINCT l.page, e.source, DATE '2024-01-01' + CAST((l.page * 7 + length(e.source)) % 60 AS INT) AS night,
+          {q.collapse(f"regexp_replace(lower(l.before), '[^\\p{{L}}\\p{{N}}\\s\\p{{Z}}]+', '', 'g')")} AS norm
+        FROM l JOIN edited e ON e.page = l.page WHERE e.source <> 'src19'),
+      k AS (SELECT sha256(norm) AS p, page, source, night FROM n WHERE {q.token_count('norm')} >= 8),
+      w AS (SELECT DISTINCT p, night AS f FROM k)
+      SELECT w.p AS passage_sha256, CAST(w.f AS VARCHAR) AS first_night, CAST(w.f + 13 AS VARCHAR) AS last_night, count(DISTINCT page) AS urls,
+        count(DISTINCT source) AS institutions FROM w JOIN k ON k.p = w.p AND k.night BETWEEN w.f AND w.f + 13
+      GROUP BY w.p, w.f HAVING count(DISTINCT page) >= 3 AND count(DISTINCT source) >= 2""",
     "text_words": """SELECT page_id, regexp_replace(url, '(?s)\\?.*', '') AS redacted_url, left(sha256(url), 16) AS url_id,
       'https://archive.test/web/20240130120000/' || url AS permalink, 'https://archive.test/web/20240130120000id_/' || url AS raw_link,
       CASE WHEN length(url) <= 30 THEN url ELSE left(url, 29) || '…' END AS short_url FROM pages""",

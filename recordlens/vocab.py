@@ -174,3 +174,5 @@ MOMENT_LIMIT = 100
 CATEGORIES = ("A", "B", "C", "D", "E")
 STRATEGIES = ("domain", "prefix", "single_url")
 MIN_CONTROLS = 15
+#: Event types that count as the loss of a passage.
+LOSS_TYPES = ("commitment_removed", "attribution_removed", "negation_flipped")

@@ -162,3 +162,20 @@ def test_simultaneous_loss(spark):
     rows = [("u1", "i1", "A", p + "."), ("u2", "i1", "A", p.upper() + "!"), ("u3", "i2", "B", p), ("u4", "i3", "E", p), ("u5", "i1", "A", "Too short")]
     got = wd.simultaneous_loss(spark.createDataFrame(rows, "url string, institution string, category string, passage string"))
     assert as_list(got, "urls", "institutions") == [(3, 2)]
+
+
+def test_losses_within_a_window_of_nights(spark):
+    p, q = "The ministry will publish the results of all of the audits", "The agency commits to the repair of the bridge over the river"
+    rows = [("u1", "i1", "A", "2026-08-01", p), ("u2", "i1", "A", "2026-08-03", p + "."), ("u3", "i2", "B", "2026-08-14", p), ("u4", "i2", "B", "2026-08-15", p), ("u5", "i3", "E", "2026-08-02", p)]
+    rows += [("u1", "i1", "A", "2026-08-01", q), ("u2", "i2", "A", "2026-08-02", q), ("u3", "i2", "A", "2026-08-15", q)]
+    lost = spark.createDataFrame(rows, "url string, institution string, category string, night string, passage string")
+    got = wd.simultaneous_windows(lost).selectExpr("string(first_night) AS first_night", "urls", "institutions")
+    # p: from the first and the third; from the fourteenth on only one institution. q never has three urls in fourteen nights
+    assert as_list(got, "first_night", "urls", "institutions") == [("2026-08-01", 3, 2), ("2026-08-03", 3, 2)]
+    assert wd.simultaneous_windows(lost, nights=15).count() == 3
+
+
+def test_typed_losses_count_as_losses(spark):
+    rows = spark.createDataFrame([(n, b, a) for n, (b, a, _) in enumerate(PAIRS)], "page int, before string, after string")
+    got = {(r["page"], r["cause"]) for r in wd.losses(wd.sentence_diff(rows)).collect()}
+    assert got == {(2, "negation_flipped"), (3, "commitment_removed"), (4, "removed"), (5, "attribution_removed")}
