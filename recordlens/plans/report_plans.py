@@ -12,7 +12,7 @@ from recordlens.operators import reports as rp
 from recordlens.operators import verdicts as ver
 from recordlens.plans import register_plans as rgp
 from recordlens.plans.register_plans import BASE, LAST_NIGHT
-from recordlens.plans.reaction_plans import order_records, plans
+from recordlens.plans.reaction_plans import funding, order_records, plans
 from recordlens.plans.reaction_plans import _RECORDS as RECORDS_SQL
 from recordlens.operators.reaction import plan_totals
 from recordlens.plans.tables import day_text, table
@@ -90,11 +90,12 @@ def idle_sensor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def plan_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven nations have a plan here: the gap is what is counted."""
-    rec = order_records(spark, sf_dir)
-    few = plans(spark, sf_dir).filter("plan_id >= 18")
-    money = few.select("plan_id", F.lit(0).cast("bigint").alias("funded_usd"))
-    return rp.plan_gap(plan_totals(rec, few, money))
+    """Plans that ask for more than a fifteenth of what their nations hold: the gap is what the others leave."""
+    rec, money = order_records(spark, sf_dir), funding(spark, sf_dir)
+    asking = plans(spark, sf_dir).join(money, "plan_id", "left").filter(
+        F.coalesce("requirements_usd", F.lit(0)) * 15 > F.coalesce("funded_usd", F.lit(0))
+    )
+    return rp.plan_gap(plan_totals(rec, asking.drop("funded_usd"), money))
 
 
 def night_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,7 +209,7 @@ ORACLES = {
       SELECT user_id, state, min(night) AS first_night, max(night) AS last_night, count(*) AS nights FROM r GROUP BY user_id, state, g""",
     "idle_sensor": BASE + rgp._VERDICT_SQL + """SELECT count(*) AS verdicts, count(*) FILTER (verdict = 'MATERIALIZED_AS_ALERT') AS materialized,
       count(*) >= 10 AND count(*) FILTER (verdict = 'MATERIALIZED_AS_ALERT') = 0 AS fired FROM verd""",
-    "plan_gap": RECORDS_SQL.replace("FROM nation),", "FROM nation WHERE n_nationkey >= 18),") + """SELECT has_plan_match, count(DISTINCT code) AS countries
+    "plan_gap": RECORDS_SQL.replace("JOIN plan p ON", "JOIN plan p ON p.req * 15 > p.fund AND") + """SELECT has_plan_match, count(DISTINCT code) AS countries
       FROM (SELECT has_plan_match, unnest(iso3) AS code FROM money) GROUP BY has_plan_match""",
     "night_table": BASE + rgp._VERDICT_SQL + """
       , n AS (SELECT run_date, count(*) FILTER (event = 'NOTARIZED') AS notarized, count(*) FILTER (event = 'REVISED') AS revised,

@@ -352,6 +352,39 @@ def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fetch_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer names as one file per nation, with where and when they were fetched; every fifth has no fetch on record."""
+    c = table(spark, sf_dir, "customer")
+    path = shared_folder(spark, "fetched")
+    lines = c.select("c_nationkey", "c_custkey", F.col("c_name").alias("value")).repartition("c_nationkey")
+    lines.sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey").write.partitionBy("c_nationkey").text(path)
+    nation = F.regexp_extract("file", r"c_nationkey=(\d+)", 1).cast("bigint")
+    names = sinks.manifest_of(spark, path).select(F.regexp_extract("path", r"(c_nationkey=\d+/[^/]+)$", 1).alias("file"))
+    fetches = names.filter(nation % 5 > 0).select(
+        "file", F.concat(F.lit("https://feeds.test/"), nation.cast("string")).alias("url"),
+        F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), nation.cast("int")), "yyyy-MM-dd'T'03:00:00'Z'").alias("retrieved_at"),
+        F.when(nation % 7 == 0, 304).otherwise(200).alias("http_status"),
+    )
+    got = sinks.manifest_of(spark, path, fetches)
+    return got.select(nation.alias("nation"), "url", "retrieved_at", F.col("http_status").cast("bigint").alias("http_status"), "sha256", "bytes")
+
+
+def manifest_nights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest files, one for each month of orders, read back with the folder each came from."""
+    o = table(spark, sf_dir, "orders").withColumn("month", F.date_format("o_orderdate", "yyyy-MM"))
+    path = shared_folder(spark, "manifests")
+    entry = F.struct(
+        _text_of("o_orderkey").alias("file"), F.concat(F.lit("https://feeds.test/"), _text_of("o_orderkey")).alias("url"), F.lit(200).alias("http_status"),
+        F.sha2(_text_of("o_orderkey"), 256).alias("sha256"), F.col("o_custkey").cast("bigint").alias("bytes"),
+    )
+    docs = o.groupBy("month").agg(F.to_json(F.struct(F.first("month").alias("run_date"), F.collect_list(entry).alias("entries"))).alias("value"))  # a document is a month's list
+    docs.repartition("month").write.partitionBy("month").text(path)
+    got = records.manifest_files(spark, f"{path}/*")
+    return got.select(
+        F.regexp_extract("origin", r"month=([0-9-]+)/", 1).alias("folder"), "run_date", "file", "url", F.col("http_status").cast("bigint").alias("http_status"), "sha256", "bytes"
+    )
+
+
 def preserved_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New files of the orders against a manifest of the large ones."""
     o = table(spark, sf_dir, "orders")
@@ -422,6 +455,8 @@ QUERIES = {
     "watchlist_scan": watchlist_scan,
     "manifest_scan": manifest_scan,
     "file_manifest": file_manifest,
+    "fetch_manifest": fetch_manifest,
+    "manifest_nights": manifest_nights,
     "preserved_once": preserved_once,
     "log_scan": log_scan,
     "append_once": append_once,
@@ -499,6 +534,14 @@ ORACLES = {
         sha256(CAST(o_orderkey AS VARCHAR)) AS sha256, CAST(length(CAST(o_orderkey AS VARCHAR)) AS BIGINT) AS bytes FROM orders""",
     "file_manifest": """SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey, CAST(sum(length(s_name) + 1) AS BIGINT) AS bytes,
       sha256(string_agg(s_name || chr(10), '' ORDER BY s_suppkey)) AS sha256 FROM supplier GROUP BY s_nationkey""",
+    "fetch_manifest": """WITH f AS (SELECT CAST(c_nationkey AS BIGINT) AS nation, CAST(sum(length(c_name) + 1) AS BIGINT) AS bytes,
+        sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY c_nationkey)
+      SELECT nation, CASE WHEN nation % 5 > 0 THEN 'https://feeds.test/' || nation END AS url,
+        CASE WHEN nation % 5 > 0 THEN strftime(DATE '2024-01-01' + CAST(nation AS INT), '%Y-%m-%d') || 'T03:00:00Z' END AS retrieved_at,
+        CAST(CASE WHEN nation % 5 > 0 THEN CASE WHEN nation % 7 = 0 THEN 304 ELSE 200 END END AS BIGINT) AS http_status, sha256, bytes FROM f""",
+    "manifest_nights": """SELECT strftime(o_orderdate, '%Y-%m') AS folder, strftime(o_orderdate, '%Y-%m') AS run_date, CAST(o_orderkey AS VARCHAR) AS file,
+        'https://feeds.test/' || o_orderkey AS url, CAST(200 AS BIGINT) AS http_status, sha256(CAST(o_orderkey AS VARCHAR)) AS sha256,
+        CAST(o_custkey AS BIGINT) AS bytes FROM orders""",
     "preserved_once": """SELECT CAST(o_orderkey AS VARCHAR) AS file, sha256(o_orderstatus) AS sha256 FROM orders WHERE o_totalprice <= 200000""",
     "log_scan": """SELECT strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY event_id) AS line_no, value < 2 AS unparseable,
       CASE WHEN value >= 2 THEN event_type END AS step, CASE WHEN value >= 2 THEN strftime(ts, '%Y-%m-%d') END AS run_date FROM events""",
