@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to a-z over UTF-8 bytes; every other byte stays.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Entries a worker keeps in one cache of words; beyond it the cache starts again.
+CACHE = 200_000
 #: Odd multipliers that mix 64-bit hashes.
 MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64
 )
-#: Entries a worker keeps in one cache of words; beyond it the cache starts again.
-CACHE = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,15 @@ def word_hashes(words: list[bytes], cache: dict) -> np.ndarray:
         return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+_LETTER = np.frombuffer(LOWER, dtype=np.uint8)
+#: A fixed random 64-bit value for every byte of a word; white space has none.
+_VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_VALUE[[32, *range(9, 14)]] = 0
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text whose words are hashed at once.
+AT_ONCE = 1 << 20
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     h = h ^ (h >> np.uint64(31))
@@ -64,19 +73,84 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingles(words: list[bytes], size: int, cache: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``size``-word shingles.
+def _some_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the words of some bytes; ``first`` marks bytes at which a text begins."""
+    value = _VALUE[_LETTER[data]]
+    inside = value != 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | first[1:]
+    at = np.flatnonzero(begins)
+    if not len(at):
+        return np.empty(0, dtype=np.uint64), at
+    lead = int(at[0])  # bytes before the first word have no value
+    place = np.zeros(len(data), dtype=np.int64)
+    place[lead:] = np.arange(len(data) - lead) - np.repeat(at - lead, np.diff(at, append=len(data)))
+    power = np.cumprod(np.full(int(place.max()) + 1, _BASE))
+    return mixed(np.add.reduceat(value * power[place], at)), at
 
-    With fewer words the whole sequence is one shingle; no words give none. Word hashes
-    are combined by distinct multipliers, so order counts.
-    """
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = word_hashes(words, cache)
-    n = min(size, len(h))
-    out = np.full(len(h) - n + 1, n, dtype=np.uint64)
-    for i in range(n):
-        out += mixed(h[i : len(h) - n + 1 + i] + MIX[i % 5] * np.uint64(i + 1))
-    return np.unique(mixed(out))
 
+def text_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts in order, A-Z in lower case, and the number of words of each text.
 
+    Words are what stands between ASCII white space. A hash is the sum of a value per byte
+    times a power of an odd base for its place in the word, so no word is looked up or kept.
+    """
+    if not len(texts):
+        return np.empty(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    raw = texts.cast(pa.large_binary())
+    ends = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    low, high = int(ends[0]), int(ends[-1])
+    if low == high:
+        return np.empty(0, dtype=np.uint64), np.zeros(len(raw), dtype=np.int64)
+    data = np.frombuffer(raw.buffers()[2], dtype=np.uint8, count=high)[low:]
+    first = np.zeros(len(data) + 1, dtype=bool)
+    first[ends[:-1] - low] = True
+    hashes, places, begin = [], [], 0
+    with np.errstate(over="ignore"):
+        while begin < len(data):
+            end = min(begin + AT_ONCE, len(data))
+            if end < len(data):  # go on to the next place where no word is cut
+                step = 1 << 12
+                while end < len(data):
+                    gap = np.flatnonzero((_VALUE[data[end : end + step]] == 0) | first[end : end + step][: len(data) - end])
+                    if len(gap):
+                        end += int(gap[0])
+                        break
+                    end = min(end + step, len(data))
+            h, at = _some_words(data[begin:end], first[begin:end])
+            hashes.append(h)
+            places.append(at + begin)
+            begin = end
+    places = np.concatenate(places)
+    return np.concatenate(hashes), np.diff(np.searchsorted(places, ends - low))
+
+
+def shingles(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its ``size``-word shingles.
+
+    With fewer words the whole sequence is one shingle; no words, or no text, give none.
+    Word hashes are combined by distinct multipliers, so order counts.
+    """
+    h, counts = text_hashes(texts)
+    out: list[np.ndarray] = []
+    with np.errstate(over="ignore"):
+        windows = np.full(max(len(h) - size + 1, 0), size, dtype=np.uint64)
+        for i in range(size):
+            windows += mixed(h[i : i + len(windows)] + MIX[i % 5] * np.uint64(i + 1))
+        windows = mixed(windows)
+        begin = 0
+        for n in counts.tolist():
+            if n >= size:
+                found = np.sort(windows[begin : begin + n - size + 1])
+                new = np.ones(len(found), dtype=bool)
+                np.not_equal(found[1:], found[:-1], out=new[1:])
+                out.append(found[new])
+            elif n:
+                whole = np.uint64(n)
+                for i in range(n):
+                    whole += mixed(h[begin + i : begin + i + 1] + MIX[i % 5] * np.uint64(i + 1))[0]
+                out.append(mixed(np.array([whole])))
+            else:
+                out.append(np.empty(0, dtype=np.uint64))
+            begin += n
+    return out

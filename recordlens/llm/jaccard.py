@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm.base import LOWER, MIX, as_bytes, mixed, shingles, slices, table
+from recordlens.llm.base import MIX, mixed, shingles, slices, table
 from recordlens.llm.components import connected_components
 from recordlens.session import written
 
@@ -95,21 +95,15 @@ def _key(elements: np.ndarray) -> int:
         return int(mixed(np.array([total + np.uint64(len(elements))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _sets(batch: pa.RecordBatch, size: int, cache: dict) -> list[np.ndarray]:
-    with np.errstate(over="ignore"):
-        return [shingles(t.translate(LOWER).split() if t else [], size, cache) for t in as_bytes(batch.column("text"))]
-
-
 def named_sets(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n, key) per document, and (counter, count) of shingles common in a task's documents."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         counts, seen = np.zeros(COUNTERS, dtype=np.int64), 0
         names = ["doc_id", "n", "key", "counter", "count"]
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
-                sets = _sets(piece, size, cache)
+                sets = shingles(piece.column("text"), size)
                 seen += len(sets)
                 counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
                 n, none = np.array([len(x) for x in sets]), pa.nulls(len(sets), pa.int64())
@@ -127,13 +121,12 @@ def signed(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)  # COMMON numbers at most
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         done: set[int] = set()
         for batch in batches:
             for piece in slices(batch, "text", 2 << 20):
                 sigs, keys = [], []
                 with np.errstate(over="ignore"):
-                    for x in _sets(piece, size, cache):
+                    for x in shingles(piece.column("text"), size):
                         if len(x) >= BAND and (key := _key(x)) not in done:
                             if len(done) >= REMEMBERED:
                                 done.clear()
@@ -177,20 +170,26 @@ def shared(sigs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(key, n, elements) for the wanted (key, doc_id), from the documents' texts."""
+    """(key, elements) for the wanted (key, doc_id), from the documents' texts.
+
+    A set that only rows without doc_id have is made from all of those rows.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         for batch in batches:
             for piece in slices(batch, "text", 2 << 20):
-                sets = _sets(piece, size, cache)
-                right = [i for i, (x, k) in enumerate(zip(sets, piece.column("key").to_pylist(), strict=True)) if len(x) and _key(x) == k]
+                sets = shingles(piece.column("text"), size)
+                keys = [_key(x) if len(x) else None for x in sets]
+                right = [i for i, (k, w) in enumerate(zip(keys, piece.column("key").to_pylist(), strict=True)) if k is not None and w in (None, k)]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("key").take(pa.array(right, pa.int64())), pa.array([sets[i].view(np.int64) for i in right], pa.list_(pa.int64()))], names=["key", "elements"]
+                    [pa.array([keys[i] for i in right], pa.int64()), pa.array([sets[i].view(np.int64) for i in right], pa.list_(pa.int64()))], names=["key", "elements"]
                 )
 
     texts = docs.join(wanted, "doc_id").select("key", "text")
-    return texts.mapInArrow(make, "key long, elements array<long>").dropDuplicates(["key"])
+    made = texts.mapInArrow(make, "key long, elements array<long>")
+    nameless = docs.filter(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("key"), "text")
+    others = nameless.mapInArrow(make, "key long, elements array<long>").join(wanted.filter(F.col("doc_id").isNull()).select("key"), "key", "left_semi")
+    return made.unionByName(others).dropDuplicates(["key"])
 
 
 def linked(pairs: DataFrame, sets: DataFrame, least: int = 80) -> DataFrame:
@@ -288,8 +287,9 @@ def jaccard_components(documents: DataFrame, size: int = 5) -> DataFrame:
     Words are what stands between white space, A-Z in lower case; a set holds the distinct
     ``size``-word shingles, or the whole sequence if it is shorter. Texts without a word
     have an empty set and are components of their own. component_id is the smallest doc_id
-    reachable. A row without doc_id keeps a row, but names no component and links only by
-    equal sets. Repeated rows each have a row; other columns are not read.
+    reachable. A row without doc_id keeps a row and links like any other, but names no
+    component: its component_id is null where it reaches no row with one. Repeated rows each
+    have a row; other columns are not read.
     """
     docs = documents.select("doc_id", "text")
     named = written(named_sets(docs, size), "named-sets")

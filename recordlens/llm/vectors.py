@@ -145,16 +145,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, planes: int = PLANES,
     zero vector, and null or non-finite components link with nothing; so do vectors of
     different lengths. n_links counts other rows linked directly, equal vectors included;
     component_id is the smallest vec_id reachable; kept marks the row that bears it. A
-    row without vec_id has a row and counts as a copy, but names no component. Extra
-    columns are not read; an empty table gives no rows.
+    row without vec_id links and counts like any other, but names no component: it is kept
+    only where nothing it reaches has a vec_id. Extra columns are not read; an empty table
+    gives no rows.
     """
     rows = vectors.select("vec_id", "embedding", F.col("label").cast("long").alias("label")).withColumn("usable", is_usable())
     good = rows.filter("usable")
-    # One row per distinct vector of a label, named by the least id.
-    firsts = written(
-        good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")).filter(F.col("id").isNotNull()), "distinct-vectors"
-    )
-    signs = written(hashed(firsts, planes, tables, seed), "signed-vectors")
+    # One row per distinct vector of a label, with a number of its own; vec_id only names it.
+    distinct = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("name"), F.count("*").alias("copies"))
+    firsts = written(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct-vectors")
+    signs = written(hashed(firsts.drop("name"), planes, tables, seed), "signed-vectors")
     met = signs.select("label", "dim", "id", F.posexplode("signs").alias("table", "sign"))
     buckets = met.groupBy("label", "dim", "table", "sign").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = written(buckets.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "buckets")
@@ -170,13 +170,15 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, planes: int = PLANES,
     found = written(compared(pieces, least), "vector-links")
     labels = connected_components(found.select("a", "b").filter("a <> b"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    joined = firsts.select("label", "embedding", "id", "copies").join(links, "id", "left").join(labels.toDF("id", "component"), "id", "left")
-    known = written(joined.select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component")), "vector-components")
+    joined = firsts.join(links, "id", "left").join(labels.toDF("id", "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    joined = written(joined.select("label", "embedding", "name", "group", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "vector-groups")
+    names = joined.groupBy("group").agg(F.min("name").alias("component"))
+    known = written(joined.join(names, "group").select("label", "embedding", "n_links", "component"), "vector-components")
 
     out = good.select("vec_id", "label", "embedding").join(known, ["label", "embedding"], "left").select("vec_id", "n_links", "component")
     out = out.unionByName(rows.filter(~F.col("usable")).select("vec_id"), allowMissingColumns=True)
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
 
 def op10_vector_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

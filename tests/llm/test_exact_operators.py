@@ -228,3 +228,10 @@ def test_embeddings_against_all_pairs(spark):
                     todo.append(j)
         assert got[i] == (len(near.get(i, [])), min(seen), i == min(seen)), i
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_without_id_link_and_bridge(spark):
+    rows = [(1, [1.0, 0.0], 0), (None, [1.0, 0.15], 0), (3, [1.0, 0.32], 0), (None, [0.0, 1.0], 0), (None, [0.05, 1.0], 0), (9, [0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted(((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in vectors.near_vectors(df).collect()))
+    assert got == [(0, 1, 0, True), (0, 1, 0, True), (0, 2, 1, False), (1, 1, 1, True), (3, 1, 1, False), (9, 0, 9, True)]
