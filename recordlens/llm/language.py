@@ -25,17 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recordlens.llm.base import slices, table
-from recordlens.llm.lattice import Pieces, fitted, stretches, with_ends, word_logs
+from recordlens.llm.lattice import MARK, Pieces, fitted, with_ends, word_logs
 from recordlens.session import written
 
 VOCABULARY = "piece_bpe_32k.model"
-#: Documents a language and words a language that the model is fitted on.
-FIT_DOCS, FIT_WORDS = 3000, 20_000
-#: Longest piece used, in characters.
-LONGEST_PIECE = 8
+#: Documents a language and words a language that the model is fitted on, and their longest.
+FIT_DOCS, FIT_WORDS, FIT_LONGEST = 3000, 20_000, 64
 UNKNOWN = "und"
-#: Words whose scores a worker remembers; beyond it the memory starts again.
-REMEMBERED = 300_000
+#: Words whose scores a worker remembers, and their characters; beyond either the memory starts again.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 2_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -49,7 +47,8 @@ def vocabulary(path: str) -> Pieces:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return Pieces([model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))], LONGEST_PIECE)
+    found = [model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
+    return Pieces(found, max(map(len, found)))
 
 
 @dataclass(frozen=True)
@@ -71,9 +70,9 @@ def fit(docs: DataFrame, path: str | None = None, fit_docs: int = FIT_DOCS, fit_
     counted = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
     columns = []
     for lang in sorted(counts):
-        top = counted.filter(F.col("lang") == lang).orderBy(F.col("n").desc(), "word").limit(fit_words).toPandas()
-        parts = [(s, n) for w, n in zip(top["word"], top["n"], strict=True) for s in stretches(w)]
-        columns.append(fitted(vocabulary(path), [s for s, _ in parts], np.array([n for _, n in parts], dtype=np.float64)))
+        short = counted.filter((F.col("lang") == lang) & (F.char_length("word") <= FIT_LONGEST))
+        top = short.orderBy(F.col("n").desc(), "word").limit(fit_words).toPandas()
+        columns.append(fitted(vocabulary(path), [MARK + w for w in top["word"]], top["n"].to_numpy(dtype=np.float64)))
     return Model(tuple(sorted(counts)), np.hstack(columns))
 
 
@@ -93,23 +92,17 @@ def predicted(docs: DataFrame, model: Model, keep: list[str], text: str = "text"
         languages, p = sent.value.languages, with_ends(sent.value.probabilities)
         pieces = vocabulary(path)
         number: dict[str, int] = {}
-        logs, used = np.zeros((1 << 16, len(languages))), 0
+        logs, chars = np.zeros((0, len(languages))), 0
         for batch in batches:
-            for piece in slices(batch, text, 4 << 20):
+            for piece in slices(batch, text, 1 << 20):
                 texts = [_WORD.findall(t.lower()) if t else [] for t in piece.column(text).to_pylist()]
-                if len(number) > REMEMBERED:
-                    number, used = {}, 0
+                if len(number) > REMEMBERED or chars > REMEMBERED_CHARS:
+                    number, logs, chars = {}, logs[:0].copy(), 0
                 new = list({w for words in texts for w in words if w not in number}) if languages else []
                 if new:
-                    cut = [list(stretches(w)) for w in new]
-                    owner = np.repeat(np.arange(len(new)), [len(c) for c in cut])
-                    each = word_logs(pieces, [s for c in cut for s in c], p)
-                    total = np.column_stack([np.bincount(owner, each[:, j], minlength=len(new)) for j in range(len(languages))])
-                    while used + len(new) > len(logs):
-                        logs = np.concatenate([logs, np.zeros_like(logs)])
-                    logs[used : used + len(new)] = total
-                    number.update(zip(new, range(used, used + len(new)), strict=True))
-                    used += len(new)
+                    number.update(zip(new, range(len(logs), len(logs) + len(new)), strict=True))
+                    logs = np.concatenate([logs, word_logs(pieces, [MARK + w for w in new], p)])
+                    chars += sum(map(len, new))
                 langs, scores = [], []
                 for words in texts:
                     if not languages or not (any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w)):

@@ -1,9 +1,9 @@
 """Words as lattices over a fixed vocabulary of pieces, many words at a time.
 
-``edges`` finds every vocabulary piece inside every word by rolling hashes; ``forward``
-sums the products of piece probabilities over all segmentations, for several models at
-once. A character without a piece is an unknown piece of its own, so each word has at
-least one segmentation.
+``edges`` finds every vocabulary piece inside every word by rolling hashes; ``word_logs``
+sums the products of piece probabilities over all segmentations of whole words, for several
+models at once. A character without a piece is an unknown piece of its own, so each word
+has at least one segmentation.
 """
 
 from __future__ import annotations
@@ -13,8 +13,12 @@ from collections.abc import Iterator
 import numpy as np
 
 _BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Longer words are scored in stretches of this many characters.
-LONGEST = 24
+#: Characters of the words (as many as the longest one's, for each) that are looked at together.
+CELLS = 100_000
+#: Characters of a word whose pieces are looked up at once; the sums go on across them.
+BLOCK = 4096
+#: What a word begins with.
+MARK = "\u2581"
 
 
 class Pieces:
@@ -84,47 +88,75 @@ def with_ends(p: np.ndarray) -> np.ndarray:
 
 
 def forward(size: np.ndarray, found: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-    """alpha[word, position, model]: the mass of all segmentations up to a position."""
+    """alpha[word, position]: the mass of all segmentations up to a position, under one model."""
     width = int(size.max(initial=0))
-    alpha = np.zeros((len(size), width + 1, p.shape[1]))
+    alpha = np.zeros((len(size), width + 1))
     alpha[:, 0] = 1.0
     for t in range(1, width + 1):
         for k in range(1, min(len(found), t) + 1):
-            alpha[:, t] += alpha[:, t - k] * p[found[k - 1][:, t - k]]
+            alpha[:, t] += alpha[:, t - k] * p[found[k - 1][:, t - k], 0]
     return alpha
 
 
-def word_logs(pieces: Pieces, words: list[str], p: np.ndarray, batch: int = 20_000) -> np.ndarray:
-    """Log probability of every word under every model, all segmentations summed."""
+def together(words: list[str], cells: int = CELLS) -> Iterator[list[int]]:
+    """Numbers of words by length, in batches of at most ``cells`` characters or one word."""
     order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    batch: list[int] = []
+    for i in order:
+        if batch and (len(batch) + 1) * len(words[i]) > cells:
+            yield batch
+            batch = []
+        batch.append(i)
+    if batch:
+        yield batch
+
+
+def word_logs(pieces: Pieces, words: list[str], p: np.ndarray, cells: int = CELLS, block: int = BLOCK) -> np.ndarray:
+    """Log probability of every word under every model, all segmentations summed.
+
+    Words of any length are taken whole. The sums of the last positions, as many as the
+    longest piece has characters, are all that is held; they are scaled as they get small.
+    """
     out = np.zeros((len(words), p.shape[1]))
-    for b in range(0, len(order), batch):
-        mine = order[b : b + batch]
-        size, found = pieces.edges([words[i] for i in mine])
-        alpha = forward(size, found, p)
-        out[mine] = np.log(np.maximum(alpha[np.arange(len(mine)), size], 1e-300))
+    reach = pieces.longest
+    for mine in together(words, cells):
+        size = np.array([len(words[i]) for i in mine])
+        scale = np.zeros((len(mine), p.shape[1]))
+        last = [np.ones_like(scale)]  # the sums at t - 1, t - 2, ...
+        for begin in range(0, int(size[-1]), block):
+            lead = max(0, begin - reach + 1)
+            _, found = pieces.edges([words[i][lead : begin + block] for i in mine])
+            for t in range(begin + 1, min(begin + block, int(size[-1])) + 1):
+                now = np.zeros_like(scale)
+                for k in range(1, min(len(found), len(last)) + 1):
+                    ids = found[k - 1][:, t - lead - k] if t - lead - k < found[k - 1].shape[1] else None
+                    if ids is None:
+                        continue
+                    if k < 3:
+                        now += last[k - 1] * p[ids]
+                    elif len(some := np.flatnonzero(ids >= 0)):
+                        now[some] += last[k - 1][some] * p[ids[some]]
+                ended = slice(*np.searchsorted(size, [t, t + 1]))
+                out[mine[ended.start : ended.stop]] = np.log(np.maximum(now[ended], 1e-300)) + scale[ended]
+                last = [now, *last[: reach - 1]]
+                if t % reach == 0:
+                    most = np.maximum.reduce(last)
+                    most[most <= 0] = 1.0
+                    last = [x / most for x in last]
+                    scale += np.log(most)
     return out
 
 
-def stretches(word: str) -> Iterator[str]:
-    """A marked word, cut every LONGEST characters."""
-    word = "▁" + word
-    for i in range(0, len(word), LONGEST):
-        yield word[i : i + LONGEST]
-
-
 def fitted(pieces: Pieces, words: list[str], weight: np.ndarray, rounds: int = 4, smooth: float = 0.1) -> np.ndarray:
     """Piece probabilities of one model by expectation-maximisation over counted words."""
     n = len(pieces.pieces) + 1
     p = np.full((n, 1), 1.0 / n)
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
     for _ in range(rounds):
         expected = np.zeros(n + 1)
         q = with_ends(p)
-        for b in range(0, len(order), 20_000):
-            mine = order[b : b + 20_000]
+        for mine in together(words):
             size, found = pieces.edges([words[i] for i in mine])
-            alpha = forward(size, found, q)[:, :, 0]
+            alpha = forward(size, found, q)
             width = alpha.shape[1] - 1
             beta = np.zeros_like(alpha)
             beta[np.arange(len(mine)), size] = 1.0

@@ -110,19 +110,18 @@ def test_components_against_plain_search(spark):
 
 
 def plain_word_log(pieces_, p, word):
+    """All segmentations of the whole word, into pieces of any length, in logarithms."""
     number = {x: i for i, x in enumerate(pieces_.pieces)}
-    total = np.zeros(p.shape[1])
-    for s in lattice.stretches(word):
-        alpha = [np.ones(p.shape[1])]
-        for t in range(1, len(s) + 1):
-            x = np.zeros(p.shape[1])
-            for k in range(1, min(pieces_.longest, t) + 1):
-                i = number.get(s[t - k : t], pieces_.unknown if k == 1 else None)
-                if i is not None:
-                    x = x + alpha[t - k] * p[i]
-            alpha.append(x)
-        total += np.log(alpha[-1])
-    return total
+    word, logs = lattice.MARK + word, np.log(p)
+    alpha = [np.zeros(p.shape[1])]
+    for t in range(1, len(word) + 1):
+        x = np.full(p.shape[1], -np.inf)
+        for k in range(1, t + 1) if t < 40 else range(1, 40):
+            i = number.get(word[t - k : t], pieces_.unknown if k == 1 else None)
+            if i is not None:
+                x = np.logaddexp(x, alpha[t - k] + logs[i])
+        alpha.append(x)
+    return alpha[-1]
 
 
 @pytest.fixture(scope="module")
@@ -153,6 +152,19 @@ def test_language_on_held_out_rows(speech):
         assert model.languages[best] == r.lang_pred and math.isclose(r.score, 1 / np.exp(logs - logs[best]).sum(), rel_tol=1e-6)
 
 
+def test_words_of_any_length_are_summed_whole(speech):
+    v = language.vocabulary(public_tokenizers.path(language.VOCABULARY))
+    assert v.longest == max(map(len, v.pieces)) > 8
+    rng = np.random.default_rng(8)
+    p = rng.random((len(v.pieces) + 1, 3))
+    p /= p.sum(axis=0)
+    words = ["a", "international", "\u2581" * 16, "straße" * 60, "q" * 900, "communication" * 300] + ["".join(rng.choice(list("aeinstr"), int(n))) for n in rng.integers(1, 70, 40)]
+    want = np.array([plain_word_log(v, p, w) for w in words])
+    marked = [lattice.MARK + w for w in words]
+    for cells, block in ((100_000, 4096), (50, 4096), (500, 16), (500, 33)):
+        assert np.allclose(lattice.word_logs(v, marked, lattice.with_ends(p), cells, block), want, rtol=1e-9)
+
+
 def test_language_learns_from_nothing_held_out(speech):
     free = language.fit(speech.filter(~language.held_out()))
     both = language.fit(speech.withColumn("lang", F.when(language.held_out(), F.lit("zz")).otherwise(F.col("lang"))))
