@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm.base import MIX, mixed, shingles, slices, table
+from recordlens.llm.base import MIX, give_back, mixed, shingles, slices, table
 from recordlens.llm.components import connected_components
 from recordlens.session import written
 
@@ -112,6 +112,7 @@ def named_sets(docs: DataFrame, size: int) -> DataFrame:
         common = np.flatnonzero(counts >= max(16, 0.005 * seen, 4 * counts.mean()))
         none = pa.nulls(len(common), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.array(common, pa.int64()), pa.array(counts[common], pa.int64())], names=names)
+        give_back()
 
     return docs.mapInArrow(name, "doc_id long, n long, key long, counter long, count long")
 
@@ -135,6 +136,8 @@ def signed(docs: DataFrame, size: int, common: np.ndarray) -> DataFrame:
                             keys.append(np.full(len(sigs[-1]), key))
                 if sigs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(keys))], names=["sig", "key"])
+        del done
+        give_back()
 
     return docs.mapInArrow(sign, "sig long, key long")
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordlens.llm.base import slices, table
+from recordlens.llm.base import give_back, slices, table
 from recordlens.llm.lattice import MARK, Pieces, fitted, with_ends, word_logs
 from recordlens.session import written
 
@@ -112,6 +112,8 @@ def predicted(docs: DataFrame, model: Model, keep: list[str], text: str = "text"
                     best = int(total.argmax())
                     langs.append(languages[best]), scores.append(float(1 / np.exp(total - total[best]).sum()))
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+        del number, logs
+        give_back()
 
     rows = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([rows.schema[c] for c in keep]).add("lang_pred", T.StringType()).add("score", T.DoubleType())

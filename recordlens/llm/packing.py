@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm.base import MIX, slices, table
+from recordlens.llm.base import MIX, give_back, slices, table
 from recordlens.llm.bytebpe import id_bytes, tokenizer
 from recordlens.session import shared_folder
 
@@ -146,6 +146,8 @@ def fill_windows(tails: DataFrame, idf: np.ndarray, mean: float, window: int, ki
     schema = PLACED + (", ids array<int>" if with_ids else "")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        id_bytes.cache_clear()  # all texts are cut: a worker's remembered words are of no more use
+        give_back()
         # Odd ids, apart from the full windows' even ones; 31 bits of windows a task.
         next_id = [(TaskContext.get().partitionId() << 32) + 1]
 
