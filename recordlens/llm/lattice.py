@@ -42,6 +42,7 @@ class Pieces:
             while self.values[at] >= 0:
                 at = (at + 1) & ((1 << self.bits) - 1)
             self.keys[at], self.values[at] = h, i
+        self.used = self.values >= 0
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -49,18 +50,18 @@ class Pieces:
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Piece numbers of hashes, -1 for none."""
-        at = self.places(hashes)
-        out = np.where(self.keys[at] == hashes, self.values[at], -1)
-        going = np.nonzero((out < 0) & (self.values[at] >= 0))
-        while len(going[0]):
-            at[going] = (at[going] + 1) & ((1 << self.bits) - 1)
-            place = at[going]
-            value = self.values[place]
-            hit = (value >= 0) & (self.keys[place] == hashes[going])
-            out[going] = np.where(hit, value, -1)
-            more = (value >= 0) & ~hit
-            going = tuple(g[more] for g in going)
-        return out
+        flat = hashes.ravel()
+        at = self.places(flat)
+        out = np.full(len(flat), -1, dtype=np.int32)
+        going = np.flatnonzero(self.used[at])
+        at = at[going]
+        while len(going):
+            hit = self.keys[at] == flat[going]
+            out[going[hit]] = self.values[at[hit]]
+            going, at = going[~hit], (at[~hit] + 1) & ((1 << self.bits) - 1)
+            more = self.used[at]
+            going, at = going[more], at[more]
+        return out.reshape(hashes.shape)
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """Lengths, and for each piece length k the piece number at (word, start), -1 for none."""

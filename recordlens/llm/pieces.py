@@ -11,8 +11,8 @@ segmentation is the threshold of the inclusion probabilities.
 
 No piece of the vocabulary goes on from a letter into a space mark, and none holds a line
 feed, so a text's lattice is the chain of its words' lattices: these are built once per
-distinct word of a batch, with backward sums over all segmentations, and walked for all
-occurrences at once. Draws are seeded by the row's key and text alone.
+distinct word, with backward sums over all segmentations, remembered in bounded memory, and
+walked for many occurrences and all samples at once. Draws are seeded by the row's key and text alone.
 """
 
 from __future__ import annotations
@@ -39,10 +39,16 @@ from recordlens.llm.lattice import Pieces
 VOCABULARY = "piece_bpe_32k.model"
 #: Segmentations per text, and the sharpness of piece weights (powers of one over the rank).
 SAMPLES, SHARPNESS = 4, 1.0
-#: Longer words are cut every so many characters, and no piece crosses such a cut.
-STRETCH = 60
 #: Words up to this length are summed as products, longer ones as logarithms.
 SHORT = 16
+#: What a draw is a multiple of.
+DRAW = 2.0**-24
+#: Characters of words of one length whose lattices are built at once (or one word's).
+CELLS = 1 << 15
+#: Edges of lattices a worker remembers, about; beyond it the memory starts again with the next texts.
+REMEMBERED = 4_000_000
+#: Occurrences of words walked at once.
+TOGETHER = 1 << 13
 MARK = "▁"
 _UNITS = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 SAMPLE = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_crc32 long"
@@ -66,6 +72,7 @@ class Vocabulary:
         size = np.array([len(p.encode()) for p in self.pieces.pieces])
         self.logs = np.append(-sharpness * np.log1p(self.ids[:-2]), [0.0, -np.inf])
         self.scaled = np.append(np.exp(self.logs[:-2] - self.byte_log * size), [1.0, 0.0])
+        self.lattices = Lattices(self)
 
 
 @lru_cache(maxsize=2)
@@ -109,38 +116,88 @@ def speller(path: str) -> Speller:
 
 def units(text: str) -> list[str]:
     """The words of a text as the model sees it: a mark first, marks for spaces."""
-    out = _UNITS.findall(MARK + text.replace(" ", MARK))
-    if max(map(len, out)) > STRETCH:
-        out = [u[i : i + STRETCH] for u in out for i in range(0, len(u), STRETCH)]
-    return out
+    if text[:1] != " " and "  " not in text and MARK not in text:
+        return list(filter(None, (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")))
+    return _UNITS.findall(MARK + text.replace(" ", MARK))
 
 
-class _Group:
-    """Words of one length: their lattices, with the mass of what follows each place."""
+class Lattices:
+    """Lattices of the words seen so far, as one run of edges ordered by the place they leave.
 
-    def __init__(self, v: Vocabulary, words: list[str]):
+    Places are numbered word after word, a word's last place meeting the next word's first.
+    An edge is kept with its place's number plus the chance of all edges up to it, so a
+    draw at any place of any word is one search in one ascending array.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v = v
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.first, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.places = 0
+        #: of each edge: where a draw ends on it, id (a character without a piece below zero), characters, log chance
+        self.reach, self.id = np.zeros(0), np.zeros(0, dtype=np.int32)
+        self.step, self.log = np.zeros(0, dtype=np.uint8), np.zeros(0)
+        #: the first edge of each place, and the end
+        self.out = np.zeros(1, dtype=np.int64)
+
+    def add(self, words: list[str]) -> None:
+        """Build the lattices of words that are new."""
+        if not words:
+            return
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(size, kind="stable")
+        first = np.zeros(len(words), dtype=np.int64)
+        reach, ids, step, log = [self.reach], [self.id], [self.step], [self.log]
+        begin = 0
+        while begin < len(order):
+            n = int(size[order[begin]])
+            mine = order[begin : min(int(np.searchsorted(size[order], n, side="right")), begin + max(1, CELLS // n))]
+            chance, found, code = self._chances([words[i] for i in mine])
+            edge = np.flatnonzero(chance)
+            place, j = np.divmod(edge, chance.shape[2])
+            total = chance.cumsum(axis=2)
+            total /= total[:, :, -1:]  # the last edge of a place ends at one
+            # in steps of a draw, so that the place's number doesn't round it
+            reach.append(self.places + place + np.ceil(total.ravel()[edge] / DRAW) * DRAW)
+            known = self.v.ids[found.ravel()[edge]]
+            ids.append(np.where(known < 0, code.ravel()[place], known).astype(np.int32))
+            step.append((j + 1).astype(np.uint8))
+            log.append(np.log(chance.ravel()[edge]))
+            first[mine] = self.places + np.arange(len(mine)) * n
+            self.places += len(mine) * n
+            begin += len(mine)
+        self.first, self.size = np.append(self.first, first), np.append(self.size, size)
+        self.reach, self.id, self.step, self.log = map(np.concatenate, (reach, ids, step, log))
+        known = len(self.out) - 1
+        self.out = np.append(self.out[:known], self.reach.searchsorted(np.arange(known, self.places + 1), side="right"))
+
+    def _chances(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of one length: at each place the chance of each next piece, given what may follow, its number, and
+        the id of a character that has no piece: its byte's, or minus its code point until the end."""
+        v = self.v
         size, found = v.pieces.edges(words)
-        self.n = n = int(size[0])
+        n, k = int(size[0]), len(found)
         chars = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), n).astype(np.int64)
-        k = len(found)
-        # Weights are scaled by the byte, so that short words neither overflow nor vanish.
-        log = np.full((len(words), n, k), -np.inf) if n > SHORT else None
-        weight = np.zeros((len(words), n, k)) if n <= SHORT else log
-        table = v.scaled if n <= SHORT else v.logs
-        self.id = np.full((len(words), n, k), -1, dtype=np.int32)
+        # Weights are scaled by the byte, so that short words neither overflow nor vanish; long words go by logarithms.
+        short = n <= SHORT
+        table = v.scaled if short else v.logs
+        weight = np.full((len(words), n, k), 0.0 if short else -np.inf)
+        piece = np.full((len(words), n, k), -1, dtype=np.int32)
         for j, ids in enumerate(found):
             weight[:, : n - j, j] = table[ids]
-            self.id[:, : n - j, j] = v.ids[ids]
-        # a character without a piece: its bytes, written as one id below zero until the end
+            piece[:, : n - j, j] = ids
         alone = found[0] == v.pieces.unknown
         if alone.any():
             wide = 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF)
-            weight[:, :, 0] = np.where(alone, 1.0 if n <= SHORT else v.byte_log * wide, weight[:, :, 0])
-            self.id[:, :, 0] = np.where(alone, np.where(chars < 0x80, v.bytes[np.minimum(chars, 0x7F)], -chars), self.id[:, :, 0])
-        beta = np.full((len(words), n + k), -np.inf if n > SHORT else 0.0)  # beyond the end nothing follows
-        beta[:, n] = 0.0 if n > SHORT else 1.0
+            weight[:, :, 0] = np.where(alone, 1.0 if short else v.byte_log * wide, weight[:, :, 0])
+        beta = np.full((len(words), n + k), 0.0 if short else -np.inf)  # beyond the end nothing follows
+        beta[:, n] = 1.0 if short else 0.0
         for t in range(n - 1, -1, -1):
-            if n <= SHORT:
+            if short:
                 x = weight[:, t] * beta[:, t + 1 : t + 1 + k]
                 beta[:, t] = x.sum(axis=1)
                 weight[:, t] = x / beta[:, t : t + 1]
@@ -149,52 +206,74 @@ class _Group:
                 top = x.max(axis=1)
                 beta[:, t] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
                 weight[:, t] = np.exp(x - beta[:, t : t + 1])
-        #: chance of each next piece at each place, given what may follow it
-        self.chance = weight.astype(np.float32)
+        return weight, piece, np.where(chars < 0x80, v.bytes[np.minimum(chars, 0x7F)], -chars)
 
     def walk(self, word: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-        """A segmentation of each given word: cuts as bits, log probability, and (who, ids) by step."""
-        at = np.zeros(len(word), dtype=np.int64)
-        log, cuts, trace, going = np.zeros(len(word)), np.zeros(len(word), dtype=np.int64), [], np.arange(len(word))
+        """A segmentation of each given word: log probability, pieces, and (who, ids) by step.
+
+        Words should come in the order of their places: only edges between the first and the last are searched.
+        """
+        node = self.first[word]
+        end = node + self.size[word]
+        low, high = self.out[[node.min(), end.max()]]
+        reach, ids, steps, logs = (x[low:high] for x in (self.reach, self.id, self.step, self.log))
+        log, count, trace, going = np.zeros(len(word)), np.zeros(len(word), dtype=np.int64), [], np.arange(len(word))
         while len(going):
-            w, t = word[going], at[going]
-            chance = self.chance[w, t]
-            total = chance.cumsum(axis=1)
             with np.errstate(over="ignore"):
-                u = (mixed(seed[going] + MIX[4] * np.uint64(len(trace) + 1)) >> np.uint64(40)) * 2.0**-24
-            j = np.minimum((total <= (u * total[:, -1])[:, None]).sum(axis=1), total.shape[1] - 1)
-            log[going] += np.log(chance[np.arange(len(going)), j])
-            trace.append((going, self.id[w, t, j]))
-            at[going] = t + j + 1
-            cuts[going] |= np.int64(1) << (t + j)
-            going = going[at[going] < self.n]
-        return cuts, log, trace
-
-    def other(self, word: int, taken: list[int], rng: random.Random) -> tuple[int, float, list[int]]:
-        """A segmentation of a word drawn from all but those taken (given as cuts)."""
-        chance = self.chance[word].astype(np.float64)
-        live = []  # of each taken one: its next place, and the chance of going on as it does, by place
-        for c in taken:
-            ends = [t + 1 for t in range(self.n) if c >> t & 1]
-            nxt, rest, follow = dict(zip([0, *ends], ends, strict=False)), {}, 1.0
-            for t, e in reversed(nxt.items()):
-                follow *= chance[t, e - t - 1]
-                rest[t] = follow
-            live.append((nxt, rest))
-        t, cuts, log, ids = 0, 0, 0.0, []
-        while t < self.n:
-            free = chance[t].copy()
-            for nxt, rest in live:
-                free[nxt[t] - t - 1] -= rest[t]
-            free[free < 1e-14] = 0.0
-            total = free.cumsum()
-            j = min(int((total <= rng.random() * total[-1]).sum()), len(free) - 1)
-            live = [x for x in live if x[0][t] == t + j + 1]
-            log += float(np.log(chance[t, j]))
-            ids.append(int(self.id[word, t, j]))
-            cuts |= 1 << (t + j)
-            t += j + 1
-        return cuts, log, ids
+                u = (mixed(seed + MIX[4] * np.uint64(len(trace) + 1)) >> np.uint64(40)) * DRAW
+            edge = reach.searchsorted(node + u, side="right")
+            log[going] += logs[edge]
+            trace.append((going, ids[edge]))
+            node = node + steps[edge]
+            alive = node < end
+            if not alive.all():
+                count[going[~alive]] = len(trace)
+                going, node, end, seed = going[alive], node[alive], end[alive], seed[alive]
+        return log, count, trace
+
+    def edges(self, node: int) -> list[tuple[int, int, float]]:
+        """(id, characters, chance) of the edges that leave a place."""
+        of = slice(self.out[node], self.out[node + 1])
+        return list(zip(self.id[of].tolist(), self.step[of].tolist(), map(math.exp, self.log[of].tolist()), strict=True))
+
+    def other(self, word: int, taken: list[tuple], rng: random.Random) -> tuple[float, list[int]]:
+        """A segmentation of a word drawn from all but those taken (given as ids)."""
+        node = int(self.first[word])
+        end, known = node + int(self.size[word]), {}
+        live = []  # of each taken one, by place: its next id, and the chance of going on as it does
+        for way in taken:
+            at, steps = node, []
+            for x in way:
+                if at not in known:
+                    known[at] = self.edges(at)
+                size, chance = next((n, c) for i, n, c in known[at] if i == x)
+                steps.append((at, x, chance))
+                at += size
+            rest, follow = {}, 1.0
+            for at, x, chance in reversed(steps):
+                follow *= chance
+                rest[at] = (x, follow)
+            live.append(rest)
+        total, ids = 0.0, []
+        while node < end:
+            if node not in known:
+                known[node] = self.edges(node)
+            less: dict[int, float] = {}
+            for rest in live:
+                x, chance = rest[node]
+                less[x] = less.get(x, 0.0) + chance
+            free = [c - less.get(i, 0.0) for i, _, c in known[node]]
+            free = [c if c >= 1e-14 else 0.0 for c in free]
+            left, j = rng.random() * sum(free), 0
+            while j < len(free) - 1 and left >= free[j]:
+                left -= free[j]
+                j += 1
+            i, size, chance = known[node][j]
+            live = [rest for rest in live if rest[node][0] == i]
+            total += math.log(chance)
+            ids.append(i)
+            node += size
+        return total, ids
 
 
 def _highest(mass: float, bound: float, rng: random.Random) -> float:
@@ -205,99 +284,102 @@ def _highest(mass: float, bound: float, rng: random.Random) -> float:
 
 def sampled(texts: list[str], seeds: list[int], v: Vocabulary, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to ``k`` (ids, log_prob, perturbed, inclusion), in order of perturbed."""
-    number: dict[str, int] = {}
+    lattices = v.lattices
+    if len(lattices.id) > REMEMBERED:
+        lattices.clear()
     split = [units(t) for t in texts]
-    for w in split:
-        for u in w:
-            if u not in number:
-                number[u] = len(number)
-    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(map(len, split)))
+    number = lattices.number
+    lattices.add(list(set(chain.from_iterable(split)).difference(number)))
     begin = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-    words = list(number)
-    size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    # One draw of every occurrence per sample, words of one length at a time.
-    group_of, place = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-    groups = []
-    for n in np.unique(size):
-        for mine in np.array_split(np.flatnonzero(size == n), -(-int((size == n).sum()) // 20_000)):
-            group_of[mine], place[mine] = len(groups), np.arange(len(mine))
-            groups.append(_Group(v, [words[i] for i in mine]))
+    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(begin[-1]))
+    m = len(flat)
     with np.errstate(over="ignore"):
         row = np.repeat(np.arange(len(texts)), np.diff(begin))
-        seed = mixed(np.array(seeds, dtype=np.uint64)[row] + MIX[0] * (np.arange(len(flat)) - begin[row]).astype(np.uint64))
-    draws = []
-    owner = group_of[flat]
-    order = np.argsort(owner, kind="stable")
-    edge = np.searchsorted(owner[order], np.arange(len(groups) + 1))
-    for s in range(k):
-        cuts, log, count, traces = np.zeros(len(flat), np.int64), np.zeros(len(flat)), np.zeros(len(flat), np.int64), []
-        for g, group in enumerate(groups):
-            mine = order[edge[g] : edge[g + 1]]
-            if len(mine):
-                cuts[mine], log[mine], trace = group.walk(place[flat[mine]], mixed(seed[mine] ^ MIX[s % 4]) + np.uint64(s))
-                for step, (who, ids) in enumerate(trace):
-                    count[mine[who]] = step + 1
-                    traces.append((mine[who], step, ids))
-        start = np.cumsum(count) - count
-        ids = np.zeros(int(count.sum()), dtype=np.int64)
-        for who, step, x in traces:
-            ids[start[who] + step] = x
-        draws.append((cuts, log, np.append(start, len(ids)), ids))
-    return [_best(draws, slice(begin[i], begin[i + 1]), groups, group_of, place, flat, seeds[i], k) for i in range(len(texts))]
+        seed = mixed(np.array(seeds, dtype=np.uint64)[row] + MIX[0] * (np.arange(m) - begin[row]).astype(np.uint64))
+    # One draw of every occurrence per sample. Occurrences of a word are walked together, sample by
+    # sample in a row, some thousands at a time, so that what is looked up lies close together.
+    order = np.argsort(lattices.first[flat], kind="stable")
+    log, count, traces = np.zeros(k * m), np.zeros(k * m, dtype=np.int64), []
+    sample = np.arange(k)
+    with np.errstate(over="ignore"):
+        shift = MIX[sample % len(MIX)]
+        for at in range(0, m, TOGETHER):
+            mine = order[at : at + TOGETHER]
+            where = (mine[:, None] + sample * m).ravel()
+            drawn = (mixed(seed[mine][:, None] ^ shift) + sample.astype(np.uint64)).ravel()
+            log[where], count[where], trace = lattices.walk(np.repeat(flat[mine], k), drawn)
+            traces += [(where[who], step, ids) for step, (who, ids) in enumerate(trace)]
+    start = np.concatenate([[0], np.cumsum(count)])
+    ids = np.zeros(int(start[-1]), dtype=np.int32)
+    for who, step, x in traces:
+        ids[start[who] + step] = x
+    draws = [(log[s * m : (s + 1) * m], start[s * m : (s + 1) * m + 1], ids) for s in range(k)]
+    return [_best(draws, int(begin[i]), int(begin[i + 1]), lattices, flat, seeds[i], k) for i in range(len(texts))]
 
 
 class _Path:
-    """One segmentation of a text: log probabilities, cuts and ids by word."""
+    """One segmentation of a text: log probabilities and ids by word."""
+
+    def __init__(self, log: np.ndarray, start: np.ndarray, ids: np.ndarray):
+        self.log, self.start, self.ids = log, start, ids
+        #: log probability of the path up to the end of each word
+        self.upto = log.cumsum()
+
+    def before(self, word: int) -> float:
+        """Probability of the path before a word."""
+        return math.exp(self.upto[word - 1]) if word else 1.0
+
+    def way(self, word: int) -> tuple:
+        return tuple(self.ids[self.start[word] : self.start[word + 1]].tolist())
 
-    def __init__(self, log: np.ndarray, cuts: np.ndarray, start: np.ndarray, ids: np.ndarray):
-        self.log, self.cuts, self.start, self.ids = log, cuts, start, ids
-        #: probability of the path before each word, and of all of it
-        self.before = np.exp(np.concatenate([[0.0], np.cumsum(log)]))
+    def left_at(self, a: int, b: int, share: float) -> int:
+        """The first word of a to b - 1 by whose end a share of what is lost between them is lost."""
+        y = self.before(a) - share * (self.before(a) - self.before(b))
+        if y <= 0:
+            return b - 1
+        return min(a + int((-self.upto[a:b]).searchsorted(-math.log(y))), b - 1)
 
 
-def _best(draws, span, groups, group_of, place, flat, seed, k):
+def _best(draws, lo, hi, lattices, flat, seed, k):
     """The tree of prefixes of one text, opened best first.
 
     Sealed groups: segmentations that leave a path at one of its words a to b - 1 (mass
     before a less mass before b), or at one word by none of the ways taken there.
     """
-    rng, lo, hi = random.Random(seed), span.start, span.stop
+    rng = random.Random(seed)
     n, done, sealed = hi - lo, [], []
     bound, old, at, taken = -math.log(rng.expovariate(1.0) or 1e-300), None, 0, {}
 
     def seal(path: _Path, a: int, b: int, ways: dict | None = None) -> None:
-        whole = float(path.before[a])
-        mass = whole - float(path.before[b]) if ways is None else whole * (1.0 - math.fsum(math.exp(x) for x in ways.values()))
+        whole = path.before(a)
+        mass = whole - path.before(b) if ways is None else whole * (1.0 - math.fsum(map(math.exp, ways.values())))
         if whole > 0 and mass > 1e-12 * whole:
             sealed.append((_highest(mass, bound, rng), path, a, b, ways))
 
     for s in range(k):
-        cuts, log, start, ids = draws[s]
+        log, start, ids = draws[s]
         if old is None:
-            path = _Path(log[span], cuts[span], start[lo : hi + 1] - start[lo], ids[start[lo] : start[hi]])
+            path = _Path(log[lo:hi], start[lo : hi + 1] - start[lo], ids[start[lo] : start[hi]])
             seal(path, 0, n)
         else:
-            u = int(flat[lo + at])
-            c, lg, x = groups[group_of[u]].other(int(place[u]), list(taken), rng)
-            head, tail = int(old.start[at]), start[lo + at + 1 : hi + 1] - start[lo + at + 1] + int(old.start[at]) + len(x)
+            lg, x = lattices.other(int(flat[lo + at]), list(taken), rng)
+            head, next_ = old.start[at], start[lo + at + 1]
             path = _Path(
                 np.concatenate([old.log[:at], [lg], log[lo + at + 1 : hi]]),
-                np.concatenate([old.cuts[:at], [c], cuts[lo + at + 1 : hi]]),
-                np.concatenate([old.start[: at + 1], tail]),
-                np.concatenate([old.ids[:head], np.array(x, dtype=np.int64), ids[start[lo + at + 1] : start[hi]]]),
+                np.concatenate([old.start[: at + 1], start[lo + at + 1 : hi + 1] + (head + len(x) - next_)]),
+                np.concatenate([old.ids[:head], np.array(x, dtype=np.int32), ids[next_ : start[hi]]]),
             )
-            seal(old, at, at + 1, {**taken, c: lg})
+            seal(old, at, at + 1, {**taken, tuple(x): lg})
             seal(path, at + 1, n)
-        done.append((path.ids, float(path.log.sum()), bound))
+        done.append((path.ids, float(path.upto[-1]), bound))
         if not sealed:
             return [(x, lp, g, 1.0) for x, lp, g in done]
         pick = max(range(len(sealed)), key=lambda i: sealed[i][0])
         if s < k - 1:
             bound, old, a, b, ways = sealed.pop(pick)
             if ways is None:  # where the path is left, by mass; the rest of the group stays sealed
-                gone = (old.before[a] - old.before[a + 1 : b + 1]) >= (1.0 - rng.random()) * (old.before[a] - old.before[b])
-                at = a + int(gone.argmax())
-                taken = {int(old.cuts[at]): float(old.log[at])}
+                at = old.left_at(a, b, 1.0 - rng.random())
+                taken = {old.way(at): float(old.log[at])}
                 seal(old, a, at)
                 seal(old, at + 1, b)
             else:
@@ -313,7 +395,7 @@ def _spelt(ids: np.ndarray, v: Vocabulary) -> np.ndarray:
     return ids
 
 
-def segmentations(docs: DataFrame, k: int = SAMPLES, sharpness: float = SHARPNESS, path: str | None = None, with_ids: bool = True, batch_bytes: int = 2 << 20, with_decoding: bool = False) -> DataFrame:
+def segmentations(docs: DataFrame, k: int = SAMPLES, sharpness: float = SHARPNESS, path: str | None = None, with_ids: bool = True, batch_bytes: int = 1 << 20, with_decoding: bool = False) -> DataFrame:
     """Up to ``k`` distinct segmentations of every whole text of (doc_id, text).
 
     One row per sample: doc_id, sample (0 for the greatest perturbed value), n_pieces,
