@@ -80,7 +80,7 @@ def units(text: str) -> list[str] | None:
 
 
 class WordMemory:
-    """Values of words (token counts or id bytes) for whole texts, computed once per word."""
+    """Values of words (their id bytes, say) for whole texts, computed once per word."""
 
     def __init__(self, path: str, value: Callable[[list[int]], object]):
         self.tok, self.value, self.ranked = tokenizer(path), value, ranked(path)
@@ -123,11 +123,6 @@ class WordMemory:
         return out
 
 
-@lru_cache(maxsize=2)
-def counts(path: str) -> WordMemory:
-    return WordMemory(path, len)
-
-
 @lru_cache(maxsize=2)
 def id_bytes(path: str) -> WordMemory:
     return WordMemory(path, lambda ids: np.asarray(ids, dtype="<u4").tobytes())

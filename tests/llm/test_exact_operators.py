@@ -110,6 +110,27 @@ def test_token_counts_are_the_librarys(odd):
     assert tokens.token_counts(odd.limit(0)).count() == 0
 
 
+def test_token_batches_hold_all_pieces_and_are_balanced():
+    import public_tokenizers
+
+    rng = random.Random(11)
+    # a very long text, one without any safe place, odd white space, special strings, no text at all
+    alphabet = ["word", "gap  ", "é", "日本", "\n", "\t", " ", "<|endoftext|>", "x" * 40, "1,234.5"]
+    texts = [" ".join(rng.choice(alphabet) for _ in range(n)) for n in (0, 1, 3, 40, 6000, 0, 200)] + ["y" * 9000, "", " \n "]
+    tok = tokenizer(public_tokenizers.path(tokens.VOCABULARY))
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    for size in (64, 1024, 1 << 18):
+        joined, found, sizes = [""] * len(texts), [0] * len(texts), []
+        for owners, pieces in tokens.balanced(texts, size):
+            sizes.append(sum(len(p.encode()) for p in pieces))
+            assert sizes[-1] <= size or len(pieces) == 1
+            for i, p in zip(owners, pieces, strict=True):
+                joined[i] += p
+                found[i] += len(tok.encode(p, add_special_tokens=False).ids)
+        assert joined == texts and found == want
+    assert list(tokens.balanced([], 64)) == []
+
+
 def test_long_texts_are_cut_at_safe_places():
     text = "word  gap\n" * 50 + "plain words here " * 500
     assert "".join(safe_pieces(text, 100)) == text
