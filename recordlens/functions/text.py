@@ -177,10 +177,15 @@ def short(text: Column, limit: int = 64) -> Column:
 
 
 def usd_words(value: Column) -> Column:
-    """Dollar amounts for reading: billions, millions, or the plain figure."""
+    """Dollar amounts for reading: billions, millions, or the plain figure.
+
+    The binary quotient is rounded, ties to even; ``format_string`` would round the shortest
+    decimal half up.
+    """
+    rounded = lambda x, places: F.replace(F.format_number(x, places), F.lit(","), F.lit(""))
     return (
-        F.when(value >= 1_000_000_000, F.format_string("$%.1fbn", value / 1_000_000_000))
-        .when(value >= 1_000_000, F.format_string("$%.0fm", value / 1_000_000))
+        F.when(value >= 1_000_000_000, F.concat(F.lit("$"), rounded(value / 1_000_000_000, 1), F.lit("bn")))
+        .when(value >= 1_000_000, F.concat(F.lit("$"), rounded(value / 1_000_000, 0), F.lit("m")))
         .otherwise(F.concat(F.lit("$"), F.format_number(value, 0)))
     )
 

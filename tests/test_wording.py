@@ -179,3 +179,10 @@ def test_typed_losses_count_as_losses(spark):
     rows = spark.createDataFrame([(n, b, a) for n, (b, a, _) in enumerate(PAIRS)], "page int, before string, after string")
     got = {(r["page"], r["cause"]) for r in wd.losses(wd.sentence_diff(rows)).collect()}
     assert got == {(2, "negation_flipped"), (3, "commitment_removed"), (4, "removed"), (5, "attribution_removed")}
+
+
+def test_dollars_round_the_binary_quotient_ties_to_even(spark):
+    amounts = [2_500_000, 3_500_000, 1_150_000_000, 1_250_000_000, 1_350_000_000, 59_686_350_000_000, 999_999, 999_950_000_000]
+    plain = lambda n: f"${n / 10**9:.1f}bn" if n >= 10**9 else f"${n / 10**6:.0f}m" if n >= 10**6 else f"${n:,}"
+    rows = spark.createDataFrame([(n,) for n in amounts], "n bigint").select(tx.usd_words(F.col("n"))).collect()
+    assert [r[0] for r in rows] == [plain(n) for n in amounts]
