@@ -56,7 +56,9 @@ def sentence_pieces(text: Column) -> Column:
 
     The separator takes all white space, so only the ends of the text need trimming.
     """
-    trimmed = F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    # Two characters tell whether there is anything to trim; a last next-line sign ends a line for $.
+    bare = ~(F.left(text, F.lit(1)).rlike(r"[\s\p{Z}]") | F.right(text, F.lit(1)).rlike(r"[\s\p{Z}\x{85}]"))
+    trimmed = F.when(bare, text).otherwise(F.regexp_replace(text, r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
     return F.split(trimmed, r"(?<=[.!?])[\s\p{Z}]+")
 
 

@@ -186,3 +186,29 @@ def test_dollars_round_the_binary_quotient_ties_to_even(spark):
     plain = lambda n: f"${n / 10**9:.1f}bn" if n >= 10**9 else f"${n / 10**6:.0f}m" if n >= 10**6 else f"${n:,}"
     rows = spark.createDataFrame([(n,) for n in amounts], "n bigint").select(tx.usd_words(F.col("n"))).collect()
     assert [r[0] for r in rows] == [plain(n) for n in amounts]
+
+
+def test_the_diff_is_derived_once(spark):
+    # A plan that names its source twice derives the diff twice.
+    source = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Range (")
+    passage = "The board will keep the rules of the house on each of the floors."
+    diff = spark.range(6).selectExpr(
+        "id AS page", "if(id % 2 = 0, 'removed', 'rewritten') AS op", f"'{passage}' AS before", "if(id % 2 = 0, NULL, 'The board keeps the rules.') AS after"
+    )
+    lost = wd.losses(diff)
+    assert source(lost) == 1
+    assert as_list(lost, "page", "cause") == [(n, "removed" if n % 2 == 0 else "commitment_removed") for n in range(6)]
+    where = lost.selectExpr("page AS url", "concat('i', page) AS institution", "'A' AS category", "date_add(DATE'2024-01-01', int(page)) AS night", "passage")
+    windows = wd.simultaneous_windows(where)
+    assert source(windows) == 0
+    assert as_list(windows, "urls") == [(3,), (4,), (5,), (6,)]
+    found = spark.range(5).selectExpr("sha2(string(id), 256) AS before_sha256", "int(id) AS salience")
+    ranked = wd.ranked_abstentions(found)
+    assert source(ranked) == 0
+    assert as_list(ranked, "salience", "rank") == [(n, 5 - n) for n in range(5)]
+
+
+def test_ends_of_a_text_are_trimmed(spark):
+    texts = [" a. b ", "a.\u00a0b\u2003", "a b \u0085", "\n\n", "", "a.", "\u2028a! b?"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.sentences(F.col("t"))).collect()
+    assert [r[0] for r in rows] == [["a.", "b"], ["a.", "b"], ["a b\u0085"], [], [], ["a."], ["a!", "b?"]]
