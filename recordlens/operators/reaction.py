@@ -63,14 +63,19 @@ def plan_totals(
 def overlap_pairs(
     left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, left_codes: str, right_codes: str
 ) -> DataFrame:
-    """Distinct (left, right) pairs whose code arrays share an element."""
-    keyed = left.select(left_key, code_set(F.col(left_codes)).alias("_codes"))
+    """Distinct (left, right) pairs whose code arrays share an element.
+
+    A left key's codes are united first, so its row meets each partner once and the pairs,
+    many times the records, are never held to find equal ones.
+    """
+    listed = F.flatten(F.collect_list(F.coalesce(left_codes, _no_codes())))
+    keyed = left.groupBy(left_key).agg(code_set(listed).alias("_codes"))
     sets = keyed.select("_codes").distinct().select("_codes", F.explode("_codes").alias("_code"))
     b = right.select(right_key, F.explode(F.array_distinct(right_codes)).alias("_code"))
     # Codes meet as distinct sets; a record then takes the partners of its set.
     partners = sets.join(b, "_code").groupBy("_codes").agg(F.collect_set(right_key).alias("_partners"))
-    met = keyed.distinct().join(written(partners, "set-partners"), "_codes")
-    return met.select(left_key, F.explode("_partners").alias(right_key)).distinct()
+    met = keyed.join(written(partners, "set-partners"), "_codes")
+    return met.select(left_key, F.explode("_partners").alias(right_key))
 
 
 def coverage(records: DataFrame) -> DataFrame:

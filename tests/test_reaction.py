@@ -140,3 +140,12 @@ def test_series_and_missing_days(spark):
     assert as_list(rx.missing_days(days, "2026-08-07", backfill=6), "day")[0] == ("2026-08-02",)
     assert rx.missing_days(days, "2026-12-31").count() == 149
     assert rx.missing_days(days, "2026-12-31", cap=30).count() == 30
+
+
+def test_overlap_pairs_unite_the_codes_of_a_key_and_hold_no_pairs(spark):
+    left = spark.createDataFrame([(1, ["A", "B"]), (1, ["B", "C"]), (1, None), (2, []), (3, ["D", "A"])], "id int, codes array<string>")
+    right = spark.createDataFrame([(10, ["B", "B", "A"]), (11, ["C"]), (11, ["D"]), (12, None)], "plan int, codes array<string>")
+    got = rx.overlap_pairs(left, right, left_key="id", right_key="plan", left_codes="codes", right_codes="codes")
+    assert as_list(got, "id", "plan") == [(1, 10), (1, 11), (3, 10), (3, 11)]
+    # the pairs themselves are neither shuffled nor grouped
+    assert not got._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Aggregate")
