@@ -15,9 +15,10 @@ def day_text(col):
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows by key when the input has fewer pieces than there are cores.
+    """Spread rows by key when the input has fewer than four pieces a core.
 
-    For work that is heavy per row (whole texts); inputs with many files are left alone.
+    For work that is heavy per row (whole texts), or rows that become many and are sorted:
+    four pieces a core keep what one task holds small. Inputs with many files are left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    pieces = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(pieces, key) if df.rdd.getNumPartitions() < pieces else df

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from recordlens import vocab as v
 from recordlens.functions.clock import verbatim_date
+from recordlens.functions.text import once
 from recordlens.operators.ordered import first_per_key
 
 ALERTS = """features array<struct<properties: struct<eventid: string, eventtype: string, alertlevel: string,
@@ -123,14 +124,19 @@ def storm_observations(bodies: DataFrame) -> DataFrame:
 
 def vtec_id(code: Column) -> Column:
     """Stable id of a warning: office, product, tracking number and year; null if it is none."""
-    code = F.trim(code)
-    g = lambda i: F.regexp_extract(code, VTEC, i)
-    year = F.when(g(6) == "000000", F.substring(g(7), 1, 2)).otherwise(F.substring(g(6), 1, 2))
-    kept = code.rlike(VTEC) & (g(4) == "W") & ~g(1).isin(*v.VTEC_CLOSING_ACTIONS)
-    return F.when(
-        kept,
-        F.concat(F.lit("nws-"), F.lower(g(2)), F.lit("-"), F.lower(g(3)), F.lower(g(4)), F.lit("-"), g(5), F.lit("-"), year),
-    )
+    # All groups by one match; a code of another form is left as it is, in one piece.
+    parts = F.split(F.regexp_replace(F.trim(code), VTEC, "$1 $2 $3 $4 $5 $6 $7 vtec"), " ")
+
+    def named(part: Column) -> Column:
+        g = lambda i: F.get(part, F.lit(i - 1))
+        year = F.when(g(6) == "000000", F.substring(g(7), 1, 2)).otherwise(F.substring(g(6), 1, 2))
+        kept = F.startswith(g(8), F.lit("vtec")) & (g(4) == "W") & ~g(1).isin(*v.VTEC_CLOSING_ACTIONS)
+        return F.when(
+            kept,
+            F.concat(F.lit("nws-"), F.lower(g(2)), F.lit("-"), F.lower(g(3)), F.lower(g(4)), F.lit("-"), g(5), F.lit("-"), year),
+        )
+
+    return once(parts, named)
 
 
 def hazard_word(event: Column) -> Column:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordlens import sinks
+from recordlens.plans.tables import spread
 from recordlens.sources import feeds, records
 from tests.helpers import as_list
 
@@ -195,3 +196,9 @@ def test_manifest_files_and_entries(spark, tmp_path):
     fetched = spark.createDataFrame([("x.bin", "https://x.test", "2024-01-01T00:00:00Z", 200)], "file string, url string, retrieved_at string, http_status int")
     row = sinks.manifest_of(spark, str(tmp_path / "kept"), fetched).first()
     assert (row["file"], row["url"], row["http_status"], row["bytes"]) == ("x.bin", "https://x.test", 200, 3)
+
+
+def test_pieces_outnumber_the_cores(spark):
+    pieces = 4 * spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100).coalesce(2), "id").rdd.getNumPartitions() == pieces
+    assert spread(spark.range(100).repartition(pieces + 1), "id").rdd.getNumPartitions() == pieces + 1
