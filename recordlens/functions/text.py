@@ -16,24 +16,29 @@ _BEFORE = rf"(?<!{WORD_CHAR})"
 _AFTER = rf"(?!{WORD_CHAR})"
 
 
+def _starts(words, more: str = "") -> str:
+    """Looks at one letter before anything else: most places of a text start none of the words."""
+    return f"(?=[{''.join(sorted({w[0] for w in words}))}{more}])"
+
+
 def _any_word(words) -> str:
-    return rf"(?iu){_BEFORE}(?:{'|'.join(words)}){_AFTER}"
+    return rf"(?iu){_starts(words)}{_BEFORE}(?:{'|'.join(words)}){_AFTER}"
 
 
-NUMBER = rf"(?iu){_BEFORE}\p{{Nd}}[\p{{Nd}}.,]*[\s\p{{Z}}]?(?:{'|'.join(v.NUMBER_UNITS)})?"
+NUMBER = rf"(?iu)(?=\p{{Nd}}){_BEFORE}\p{{Nd}}[\p{{Nd}}.,]*[\s\p{{Z}}]?(?:{'|'.join(v.NUMBER_UNITS)})?"
 DATE = (
-    rf"(?iu){_BEFORE}(?:19|20)\p{{Nd}}{{2}}{_AFTER}"
+    rf"(?iu){_starts(v.DATE_MONTHS, r'\p{Nd}')}(?:{_BEFORE}(?:19|20)\p{{Nd}}{{2}}{_AFTER}"
     rf"|{_BEFORE}\p{{Nd}}{{1,2}}\.[\s\p{{Z}}]?\p{{Nd}}{{1,2}}\.[\s\p{{Z}}]?(?:19|20)\p{{Nd}}{{2}}{_AFTER}"
-    rf"|{_BEFORE}(?:{'|'.join(v.DATE_MONTHS)}){_AFTER}"
+    rf"|{_BEFORE}(?:{'|'.join(v.DATE_MONTHS)}){_AFTER})"
 )
 NEGATION = _any_word(v.NEGATIONS)
 COMMITMENT = _any_word(v.COMMITMENTS)
 MONTH = _any_word(v.MONTHS)
 ATTRIBUTION = (
-    rf"(?iu){_BEFORE}(?:(?:{'|'.join(v.ATTRIBUTIONS)}){_AFTER}"
+    rf"(?iu){_starts(v.ATTRIBUTIONS + v.ATTRIBUTION_TITLES)}{_BEFORE}(?:(?:{'|'.join(v.ATTRIBUTIONS)}){_AFTER}"
     rf"|(?:{'|'.join(v.ATTRIBUTION_TITLES)})\.(?={WORD_CHAR}))"
 )
-ENTITY = rf"(?<=[^.!?\s\p{{Z}}] )[A-ZÄÖÜ]{WORD_CHAR}"
+ENTITY = rf"(?=[A-ZÄÖÜ])(?<=[^.!?\s\p{{Z}}] )[A-ZÄÖÜ]{WORD_CHAR}"
 
 
 def collapse(text: Column) -> Column:

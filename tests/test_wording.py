@@ -212,3 +212,26 @@ def test_ends_of_a_text_are_trimmed(spark):
     texts = [" a. b ", "a.\u00a0b\u2003", "a b \u0085", "\n\n", "", "a.", "\u2028a! b?"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.sentences(F.col("t"))).collect()
     assert [r[0] for r in rows] == [["a.", "b"], ["a.", "b"], ["a b\u0085"], [], [], ["a."], ["a!", "b?"]]
+
+
+def test_gaps_of_unrepeated_sentences_need_no_runs(spark):
+    rng = random.Random(5)
+    sides = []
+    for _ in range(200):
+        old = rng.sample("abcdefghij", rng.randint(0, 8))
+        sides.append((old, [s if rng.random() < 0.6 else s.upper() for s in old if rng.random() < 0.8] + rng.sample("xyz", rng.randint(0, 2))))
+    rows = spark.createDataFrame(sides, "old array<string>, new array<string>")
+    old, new = F.col("old"), F.col("new")
+    got = rows.select(wd._once_in_order(old, new), wd._open_gaps(old, new), wd._gaps_of_runs(old, new)).collect()
+    assert all(once and quick == runs for once, quick, runs in got)
+    other = spark.createDataFrame([(list("aab"), list("ab")), (list("ab"), list("ba"))], rows.schema)
+    assert [r[0] for r in other.select(wd._once_in_order(old, new)).collect()] == [False, False]
+
+
+def test_word_patterns_look_at_one_letter_first(spark):
+    texts = ["ſaid", "he Said.", "unsaid", "KEIN", "Kein", "MÄRZ", "prof.x", "DR.x", "prof x", "5 %", "12.3.2024", "a12", "x İs"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in (tx.NEGATION, tx.COMMITMENT, tx.MONTH, tx.ATTRIBUTION, tx.DATE, tx.NUMBER):
+        assert re.match(r"(\(\?iu\))\(\?=", pattern)
+        plain = re.sub(r"^(\(\?iu\))\(\?=(?:\[[^\]]*\]|\\p\{Nd\})\)", r"\1", pattern)
+        assert rows.filter(F.regexp_count("t", F.lit(pattern)) != F.regexp_count("t", F.lit(plain))).count() == 0
