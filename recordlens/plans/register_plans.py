@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recordlens import vocab as v
 from recordlens.operators import register as reg
 from recordlens.operators import verdicts as ver
-from recordlens.plans.tables import day_text, table
+from recordlens.plans.tables import day_text, spread, table
 from recordlens.session import written
 
 LAST_NIGHT = "2024-01-30"
@@ -55,7 +55,7 @@ def _roles(src: DataFrame) -> DataFrame:
 
 def nightly_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day's last event per record; reduced before the shuffle by a partial max."""
-    ev = table(spark, sf_dir, "events").withColumn("run_date", day_text("ts"))
+    ev = spread(table(spark, sf_dir, "events"), "event_id").withColumn("run_date", day_text("ts"))
     last = ev.groupBy("event_type", "user_id", "run_date").agg(
         F.max(F.struct("ts", "event_id", "value", "props")).alias("e")
     )

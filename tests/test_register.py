@@ -167,3 +167,10 @@ def test_several_rows_of_a_night_fold_in_feed_order(spark):
     for flag in (False, True):
         events = reg.register_fold(observations(spark, rows), one_per_night=flag).orderBy("run_date", "phase", "pos", "step").collect()
         assert [(e["run_date"], e["event"]) for e in events] == [("2026-08-01", "NOTARIZED"), ("2026-08-01", "REVISED")]
+
+
+def test_events_are_spread_before_a_task_sorts_them(spark, sf_dir):
+    from recordlens.plans import register_plans as rgp
+
+    plan = rgp.nightly_observations(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(event_id" in plan
