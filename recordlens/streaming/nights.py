@@ -71,7 +71,10 @@ def fold_night_batches(
         if again:
             nights = sorted(again.union(nights))
             before = folded_events(spark, base, night, epoch).filter(F.col(night) < nights[0])
-            state = reg.advance_state(before, night=night, **names)
+            # Written once: the fold and the new state both read it.
+            rebuilt = f"{base}/before/epoch={epoch}"
+            reg.advance_state(before, night=night, **names).write.mode("overwrite").parquet(rebuilt)
+            state = spark.read.parquet(rebuilt)
         else:
             state = held.read(epoch)
         events = reg.register_fold(
@@ -127,7 +130,8 @@ class BucketedState:
             rows = after.withColumn("bucket", self._bucket()).withColumn("slot", slot).repartition("bucket")
             rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "slot").parquet(f"{self.base}/state")
         if rebuilt is not None:
-            written = {r[0] for r in after.select(self._bucket().alias("b")).distinct().collect()}  # one row per bucket
+            keys = events.select(self.key).unionByName(rebuilt.select(self.key))  # merged, these are the rows
+            written = {r[0] for r in keys.select(self._bucket().alias("b")).distinct().collect()}  # one row per bucket
             slots, changed = {}, {b: s for b, s in changed.items() if b in written}
         now = sorted({**slots, **changed}.items())
         self.spark.createDataFrame(now, "bucket int, slot int").coalesce(1).write.mode("overwrite").parquet(f"{self.base}/slots/epoch={epoch}")

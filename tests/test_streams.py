@@ -103,3 +103,12 @@ def test_first_message_follows_feed_order_not_arrival(spark, tmp_path):
         first = st.least_message_stream(stream, ["key"], "at", ["at", "pos"], ["body"]).withColumn("d", F.dayofmonth("starts"))
         st.run_to_end(st.append_stream(first, str(tmp_path / name)))
         assert as_list(spark.read.parquet(str(tmp_path / name / "data")), "d", "key", "body") == want
+
+
+def test_a_late_night_derives_the_state_before_it_once(spark, tmp_path):
+    rows, _ = random_rows(6)
+    nights, base = sorted({r[1] for r in rows}), str(tmp_path / "late")
+    st.run_to_end(fold_stream(spark, base, [nights[:3], nights[4:6], nights[3:4] + nights[6:]], observations(spark, rows), buckets=3))
+    early = observations(spark, [r for r in rows if r[1] < nights[3]])
+    kept = spark.read.parquet(f"{base}/before/epoch=2")  # what the fold and the new state both read
+    assert {r["id"] for r in kept.collect()} == {r["id"] for r in early.collect()}
