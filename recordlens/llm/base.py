@@ -8,13 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: A-Z to a-z over UTF-8 bytes; every other byte stays.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Entries a worker keeps in one cache of words; beyond it the cache starts again.
-CACHE = 200_000
 #: Odd multipliers that mix 64-bit hashes.
 MIX = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64
@@ -52,19 +49,6 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 16 << 20) -> Iterator[p
         yield batch.slice(start)
 
 
-def word_hashes(words: list[bytes], cache: dict) -> np.ndarray:
-    """64-bit hashes of words, kept in ``cache`` between calls."""
-    if len(cache) > CACHE:
-        cache.clear()
-    try:
-        return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-    except KeyError:
-        for w in words:
-            if w not in cache:
-                cache[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 _LETTER = np.frombuffer(LOWER, dtype=np.uint8)
 #: A fixed random 64-bit value for every byte of a word; white space has none.
 _VALUE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -105,13 +89,27 @@ def text_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     Words are what stands between ASCII white space. A hash is the sum of a value per byte
     times a power of an odd base for its place in the word, so no word is looked up or kept.
     """
+    return _found_words(texts)[:2]
+
+
+def text_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``text_hashes``, and of each word its length in bytes and its first byte, A-Z in lower case."""
+    hashes, counts, data, first, at = _found_words(texts)
+    inside = _VALUE[data] != 0
+    end = np.flatnonzero(inside & np.append(~inside[1:] | first[1:-1], True)[: len(inside)])
+    return hashes, counts, end + 1 - at, _LETTER[data[at]].astype(np.int64)
+
+
+def _found_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words, words of each text, all bytes, at which of them a text begins, and where words begin."""
+    none = np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64), np.zeros(0, dtype=np.uint8), np.ones(1, dtype=bool), np.zeros(0, dtype=np.int64)
     if not len(texts):
-        return np.empty(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return none
     raw = texts.cast(pa.large_binary())
     ends = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset : raw.offset + len(raw) + 1]
     low, high = int(ends[0]), int(ends[-1])
     if low == high:
-        return np.empty(0, dtype=np.uint64), np.zeros(len(raw), dtype=np.int64)
+        return none
     data = np.frombuffer(raw.buffers()[2], dtype=np.uint8, count=high)[low:]
     first = np.zeros(len(data) + 1, dtype=bool)
     first[ends[:-1] - low] = True
@@ -132,7 +130,7 @@ def text_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             places.append(at + begin)
             begin = end
     places = np.concatenate(places)
-    return np.concatenate(hashes), np.diff(np.searchsorted(places, ends - low))
+    return np.concatenate(hashes), np.diff(np.searchsorted(places, ends - low)), data, first, places
 
 
 def shingles(texts: pa.Array, size: int) -> list[np.ndarray]:

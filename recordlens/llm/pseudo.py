@@ -7,6 +7,7 @@
    sum, and predicts the class of the hidden token and the token within its class. Every
    task trains on its positions from common weights (numpy, Adagrad), and the weights are
    averaged by the number of positions. The rounds deal all positions out between them.
+   Words are told apart by 64-bit hashes there, as in the lookup of counts.
 3. A document's score is the sum of the log probabilities of its words, each given its
    neighbours; nothing outside the document is a neighbour. The counts of words that share
    a token are met on Spark, by hash, as they grow with the corpus.
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordlens.llm.base import LOWER, MIX, as_bytes, mixed, slices, table, word_hashes
+from recordlens.llm.base import LOWER, MIX, as_bytes, mixed, slices, table, text_hashes, text_words
 from recordlens.session import written
 
 #: Classes, tokens a class, and the width of the network.
@@ -38,6 +39,10 @@ VOCABULARY = CLASSES * WITHIN
 SHARED = 64
 #: Rounds of training; every position is trained on in one of them.
 ROUNDS = 2
+#: Places a step of training, its rate, and the square of a slope that every weight is taken to have seen.
+STEP, RATE, SEEN = 4096, 0.2, 1e-6
+#: Values whose exponentials, and the sums of these, neither vanish nor overflow as single floats.
+LARGEST = 80.0
 #: Words counted in a task before it hands them on.
 HELD = 400_000
 #: Groups in which shared words meet their counts: so many at least, and of so many occurrences.
@@ -71,19 +76,40 @@ def shared_token(word: bytes) -> int:
     return VOCABULARY - SHARED + min(len(word), 15) * 4 + word[0] % 4
 
 
-def token_numbers(words: list[bytes], known: dict[bytes, int]) -> list[int]:
-    return [shared_token(w) if i is None else i for w, i in zip(words, map(known.get, words), strict=True)]
+class Tokens:
+    """Words' tokens, by the words' 64-bit hashes."""
+
+    def __init__(self, known: dict[bytes, int]):
+        hashes, _ = text_hashes(pa.array(list(known), pa.large_binary()))
+        order = np.argsort(hashes)
+        # a last hash that is met by none keeps the search inside
+        self.hashes = np.append(hashes[order], np.uint64(2**64 - 1))
+        self.numbers = np.append(np.fromiter(known.values(), dtype=np.int64, count=len(known))[order], -1)
+
+    def of(self, hashes: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """A word's own token, or that shared by its length in bytes and first byte."""
+        at = self.hashes.searchsorted(hashes)
+        return np.where(self.hashes[at] == hashes, self.numbers[at], VOCABULARY - SHARED + np.minimum(length, 15) * 4 + first % 4)
 
 
 class Batch:
     """Tokens of several documents in one line, two blanks between them."""
 
     def __init__(self, docs: list[list[int]]):
-        blank = [VOCABULARY, VOCABULARY]
-        line = blank + list(chain.from_iterable(d + blank for d in docs))
-        self.line = np.array(line, dtype=np.int64)
-        self.at = np.flatnonzero(self.line < VOCABULARY)
-        self.size = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
+        self._lay(np.fromiter(chain.from_iterable(docs), dtype=np.int64), np.fromiter(map(len, docs), dtype=np.int64, count=len(docs)))
+
+    @classmethod
+    def of(cls, tokens: np.ndarray, size: np.ndarray) -> Batch:
+        """From the tokens of all documents in order, and how many each has."""
+        self = cls.__new__(cls)
+        self._lay(tokens, size)
+        return self
+
+    def _lay(self, tokens: np.ndarray, size: np.ndarray) -> None:
+        self.size = size
+        self.at = np.arange(len(tokens)) + 2 * np.repeat(np.arange(1, len(size) + 1), size)
+        self.line = np.full(len(tokens) + 2 * len(size) + 2, VOCABULARY)
+        self.line[self.at] = tokens
 
 
 class Network:
@@ -113,81 +139,98 @@ class Network:
         return net
 
     def hidden(self, line: np.ndarray, at: np.ndarray) -> np.ndarray:
-        h = np.repeat(self.bend[None, :], len(at), axis=0)
-        for k, o in enumerate(OFFSETS):
-            h += self.side[k][line[at + o]]
+        h = self.side[0].take(line[at + OFFSETS[0]], axis=0)
+        for k, o in enumerate(OFFSETS[1:], 1):
+            h += self.side[k].take(line[at + o], axis=0)
+        h += self.bend
         return np.tanh(h, out=h)
 
     def inside(self, h: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Values of the tokens within each place's class; places come in order of class."""
-        y = self.word_bias[kind]
+        y = np.empty((len(h), WITHIN), dtype=h.dtype)
         for c, a, b in _runs(kind):
-            y[a:b] += h[a:b] @ self.word[c]
+            np.matmul(h[a:b], self.word[c], out=y[a:b])
+            y[a:b] += self.word_bias[c]
         return y
 
+    def small(self) -> bool:
+        """Whether no value can leave the range of the exponential: what is bent lies within 1."""
+        kind = np.abs(self.kind).sum(axis=0) + np.abs(self.kind_bias)
+        return max(kind.max(), (np.abs(self.word).sum(axis=1) + np.abs(self.word_bias)).max()) < LARGEST
+
     def logs(self, line: np.ndarray, at: np.ndarray, piece: int = 16_384) -> np.ndarray:
         """Log probability of the token at each place, given its neighbours."""
-        out = np.zeros(len(at))
+        out, small = np.zeros(len(at)), self.small()
         for b in range(0, len(at), piece):
-            mine = at[b : b + piece]
-            token = line[mine]
-            kind = token // WITHIN
+            order, mine, token, kind = _by_class(line, at[b : b + piece])
+            rows = np.arange(len(mine))
             h = self.hidden(line, mine)
             x = h @ self.kind + self.kind_bias
-            log = x[np.arange(len(mine)), kind] - _logsum(x)
-            order = np.argsort(kind, kind="stable")
-            y = self.inside(h[order], kind[order])
-            log[order] += y[np.arange(len(mine)), token[order] % WITHIN] - _logsum(y)
-            out[b : b + piece] = log
+            log = x[rows, kind]
+            log -= _logsum(x, small)
+            y = self.inside(h, kind)
+            log += y[rows, token % WITHIN]
+            log -= _logsum(y, small)
+            out[b + order] = log
         return out
 
     def gradient(self, line: np.ndarray, at: np.ndarray) -> Network:
         """Of the mean negative log probability over the places."""
-        g = Network(np.zeros(self.SIZE, dtype=np.float32))
-        token, n = line[at], np.float32(1 / len(at))
-        kind = token // WITHIN
+        g, small = Network(np.zeros(self.SIZE, dtype=np.float32)), self.small()
+        _, at, token, kind = _by_class(line, at)
+        rows, n = np.arange(len(at)), np.float32(1 / len(at))
         h = self.hidden(line, at)
-        x = _shares(h @ self.kind + self.kind_bias)
-        x[np.arange(len(at)), kind] -= 1
+        x = _shares(h @ self.kind + self.kind_bias, small)
+        x[rows, kind] -= 1
         x *= n
         g.kind[:], g.kind_bias[:] = h.T @ x, x.sum(axis=0)
         dh = x @ self.kind.T
-        order = np.argsort(kind, kind="stable")
-        kind, h_in, dh_in = kind[order], h[order], np.empty_like(dh)
-        y = _shares(self.inside(h_in, kind))
-        y[np.arange(len(at)), token[order] % WITHIN] -= 1
+        y = _shares(self.inside(h, kind), small)
+        y[rows, token % WITHIN] -= 1
         y *= n
-        found, begin = np.unique(kind, return_index=True)
-        g.word_bias[found] = np.add.reduceat(y, begin)
         for c, a, b in _runs(kind):
-            np.matmul(h_in[a:b].T, y[a:b], out=g.word[c])
-            np.matmul(y[a:b], self.word[c].T, out=dh_in[a:b])
-        dh[order] += dh_in
+            np.matmul(h[a:b].T, y[a:b], out=g.word[c])
+            np.sum(y[a:b], axis=0, out=g.word_bias[c])
+            dh[a:b] += y[a:b] @ self.word[c].T
         dh *= 1 - h * h
         g.bend[:] = dh.sum(axis=0)
-        for k, o in enumerate(OFFSETS):
-            near = line[at + o]
-            order = np.argsort(near, kind="stable")
-            near = near[order]
-            begin = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
-            g.side[k][near[begin]] = np.add.reduceat(dh[order], begin)
+        # all sides at once: a neighbour's number goes on from side to side; 16 bits are sorted by radix
+        near = np.concatenate([line[at + o] + k * (VOCABULARY + 1) for k, o in enumerate(OFFSETS)]).astype(np.uint16)
+        order = np.argsort(near, kind="stable")
+        near = near[order]
+        begin = np.flatnonzero(np.append(True, near[1:] != near[:-1]))
+        g.side.reshape(-1, WIDTH)[near[begin]] = np.add.reduceat(dh.take(order % len(at), axis=0), begin)
         return g
 
 
+def _by_class(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in order of their tokens' classes: the order, and with it the places, tokens and classes."""
+    token = line[at]
+    order = np.argsort((token // WITHIN).astype(np.uint8), kind="stable")
+    token = token[order]
+    return order, at[order], token, token // WITHIN
+
+
 def _runs(kind: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(class, begin, end) of each class in a sorted array."""
     edge = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
     return ((c, a, b) for c, (a, b) in enumerate(zip(edge, edge[1:], strict=False)) if a < b)
 
 
-def _logsum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+def _logsum(x: np.ndarray, small: bool) -> np.ndarray:
+    """Logarithm of the sum of a row's exponentials; x is used up."""
+    top = 0.0 if small else x.max(axis=1)
+    if not small:
+        x -= top[:, None]
+    return top + np.log(np.exp(x, out=x) @ np.ones(x.shape[1], dtype=x.dtype))
 
 
-def _shares(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+def _shares(x: np.ndarray, small: bool) -> np.ndarray:
+    if not small:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
+    return x
 
 
 def _chosen(batch: Batch, keys: list, turn: int, rounds: int) -> np.ndarray:
@@ -199,7 +242,7 @@ def _chosen(batch: Batch, keys: list, turn: int, rounds: int) -> np.ndarray:
     return batch.at[h % np.uint64(rounds) == turn]
 
 
-def trained_once(docs: DataFrame, known: dict[bytes, int], net: np.ndarray, turn: int, rounds: int, rate: float = 0.1, step: int = 512) -> np.ndarray:
+def trained_once(docs: DataFrame, known: dict[bytes, int], net: np.ndarray, turn: int, rounds: int, rate: float = RATE, step: int = STEP) -> np.ndarray:
     """Weights after one of ``rounds``: every task trains from ``net``, then weights are averaged by places.
 
     The averaged pieces, as many as the network has, are all that the driver receives.
@@ -209,13 +252,14 @@ def trained_once(docs: DataFrame, known: dict[bytes, int], net: np.ndarray, turn
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = sent.value
         mine, places = Network(weights.copy()), 0
-        seen = np.full(Network.SIZE, 1e-3, dtype=np.float32)
+        tokens, seen = Tokens(words), np.full(Network.SIZE, SEEN, dtype=np.float32)
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
-                tokens = Batch([token_numbers(t.translate(LOWER).split(), words) if t else [] for t in as_bytes(piece.column("text"))])
-                at = _chosen(tokens, piece.column("doc_id").to_pylist(), turn, rounds)
+                hashes, size, *form = text_words(piece.column("text"))
+                line = Batch.of(tokens.of(hashes, *form), size)
+                at = _chosen(line, piece.column("doc_id").to_pylist(), turn, rounds)
                 for b in range(0, len(at), step):
-                    g = mine.gradient(tokens.line, at[b : b + step]).weights
+                    g = mine.gradient(line.line, at[b : b + step]).weights
                     seen += g * g
                     mine.weights -= np.float32(rate) * g / np.sqrt(seen)
                 places += len(at)
@@ -294,7 +338,7 @@ def _gains(counts: DataFrame, known: dict[bytes, int], groups: int) -> DataFrame
 
         def out():
             gain = np.log(np.array(n, dtype=np.float64)) - _spelt(np.array([len(w) for w in words]))
-            rows = list(_dealt(np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64), groups, gain))
+            rows = list(_dealt(text_hashes(pa.array(words, pa.large_binary()))[0], groups, gain))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["group", "hashes", "gains"])
 
         for batch in batches:
@@ -354,22 +398,21 @@ def scored(docs: DataFrame, known: dict[bytes, int], weights: np.ndarray, counts
     names = ["group", "base", "hashes", "rows", "doc_id", "n_tokens", "log_likelihood"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net, among = sent.value[0], Network(sent.value[1].copy()), sent.value[2]
-        base, memory = TaskContext.get().partitionId() << 33, {}
+        tokens, net, among = Tokens(sent.value[0]), Network(sent.value[1].copy()), sent.value[2]
+        base = TaskContext.get().partitionId() << 33
         for batch in batches:
             for piece in slices(batch, "text", 2 << 20):
-                texts = [t.translate(LOWER).split() if t else [] for t in as_bytes(piece.column("text"))]
-                tokens = Batch([token_numbers(t, words) for t in texts])
-                logs = net.logs(tokens.line, tokens.at)
-                owner = np.repeat(np.arange(len(tokens.size), dtype=np.int32), tokens.size)
-                kind = tokens.line[tokens.at] - (VOCABULARY - SHARED)
+                hashes, size, length, first = text_words(piece.column("text"))
+                line = Batch.of(tokens.of(hashes, length, first), size)
+                logs = net.logs(line.line, line.at)
+                owner = np.repeat(np.arange(len(size), dtype=np.int32), size)
+                kind = line.line[line.at] - (VOCABULARY - SHARED)
                 bare = kind >= 0
-                without = list(compress(chain.from_iterable(texts), bare.tolist()))
-                logs[bare] += _spelt(np.fromiter(map(len, without), dtype=np.int64, count=len(without))) - among[kind[bare]]
-                total = np.bincount(owner, logs, minlength=len(tokens.size))
-                out = [(base % groups, base, None, None, piece.column("doc_id").to_pylist(), tokens.size, total)]
-                out += [(g, base, h, r, None, None, None) for g, h, r in _dealt(word_hashes(without, memory), groups, owner[bare])]
-                base += len(texts)
+                logs[bare] += _spelt(length[bare]) - among[kind[bare]]
+                total = np.bincount(owner, logs, minlength=len(size))
+                out = [(base % groups, base, None, None, piece.column("doc_id").to_pylist(), size, total)]
+                out += [(g, base, h, r, None, None, None) for g, h, r in _dealt(hashes[bare], groups, owner[bare])]
+                base += len(size)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     found = docs.select("doc_id", "text").mapInArrow(score, "group long, base long, hashes binary, rows binary, doc_id array<long>, n_tokens array<long>, log_likelihood array<double>")

@@ -8,11 +8,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recordlens.llm import catalog, components, jaccard, language, lattice, pieces, pseudo
+from recordlens.llm import base, catalog, components, jaccard, language, lattice, pieces, pseudo
 from tests.llm import plain
 
 WORDS = "sun moon star tree rock wind rain snow leaf bird fish frog ant bee owl fox elk cat dog hen".split()
@@ -315,6 +316,33 @@ def test_pseudo_likelihood(spark):
     assert empty == {} and pseudo.scored(df.limit(0), empty, w0).count() == 0
 
 
+def test_words_are_read_as_split_reads_them():
+    texts = [None, "", " \t", "One two  THREE\n", "one", "Zoë \x00 x" + "y" * 40, "\x1fa\x0bb\r"]
+    hashes, size, length, first = base.text_words(pa.array(texts)[1:])
+    words = [[w.lower() for w in plain.words(t)] for t in texts[1:]]
+    flat = [w.encode() for t in words for w in t]
+    assert size.tolist() == list(map(len, words)) and length.tolist() == list(map(len, flat)) and first.tolist() == [w[0] for w in flat]
+    assert hashes.tolist() == base.text_hashes(pa.array(flat))[0].tolist()
+    known = {w: i for i, w in enumerate(flat[::2])}
+    assert pseudo.Tokens(known).of(hashes, length, first).tolist() == [known.get(w, pseudo.shared_token(w)) for w in flat]
+    assert pseudo.Tokens({}).of(hashes, length, first).tolist() == list(map(pseudo.shared_token, flat))
+
+
+def test_many_places_a_step_learn_from_few_words():
+    rng = np.random.default_rng(4)
+    follow = rng.integers(0, 500, 500)
+    docs = [[int(a), int(follow[a])] for a in rng.integers(0, 500, 20_000)]
+    batch, net = pseudo.Batch(docs), pseudo.Network.start(np.ones(pseudo.VOCABULARY))
+    first, seen = net.logs(batch.line, batch.at).mean(), np.full(pseudo.Network.SIZE, pseudo.SEEN, dtype=np.float32)
+    for b in range(0, len(batch.at), pseudo.STEP):
+        g = net.gradient(batch.line, batch.at[b : b + pseudo.STEP]).weights
+        seen += g * g
+        net.weights -= np.float32(pseudo.RATE) * g / np.sqrt(seen)
+    assert net.logs(batch.line, batch.at).mean() > first + 1
+    large = pseudo.Network(net.weights * 1000)  # beyond the range of the exponential
+    assert net.small() and not large.small() and np.isfinite(large.logs(batch.line, batch.at)).all()
+
+
 def test_every_place_is_trained_on_once():
     batch, keys = pseudo.Batch([[1] * 700, [], [2] * 90]), ["a", None, 7]
     for rounds in (1, pseudo.ROUNDS, 5):
