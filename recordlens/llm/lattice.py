@@ -67,7 +67,8 @@ class Pieces:
         """Lengths, and for each piece length k the piece number at (word, start), -1 for none."""
         size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         width = int(size.max(initial=0))
-        flat = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), dtype="<u4").reshape(len(words), width)
+        even = bool(len(size)) and int(size.min()) == width
+        flat = np.frombuffer("".join(words if even else [w.ljust(width, "\0") for w in words]).encode("utf-32-le"), dtype="<u4").reshape(len(words), width)
         found = []
         with np.errstate(over="ignore"):
             h = np.zeros((len(words), width + 1), dtype=np.uint64)
@@ -78,7 +79,8 @@ class Pieces:
                 ids = self.numbers(sub)
                 if k == 1:
                     ids[ids < 0] = self.unknown
-                ids[np.arange(width - k + 1)[None, :] + k > size[:, None]] = -1
+                if not even:
+                    ids[np.arange(width - k + 1)[None, :] + k > size[:, None]] = -1
                 found.append(ids)
         return size, found
 

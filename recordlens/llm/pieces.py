@@ -45,7 +45,7 @@ SHORT = 16
 DRAW = 2.0**-24
 #: Characters of words of one length whose lattices are built at once (or one word's).
 CELLS = 1 << 15
-#: Edges of lattices a worker remembers, about; beyond it the memory starts again with the next texts.
+#: Edges of lattices a worker remembers, about; beyond it only words met again stay for the next texts.
 REMEMBERED = 4_000_000
 #: Occurrences of words walked at once.
 TOGETHER = 1 << 13
@@ -90,21 +90,16 @@ class Speller:
         self.odd = np.array([m.is_control(i) or m.is_unknown(i) or m.is_unused(i) for i in range(m.get_piece_size())])
         spelt = [bytes([int(m.id_to_piece(i)[1:-1], 16)]) if m.is_byte(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(len(self.odd))]
         self.marked = np.array([not m.is_byte(i) and m.id_to_piece(i)[:1] == MARK for i in range(len(self.odd))])
-        self.size = np.array(list(map(len, spelt)))
-        self.start = np.cumsum(self.size) - self.size
-        self.bytes = np.frombuffer(b"".join(spelt), dtype=np.uint8)
+        self.spelt = np.array([None if odd else x for odd, x in zip(self.odd.tolist(), spelt, strict=True)], dtype=object)
 
     def text(self, ids: np.ndarray) -> str:
         """One text; ids that are not pieces or bytes, and bytes that are no UTF-8, go to the library."""
         if not len(ids):
             return ""
-        if ids.min() >= 0 and ids.max() < len(self.odd) and not self.odd[ids].any():
-            size = self.size[ids]
-            end = np.cumsum(size)
-            data = self.bytes[np.arange(end[-1]) + np.repeat(self.start[ids] - end + size, size)].tobytes()
+        if ids.min() >= 0 and ids.max() < len(self.spelt):
             try:
-                return data[int(self.marked[ids[0]]) :].decode()
-            except UnicodeDecodeError:
+                return b"".join(self.spelt.take(ids).tolist())[int(self.marked[ids[0]]) :].decode()
+            except (TypeError, UnicodeDecodeError):  # an id without bytes of its own, or bytes cut
                 pass
         return self.model.decode(ids.tolist())
 
@@ -135,6 +130,8 @@ class Lattices:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
+        #: in how many calls each word occurred
+        self.met = np.zeros(0, dtype=np.int64)
         self.first, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.places = 0
         #: of each edge: where a draw ends on it, id (a character without a piece below zero), characters, log chance
@@ -143,6 +140,26 @@ class Lattices:
         #: the first edge of each place, and the end
         self.out = np.zeros(1, dtype=np.int64)
 
+    def forget(self, most: int) -> None:
+        """Keep the words that occurred in more than one call, unless they have more than ``most`` edges."""
+        words = np.flatnonzero(self.met > 1)
+        words = words[np.argsort(self.first[words])]
+        old, size = self.first[words], self.size[words]
+        low = self.out[old]
+        edges = self.out[old + size] - low
+        names, number = list(self.number), int(edges.sum())
+        if number > most:
+            return self.clear()
+        at = np.arange(number) + np.repeat(low - np.cumsum(edges) + edges, edges)
+        new = np.cumsum(size) - size
+        steps = np.arange(int(size.sum())) + np.repeat(old - new, size)
+        self.out = np.append(0, np.cumsum(self.out[steps + 1] - self.out[steps]))
+        self.reach = self.reach[at] - np.repeat(old - new, edges)  # whole numbers: nothing is rounded
+        self.id, self.step, self.log = self.id[at], self.step[at], self.log[at]
+        self.number = {names[w]: i for i, w in enumerate(words.tolist())}
+        self.first, self.size, self.places = new, size, int(size.sum())
+        self.met = np.zeros(len(words), dtype=np.int64)
+
     def add(self, words: list[str]) -> None:
         """Build the lattices of words that are new."""
         if not words:
@@ -171,6 +188,7 @@ class Lattices:
             self.places += len(mine) * n
             begin += len(mine)
         self.first, self.size = np.append(self.first, first), np.append(self.size, size)
+        self.met = np.append(self.met, np.zeros(len(words), dtype=np.int64))
         self.reach, self.id, self.step, self.log = map(np.concatenate, (reach, ids, step, log))
         known = len(self.out) - 1
         self.out = np.append(self.out[:known], self.reach.searchsorted(np.arange(known, self.places + 1), side="right"))
@@ -286,13 +304,14 @@ def sampled(texts: list[str], seeds: list[int], v: Vocabulary, k: int) -> list[l
     """For each text up to ``k`` (ids, log_prob, perturbed, inclusion), in order of perturbed."""
     lattices = v.lattices
     if len(lattices.id) > REMEMBERED:
-        lattices.clear()
+        lattices.forget(REMEMBERED // 2)
     split = [units(t) for t in texts]
     number = lattices.number
     lattices.add(list(set(chain.from_iterable(split)).difference(number)))
     begin = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
     flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(begin[-1]))
     m = len(flat)
+    lattices.met += np.bincount(flat, minlength=len(lattices.met)) > 0
     with np.errstate(over="ignore"):
         row = np.repeat(np.arange(len(texts)), np.diff(begin))
         seed = mixed(np.array(seeds, dtype=np.uint64)[row] + MIX[0] * (np.arange(m) - begin[row]).astype(np.uint64))

@@ -273,6 +273,25 @@ def test_decoding_is_the_librarys():
         assert one.text(np.array(one.model.encode(text), dtype=np.int64)) == one.model.decode(one.model.encode(text))
 
 
+def test_words_met_again_are_kept_when_others_are_forgotten():
+    rng, path = random.Random(8), public_tokenizers.path(pieces.VOCABULARY)
+    texts = [" ".join(["often", "seen", f"once{i}", f"rare{rng.randrange(10**6)}", "日x"]) for i in range(40)]
+    small, large = (pieces.Vocabulary(path, 1.0) for _ in range(2))
+    built, kept = [], small.lattices.add
+    small.lattices.add = lambda words: (built.extend(words), kept(words))
+    for at in range(0, 40, 4):
+        args = texts[at : at + 4], list(range(at, at + 4))
+        got, want = pieces.sampled(*args, small, 4), pieces.sampled(*args, large, 4)
+        assert [[(x.tolist(), *r) for x, *r in t] for t in got] == [[(x.tolist(), *r) for x, *r in t] for t in want]
+        if at % 8:
+            small.lattices.forget(10_000)
+            assert {"▁often", "▁seen", "▁日x"} == set(small.lattices.number)
+    assert built.count("▁often") == 1 and len(small.lattices.id) < len(large.lattices.id)
+    small.lattices.met += 2
+    small.lattices.forget(1)
+    assert not small.lattices.number and not len(small.lattices.id)
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     net = pseudo.Network.start(rng.integers(1, 100, pseudo.VOCABULARY).astype(float))
