@@ -26,8 +26,8 @@ def _null():
 
 def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One alert document per line item; every document also carries an unknown hazard."""
-    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
-    line, day = F.col("l_linenumber"), day_text("l_shipdate")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("_day", day_text("l_shipdate"))
+    line, day = F.col("l_linenumber"), F.col("_day")
     code = lambda n: F.concat(F.lit("C"), n.cast("string"))
     hazard = F.element_at(F.array(*[F.lit(h) for h in ("EQ", "TC", "FL", "DR", "WF", "VO", "TS")]), line)
     props = [
@@ -48,13 +48,11 @@ def alert_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = F.struct(F.lit("1").alias("eventid"), F.lit("XX").alias("eventtype"))
     link = F.concat(F.lit("https://r.test/"), _text_of("l_orderkey"))
 
-    with_object = F.to_json(F.struct(F.array(F.struct(F.struct(*props, F.struct(link.alias("report")).alias("url")).alias("properties"))).alias("features")))
-    with_text = F.to_json(F.struct(F.array(F.struct(F.struct(*props, link.alias("url")).alias("properties"))).alias("features")))
-    extra = F.to_json(F.struct(other.alias("properties")))
-    body = F.concat(F.expr("substring(_body, 1, length(_body) - 2)"), F.lit(","), F.col("_extra"), F.lit("]}"))
-    li = li.withColumn("_extra", extra).withColumn(
-        "_body", F.when(F.col("l_linestatus") == "F", with_object).otherwise(with_text)
-    )
+    feature = lambda url: F.to_json(F.struct(F.struct(*props, url.alias("url")).alias("properties")))
+    first = F.when(F.col("l_linestatus") == "F", feature(F.struct(link.alias("report")))).otherwise(feature(link))
+    # The document is put together around its features, so that no text is measured and cut again.
+    body = F.concat(F.lit('{"features":['), F.col("_first"), F.lit(","), F.to_json(F.struct(other.alias("properties"))), F.lit("]}"))
+    li = li.withColumn("_first", first)
     return li.select(
         day.alias("run_date"), F.concat(F.lit("alerts/"), day).alias("snapshot"),
         (F.col("l_orderkey") * 10 + line).alias("doc"), body.alias("body"),

@@ -77,11 +77,10 @@ def alert_observations(bodies: DataFrame) -> DataFrame:
     rows = _features(bodies, ALERTS, "features").withColumn("p", F.col("f.properties"))
     p = F.col("p")
     hazards = F.create_map(*[F.lit(x) for kv in v.HAZARD_NAMES.items() for x in kv])
-    listed = F.transform(
-        F.coalesce(p["affectedcountries"], F.array().cast("array<struct<iso3:string>>")), lambda c: c["iso3"]
-    )
-    codes = F.concat(listed, F.array(_text(p["iso3"])))
-    codes = F.array_sort(F.array_distinct(F.filter(codes, lambda c: c.isNotNull() & (c != ""))))
+    listed = F.coalesce(p["affectedcountries"]["iso3"], F.array().cast("array<string>"))
+    # distinct codes without empty and missing ones; no lambda, so the row stays in compiled code
+    codes = F.array_except(F.concat(listed, F.array(_text(p["iso3"]))), F.array(F.lit(""), F.lit(None)))
+    codes = F.sort_array(codes)
     ref = F.when(F.startswith(p["url"], F.lit("{")), F.get_json_object(p["url"], "$.report")).otherwise(p["url"])
     known = p["eventid"].isNotNull() & p["eventtype"].isin(*v.HAZARD_NAMES)
     return rows.filter(known).select(

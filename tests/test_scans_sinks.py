@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordlens import sinks
+from recordlens.plans import scan_plans
 from recordlens.plans.tables import spread
 from recordlens.sources import feeds, records
 from tests.helpers import as_list
@@ -29,6 +30,20 @@ def test_tracking_numbers(spark, code, want):
     assert spark.createDataFrame([(code,)], "c string").select(feeds.vtec_id(F.col("c"))).collect()[0][0] == want
 
 
+def test_alert_codes_and_documents_stay_in_compiled_code(spark, sf_dir):
+    codes = [["C2", "", None, "C1", "C2"], None, [], [None, ""]]
+    own = [" C1 ", "C9", None, " "]
+    feature = lambda c, o: {"properties": {"eventid": "1", "eventtype": "EQ", "iso3": o, "affectedcountries": c and [None if x is None else {"iso3": x} for x in c]}}
+    bodies = [("2024-01-01", "s", i, json.dumps({"features": [feature(c, o)]})) for i, (c, o) in enumerate(zip(codes, own, strict=True))]
+    out = feeds.alert_observations(spark.createDataFrame(bodies, "run_date string, snapshot string, doc long, body string"))
+    assert [r.iso3 for r in out.orderBy("pos").collect()] == [["C1", "C2"], ["C9"], [], []]
+    documents = scan_plans.alert_bodies(spark, sf_dir)
+    plan = feeds.alert_observations(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and "substring" not in plan
+    for r in documents.limit(50).collect():
+        assert [len(json.loads(r.body)["features"]), json.loads(r.body)["features"][1]] == [2, {"properties": {"eventid": "1", "eventtype": "XX"}}]
+
+
 def test_alert_feed(spark):
     doc = {"features": [
         {"properties": {"eventid": 1001297, "eventtype": "TC", "alertlevel": "Orange", "name": "Cyclone X", "country": "Japan", "iso3": "MHL",
